@@ -1,0 +1,2 @@
+"""Intentionally empty: catalog captures are immutable batches, no operator of
+the inventory reads a stream."""

@@ -2,6 +2,7 @@
 
 from fleetdrift.plans import (  # noqa: F401
     catalog_queries,
+    drift_queries,
     function_queries,
 )
 from fleetdrift.plans.registry import ORACLES, QUERIES

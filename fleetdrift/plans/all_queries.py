@@ -4,6 +4,10 @@ from fleetdrift.plans import (  # noqa: F401
     catalog_queries,
     drift_queries,
     function_queries,
+    order_queries,
+    report_queries,
+    row_queries,
+    rule_queries,
 )
 from fleetdrift.plans.registry import ORACLES, QUERIES
 

@@ -7,7 +7,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetdrift.functions.text import extract, trim_blank
+from fleetdrift.functions.text import let, trim_blank
 
 # Other spellings of a type and the canonical name they stand for.
 TYPE_ALIASES = {
@@ -35,11 +35,21 @@ CANONICAL_TYPES = [
     "tsquery", "pg_lsn", "txid_snapshot",
 ]
 
-# name, optional modifier in parentheses, array dimensions
-_TYPE = r"(?s)^(.*?)(\([^)]+\))?((?:\[\d*\])*)$"
+_DIMENSIONS = r"(?:\[\d*\])+$"
+_MODIFIER = r"\([^)]+\)$"
 _ZONE = r" with(?:out)? time zone$"
 
 
+def _without(text: Column, ending: str, pattern: str) -> Column:
+    """Cut a suffix; texts without its last character skip the pattern."""
+    return F.when(text.endswith(ending), F.regexp_replace(text, pattern, "")).otherwise(text)
+
+
+def _suffix(text: Column, ending: str, pattern: str) -> Column:
+    found = F.regexp_extract(text, pattern, 0)
+    return F.when(text.endswith(ending), found).otherwise(F.lit(""))
+
+
 def normalize_type(raw: Column) -> Column:
     """Canonical type text of a server's type description.
 
@@ -49,19 +59,31 @@ def normalize_type(raw: Column) -> Column:
     # One leading underscore marks an array, tested before trimming.
     is_array = raw.startswith("_") & ~raw.startswith("__")
     suffix = F.when(raw.endswith("[]"), F.lit("")).otherwise(F.lit("[]"))
-    text = trim_blank(
-        F.when(is_array, F.concat(F.substr(raw, F.lit(2)), suffix)).otherwise(raw)
-    )
-    bare = trim_blank(F.regexp_extract(text, _TYPE, 1))
-    modifier = F.regexp_extract(text, _TYPE, 2)
-    dimensions = F.regexp_extract(text, _TYPE, 3)
+    unprefixed = F.when(is_array, F.concat(F.substr(raw, F.lit(2)), suffix)).otherwise(raw)
 
     aliases = F.create_map(*[F.lit(x) for x in chain(*TYPE_ALIASES.items())])
-    lower = F.lower(bare)
-    canonical = F.coalesce(aliases[lower], F.when(lower.isin(CANONICAL_TYPES), lower), bare)
-    return F.concat(
-        F.regexp_replace(canonical, _ZONE, ""),
-        modifier,
-        F.coalesce(extract(canonical, f"({_ZONE})"), F.lit("")),
-        dimensions,
+
+    def canonical(bare: Column) -> Column:
+        lower = F.lower(bare)
+        return F.coalesce(aliases[lower], F.when(lower.isin(CANONICAL_TYPES), lower), bare)
+
+    def assemble(name: Column, base: Column, text: Column) -> Column:
+        return F.concat(
+            _without(name, "zone", _ZONE),
+            _suffix(base, ")", _MODIFIER),
+            _suffix(name, "zone", _ZONE),
+            _suffix(text, "]", _DIMENSIONS),
+        )
+
+    built = let(
+        trim_blank(unprefixed),
+        lambda text: let(
+            _without(text, "]", _DIMENSIONS),
+            lambda base: let(
+                canonical(trim_blank(_without(base, ")", _MODIFIER))),
+                lambda name: assemble(name, base, text),
+            ),
+        ),
     )
+    # Most descriptions are canonical as they stand.
+    return F.when(raw.isin(CANONICAL_TYPES), raw).otherwise(built)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fleetdrift.functions.text import extract, strip_quotes, trim_blank
+from fleetdrift.functions.text import extract, let, strip_quotes, trim_blank
 from fleetdrift.model import INDEX_METHODS
 
 
@@ -92,25 +92,41 @@ def key_column(entry: Column) -> Column:
     Anything else is a column name with an optional operator class, also a
     function call without outer parentheses.
     """
-    text = trim_blank(entry)
-    is_expression = text.startswith("(")
-    unordered = trim_blank(F.regexp_replace(text, _NULLS, ""))
-    words = F.split(trim_blank(F.regexp_replace(unordered, _DIRECTION, "")), r"\s+")
-    first = F.get(words, F.lit(0))
     none = F.lit(None).cast("string")
-    return F.struct(
-        F.when(is_expression, none)
-        .otherwise(F.when(first == "", F.lit("?")).otherwise(strip_quotes(first)))
-        .alias("column_name"),
-        F.when(is_expression, text).alias("expression"),
-        F.when(~is_expression, F.get(words, F.lit(1))).alias("opclass"),
-        F.coalesce(F.lower(extract(unordered, _DIRECTION)), F.lit("asc")).alias("sort_order"),
-        F.lower(extract(text, _NULLS)).alias("nulls_order"),
+
+    def build(text: Column, unordered: Column, words: Column) -> Column:
+        is_expression = text.startswith("(")
+        first = F.get(words, F.lit(0))
+        return F.struct(
+            F.when(is_expression, none)
+            .otherwise(F.when(first == "", F.lit("?")).otherwise(strip_quotes(first)))
+            .alias("column_name"),
+            F.when(is_expression, text).alias("expression"),
+            F.when(~is_expression, F.get(words, F.lit(1))).alias("opclass"),
+            F.coalesce(F.lower(extract(unordered, _DIRECTION)), F.lit("asc")).alias("sort_order"),
+            F.lower(extract(text, _NULLS)).alias("nulls_order"),
+        )
+
+    def split_words(unordered: Column) -> Column:
+        return F.split(trim_blank(F.regexp_replace(unordered, _DIRECTION, "")), r"\s+")
+
+    return let(
+        trim_blank(entry),
+        lambda text: let(
+            trim_blank(F.regexp_replace(text, _NULLS, "")),
+            lambda unordered: let(
+                split_words(unordered), lambda words: build(text, unordered, words)
+            ),
+        ),
     )
 
 
 def index_keys(definition: Column) -> Column:
     """Key columns of a full definition; one key named ``?`` when none is found."""
     entries = F.filter(split_top_level(paren_body(definition)), lambda e: e != "")
-    keys = F.transform(entries, key_column)
-    return F.when(F.size(keys) > 0, keys).otherwise(F.array(key_column(F.lit("?"))))
+    # an empty entry is read as "?"
+    missing = F.array(F.lit(""))
+    return let(
+        entries,
+        lambda found: F.transform(F.when(F.size(found) > 0, found).otherwise(missing), key_column),
+    )

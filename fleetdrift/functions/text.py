@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,15 @@ def trim_blank(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    Expressions that use one intermediate result many times grow exponentially
+    when they are nested as plain Columns.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_quotes(col: Column) -> Column:
     return F.regexp_replace(col, '^"+|"+$', "")
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetdrift.functions.datatypes import normalize_type
+from fleetdrift.functions.text import map_values
 from fleetdrift.model import COLUMN, CONSTRAINT, INDEX, PARTITION_INFO, PARTITION_OF
 from fleetdrift.sources.pairs import matches_any
 
@@ -70,25 +71,75 @@ class CompareOptions:
 DEFAULTS = CompareOptions()
 
 
-def _delta(**fields: Column) -> Column:
-    """A change row with the given fields, nulls elsewhere."""
-    values = [
-        (fields[n] if n in fields else F.lit(None)).cast(t).alias(n) for n, t in DELTA_FIELDS.items()
-    ]
-    return F.struct(*values)
+# The operation each kind of change stands for.
+KIND_OPS = {
+    "create_table": "create",
+    "drop_table": "drop",
+    "rename_table": "rename",
+    "alter_table_attrs": "alter",
+    "add_column": "create",
+    "drop_column": "drop",
+    "replace_column": "replace",
+    "alter_column_type": "alter",
+    "set_column_default": "alter",
+    "set_column_nullability": "alter",
+    "rename_column": "rename",
+    "create_index": "create",
+    "drop_index": "drop",
+    "replace_index": "replace",
+    "add_constraint": "create",
+    "drop_constraint": "drop",
+    "create_schema": "create",
+    "drop_schema": "drop",
+    "create_extension": "create",
+    "drop_extension": "drop",
+    "alter_extension": "alter",
+}
 
 
-def _emit(matched: DataFrame, deltas: list[tuple[Column, Column]]) -> DataFrame:
-    """Change rows of all conditions that hold, from one pass over matched rows."""
-    conditions = [F.coalesce(c, F.lit(False)) for c, _ in deltas]
-    changed = reduce(lambda a, b: a | b, conditions)
-    rows = F.array(*[F.when(c, d) for c, (_, d) in zip(conditions, deltas, strict=True)])
-    return (
-        # most objects are unchanged: leave them before any change row is built
-        matched.where(changed)
-        .select("pair_id", F.explode(rows).alias("d"))
-        .where(F.col("d").isNotNull())
-        .select("pair_id", "d.*")
+def change_rows(rows: DataFrame, **fields: Column) -> DataFrame:
+    """Rows with a ``kind`` as change rows: the given fields, nulls elsewhere."""
+    kinds = F.col("kind")
+    values = {"op": map_values(kinds, KIND_OPS), "kind": kinds, **fields}
+    return rows.select(
+        "pair_id",
+        *[
+            (values[n] if n in values else F.lit(None).cast(t)).alias(n)
+            for n, t in DELTA_FIELDS.items()
+        ],
+    )
+
+
+def with_kinds(matched: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """One row per kind of change whose condition holds; others are dropped.
+
+    Unchanged objects, most of all, leave before anything is built for them.
+    """
+    holds = {kind: F.coalesce(c, F.lit(False)) for kind, c in kinds.items()}
+    found = F.array_compact(F.array(*[F.when(c, F.lit(kind)) for kind, c in holds.items()]))
+    return matched.where(reduce(lambda a, b: a | b, holds.values())).select(
+        "*", F.explode(found).alias("kind")
+    )
+
+
+def _is(*kinds: str) -> Column:
+    return F.col("kind").isin(*kinds)
+
+
+def _either(field: str) -> Column:
+    """A field of the source object, or of the target where there is no source."""
+    return F.coalesce(F.col("src")[field], F.col("tgt")[field])
+
+
+def _missing_sides() -> tuple[Column, Column, Column]:
+    created, dropped = F.col("src").isNull(), F.col("tgt").isNull()
+    return created, dropped, ~created & ~dropped
+
+
+def _differ(*attributes: str) -> Column:
+    return reduce(
+        lambda a, b: a | b,
+        [~F.col(f"src.{a}").eqNullSafe(F.col(f"tgt.{a}")) for a in attributes],
     )
 
 
@@ -110,24 +161,19 @@ def match_snapshots(
 ) -> DataFrame:
     """Pair every object of both sides by identity: key, ``src`` and ``tgt`` structs.
 
-    A missing side is null.  This is one aggregation of both inputs instead of a
+    A missing side is null; a struct holds all columns but ``pair_id``, names as
+    that side spells them.  This is one aggregation of both inputs instead of a
     full outer join: repeated rows of one object collapse to the smallest
     instead of multiplying, and the exchange may be on a prefix of the key
     (``partition_by``) that later steps reuse.
     """
-    attributes = [c for c in source.columns if c not in key]
     folded = [
         c if options.case_sensitive or c == "pair_id" else F.lower(c).alias(c) for c in key
     ]
-    # Case folding must not lose the spelling that statements need.
-    spelled = [F.col(c).alias(f"{c}_spelled") for c in key if c != "pair_id"]
-    item = F.struct(*attributes, *spelled)
-    empty = F.lit(None)
+    item = F.struct(*[c for c in source.columns if c != "pair_id"])
     left = source.select(*folded, item.alias("src"))
     right = target.select(*folded, item.alias("tgt"))
-    both = left.withColumn("tgt", empty.cast(right.schema["tgt"].dataType)).unionByName(
-        right.withColumn("src", empty.cast(left.schema["src"].dataType))
-    )
+    both = left.unionByName(right, allowMissingColumns=True)
     if partition_by:
         both = both.repartition(*partition_by)
     return both.groupBy(*key).agg(F.min("src").alias("src"), F.min("tgt").alias("tgt"))
@@ -143,109 +189,84 @@ def compare_columns(
     target: DataFrame,
     options: CompareOptions = DEFAULTS,
     tables: DataFrame | None = None,
+    *,
+    derive_tables: bool = False,
 ) -> DataFrame:
     """Column changes in tables present on both sides.
 
     Columns have ``pair_id, namespace, table_name, name`` and the model's column
     attributes.  ``tables`` lists tables on both sides (``common_tables``);
-    without it a table counts as present where it has a column.
+    without it a table counts as present where it has a column, and
+    ``derive_tables`` adds the created and dropped tables that follow from that.
 
     A changed identity or generated expression replaces the column, which covers
     its other differences too.  A changed position alone is no change.
     """
-    key = [*TABLE, "name"]
+
+    def packed(rows: DataFrame) -> DataFrame:
+        column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
+        return in_scope(rows, options, "table_name").select(*TABLE, "name", column.alias("column"))
+
     matched = match_snapshots(
-        in_scope(source, options, "table_name"),
-        in_scope(target, options, "table_name"),
-        key,
-        options,
-        partition_by=TABLE,
+        packed(source), packed(target), [*TABLE, "name"], options, partition_by=TABLE
     )
+    created, dropped, both = _missing_sides()
+    kinds: dict[str, Column] = {}
     if tables is None:
         # The rows are already partitioned by table: no further exchange.  A table
         # has at most 1600 columns per side, so no window is large.
         table = Window.partitionBy(*TABLE)
-        matched = (
-            matched.withColumn("_source", F.max(F.col("src").isNotNull()).over(table))
-            .withColumn("_target", F.max(F.col("tgt").isNotNull()).over(table))
-            .where(F.col("_source") & F.col("_target"))
+        matched = matched.select(
+            "*",
+            F.max(F.col("src").isNotNull()).over(table).alias("in_source"),
+            F.max(F.col("tgt").isNotNull()).over(table).alias("in_target"),
+            F.min("name").over(table).alias("first_name"),
         )
+        in_both = F.col("in_source") & F.col("in_target")
+        first = F.col("name") == F.col("first_name")
+        if derive_tables:
+            kinds = {
+                "create_table": first & ~F.col("in_source"),
+                "drop_table": first & ~F.col("in_target"),
+            }
+        created, dropped, both = in_both & created, in_both & dropped, in_both & both
     else:
         matched = matched.join(tables, TABLE, "left_semi")
 
-    src, tgt = F.col("src"), F.col("tgt")
-    both = src.isNotNull() & tgt.isNotNull()
-
-    def differs(attribute: str) -> Column:
-        return ~src[attribute].eqNullSafe(tgt[attribute])
-
-    def column(side: Column) -> Column:
-        values = {"name": side["name_spelled"]}
-        return F.when(
-            side.isNotNull(),
-            F.struct(*[values.get(n, side[n]).alias(n) for n in COLUMN.fieldNames()]),
-        ).cast(COLUMN)
-
-    replaced = differs("identity")
+    replacing = ["column.identity"]
     if options.compare_generated:
-        replaced = replaced | differs("generated_expression")
+        replacing.append("column.generated_expression")
+    replaced = _differ(*replacing)
     kept = both & ~replaced
-    spelled = F.coalesce(src["name_spelled"], tgt["name_spelled"])
-    target_ref = {
-        "object_kind": F.lit("column"),
-        "namespace": F.coalesce(src["namespace_spelled"], tgt["namespace_spelled"]),
-        "parent_name": F.coalesce(src["table_name_spelled"], tgt["table_name_spelled"]),
-        "name": spelled,
-    }
-
-    def delta(op: str, kind: str, **payload: Column) -> Column:
-        return _delta(op=F.lit(op), kind=F.lit(kind), **target_ref, **payload)
-
-    return _emit(
+    changed = with_kinds(
         matched,
-        [
-            (src.isNull(), delta("create", "add_column", column=column(tgt))),
-            (tgt.isNull(), delta("drop", "drop_column", column=column(src))),
-            (
-                both & replaced,
-                delta("replace", "replace_column", column=column(tgt), old_column=column(src)),
-            ),
-            (
-                kept & (differs("data_type") | differs("collation")),
-                delta(
-                    "alter",
-                    "alter_column_type",
-                    old_column=column(src),
-                    new_data_type=tgt["data_type"],
-                    new_collation=F.when(differs("collation"), tgt["collation"]),
-                ),
-            ),
-            (
-                kept & differs("default_expr"),
-                delta(
-                    "alter", "set_column_default", old_column=column(src), new_default=tgt["default_expr"]
-                ),
-            ),
-            (
-                kept & differs("nullable"),
-                delta(
-                    "alter", "set_column_nullability", old_column=column(src), nullable=tgt["nullable"]
-                ),
-            ),
-        ],
+        {
+            **kinds,
+            "add_column": created,
+            "drop_column": dropped,
+            "replace_column": both & replaced,
+            "alter_column_type": kept & _differ("column.data_type", "column.collation"),
+            "set_column_default": kept & _differ("column.default_expr"),
+            "set_column_nullability": kept & _differ("column.nullable"),
+        },
     )
-
-
-def tables_of(columns: DataFrame) -> DataFrame:
-    """The tables a column list implies, without attributes."""
-    none = F.lit(None).cast("string")
-    return columns.groupBy(*TABLE).agg(F.count(F.lit(1)).alias("_n")).select(
-        *TABLE,
-        none.alias("owner"),
-        none.alias("tablespace"),
-        none.alias("comment"),
-        F.lit(None).cast(PARTITION_INFO).alias("partition_info"),
-        F.lit(None).cast(PARTITION_OF).alias("partition_of"),
+    of_table = _is("create_table", "drop_table")
+    table_name = _either("table_name")
+    old, new = F.col("src.column"), F.col("tgt.column")
+    altered = ["alter_column_type", "set_column_default", "set_column_nullability"]
+    retyped = _is("alter_column_type")
+    return change_rows(
+        changed,
+        object_kind=F.when(of_table, F.lit("table")).otherwise(F.lit("column")),
+        namespace=_either("namespace"),
+        parent_name=F.when(~of_table, table_name),
+        name=F.when(of_table, table_name).otherwise(_either("name")),
+        column=F.when(_is("add_column", "replace_column"), new).when(_is("drop_column"), old),
+        old_column=F.when(_is("replace_column", *altered), old),
+        new_data_type=F.when(retyped, F.col("tgt.column.data_type")),
+        new_collation=F.when(retyped & _differ("column.collation"), F.col("tgt.column.collation")),
+        new_default=F.when(_is("set_column_default"), F.col("tgt.column.default_expr")),
+        nullable=F.when(_is("set_column_nullability"), F.col("tgt.column.nullable")),
     )
 
 
@@ -254,71 +275,59 @@ def common_tables(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def compare_tables(
-    source: DataFrame,
-    target: DataFrame,
-    source_columns: DataFrame | None = None,
-    target_columns: DataFrame | None = None,
-    options: CompareOptions = DEFAULTS,
+    source: DataFrame, target: DataFrame, options: CompareOptions = DEFAULTS
 ) -> DataFrame:
     """Created, dropped and altered tables.
 
-    Created and dropped tables carry their columns when those are given.
     Attributes cleared on the target cannot be told from unchanged ones in the
     change row, except a comment, which becomes the empty text.
     """
     matched = match_snapshots(
         in_scope(source, options, "table_name"), in_scope(target, options, "table_name"), TABLE, options
     )
-    src, tgt = F.col("src"), F.col("tgt")
-    both = src.isNotNull() & tgt.isNotNull()
+    created, dropped, both = _missing_sides()
 
-    def changed(attribute: str) -> Column:
-        return both & ~src[attribute].eqNullSafe(tgt[attribute])
+    def changed(attribute: str, value: Column | None = None) -> Column:
+        new = F.col(f"tgt.{attribute}") if value is None else value
+        return F.when(both & _differ(attribute), new)
 
     new = {
-        "new_tablespace": F.when(changed("tablespace"), tgt["tablespace"]),
-        "new_partition_info": F.when(changed("partition_info"), tgt["partition_info"]),
-        "new_partition_of": F.when(changed("partition_of"), tgt["partition_of"]),
+        "new_tablespace": changed("tablespace"),
+        "new_partition_info": changed("partition_info"),
+        "new_partition_of": changed("partition_of"),
     }
     if options.compare_owner:
-        new["new_owner"] = F.when(changed("owner"), tgt["owner"])
+        new["new_owner"] = changed("owner")
     if options.compare_comments:
-        new["new_comment"] = F.when(changed("comment"), F.coalesce(tgt["comment"], F.lit("")))
+        new["new_comment"] = changed("comment", F.coalesce(F.col("tgt.comment"), F.lit("")))
     any_new = reduce(lambda a, b: a | b, [value.isNotNull() for value in new.values()])
-    ref = {
-        "object_kind": F.lit("table"),
-        "namespace": F.coalesce(src["namespace_spelled"], tgt["namespace_spelled"]),
-        "name": F.coalesce(src["table_name_spelled"], tgt["table_name_spelled"]),
-    }
-
-    def delta(op: str, kind: str, **payload: Column) -> Column:
-        return _delta(op=F.lit(op), kind=F.lit(kind), **ref, **payload)
-
-    deltas = _emit(
-        matched,
-        [
-            (src.isNull(), delta("create", "create_table")),
-            (tgt.isNull(), delta("drop", "drop_table")),
-            (both & any_new, delta("alter", "alter_table_attrs", **new)),
-        ],
+    rows = with_kinds(
+        matched, {"create_table": created, "drop_table": dropped, "alter_table_attrs": any_new}
+    )
+    return change_rows(
+        rows,
+        object_kind=F.lit("table"),
+        namespace=_either("namespace"),
+        name=_either("table_name"),
+        **new,
     )
-    for kind, columns in (("create_table", target_columns), ("drop_table", source_columns)):
-        if columns is not None:
-            deltas = _attach_columns(deltas, columns, kind)
-    return deltas
 
 
-def _attach_columns(deltas: DataFrame, columns: DataFrame, kind: str) -> DataFrame:
-    """Fill ``table_columns`` of one kind of table change."""
-    # A table has at most 1600 columns by the server's own limit.
-    listed = columns.groupBy(*TABLE).agg(
-        F.array_sort(F.collect_list(F.struct(*COLUMN.fieldNames()).cast(COLUMN))).alias("_columns")
-    )
-    listed = listed.select(
-        "pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), "_columns"
-    )
+def attach_columns(deltas: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
+    """Fill ``table_columns`` of created and dropped tables."""
+    listed = []
+    for kind, columns in (("create_table", target), ("drop_table", source)):
+        # A table has at most 1600 columns by the server's own limit.
+        column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
+        grouped = columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list(column)).alias("_columns"))
+        listed.append(
+            grouped.select(
+                "pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), "_columns"
+            )
+        )
+    key = ["pair_id", "namespace", "name", "kind"]
     return (
-        deltas.join(listed, ["pair_id", "namespace", "name", "kind"], "left")
+        deltas.join(listed[0].unionByName(listed[1]), key, "left")
         .withColumn("table_columns", F.coalesce("table_columns", "_columns"))
         .select("pair_id", *DELTA_FIELDS)
     )
@@ -333,45 +342,28 @@ def compare_indexes(
     any difference replaces it.  The same name with another definition is also
     reported as a conflict.
     """
-    matched = match_snapshots(
-        in_scope(source, options, "table_name"),
-        in_scope(target, options, "table_name"),
-        ["pair_id", "namespace", "name"],
-        options,
-    )
-    src, tgt = F.col("src"), F.col("tgt")
+
+    def packed(rows: DataFrame) -> DataFrame:
+        index = F.struct(*INDEX.fieldNames()).cast(INDEX)
+        return in_scope(rows, options, "table_name").select(
+            "pair_id", "namespace", "name", index.alias("index")
+        )
+
+    matched = match_snapshots(packed(source), packed(target), ["pair_id", "namespace", "name"], options)
+    created, dropped, both = _missing_sides()
     compared = ["table_name", "method", "key_columns", "include_columns", "unique", "predicate"]
-    same = reduce(lambda a, b: a & b, [src[c].eqNullSafe(tgt[c]) for c in compared])
-
-    def index(side: Column) -> Column:
-        values = {"name": side["name_spelled"]}
-        return F.when(
-            side.isNotNull(),
-            F.struct(*[values.get(n, side[n]).alias(n) for n in INDEX.fieldNames()]),
-        ).cast(INDEX)
-
-    ref = {
-        "object_kind": F.lit("index"),
-        "namespace": F.coalesce(src["namespace_spelled"], tgt["namespace_spelled"]),
-        "name": F.coalesce(src["name_spelled"], tgt["name_spelled"]),
-    }
-    sides = {"index": index(tgt), "old_index": index(src)}
-    return _emit(
-        matched,
-        [
-            (src.isNull(), _delta(op=F.lit("create"), kind=F.lit("create_index"), **ref, **sides)),
-            (tgt.isNull(), _delta(op=F.lit("drop"), kind=F.lit("drop_index"), **ref, **sides)),
-            (
-                src.isNotNull() & tgt.isNotNull() & ~same,
-                _delta(
-                    op=F.lit("replace"),
-                    kind=F.lit("replace_index"),
-                    is_conflict=F.lit(True),
-                    **ref,
-                    **sides,
-                ),
-            ),
-        ],
+    replaced = both & _differ(*[f"index.{c}" for c in compared])
+    rows = with_kinds(
+        matched, {"create_index": created, "drop_index": dropped, "replace_index": replaced}
+    )
+    return change_rows(
+        rows,
+        object_kind=F.lit("index"),
+        namespace=_either("namespace"),
+        name=_either("name"),
+        index=F.col("tgt.index"),
+        old_index=F.col("src.index"),
+        is_conflict=_is("replace_index"),
     )
 
 
@@ -386,32 +378,32 @@ def compare_constraints(
     With ``tables`` (``common_tables``) constraints of created or dropped tables
     yield no changes of their own.
     """
-    matched = match_snapshots(
-        in_scope(source, options, "table_name"),
-        in_scope(target, options, "table_name"),
-        [*TABLE, "name"],
-        options,
-    )
+
+    def packed(rows: DataFrame) -> DataFrame:
+        constraint = F.struct(*CONSTRAINT.fieldNames()).cast(CONSTRAINT)
+        return in_scope(rows, options, "table_name").select(
+            *TABLE, "name", constraint.alias("constraint")
+        )
+
+    matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
     if tables is not None:
         matched = matched.join(tables, TABLE, "left_semi")
-    src, tgt = F.col("src"), F.col("tgt")
+    created, dropped, both = _missing_sides()
     attributes = [n for n in CONSTRAINT.fieldNames() if n != "name"]
-    same = reduce(lambda a, b: a & b, [src[c].eqNullSafe(tgt[c]) for c in attributes])
-    changed = src.isNotNull() & tgt.isNotNull() & ~same
-
-    def constraint(side: Column) -> Column:
-        values = {"name": side["name_spelled"]}
-        return F.struct(*[values.get(n, side[n]).alias(n) for n in CONSTRAINT.fieldNames()])
-
-    ref = {
-        "object_kind": F.lit("constraint"),
-        "namespace": F.coalesce(src["namespace_spelled"], tgt["namespace_spelled"]),
-        "parent_name": F.coalesce(src["table_name_spelled"], tgt["table_name_spelled"]),
-        "name": F.coalesce(src["name_spelled"], tgt["name_spelled"]),
-    }
-    dropped = _delta(op=F.lit("drop"), kind=F.lit("drop_constraint"), constraint=constraint(src), **ref)
-    added = _delta(op=F.lit("create"), kind=F.lit("add_constraint"), constraint=constraint(tgt), **ref)
-    return _emit(matched, [(tgt.isNull() | changed, dropped), (src.isNull() | changed, added)])
+    changed = both & _differ(*[f"constraint.{a}" for a in attributes])
+    rows = with_kinds(
+        matched, {"drop_constraint": dropped | changed, "add_constraint": created | changed}
+    )
+    return change_rows(
+        rows,
+        object_kind=F.lit("constraint"),
+        namespace=_either("namespace"),
+        parent_name=_either("table_name"),
+        name=_either("name"),
+        constraint=F.when(_is("drop_constraint"), F.col("src.constraint")).otherwise(
+            F.col("tgt.constraint")
+        ),
+    )
 
 
 def compare_schemas(
@@ -421,15 +413,10 @@ def compare_schemas(
     matched = match_snapshots(
         in_scope(source, options), in_scope(target, options), ["pair_id", "namespace"], options
     )
-    src, tgt = F.col("src"), F.col("tgt")
-    name = F.coalesce(src["namespace_spelled"], tgt["namespace_spelled"])
-    ref = {"object_kind": F.lit("schema"), "namespace": name, "name": name}
-    return _emit(
-        matched,
-        [
-            (src.isNull(), _delta(op=F.lit("create"), kind=F.lit("create_schema"), **ref)),
-            (tgt.isNull(), _delta(op=F.lit("drop"), kind=F.lit("drop_schema"), **ref)),
-        ],
+    created, dropped, _ = _missing_sides()
+    rows = with_kinds(matched, {"create_schema": created, "drop_schema": dropped})
+    return change_rows(
+        rows, object_kind=F.lit("schema"), namespace=_either("namespace"), name=_either("namespace")
     )
 
 
@@ -438,19 +425,15 @@ def compare_extensions(
 ) -> DataFrame:
     """Created, dropped and updated extensions (``pair_id, name, version``)."""
     matched = match_snapshots(source, target, ["pair_id", "name"], options)
-    src, tgt = F.col("src"), F.col("tgt")
-    ref = {
-        "object_kind": F.lit("extension"),
-        "namespace": F.lit("public"),
-        "name": F.coalesce(src["name_spelled"], tgt["name_spelled"]),
-        "new_version": tgt["version"],
-        "old_version": src["version"],
-    }
-    deltas = [
-        (src.isNull(), _delta(op=F.lit("create"), kind=F.lit("create_extension"), **ref)),
-        (tgt.isNull(), _delta(op=F.lit("drop"), kind=F.lit("drop_extension"), **ref)),
-    ]
+    created, dropped, both = _missing_sides()
+    kinds = {"create_extension": created, "drop_extension": dropped}
     if options.compare_extension_versions:
-        updated = src.isNotNull() & tgt.isNotNull() & ~src["version"].eqNullSafe(tgt["version"])
-        deltas.append((updated, _delta(op=F.lit("alter"), kind=F.lit("alter_extension"), **ref)))
-    return _emit(matched, deltas)
+        kinds["alter_extension"] = both & _differ("version")
+    return change_rows(
+        with_kinds(matched, kinds),
+        object_kind=F.lit("extension"),
+        namespace=F.lit("public"),
+        name=_either("name"),
+        new_version=F.col("tgt.version"),
+        old_version=F.col("src.version"),
+    )

@@ -5,13 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetdrift.operators.compare import DELTA_FIELDS, TABLE, _delta
-
-
-def _emit_renames(effective: DataFrame, delta) -> DataFrame:
-    return effective.select("pair_id", delta.alias("d")).select("pair_id", "d.*").select(
-        "pair_id", *DELTA_FIELDS
-    )
+from fleetdrift.operators.compare import TABLE, change_rows
 
 
 def rename_tables(
@@ -33,16 +27,15 @@ def rename_tables(
         .join(new_in_source, on_new, "left_anti")
         .dropDuplicates(["pair_id", "namespace", "old_name"])
     )
-    delta = _delta(
-        op=F.lit("rename"),
-        kind=F.lit("rename_table"),
+    changes = change_rows(
+        effective.withColumn("kind", F.lit("rename_table")),
         object_kind=F.lit("table"),
         namespace=F.col("namespace"),
         name=F.col("old_name"),
         old_name=F.col("old_name"),
         new_name=F.col("new_name"),
     )
-    return effective, _emit_renames(effective, delta)
+    return effective, changes
 
 
 def apply_table_renames(source: DataFrame, effective: DataFrame) -> DataFrame:
@@ -74,9 +67,8 @@ def rename_columns(
         .join(new_in_source, [*TABLE, "new_name"], "left_anti")
         .dropDuplicates([*TABLE, "old_name"])
     )
-    delta = _delta(
-        op=F.lit("rename"),
-        kind=F.lit("rename_column"),
+    changes = change_rows(
+        effective.withColumn("kind", F.lit("rename_column")),
         object_kind=F.lit("column"),
         namespace=F.col("namespace"),
         parent_name=F.col("table_name"),
@@ -84,7 +76,7 @@ def rename_columns(
         old_name=F.col("old_name"),
         new_name=F.col("new_name"),
     )
-    return effective, _emit_renames(effective, delta)
+    return effective, changes
 
 
 def apply_column_renames(source: DataFrame, effective: DataFrame) -> DataFrame:

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from fleetdrift.model import PARTITION_INFO, PARTITION_OF
 from fleetdrift.functions.columns import identity_spec
 from fleetdrift.functions.constraints import constraint_fields, constraint_kind
-from fleetdrift.operators import compare, deltas, rename, report, risk, script
+from fleetdrift.operators import compare, deltas, rename, risk
 from fleetdrift.operators.compare import CompareOptions
 from fleetdrift.plans.fixtures import CANONICAL, ORACLE_CTES, fixture, table
 from fleetdrift.plans.registry import query
-from fleetdrift.skew import positions
 
 # --- inputs ---
 
@@ -35,13 +34,10 @@ def column_deltas(spark, folder, options=compare.DEFAULTS):
 
 
 def all_deltas(spark, folder):
-    """Table and column changes of every pair."""
-    source = side_columns(spark, folder, "source")
-    target = side_columns(spark, folder, "target")
-    tables = compare.compare_tables(
-        compare.tables_of(source), compare.tables_of(target), source, target
+    """Table and column changes of every pair, from one comparison."""
+    return compare.compare_columns(
+        side_columns(spark, folder, "source"), side_columns(spark, folder, "target"), derive_tables=True
     )
-    return deltas.combine_deltas(tables, compare.compare_columns(source, target))
 
 
 def graded(spark, folder):
@@ -251,7 +247,11 @@ def _table_payload(kind, side):
 
     @query(sql, name=kind)
     def run(spark, folder):
-        rows = all_deltas(spark, folder).where(F.col("kind") == kind)
+        rows = compare.attach_columns(
+            all_deltas(spark, folder).where(F.col("kind") == kind),
+            side_columns(spark, folder, "source"),
+            side_columns(spark, folder, "target"),
+        )
         columns = F.transform("table_columns", lambda c: F.concat_ws(" ", c["name"], c["data_type"]))
         return rows.select(
             "op", "pair_id", "namespace", "name", F.array_join(columns, ", ").alias("columns")
@@ -387,9 +387,9 @@ def extension_changes(spark, folder):
 @query("SELECT CAST(0 AS BIGINT) AS n_deltas")
 def idempotence(spark, folder):
     source = side_columns(spark, folder, "source")
-    tables = compare.tables_of(source)
+    tables = side_tables(spark, folder, "source")
     same = deltas.combine_deltas(
-        compare.compare_columns(source, source), compare.compare_tables(tables, tables)
+        compare.compare_columns(source, source, derive_tables=True), compare.compare_tables(tables, tables)
     )
     return same.agg(F.count(F.lit(1)).alias("n_deltas"))
 

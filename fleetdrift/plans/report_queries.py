@@ -8,6 +8,7 @@ from fleetdrift.operators import deltas, report, risk, rowchecks, script
 from fleetdrift.plans.drift_queries import _LABEL, _RANK, all_deltas, graded, index_deltas
 from fleetdrift.plans.fixtures import ORACLE_CTES, fixture, table
 from fleetdrift.plans.registry import query
+from fleetdrift.session import cut_lineage
 from fleetdrift.skew import positions
 
 _CLASSES = (
@@ -165,7 +166,7 @@ ORACLE_CTES.update(
 SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY namespace, name, op, object_kind) AS line, object_kind <> 'index' AS transactional,
   CASE object_kind WHEN 'index' THEN CASE op WHEN 'create' THEN 0 WHEN 'drop' THEN 3 ELSE 2 END ELSE CASE op WHEN 'create' THEN 0 ELSE 3 END END AS rank
 FROM (SELECT pair_id, namespace, name, op, 'index' AS object_kind FROM {{index_ops}}
-  UNION ALL SELECT pair_id, namespace, table_name, op, 'table' FROM {{table_changes}} WHERE pair_id <= 50) lines""",
+  UNION ALL SELECT pair_id, namespace, table_name, op, 'table' FROM {{table_changes}}) lines""",
     script_units="""
 SELECT *, sum(CASE WHEN transactional THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS barrier
 FROM {script_lines}""",
@@ -184,6 +185,8 @@ def transaction_units(spark, folder):
         "pair_id", "namespace", "name", "op", "object_kind", "risk",
         (F.col("object_kind") != "index").alias("transactional"),
     )
+    # numbered and counted below: computed once
+    rows = cut_lineage(rows)
     lines = positions(rows, ["pair_id"], ["namespace", "name", "op", "object_kind"], "line")
     return script.transaction_units(lines)
 

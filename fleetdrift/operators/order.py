@@ -10,7 +10,7 @@ walk.  Paths spread level by level over joins, so no pair is ever one task's wor
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from fleetdrift.session import cut_lineage
@@ -50,9 +50,23 @@ def _walk(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         nodes.select("pair_id", F.col("node").alias("prereq")), ["pair_id", "prereq"], "left_semi"
     )
     edges = cut_lineage(edges)
+
+    def settle(rows: DataFrame) -> tuple[DataFrame, bool]:
+        """Materialize a state; true while some nodes are ready and some wait."""
+        seen = Observation()
+        missing = F.col("missing")
+        rows = cut_lineage(
+            rows.observe(
+                seen,
+                F.count_if(missing == 0).alias("ready"),
+                F.count_if(missing > 0).alias("waiting"),
+            )
+        )
+        return rows, seen.get["ready"] > 0 and seen.get["waiting"] > 0
+
     key_type = nodes.schema["node_key"].dataType.simpleString()
     degrees = edges.groupBy(*NODE).agg(F.count(F.lit(1)).alias("degree"))
-    state = cut_lineage(
+    state, more = settle(
         nodes.join(degrees, NODE, "left").select(
             *NODE,
             "node_key",
@@ -71,8 +85,7 @@ def _walk(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
             ).alias("path"),
         )
         levels.append(ready)
-        waiting = state.where(F.col("missing") > 0)
-        if ready.isEmpty() or waiting.isEmpty():
+        if not more:
             break
         # One prerequisite may free very many nodes: AQE splits that join
         # partition, and the counts combine before the shuffle.
@@ -84,8 +97,8 @@ def _walk(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
                 F.max(F.struct("level", "path")).alias("offer"),
             )
         )
-        state = cut_lineage(
-            waiting.join(freed, NODE, "left").select(
+        state, more = settle(
+            state.where(F.col("missing") > 0).join(freed, NODE, "left").select(
                 *NODE,
                 "node_key",
                 (F.col("missing") - F.coalesce("freed", F.lit(0))).alias("missing"),

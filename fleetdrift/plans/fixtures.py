@@ -3,7 +3,8 @@
 The driver's data has no catalogs, so each catalog relation is a deterministic
 projection: orders are tables, lineitems columns, customers schemas or pairs,
 parts indexes, suppliers extensions.  Each text below runs in Spark and DuckDB;
-``{name}`` stands for another fixture or a driver table.
+``{name}`` stands for another fixture or a driver table.  Flags are aggregated
+by their character codes, which keeps Spark's aggregation on hashes.
 """
 
 from __future__ import annotations
@@ -86,11 +87,11 @@ SELECT l_orderkey % 5 AS db_id, l_orderkey AS attrelid,
   l_linenumber - CASE WHEN min(l_suppkey) % 50 = 0 THEN 8 ELSE 0 END AS attnum,
   'c' || {text('min(l_partkey)')} AS attname, min(l_partkey) AS atttypid,
   {_case('min(l_partkey) % 16', list(RAW_TYPES))} AS format_type,
-  min(l_linestatus) = 'F' AS attnotnull,
-  CASE WHEN min(l_returnflag) = 'R' THEN CASE WHEN min(l_suppkey) % 2 = 0 THEN 'a' ELSE 'd' END
+  min(ascii(l_linestatus)) = 70 AS attnotnull,
+  CASE WHEN min(ascii(l_returnflag)) = 82 THEN CASE WHEN min(l_suppkey) % 2 = 0 THEN 'a' ELSE 'd' END
     ELSE '' END AS attidentity,
-  CASE WHEN min(l_returnflag) = 'N' AND min(l_suppkey) % 4 = 0 THEN 's'
-    WHEN min(l_returnflag) = 'N' AND min(l_suppkey) % 8 = 2 THEN 'v' ELSE '' END AS attgenerated,
+  CASE WHEN min(ascii(l_returnflag)) = 78 AND min(l_suppkey) % 4 = 0 THEN 's'
+    WHEN min(ascii(l_returnflag)) = 78 AND min(l_suppkey) % 8 = 2 THEN 'v' ELSE '' END AS attgenerated,
   min(l_quantity) > 45 AS attisdropped,
   CASE min(l_suppkey) % 3 WHEN 0 THEN 0 WHEN 1 THEN min(l_suppkey) ELSE min(l_partkey) % 100 END
     AS attcollation
@@ -100,7 +101,7 @@ SELECT l_orderkey % 5 AS db_id, l_orderkey AS adrelid,
   l_linenumber - CASE WHEN min(l_suppkey) % 50 = 0 THEN 8 ELSE 0 END AS adnum,
   'nextval(' || {text('min(l_suppkey)')} || ')' AS expr
 FROM {{lineitem}} GROUP BY l_orderkey, l_linenumber
-HAVING min(l_returnflag) <> 'R' AND min(l_suppkey) % 2 = 0""",
+HAVING min(ascii(l_returnflag)) <> 82 AND min(l_suppkey) % 2 = 0""",
     "fx_type": """
 SELECT {each_db} AS db_id, p_partkey AS oid,
   CASE p_partkey % 3 WHEN 0 THEN p_partkey % 100 ELSE 0 END AS typcollation
@@ -150,12 +151,12 @@ FROM {{supplier}}""",
     # --- columns before and after, one pair per customer ---
     "fx_col": """
 SELECT l_orderkey AS tbl, l_linenumber AS pos, min(l_partkey) AS p, min(l_suppkey) AS s,
-  min(l_linestatus) AS ls
+  min(ascii(l_linestatus)) AS ls
 FROM {lineitem} GROUP BY l_orderkey, l_linenumber""",
     "fx_source": f"""
 SELECT o.o_custkey AS pair_id, lower(o.o_orderpriority) AS namespace, 't' || {text('x.tbl')} AS table_name,
   'c' || {text('x.pos')} AS name, x.pos AS position, {_case('x.p % 16', list(RAW_TYPES))} AS data_type,
-  x.ls = 'O' AS nullable, CASE WHEN x.s % 2 = 0 THEN 'd' || {text('x.s')} END AS default_expr,
+  x.ls = 79 AS nullable, CASE WHEN x.s % 2 = 0 THEN 'd' || {text('x.s')} END AS default_expr,
   CASE WHEN x.s % 11 = 0 THEN 'C' END AS collation,
   CASE WHEN x.p % 23 = 0 THEN 'always' END AS identity_generated,
   CASE WHEN x.p % 29 = 0 THEN 'c1 + ' || {text('x.s % 2')} END AS generated_expression
@@ -166,7 +167,7 @@ SELECT o.o_custkey AS pair_id, lower(o.o_orderpriority) AS namespace, 't' || {te
   'c' || {text('x.pos')} AS name, x.pos AS position,
   CASE WHEN x.p % 7 = 0 THEN {_case('x.p % 16', list(RAW_TYPES), shift=1)}
     ELSE {_case('x.p % 16', list(RAW_TYPES))} END AS data_type,
-  CASE WHEN x.s % 5 = 0 THEN x.ls = 'F' ELSE x.ls = 'O' END AS nullable,
+  CASE WHEN x.s % 5 = 0 THEN x.ls = 70 ELSE x.ls = 79 END AS nullable,
   CASE WHEN x.s % 3 = 0 THEN NULL WHEN x.s % 2 = 0 THEN 'd' || {text('x.s')} END AS default_expr,
   CASE WHEN x.s % 11 = 0 AND x.p % 2 = 0 THEN 'C' WHEN x.s % 37 = 0 THEN 'POSIX' END AS collation,
   CASE WHEN x.p % 23 = 0 THEN CASE WHEN x.s % 4 = 0 THEN 'by_default' ELSE 'always' END END

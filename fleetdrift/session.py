@@ -24,9 +24,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Set once per application: recording the call site of every Column costs more
+# than building the Column.
+_STATIC = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
+
 def build_session(app_name: str = "fleetdrift", **options: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
-    for key, value in {**_RUNTIME, **options}.items():
+    for key, value in {**_STATIC, **_RUNTIME, **options}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.functions.columns import identity_spec, partition_info, partition_of
@@ -76,28 +76,35 @@ def map_constraints(scan: DataFrame) -> DataFrame:
     )
 
 
+def missing_columns(kind: Column, named: Column, known: Column) -> Column:
+    """Columns a key, unique or foreign key constraint names but its table lacks.
+
+    Check and exclusion constraints are not tested; unknown columns of the table
+    (null) count as none.
+    """
+    none = F.array().cast("array<string>")
+    tested = kind.isin("primary_key", "unique", "foreign_key")
+    return F.when(tested, F.array_except(named, F.coalesce(known, none))).otherwise(none)
+
+
 def keep_valid_constraints(constraints: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split mapped constraints into ``(kept, rejected)``.
 
-    Primary keys, unique and foreign keys stay only if the table has all their
-    columns; check and exclusion constraints are not tested; unknown kinds go.
+    Constraints stay only if their kind is known and no column is missing.
     """
     # One table has at most 1600 columns by the server's own limit.
     names = columns.groupBy(*TABLE_KEY).agg(F.collect_set("name").alias("_names"))
-    known = F.coalesce(F.col("_names"), F.array().cast("array<string>"))
-    tested = F.col("kind").isin("primary_key", "unique", "foreign_key")
-    missing = F.when(tested, F.array_except("columns", known)).otherwise(
-        F.array().cast("array<string>")
-    )
     judged = (
         constraints.join(names, TABLE_KEY, "left")
+        .withColumn("_missing", missing_columns(F.col("kind"), F.col("columns"), F.col("_names")))
         .withColumn(
             "reason",
             F.when(F.col("kind").isNull(), F.lit("unknown constraint type")).when(
-                F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ","))
+                F.size("_missing") > 0,
+                F.concat(F.lit("missing columns: "), F.array_join("_missing", ",")),
             ),
         )
-        .drop("_names")
+        .drop("_names", "_missing")
     )
     kept = judged.where(F.col("reason").isNull()).drop("reason")
     return kept, judged.where(F.col("reason").isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetdrift.model import COLUMN, CONSTRAINT, DATABASE, INDEX, SCHEMA, TABLE
 from fleetdrift.skew import PART_ROWS, collect_parts, number_parts
-from fleetdrift.sources.mapping import TABLE_KEY
+from fleetdrift.sources.mapping import TABLE_KEY, missing_columns
 
 # Tables per nested document: with some twenty columns each about 20 MB of rows.
 SNAPSHOT_ROWS = 10_000
@@ -66,7 +66,8 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
     one is several rows, each a database holding a share of its tables, indexes
     and extensions; the parts together are the whole snapshot.
 
-    Indexes of tables that were not scanned vanish; schemas without tables stay.
+    Indexes of tables that were not scanned vanish; schemas without tables stay;
+    constraints naming a column their table lacks are left out.
     """
     schema_key, part_key = ["db_id", "schema_name"], ["db_id", "part", "schema_name"]
     none = F.lit(None).cast("string")
@@ -82,10 +83,16 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
         .join(group_columns(snapshot.columns), TABLE_KEY, "left")
         .join(constraints, TABLE_KEY, "left")
     )
+    names = F.transform("columns", lambda c: c["name"])
+    valid = F.filter(
+        "constraints",
+        lambda c: c["kind"].isNotNull()
+        & (F.size(missing_columns(c["kind"], c["columns"], names)) == 0),
+    )
     table = F.struct(
         _ref("table", "schema_name", "table_name"),
         F.coalesce("columns", _empty(TABLE["columns"].dataType)).alias("columns"),
-        F.coalesce("constraints", _empty(TABLE["constraints"].dataType)).alias("constraints"),
+        F.coalesce(valid, _empty(TABLE["constraints"].dataType)).alias("constraints"),
         "owner",
         "tablespace",
         "partition_info",

@@ -319,7 +319,7 @@ def attach_columns(deltas: DataFrame, source: DataFrame, target: DataFrame) -> D
     for kind, columns in (("create_table", target), ("drop_table", source)):
         # A table has at most 1600 columns by the server's own limit.
         column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
-        grouped = columns.groupBy(*TABLE).agg(F.array_sort(F.collect_list(column)).alias("_columns"))
+        grouped = columns.groupBy(*TABLE).agg(F.sort_array(F.collect_list(column)).alias("_columns"))
         listed.append(
             grouped.select(
                 "pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), "_columns"

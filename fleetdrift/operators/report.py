@@ -84,7 +84,7 @@ def change_table(graded: DataFrame, dependencies: DataFrame | None = None) -> Da
     grouped = rows.groupBy("pair_id", "namespace", "table_name").agg(
         F.max(F.when(kind == "create_table", F.lit("create")).when(kind == "drop_table", F.lit("drop")))
         .alias("_whole"),
-        F.array_join(F.array_sort(F.collect_list(change_detail())), ", ").alias("detail"),
+        F.array_join(F.sort_array(F.collect_list(change_detail())), ", ").alias("detail"),
         F.max(risk_rank(F.col("risk"))).alias("_rank"),
         F.count(F.lit(1)).alias("n_changes"),
     )

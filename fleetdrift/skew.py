@@ -166,9 +166,9 @@ def collect_parts(
     spread: Column,
     part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """``array_sort(collect_list(item))`` per group, large groups in several parts."""
+    """``sort_array(collect_list(item))`` per group, large groups in several parts."""
     return (
         number_parts(df, group, spread, part_rows)
         .groupBy(*group, "part")
-        .agg(F.array_sort(F.collect_list(item)).alias(name))
+        .agg(F.sort_array(F.collect_list(item)).alias(name))
     )

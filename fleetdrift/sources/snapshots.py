@@ -38,7 +38,7 @@ def group_columns(columns: DataFrame) -> DataFrame:
     """Columns per table in order of position (gaps allowed)."""
     item = F.struct(*COLUMN.fieldNames())
     # A table has at most 1600 columns by the server's own limit.
-    return columns.groupBy(*TABLE_KEY).agg(F.array_sort(F.collect_list(item)).alias("columns"))
+    return columns.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
 
 
 def group_indexes(indexes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
@@ -73,7 +73,7 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
     none = F.lit(None).cast("string")
 
     constraints = snapshot.constraints.groupBy(*TABLE_KEY).agg(
-        F.array_sort(F.collect_list(F.struct(*CONSTRAINT.fieldNames()))).alias("constraints")
+        F.sort_array(F.collect_list(F.struct(*CONSTRAINT.fieldNames()))).alias("constraints")
     )
     scanned = snapshot.tables.join(snapshot.schemas, schema_key, "left_semi")
     # Columns and constraints are grouped on the table key they are joined on,
@@ -100,14 +100,14 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
         "comment",
     )
     with_tables = tables.groupBy(*part_key).agg(
-        F.array_sort(F.collect_list(table.cast(TABLE))).alias("tables")
+        F.sort_array(F.collect_list(table.cast(TABLE))).alias("tables")
     )
     # A child with two parents is scanned twice, and then so are its indexes.
     indexes = number_parts(
         snapshot.indexes, ["db_id"], F.struct("schema_name", "name"), part_rows
     ).join(scanned.select(*TABLE_KEY), TABLE_KEY)
     with_indexes = indexes.groupBy(*part_key).agg(
-        F.array_sort(F.collect_list(F.struct(*INDEX.fieldNames()))).alias("indexes")
+        F.sort_array(F.collect_list(F.struct(*INDEX.fieldNames()))).alias("indexes")
     )
     bare = number_parts(snapshot.schemas, ["db_id"], F.col("schema_name"), part_rows)
     schema = F.struct(
@@ -122,7 +122,7 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
         .join(with_tables, part_key, "full_outer")
         .join(with_indexes, part_key, "full_outer")
         .groupBy("db_id", "part")
-        .agg(F.array_sort(F.collect_list(schema)).alias("schemas"))
+        .agg(F.sort_array(F.collect_list(schema)).alias("schemas"))
     )
     extension = F.struct(
         _ref("extension", "namespace", "name"),

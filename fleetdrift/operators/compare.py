@@ -157,15 +157,13 @@ def match_snapshots(
     target: DataFrame,
     key: list[str],
     options: CompareOptions = DEFAULTS,
-    partition_by: list[str] | None = None,
 ) -> DataFrame:
     """Pair every object of both sides by identity: key, ``src`` and ``tgt`` structs.
 
     A missing side is null; a struct holds all columns but ``pair_id``, names as
     that side spells them.  This is one aggregation of both inputs instead of a
-    full outer join: repeated rows of one object collapse to the smallest
-    instead of multiplying, and the exchange may be on a prefix of the key
-    (``partition_by``) that later steps reuse.
+    full outer join: repeated rows of one object collapse to the smallest before
+    they are shuffled, instead of meeting in one task and multiplying there.
     """
     folded = [
         c if options.case_sensitive or c == "pair_id" else F.lower(c).alias(c) for c in key
@@ -174,8 +172,6 @@ def match_snapshots(
     left = source.select(*folded, item.alias("src"))
     right = target.select(*folded, item.alias("tgt"))
     both = left.unionByName(right, allowMissingColumns=True)
-    if partition_by:
-        both = both.repartition(*partition_by)
     return both.groupBy(*key).agg(F.min("src").alias("src"), F.min("tgt").alias("tgt"))
 
 
@@ -207,19 +203,35 @@ def compare_columns(
         column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
         return in_scope(rows, options, "table_name").select(*TABLE, "name", column.alias("column"))
 
-    matched = match_snapshots(
-        packed(source), packed(target), [*TABLE, "name"], options, partition_by=TABLE
-    )
+    matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
     created, dropped, both = _missing_sides()
+    replacing = ["column.identity"]
+    if options.compare_generated:
+        replacing.append("column.generated_expression")
+    replaced = _differ(*replacing)
+    retyped = _differ("column.data_type", "column.collation")
+    redefaulted = _differ("column.default_expr")
+    renullabled = _differ("column.nullable")
+    # Unchanged columns only tell that their table exists: they go on without
+    # their attributes, so whatever follows moves little more than the changes.
+    touched = ~both | replaced | retyped | redefaulted | renullabled
+    matched = matched.select(
+        *TABLE,
+        "name",
+        (~created).alias("has_source"),
+        (~dropped).alias("has_target"),
+        F.when(touched, F.col("src")).alias("src"),
+        F.when(touched, F.col("tgt")).alias("tgt"),
+    )
+    created, dropped = ~F.col("has_source"), ~F.col("has_target")
     kinds: dict[str, Column] = {}
     if tables is None:
-        # The rows are already partitioned by table: no further exchange.  A table
-        # has at most 1600 columns per side, so no window is large.
+        # A table has at most 1600 columns per side, so no window is large.
         table = Window.partitionBy(*TABLE)
         matched = matched.select(
             "*",
-            F.max(F.col("src").isNotNull()).over(table).alias("in_source"),
-            F.max(F.col("tgt").isNotNull()).over(table).alias("in_target"),
+            F.max("has_source").over(table).alias("in_source"),
+            F.max("has_target").over(table).alias("in_target"),
             F.min("name").over(table).alias("first_name"),
         )
         in_both = F.col("in_source") & F.col("in_target")
@@ -229,14 +241,10 @@ def compare_columns(
                 "create_table": first & ~F.col("in_source"),
                 "drop_table": first & ~F.col("in_target"),
             }
-        created, dropped, both = in_both & created, in_both & dropped, in_both & both
+        created, dropped = in_both & created, in_both & dropped
     else:
         matched = matched.join(tables, TABLE, "left_semi")
 
-    replacing = ["column.identity"]
-    if options.compare_generated:
-        replacing.append("column.generated_expression")
-    replaced = _differ(*replacing)
     kept = both & ~replaced
     changed = with_kinds(
         matched,
@@ -245,16 +253,16 @@ def compare_columns(
             "add_column": created,
             "drop_column": dropped,
             "replace_column": both & replaced,
-            "alter_column_type": kept & _differ("column.data_type", "column.collation"),
-            "set_column_default": kept & _differ("column.default_expr"),
-            "set_column_nullability": kept & _differ("column.nullable"),
+            "alter_column_type": kept & retyped,
+            "set_column_default": kept & redefaulted,
+            "set_column_nullability": kept & renullabled,
         },
     )
     of_table = _is("create_table", "drop_table")
     table_name = _either("table_name")
     old, new = F.col("src.column"), F.col("tgt.column")
     altered = ["alter_column_type", "set_column_default", "set_column_nullability"]
-    retyped = _is("alter_column_type")
+    is_retyped = _is("alter_column_type")
     return change_rows(
         changed,
         object_kind=F.when(of_table, F.lit("table")).otherwise(F.lit("column")),
@@ -263,8 +271,8 @@ def compare_columns(
         name=F.when(of_table, table_name).otherwise(_either("name")),
         column=F.when(_is("add_column", "replace_column"), new).when(_is("drop_column"), old),
         old_column=F.when(_is("replace_column", *altered), old),
-        new_data_type=F.when(retyped, F.col("tgt.column.data_type")),
-        new_collation=F.when(retyped & _differ("column.collation"), F.col("tgt.column.collation")),
+        new_data_type=F.when(is_retyped, F.col("tgt.column.data_type")),
+        new_collation=F.when(is_retyped & _differ("column.collation"), F.col("tgt.column.collation")),
         new_default=F.when(_is("set_column_default"), F.col("tgt.column.default_expr")),
         nullable=F.when(_is("set_column_nullability"), F.col("tgt.column.nullable")),
     )

@@ -29,8 +29,9 @@ def test_column_scan_reads_only_needed_columns(spark, small):
     assert "PushedFilters: [" in plan and "GreaterThanOrEqual(l_discount,0.05)" in plan
 
 
-def test_comparison_shuffles_columns_once(spark, small):
-    """Matching, table presence and change rows share one exchange on the table key."""
+def test_comparison_combines_before_it_shuffles(spark, small):
+    """Copies of a column collapse before the first exchange; the second one, for
+    table presence, carries attributes of changed columns only."""
     from fleetdrift.operators import compare
     from fleetdrift.plans.drift_queries import side_columns
     from fleetdrift.session import cut_lineage
@@ -38,4 +39,6 @@ def test_comparison_shuffles_columns_once(spark, small):
     source = cut_lineage(side_columns(spark, small, "source"))
     target = cut_lineage(side_columns(spark, small, "target"))
     plan = plan_of(compare.compare_columns(source, target, derive_tables=True))
-    assert plan.count("Exchange hashpartitioning(pair_id") == 1
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(pair_id" in line]
+    assert len(exchanges) == 2
+    assert plan.index("partial_min(src") > plan.index(exchanges[1].strip()[:40])

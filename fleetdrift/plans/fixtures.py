@@ -280,8 +280,16 @@ def with_fixtures(sql: str, ctes: dict[str, str] | None = None) -> str:
 ORACLE_CTES: dict[str, str] = {}
 
 
+_OPENED: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A driver table; its schema is read from the file once per session."""
+    path = f"{folder}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _OPENED:
+        _OPENED[key] = spark.read.parquet(path)
+    return _OPENED[key]
 
 
 def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -40,6 +40,8 @@ def _measured(groups: DataFrame, prefix: str) -> tuple[DataFrame, int]:
     """Hot groups with renamed keys, broadcast only if counted to be few."""
     groups = groups.select(*[F.col(c).alias(prefix + c) for c in groups.columns]).persist()
     count = groups.count()
+    if count == 0:
+        groups.unpersist()
     return (F.broadcast(groups) if 0 < count <= BROADCAST_GROUPS else groups), count
 
 

@@ -150,7 +150,8 @@ def scan_columns(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     )
     collations = catalog.collations.select("db_id", F.col("oid").alias("attcollation"), "collname")
     return (
-        attributes.join(tables, ["db_id", "relid"])
+        # Both sides grow with the fleet, so neither is ever worth broadcasting.
+        attributes.join(tables.hint("merge"), ["db_id", "relid"])
         .join(defaults, ["db_id", "relid", "attnum"], "left")
         .join(types, ["db_id", "atttypid"])
         .join(collations, ["db_id", "attcollation"], "left")

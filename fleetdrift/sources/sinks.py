@@ -3,19 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from fleetdrift.skew import number_parts
 
-def write_run(deltas: DataFrame, units: DataFrame, statements: DataFrame, folder: str) -> None:
+# Rows per written file.
+FILE_ROWS = 1_000_000
+
+# Parts of a run and the column their rows are ordered by.
+_ORDER = {"deltas": "position", "manifest": "start_line", "statements": "line"}
+
+
+def write_run(
+    deltas: DataFrame,
+    units: DataFrame,
+    statements: DataFrame,
+    folder: str,
+    file_rows: int = FILE_ROWS,
+) -> None:
     """One folder per run: ordered deltas, transaction units, statements.
 
-    Each part is partitioned by pair.  Hash partitioning on the pair would put a
-    pair with most of the rows into one task, so files follow the input's own
-    partitions: a big pair is written by many tasks, and sizes are bounded per file.
+    Each is partitioned by pair, in files of about ``file_rows`` rows: a small
+    pair is one file, a huge one is written by many tasks.  Where the ordering
+    column is present, files are sorted by it.
     """
     for name, df in (("deltas", deltas), ("manifest", units), ("statements", statements)):
+        order = [c for c in ("pair_id", _ORDER[name]) if c in df.columns]
         (
-            df.write.mode("overwrite")
-            .option("maxRecordsPerFile", 5_000_000)
+            number_parts(df, ["pair_id"], F.struct(*df.columns), file_rows)
+            .repartition("pair_id", "part")
+            .sortWithinPartitions(*order)
+            .drop("part")
+            .write.mode("overwrite")
             .partitionBy("pair_id")
             .json(f"{folder}/{name}")
         )

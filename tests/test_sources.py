@@ -44,8 +44,16 @@ def test_find_objects_first_match_or_nothing(spark):
 
 
 def test_write_run(spark, tmp_path):
-    rows = spark.range(4).select((F.col("id") % 2).alias("pair_id"), F.col("id").alias("line"))
-    sinks.write_run(rows, rows, rows, str(tmp_path / "run"))
+    rows = spark.range(1000).select(
+        F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("pair_id"), F.col("id").alias("line")
+    )
+    sinks.write_run(rows, rows, rows, str(tmp_path / "run"), file_rows=100)
     for part in ("deltas", "manifest", "statements"):
-        back = spark.read.json(str(tmp_path / "run" / part))
-        assert back.count() == 4 and set(back.columns) == {"line", "pair_id"}
+        folder = tmp_path / "run" / part
+        back = spark.read.json(str(folder))
+        assert back.count() == 1000 and set(back.columns) == {"line", "pair_id"}
+        # the large pair is spread over files, a small one is a single file
+        assert len(list((folder / "pair_id=0").glob("*.json"))) > 1
+        assert len(list((folder / "pair_id=950").glob("*.json"))) == 1
+    lines = [json.loads(t)["line"] for f in (tmp_path / "run" / "statements" / "pair_id=0").glob("*.json") for t in f.read_text().splitlines()]
+    assert sorted(lines) == list(range(900))

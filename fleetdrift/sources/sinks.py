@@ -35,6 +35,8 @@ def write_run(
             .sortWithinPartitions(*order)
             .drop("part")
             .write.mode("overwrite")
+            # small parts may still share a task
+            .option("maxRecordsPerFile", file_rows)
             .partitionBy("pair_id")
             .json(f"{folder}/{name}")
         )

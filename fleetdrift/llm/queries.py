@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetdrift.llm import decontaminate, language, licenses, packing, secrets, toxicity
+from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +35,13 @@ def query(sql: str | None = None):
     return register
 
 
+@query(SECRETS_SQL)
+def op2_credential_linking(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan_secrets(table(spark, folder, "documents"))
+
+
 @query()
 def op4_nnpu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
-    from fleetdrift.llm import toxicity
-
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     model = toxicity.train_toxicity(docs, labels)
     scored = toxicity.score_toxicity(docs, model, ["doc_id"])
@@ -45,8 +50,6 @@ def op4_nnpu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op6_ftrl_language(spark: SparkSession, folder: str) -> DataFrame:
-    from fleetdrift.llm import language
-
     docs = table(spark, folder, "documents")
     languages, model = language.train_language(docs)
     found = language.predict_language(docs, languages, model)
@@ -55,21 +58,15 @@ def op6_ftrl_language(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op7_license_templates(spark: SparkSession, folder: str) -> DataFrame:
-    from fleetdrift.llm import licenses
-
     return licenses.scan_licenses(table(spark, folder, "documents"), ["doc_id"])
 
 
 @query()
 def op9_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
-    from fleetdrift.llm import decontaminate
-
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.drop("text_hash")
 
 
 @query()
 def op10_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
-    from fleetdrift.llm import packing
-
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())

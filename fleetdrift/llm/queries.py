@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetdrift.llm import decontaminate, language, licenses, packing, secrets, toxicity
+from fleetdrift.llm import decontaminate, language, licenses, packing, secrets, toxicity, webpages
 from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.session import configure
 
@@ -35,6 +35,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_site_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return webpages.extract_texts(table(spark, folder, "pages"), ["page_id", "url"])
+
+
 @query(SECRETS_SQL)
 def op2_credential_linking(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))

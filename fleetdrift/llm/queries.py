@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetdrift.llm import decontaminate, language, licenses, packing, secrets, toxicity, webpages
+from fleetdrift.llm import decontaminate, hnsw, language, licenses, packing, secrets, shards, toxicity, webpages
 from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.session import configure
 
@@ -45,6 +46,11 @@ def op2_credential_linking(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, folder, "documents"))
 
 
+@query()
+def op3_hnsw_search(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query()
 def op4_nnpu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -53,6 +59,11 @@ def op4_nnpu_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(scored.doc_id).alias("held_out"), "score", "predicted")
 
 
+@query()
+def op5_label_propagation(spark: SparkSession, folder: str) -> DataFrame:
+    return shards.balanced_shards(table(spark, folder, "documents"), ["doc_id"])
+
+
 @query()
 def op6_ftrl_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")

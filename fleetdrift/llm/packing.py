@@ -13,6 +13,11 @@ text are ordinary text.
 
 from __future__ import annotations
 
+import itertools
+import json
+import os
+import sys
+import types
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -27,7 +32,8 @@ from fleetdrift.llm.storage import stored
 from fleetdrift.llm.textarrays import ranges, span_hashes, steps, utf8
 
 SEQUENCE = 1024
-_KNOWN_WORDS = 400_000  # a worker forgets its encoded words beyond this
+_SLOTS = 1 << 20  # words a worker remembers, by hash; a newer word takes an older one's slot
+_MOST_IDS = 16 << 20  # remembered ids; beyond, a worker starts afresh
 
 
 class Encoder:
@@ -38,51 +44,107 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use all cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.words = _byte_level_words(self.tokenizer)
         self._forget()
 
-    def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        if self.words is not None:
+            return [self.words(t) for t in texts]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        # Lone encodes of short words cost less than the batch call's threads.
-        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in encoded]
+    def _forget(self) -> None:
+        self.codes = np.zeros(_SLOTS, np.uint64)
+        self.starts = np.zeros(_SLOTS, np.int64)
+        self.lengths = np.zeros(_SLOTS, np.int64)
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+
+    def _append(self, ids: np.ndarray) -> int:
+        first, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
+        self.ids[first : self.used] = ids
+        return first
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and the texts' n + 1 offsets in them."""
         if len(data) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        blank = np.isin(data, _BLANK_BYTES)
+        if self.used > _MOST_IDS:
+            self._forget()
+        blank = _BLANK[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[1:-1] = blank[1:] & ~blank[:-1] & ~_after_wide_blank(data)
         cut[offsets] = True
         edges = np.flatnonzero(cut)
-        starts, ends = edges[:-1], edges[1:]
-        codes = span_hashes(data, starts, ends)
-        distinct, first, back = np.unique(codes, return_index=True, return_inverse=True)
-        if len(self.place) + len(distinct) > _KNOWN_WORDS:
-            self._forget()
-        new = [i for i, c in enumerate(distinct.tolist()) if c not in self.place]
-        raw = data.tobytes()
-        encoded = self._encode([raw[starts[first[i]] : ends[first[i]]].decode("utf-8", "replace") for i in new])
-        for i, ids in zip(new, encoded, strict=True):
-            self.place[int(distinct[i])] = len(self.ids)
-            self.ids.append(ids)
-        own = [self.ids[self.place[c]] for c in distinct.tolist()]
-        sizes = np.array([len(x) for x in own], np.int64)
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        lengths = sizes[back]
-        out = flat[ranges((np.cumsum(sizes) - sizes)[back], lengths)]
+        codes = span_hashes(data, edges[:-1], edges[1:]) | np.uint64(1)  # 0 marks an empty slot
+        slots = (codes >> np.uint64(44)).astype(np.int64)
+        starts, lengths = self.starts[slots], self.lengths[slots]
+        missed = np.flatnonzero(self.codes[slots] != codes)
+        if len(missed):
+            new, first, back = np.unique(codes[missed], return_index=True, return_inverse=True)
+            at, raw = missed[first], data.tobytes()
+            texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(edges[at].tolist(), edges[at + 1].tolist(), strict=True)]
+            encoded = self._encode(texts)
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            begin = self._append(np.fromiter(itertools.chain.from_iterable(encoded), np.uint32, int(sizes.sum())))
+            begins = begin + np.cumsum(sizes) - sizes
+            slots = slots[at]
+            self.codes[slots], self.starts[slots], self.lengths[slots] = new, begins, sizes
+            starts[missed], lengths[missed] = begins[back], sizes[back]
+        out = self.ids[ranges(starts, lengths)]
         totals = np.concatenate([[0], np.cumsum(lengths)])
         return out, totals[np.searchsorted(edges, offsets)]
 
 
-_BLANK_BYTES = np.array([9, 10, 12, 13, 32], np.uint8)
+# Fixed value: the pre-tokenizer's published pattern for byte-level vocabularies.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level_words(tokenizer) -> Callable[[str], list[int]] | None:
+    """A faster encoder of single words with the tokenizer's own vocabulary and merges.
+
+    Only for plain byte-level vocabularies whose ids follow the order of the
+    merges; None for others, whose words the tokenizer encodes itself.
+    """
+    import tiktoken
+
+    spec = json.loads(tokenizer.to_str())
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True)
+    if spec.get("normalizer") or not plain or model.get("type") != "BPE" or model.get("ignore_merges"):
+        return None
+    # Byte-level vocabularies write bytes that don't print as code points from 256 on.
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    vocabulary = model["vocab"]
+    pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    merged = [vocabulary.get(a + b, -1) for a, b in pairs]
+    if merged != sorted(merged) or not merged or merged[0] < 256:
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in word): i for word, i in vocabulary.items() if word not in special}
+    if len(ranks) != 256 + len(merged):
+        return None
+    return tiktoken.Encoding("own", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def worker_encoder(path: str) -> Encoder:
+    """The Python worker's encoder, kept from task to task."""
+    kept = sys.modules.setdefault("_fleetdrift_encoders", types.ModuleType("_fleetdrift_encoders"))
+    if path not in vars(kept):
+        vars(kept)[path] = Encoder(path)
+    return vars(kept)[path]
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 12, 13, 32]] = True
 
 
 def _after_wide_blank(data: np.ndarray) -> np.ndarray:
@@ -104,7 +166,7 @@ def _after_wide_blank(data: np.ndarray) -> np.ndarray:
 
 def _pieces(path: str, sequence: int) -> Callable:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = worker_encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for first, last in steps(offsets):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetdrift.llm import decontaminate, hnsw, language, licenses, packing, secrets, shards, toxicity, webpages
+from fleetdrift.llm import decontaminate, hnsw, jaccard, language, licenses, packing, secrets, shards, toxicity, webpages
 from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.session import configure
 
@@ -77,6 +77,11 @@ def op7_license_templates(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"), ["doc_id"])
 
 
+@query()
+def op8_combination_prefixes(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, folder, "documents"), ["doc_id"])
+
+
 @query()
 def op9_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))

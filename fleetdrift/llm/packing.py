@@ -32,8 +32,8 @@ from fleetdrift.llm.storage import stored
 from fleetdrift.llm.textarrays import ranges, span_hashes, steps, utf8
 
 SEQUENCE = 1024
-_SLOTS = 1 << 20  # words a worker remembers, by hash; a newer word takes an older one's slot
-_MOST_IDS = 16 << 20  # remembered ids; beyond, a worker starts afresh
+_SLOTS = 1 << 19  # words a worker remembers, by hash; a newer word takes an older one's slot
+_MOST_IDS = 6 << 20  # remembered ids; beyond, a worker starts afresh
 
 
 class Encoder:
@@ -50,6 +50,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words = _byte_level_words(self.tokenizer)
+        if self.words is not None:
+            self.tokenizer = None  # one vocabulary in memory is enough
         self._forget()
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -83,7 +85,7 @@ class Encoder:
         cut[offsets] = True
         edges = np.flatnonzero(cut)
         codes = span_hashes(data, edges[:-1], edges[1:]) | np.uint64(1)  # 0 marks an empty slot
-        slots = (codes >> np.uint64(44)).astype(np.int64)
+        slots = (codes >> np.uint64(45)).astype(np.int64)
         starts, lengths = self.starts[slots], self.lengths[slots]
         missed = np.flatnonzero(self.codes[slots] != codes)
         if len(missed):

@@ -157,10 +157,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> bytes:
     prior = min(max(positives / rows, 1e-4), 0.5)
     model = (
         docs.select("doc_id", "text")
-        .join(sample, "doc_id")
+        # The sample is bounded by the two parameters, whatever the tables' sizes: the texts stay where they are.
+        .join(F.broadcast(sample), "doc_id")
         .select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("left_out"))
         .mapInArrow(_features, "found binary, toxic boolean, left_out boolean")
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(_trainer(prior), "model binary")
         .collect()
     )

@@ -198,7 +198,7 @@ def train_language(docs: DataFrame) -> tuple[list[str], bytes]:
     model = (
         sample.select("text", "lang", "left_out")
         .mapInArrow(_counts, "buckets binary, shares binary, lang string, left_out boolean")
-        .coalesce(1)
+        .repartition(1)
         .mapInArrow(_trainer(idf.tobytes(), languages), "model binary")
         .collect()
     )

@@ -52,13 +52,8 @@ TABLE = _struct(
     ref=OBJECT_REF, columns=T.ArrayType(COLUMN), constraints=T.ArrayType(CONSTRAINT), owner=_S,
     tablespace=_S, partition_info=PARTITION_INFO, partition_of=PARTITION_OF, comment=_S,
 )
-SCHEMA = _struct(
-    ref=OBJECT_REF, owner=_S, tables=T.ArrayType(TABLE), indexes=T.ArrayType(INDEX), comment=_S
-)
+SCHEMA = _struct(ref=OBJECT_REF, owner=_S, comment=_S)
 EXTENSION = _struct(ref=OBJECT_REF, version=_S, installed_schema=_S, comment=_S)
-DATABASE = _struct(
-    name=_S, schemas=T.ArrayType(SCHEMA), extensions=T.ArrayType(EXTENSION), server_version=_S
-)
 PAIR = _struct(
     pair_id=_S, source_snapshot=_S, target_snapshot=_S, schemas=_NAMES, ignore_patterns=_NAMES, mode=_S
 )

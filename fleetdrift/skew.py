@@ -1,8 +1,7 @@
-"""Ordered and collecting operators that survive one group holding most rows.
+"""Ordered operators that survive one group holding most rows.
 
-``running`` replaces ``Window.partitionBy(group).orderBy(...)``; ``collect_parts``
-replaces ``groupBy(group).agg(collect_list(...))``.  Both treat ordinary groups
-the plain way and split only the groups above a row limit.
+``running`` replaces ``Window.partitionBy(group).orderBy(...)``.  It treats
+ordinary groups the plain way and splits only the groups above a row limit.
 """
 
 from __future__ import annotations
@@ -21,9 +20,6 @@ HOT_ROWS = 1_000_000
 # Lists of hot groups are broadcast up to this counted length, joined plainly beyond.
 BROADCAST_GROUPS = 1_000_000
 
-# Largest array built from one group; larger groups become several parts.
-PART_ROWS = 250_000
-
 _RUNNING = {"sum": F.sum, "max": F.max, "min": F.min, "last": F.last}
 
 
@@ -115,7 +111,8 @@ def _running_sliced(df, group, order, outputs, exclusive):
             for n, (k, _) in outputs.items()
         ],
     )
-    joined = local.join(F.broadcast(carry), _same([*group, "_slice"], "_carry_of_"), "left")
+    # Spark sends the carry to all tasks only where it measures it as small.
+    joined = local.join(carry, _same([*group, "_slice"], "_carry_of_"), "left")
     return joined.select(
         *df.columns,
         *[_merge(k, F.col(f"_carry_{n}"), F.col(n)).alias(n) for n, (k, _) in outputs.items()],
@@ -142,35 +139,3 @@ def positions(
 ) -> DataFrame:
     """Dense 1-based position of each row in its group."""
     return running(df, group, order, {name: ("sum", F.lit(1))}, hot_rows=hot_rows)
-
-
-def number_parts(
-    df: DataFrame, group: Sequence[str], spread: Column, part_rows: int = PART_ROWS
-) -> DataFrame:
-    """Add ``part``: 0 for groups up to ``part_rows`` rows, else a hash of ``spread``.
-
-    A group of n rows is cut into ceil(n / part_rows) parts of about equal size.
-    """
-    large, count = _measured(hot_groups(df, group, part_rows), "_large_")
-    if count == 0:
-        return df.withColumn("part", F.lit(0))
-    parts = F.coalesce(F.ceil(F.col("_large_group_rows") / part_rows), F.lit(1)).cast("bigint")
-    return df.join(large, _same(group, "_large_"), "left").select(
-        *df.columns, F.pmod(F.xxhash64(spread), parts).cast("int").alias("part")
-    )
-
-
-def collect_parts(
-    df: DataFrame,
-    group: Sequence[str],
-    item: Column,
-    name: str,
-    spread: Column,
-    part_rows: int = PART_ROWS,
-) -> DataFrame:
-    """``sort_array(collect_list(item))`` per group, large groups in several parts."""
-    return (
-        number_parts(df, group, spread, part_rows)
-        .groupBy(*group, "part")
-        .agg(F.sort_array(F.collect_list(item)).alias(name))
-    )

@@ -3,9 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from fleetdrift.skew import number_parts
 
 # Rows per written file.
 FILE_ROWS = 1_000_000
@@ -23,19 +20,16 @@ def write_run(
 ) -> None:
     """One folder per run: ordered deltas, transaction units, statements.
 
-    Each is partitioned by pair, in files of about ``file_rows`` rows: a small
-    pair is one file, a huge one is written by many tasks.  Where the ordering
-    column is present, files are sorted by it.
+    Rows are range partitioned by pair and their order, so a pair of any size is
+    written by as many tasks as it needs, and its files in order of name hold its
+    rows in order.
     """
     for name, df in (("deltas", deltas), ("manifest", units), ("statements", statements)):
         order = [c for c in ("pair_id", _ORDER[name]) if c in df.columns]
         (
-            number_parts(df, ["pair_id"], F.struct(*df.columns), file_rows)
-            .repartition("pair_id", "part")
+            df.repartitionByRange(*order)
             .sortWithinPartitions(*order)
-            .drop("part")
             .write.mode("overwrite")
-            # small parts may still share a task
             .option("maxRecordsPerFile", file_rows)
             .partitionBy("pair_id")
             .json(f"{folder}/{name}")

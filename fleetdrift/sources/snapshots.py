@@ -6,14 +6,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from fleetdrift.model import COLUMN, CONSTRAINT, DATABASE, INDEX, SCHEMA, TABLE
-from fleetdrift.skew import PART_ROWS, collect_parts, number_parts
+from fleetdrift.model import COLUMN, CONSTRAINT, EXTENSION, INDEX, SCHEMA, TABLE
+from fleetdrift.skew import positions
 from fleetdrift.sources.mapping import TABLE_KEY, missing_columns
 
-# Tables per nested document: with some twenty columns each about 20 MB of rows.
-SNAPSHOT_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Snapshot:
@@ -41,47 +39,57 @@ def group_columns(columns: DataFrame) -> DataFrame:
     return columns.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(item)).alias("columns"))
 
 
-def group_indexes(indexes: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Indexes per table in order of name; huge tables in several parts."""
-    return collect_parts(
-        indexes, TABLE_KEY, F.struct(*INDEX.fieldNames()), "indexes", F.col("name"), part_rows
-    )
+def group_indexes(indexes: DataFrame) -> DataFrame:
+    """Indexes per table in order of name.
 
+    A list is as long as a table has indexes, all of which the server itself
+    opens at once to plan a statement.
+    """
+    item = F.struct(*INDEX.fieldNames())
+    return indexes.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(item)).alias("indexes"))
 
-def group_constraints(constraints: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """Constraints per table in order of name; huge tables in several parts."""
-    return collect_parts(
-        constraints, TABLE_KEY, F.struct(*CONSTRAINT.fieldNames()), "constraints", F.col("name"), part_rows
-    )
+
+def group_constraints(constraints: DataFrame) -> DataFrame:
+    """Constraints per table in order of name; a list is as long as a table has constraints."""
+    item = F.struct(*CONSTRAINT.fieldNames())
+    return constraints.groupBy(*TABLE_KEY).agg(F.sort_array(F.collect_list(item)).alias("constraints"))
 
 
 def _empty(data_type) -> Column:
     return F.array().cast(data_type)
 
 
-def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> DataFrame:
-    """Nested databases: ``db_id, part, database``.
+_FIELDS = {"table": TABLE, "indexes": T.ArrayType(INDEX), "schema": SCHEMA, "extension": EXTENSION}
+
+
+def _document(rows: DataFrame, kind: str, namespace: str, name: str, **fields: Column) -> DataFrame:
+    return rows.select(
+        "db_id",
+        F.lit(kind).alias("kind"),
+        F.col(namespace).alias("schema_name"),
+        F.col(name).alias("name"),
+        *[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in _FIELDS.items()],
+    )
+
+
+def assemble_snapshot(snapshot: Snapshot) -> DataFrame:
+    """Nested documents of all databases: one per table, schema and extension.
 
-    A database of up to ``part_rows`` tables is one row with part 0.  A larger
-    one is several rows, each a database holding a share of its tables, indexes
-    and extensions; the parts together are the whole snapshot.
+    ``db_id, kind, schema_name, name`` and the nested object: a table with its
+    columns, constraints and indexes, a schema, or an extension.  A database is
+    the documents of its ``db_id``, however many there are.
 
-    Indexes of tables that were not scanned vanish; schemas without tables stay;
-    constraints naming a column their table lacks are left out.
+    Indexes of tables that were not scanned vanish, so do tables of schemas that
+    were not; schemas without tables stay; constraints naming a column their
+    table lacks are left out.
     """
-    schema_key, part_key = ["db_id", "schema_name"], ["db_id", "part", "schema_name"]
     none = F.lit(None).cast("string")
-
-    constraints = snapshot.constraints.groupBy(*TABLE_KEY).agg(
-        F.sort_array(F.collect_list(F.struct(*CONSTRAINT.fieldNames()))).alias("constraints")
-    )
-    scanned = snapshot.tables.join(snapshot.schemas, schema_key, "left_semi")
-    # Columns and constraints are grouped on the table key they are joined on,
-    # so each is shuffled once.
+    scanned = snapshot.tables.join(snapshot.schemas, ["db_id", "schema_name"], "left_semi")
+    # All lists are grouped on the table key they are joined on, so each is shuffled once.
     tables = (
-        number_parts(scanned, ["db_id"], F.struct("schema_name", "table_name"), part_rows)
-        .join(group_columns(snapshot.columns), TABLE_KEY, "left")
-        .join(constraints, TABLE_KEY, "left")
+        scanned.join(group_columns(snapshot.columns), TABLE_KEY, "left")
+        .join(group_constraints(snapshot.constraints), TABLE_KEY, "left")
+        .join(group_indexes(snapshot.indexes), TABLE_KEY, "left")
     )
     names = F.transform("columns", lambda c: c["name"])
     valid = F.filter(
@@ -99,30 +107,9 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
         "partition_of",
         "comment",
     )
-    with_tables = tables.groupBy(*part_key).agg(
-        F.sort_array(F.collect_list(table.cast(TABLE))).alias("tables")
-    )
-    # A child with two parents is scanned twice, and then so are its indexes.
-    indexes = number_parts(
-        snapshot.indexes, ["db_id"], F.struct("schema_name", "name"), part_rows
-    ).join(scanned.select(*TABLE_KEY), TABLE_KEY)
-    with_indexes = indexes.groupBy(*part_key).agg(
-        F.sort_array(F.collect_list(F.struct(*INDEX.fieldNames()))).alias("indexes")
-    )
-    bare = number_parts(snapshot.schemas, ["db_id"], F.col("schema_name"), part_rows)
+    indexes = F.coalesce("indexes", _empty(T.ArrayType(INDEX)))
     schema = F.struct(
-        _ref("schema", "schema_name", "schema_name"),
-        none.alias("owner"),
-        F.coalesce("tables", _empty(SCHEMA["tables"].dataType)).alias("tables"),
-        F.coalesce("indexes", _empty(SCHEMA["indexes"].dataType)).alias("indexes"),
-        none.alias("comment"),
-    )
-    schemas = (
-        bare.select(*part_key)
-        .join(with_tables, part_key, "full_outer")
-        .join(with_indexes, part_key, "full_outer")
-        .groupBy("db_id", "part")
-        .agg(F.sort_array(F.collect_list(schema)).alias("schemas"))
+        _ref("schema", "schema_name", "schema_name"), none.alias("owner"), none.alias("comment")
     )
     extension = F.struct(
         _ref("extension", "namespace", "name"),
@@ -130,66 +117,63 @@ def assemble_snapshot(snapshot: Snapshot, part_rows: int = SNAPSHOT_ROWS) -> Dat
         none.alias("installed_schema"),
         none.alias("comment"),
     )
-    extensions = collect_parts(
-        snapshot.extensions, ["db_id"], extension, "extensions", F.col("name"), part_rows
-    )
-    database = F.struct(
-        F.lit("inspected").alias("name"),
-        F.coalesce("schemas", _empty(DATABASE["schemas"].dataType)).alias("schemas"),
-        F.coalesce("extensions", _empty(DATABASE["extensions"].dataType)).alias("extensions"),
-        none.alias("server_version"),
-    )
-    return schemas.join(extensions, ["db_id", "part"], "full_outer").select(
-        "db_id", "part", database.cast(DATABASE).alias("database")
+    return (
+        _document(tables, "table", "schema_name", "table_name", table=table, indexes=indexes)
+        .unionByName(_document(snapshot.schemas, "schema", "schema_name", "schema_name", schema=schema))
+        .unionByName(_document(snapshot.extensions, "extension", "namespace", "name", extension=extension))
     )
 
 
-def export_snapshot(databases: DataFrame, *, indented: bool = True) -> DataFrame:
-    """One JSON text per database part, with all empty fields written out."""
+def export_snapshot(documents: DataFrame, *, indented: bool = True) -> DataFrame:
+    """One JSON text per document, with all empty fields written out."""
     options = {"pretty": str(indented).lower(), "ignoreNullFields": "false"}
-    return databases.select("db_id", "part", F.to_json("database", options).alias("json"))
+    return documents.select(
+        "db_id", "kind", "schema_name", "name", F.to_json(F.struct(*_FIELDS), options).alias("json")
+    )
 
 
 def import_snapshot(texts: DataFrame) -> DataFrame:
-    """Nested databases from JSON texts; the reverse of ``export_snapshot``."""
-    return texts.select("db_id", "part", F.from_json("json", DATABASE).alias("database"))
+    """Nested documents from JSON texts; the reverse of ``export_snapshot``."""
+    nested = F.from_json("json", T.StructType([T.StructField(k, t) for k, t in _FIELDS.items()]))
+    return texts.select("db_id", "kind", "schema_name", "name", nested.alias("d")).select(
+        "db_id", "kind", "schema_name", "name", "d.*"
+    )
 
 
-def all_tables(databases: DataFrame) -> DataFrame:
-    """Every table with its place: schema order, then table order within it."""
-    schemas = databases.select(
-        "db_id", "part", F.posexplode("database.schemas").alias("schema_order", "schema")
-    )
-    return schemas.select(
-        "db_id",
-        "part",
-        "schema_order",
-        F.col("schema.ref.qname.name").alias("schema_name"),
-        F.posexplode("schema.tables").alias("table_order", "table"),
+def _in_order(objects: DataFrame, documents: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add ``schema_order`` and ``name``: places from 0 of the schema in its database and of the object in the schema."""
+    listed = documents.where("kind = 'schema'").select("db_id", "schema_name").distinct()
+    schemas = positions(listed, ["db_id"], ["schema_name"], "_schema")
+    placed = positions(objects, ["db_id", "schema_name"], order, "_place")
+    return placed.join(schemas, ["db_id", "schema_name"], "left").select(
+        *objects.columns,
+        (F.col("_schema") - 1).cast("int").alias("schema_order"),
+        (F.col("_place") - 1).cast("int").alias(name),
     )
 
 
-def all_indexes(databases: DataFrame) -> DataFrame:
-    """Every index with its place: schema order, then index order within it."""
-    schemas = databases.select(
-        "db_id", "part", F.posexplode("database.schemas").alias("schema_order", "schema")
-    )
-    return schemas.select(
-        "db_id",
-        "part",
-        "schema_order",
-        F.col("schema.ref.qname.name").alias("schema_name"),
-        F.posexplode("schema.indexes").alias("index_order", "index"),
+def all_tables(documents: DataFrame) -> DataFrame:
+    """Every table with its place: schema order, then table order within it."""
+    tables = documents.where("kind = 'table'").select(
+        "db_id", "schema_name", F.col("name").alias("table_name"), "table"
     )
+    return _in_order(tables, documents, ["table_name"], "table_order")
 
 
-def flatten_snapshot(databases: DataFrame) -> Snapshot:
-    """Flat model tables of nested databases."""
-    schemas = databases.select("db_id", F.explode("database.schemas").alias("s")).select(
-        "db_id", F.col("s.ref.qname.name").alias("schema_name")
+def all_indexes(documents: DataFrame) -> DataFrame:
+    """Every index with its place: schema order, then index order (table, name) within it."""
+    indexes = documents.where("kind = 'table'").select(
+        "db_id", "schema_name", F.explode("indexes").alias("index")
     )
-    nested = all_tables(databases).select(
-        "db_id", "schema_name", F.col("table.ref.qname.name").alias("table_name"), "table"
+    named = indexes.select("*", F.col("index.table_name").alias("_table"), F.col("index.name").alias("_name"))
+    return _in_order(named, documents, ["_table", "_name"], "index_order").drop("_table", "_name")
+
+
+def flatten_snapshot(documents: DataFrame) -> Snapshot:
+    """Flat model tables of nested documents."""
+    schemas = documents.where("kind = 'schema'").select("db_id", "schema_name")
+    nested = documents.where("kind = 'table'").select(
+        "db_id", "schema_name", F.col("name").alias("table_name"), "table", "indexes"
     )
     tables = nested.select(
         *TABLE_KEY, "table.owner", "table.tablespace", "table.partition_info", "table.partition_of",
@@ -201,14 +185,16 @@ def flatten_snapshot(databases: DataFrame) -> Snapshot:
     constraints = nested.select(*TABLE_KEY, F.explode("table.constraints").alias("c")).select(
         *TABLE_KEY, "c.*"
     )
-    indexes = all_indexes(databases).select("db_id", "schema_name", "index.*")
-    extensions = databases.select("db_id", F.explode("database.extensions").alias("e")).select(
+    indexes = nested.select("db_id", "schema_name", F.explode("indexes").alias("i")).select(
+        "db_id", "schema_name", "i.*"
+    )
+    extensions = documents.where("kind = 'extension'").select(
         "db_id",
-        F.col("e.ref.qname.namespace").alias("namespace"),
-        F.col("e.ref.qname.name").alias("name"),
-        F.col("e.version").alias("version"),
+        F.col("schema_name").alias("namespace"),
+        "name",
+        F.col("extension.version").alias("version"),
     )
-    return Snapshot(schemas.distinct(), tables, columns, constraints, indexes, extensions)
+    return Snapshot(schemas, tables, columns, constraints, indexes, extensions)
 
 
 def find_objects(objects: DataFrame, wanted: DataFrame, key: list[str], order: list[str]) -> DataFrame:

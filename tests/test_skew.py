@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import order, report, rowchecks, script
-from fleetdrift.skew import collect_parts, positions, running
+from fleetdrift.skew import positions, running
 from fleetdrift.sources import snapshots
 
 
@@ -53,23 +53,14 @@ def test_ties_of_a_hot_group_are_spread(spark):
     assert sorted(r.position for r in numbered.collect()) == list(range(1, 2001))
 
 
-def test_collect_parts_keeps_every_row(rows):
-    parts = collect_parts(rows, ["g"], F.col("i"), "items", F.col("i"), part_rows=100)
-    sizes = parts.select("g", "part", F.size("items").alias("n")).collect()
-    assert max(r.n for r in sizes) < 200 and len([r for r in sizes if r.g == 0]) > 10
-    assert parts.select(F.explode("items").alias("i")).distinct().count() == 3000
-
-
-def test_snapshot_in_parts_is_whole(spark, small):
+def test_snapshot_survives_json(spark, small):
     from fleetdrift.plans.catalog_queries import snapshot_of
 
-    flat = snapshot_of(spark, small)
-    one = snapshots.assemble_snapshot(flat, part_rows=1_000_000)
-    many = snapshots.assemble_snapshot(flat, part_rows=40)
-    assert one.where("part > 0").count() == 0 and many.where("part > 0").count() > 0
+    documents = snapshots.assemble_snapshot(snapshot_of(spark, small))
+    again = snapshots.import_snapshot(snapshots.export_snapshot(documents))
     for name in ("schemas", "tables", "columns", "constraints", "indexes", "extensions"):
-        a = getattr(snapshots.flatten_snapshot(one), name)
-        b = getattr(snapshots.flatten_snapshot(many), name)
+        a = getattr(snapshots.flatten_snapshot(documents), name)
+        b = getattr(snapshots.flatten_snapshot(again), name)
         assert as_set(a) == as_set(b), name
         assert a.count() > 0, name
 

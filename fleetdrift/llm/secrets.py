@@ -41,6 +41,8 @@ KINDS = (
     ("key", "[A-Za-z0-9+/]{20,}={0,2}", 0, 20),
     ("endpoint", "[a-z][a-z0-9+]*://[A-Za-z0-9._~:/?@%-]+", 0, 10),
 )
+#: Runs of one class are maximal, so a bound in the pattern finds the same long ones and skips the many short ones.
+_BOUNDED = {"access": "AKIA[A-Z0-9]{12,}", "hex": "[0-9a-f]{32,}"}
 _BASE = 3
 _SECRETS, _IDENTIFIERS, _ENDPOINTS = (0, 2, 4), (1, 3), (5,)
 
@@ -48,6 +50,7 @@ _SECRETS, _IDENTIFIERS, _ENDPOINTS = (0, 2, 4), (1, 3), (5,)
 def _found(text: Column, number: int) -> Column:
     """Array of (kind, number of the match, code points before it since the last match, its length)."""
     kind, pattern, group, least = KINDS[number]
+    pattern = _BOUNDED.get(kind, pattern)
 
     def part(before: Column, match: Column) -> Column:
         value = match if group == 0 else F.regexp_extract(match, pattern, group)

@@ -42,7 +42,8 @@ from fleetdrift.llm.textarrays import mix, shingle_sets, steps, utf8
 
 WORDS = 5
 PERCENT = 75
-_RANGE_TOKENS = 2_000_000
+_RANGE_TOKENS = 500_000
+_RUN_BYTES = 4 << 20
 _SKETCH = 1 << 18
 #: A token is frequent from this count of its sketch cell, and from this many times the mean cell, on.
 FREQUENT, FREQUENT_TIMES = 32, 4
@@ -113,7 +114,7 @@ def _by_node(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
 def _repeated_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Tokens that several nodes of one run of texts have, by node."""
     for batch in batches:
-        for column in _pieces(batch, 8 << 20):
+        for column in _pieces(batch, _RUN_BYTES):
             tokens, nodes = _flat(column)
             _, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
             several = counts[back] > 1 if len(tokens) else np.zeros(0, bool)
@@ -125,7 +126,7 @@ def _to_ranges(ranges: int) -> Callable:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for column in _pieces(batch, 8 << 20):
+            for column in _pieces(batch, _RUN_BYTES):
                 tokens, nodes = _flat(column)
                 distinct, first, counts = np.unique(tokens, return_index=True, return_counts=True)
                 single = counts == 1

@@ -293,7 +293,7 @@ def nearest(
     every_shard = (
         vectors.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
         .select(
-            F.size("vector").alias("dim"), "vec_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"),
+            F.size("vector").alias("dim"), "vec_id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
             F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"),
         )
     )

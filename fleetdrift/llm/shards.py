@@ -75,13 +75,19 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
         # A link's nodes are counted by shard first: a link of a third of all nodes costs one row per shard.
         inside = placed.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
         degree = inside.groupBy("link").agg(F.sum("n").alias("degree"))
-        pulls = inside.join(degree, "link").select("link", F.col("shard").alias("wish"), (F.col("n") / F.col("degree")).alias("pull"))
+        # All nodes of a link prefer the same one of equally strong shards, other links other ones.
+        pulls = inside.join(degree, "link").select(
+            "link", F.col("shard").alias("wish"), (F.col("n") / F.col("degree")).alias("pull"),
+            F.xxhash64("link", "shard").alias("prefer"),
+        )
         # The strongest few shards of a link stand for it: a link spread over all shards pulls nowhere.
-        strongest = Window.partitionBy("link").orderBy(F.desc("pull"), "wish")
+        strongest = Window.partitionBy("link").orderBy(F.desc("pull"), "prefer")
         pulls = pulls.withColumn("_r", F.row_number().over(strongest)).where("_r <= 4").drop("_r")
-        votes = links.join(pulls, "link").groupBy("node", "wish").agg(F.sum("pull").alias("pull"))
+        votes = links.join(pulls, "link").groupBy("node", "wish").agg(
+            F.sum("pull").alias("pull"), F.max("prefer").alias("prefer")
+        )
         best = votes.groupBy("node").agg(
-            F.max_by("wish", F.struct("pull", -F.col("wish"))).alias("wish"), F.max("pull").alias("best")
+            F.max_by("wish", F.struct("pull", "prefer")).alias("wish"), F.max("pull").alias("best")
         )
         wished = state.join(best, "node", "left").select(
             "node", "bytes", "shard", F.coalesce("wish", "shard").alias("wish"),

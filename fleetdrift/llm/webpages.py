@@ -239,7 +239,7 @@ def _texts(fields: list[str]) -> Callable:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, template in zip(batch.column("html").to_pylist(), batch.column("template").to_pylist(), strict=True):
+            for source, template in zip(batch.column("_html").to_pylist(), batch.column("_template").to_pylist(), strict=True):
                 texts.append(Page(source or "", frozenset(template or ())).text())
             columns = [batch.column(c) for c in fields]
             sizes = pa.array([len(t) for t in texts], pa.int64())
@@ -283,8 +283,8 @@ def extract_texts(pages: DataFrame, keep: list[str]) -> DataFrame:
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
     # Spark sends the templates to all tasks if they are small, and splits hot hosts of the join if not.
     return (
-        pages.select(*keep, "html", host_of(F.col("url")).alias("host"))
-        .join(templates, "host", "left")
-        .select(*keep, "html", "template")
+        pages.select(*keep, F.col("html").alias("_html"), host_of(F.col("url")).alias("_host"))
+        .join(templates.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+        .select(*keep, "_html", "_template")
         .mapInArrow(_texts(keep), fields + "text string, n_chars long")
     )

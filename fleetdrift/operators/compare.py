@@ -21,8 +21,10 @@ from fleetdrift.sources.pairs import matches_any
 
 TABLE = ["pair_id", "namespace", "table_name"]
 
-# Layout of a change row.  ``new_default`` null means "drop the default"; a null
-# in one of the other new_ fields means "unchanged".
+# Layout of a change row.  A type change always names the new type and collation
+# (null: the type's own) and, in ``old_column``, the old ones; ``new_default`` null
+# means "drop the default".  ``changed`` lists the table attributes that differ,
+# whose old_ and new_ fields hold both values, null where there is none.
 DELTA_FIELDS: dict[str, T.DataType] = {
     "op": T.StringType(),
     "kind": T.StringType(),
@@ -33,6 +35,7 @@ DELTA_FIELDS: dict[str, T.DataType] = {
     "column": COLUMN,
     "old_column": COLUMN,
     "table_columns": T.ArrayType(COLUMN),
+    "table_constraints": T.ArrayType(CONSTRAINT),
     "new_data_type": T.StringType(),
     "using_expression": T.StringType(),
     "new_collation": T.StringType(),
@@ -40,10 +43,16 @@ DELTA_FIELDS: dict[str, T.DataType] = {
     "nullable": T.BooleanType(),
     "old_name": T.StringType(),
     "new_name": T.StringType(),
+    "changed": T.ArrayType(T.StringType()),
+    "old_owner": T.StringType(),
     "new_owner": T.StringType(),
+    "old_tablespace": T.StringType(),
     "new_tablespace": T.StringType(),
+    "old_comment": T.StringType(),
     "new_comment": T.StringType(),
+    "old_partition_info": PARTITION_INFO,
     "new_partition_info": PARTITION_INFO,
+    "old_partition_of": PARTITION_OF,
     "new_partition_of": PARTITION_OF,
     "index": INDEX,
     "old_index": INDEX,
@@ -145,13 +154,50 @@ def _differ(*attributes: str) -> Column:
 
 def in_scope(rows: DataFrame, options: CompareOptions, table_column: str | None = None) -> DataFrame:
     """Apply schema list and table globs of the options."""
+
+    def fold(name: Column) -> Column:
+        return name if options.case_sensitive else F.lower(name)
+
+    def folded(names: list[str]) -> list[str]:
+        return names if options.case_sensitive else [n.lower() for n in names]
+
     if options.include_schemas is not None:
-        rows = rows.where(F.col("namespace").isin(options.include_schemas))
+        rows = rows.where(fold(F.col("namespace")).isin(folded(options.include_schemas)))
     if options.exclude_tables and table_column:
-        rows = rows.where(~matches_any(F.col(table_column), options.exclude_tables))
+        rows = rows.where(~matches_any(fold(F.col(table_column)), folded(options.exclude_tables)))
     return rows
 
 
+def _folded(rows: DataFrame, key: list[str], options: CompareOptions) -> DataFrame:
+    """The key columns as comparison sees them."""
+    names = [c if options.case_sensitive or c == "pair_id" else F.lower(c).alias(c) for c in key]
+    return rows.select(*names)
+
+
+def _in_tables(matched: DataFrame, tables: DataFrame, options: CompareOptions) -> DataFrame:
+    return matched.join(_folded(tables, TABLE, options).distinct(), TABLE, "left_semi")
+
+
+def colliding_names(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Objects of one side that comparison without regard to case, or repetition, makes one.
+
+    One row per folded key with the number of rows and of different spellings;
+    comparison itself goes on with the smallest of them.
+    """
+    folded = [c if c == "pair_id" else F.lower(c).alias(c) for c in key]
+    spelled = F.concat_ws(".", *[F.col(c) for c in key if c != "pair_id"])
+    return (
+        rows.select(*folded, spelled.alias("spelled"))
+        .groupBy(*key)
+        .agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.count_distinct("spelled").alias("n_spellings"),
+            F.min("spelled").alias("kept"),
+        )
+        .where(F.col("n_rows") > 1)
+    )
+
+
 def match_snapshots(
     source: DataFrame,
     target: DataFrame,
@@ -243,7 +289,7 @@ def compare_columns(
             }
         created, dropped = in_both & created, in_both & dropped
     else:
-        matched = matched.join(tables, TABLE, "left_semi")
+        matched = _in_tables(matched, tables, options)
 
     kept = both & ~replaced
     changed = with_kinds(
@@ -272,14 +318,17 @@ def compare_columns(
         column=F.when(_is("add_column", "replace_column"), new).when(_is("drop_column"), old),
         old_column=F.when(_is("replace_column", *altered), old),
         new_data_type=F.when(is_retyped, F.col("tgt.column.data_type")),
-        new_collation=F.when(is_retyped & _differ("column.collation"), F.col("tgt.column.collation")),
+        new_collation=F.when(is_retyped, F.col("tgt.column.collation")),
         new_default=F.when(_is("set_column_default"), F.col("tgt.column.default_expr")),
         nullable=F.when(_is("set_column_nullability"), F.col("tgt.column.nullable")),
     )
 
 
-def common_tables(source: DataFrame, target: DataFrame) -> DataFrame:
-    return source.select(*TABLE).distinct().join(target.select(*TABLE), TABLE, "left_semi")
+def common_tables(
+    source: DataFrame, target: DataFrame, options: CompareOptions = DEFAULTS
+) -> DataFrame:
+    left, right = (_folded(side, TABLE, options) for side in (source, target))
+    return left.distinct().join(right, TABLE, "left_semi")
 
 
 def compare_tables(
@@ -287,58 +336,67 @@ def compare_tables(
 ) -> DataFrame:
     """Created, dropped and altered tables.
 
-    Attributes cleared on the target cannot be told from unchanged ones in the
-    change row, except a comment, which becomes the empty text.
+    ``changed`` tells which attributes differ, so a cleared one is no unchanged one.
     """
     matched = match_snapshots(
         in_scope(source, options, "table_name"), in_scope(target, options, "table_name"), TABLE, options
     )
     created, dropped, both = _missing_sides()
-
-    def changed(attribute: str, value: Column | None = None) -> Column:
-        new = F.col(f"tgt.{attribute}") if value is None else value
-        return F.when(both & _differ(attribute), new)
-
-    new = {
-        "new_tablespace": changed("tablespace"),
-        "new_partition_info": changed("partition_info"),
-        "new_partition_of": changed("partition_of"),
-    }
+    attributes = ["tablespace", "partition_info", "partition_of"]
     if options.compare_owner:
-        new["new_owner"] = changed("owner")
+        attributes.append("owner")
     if options.compare_comments:
-        new["new_comment"] = changed("comment", F.coalesce(F.col("tgt.comment"), F.lit("")))
-    any_new = reduce(lambda a, b: a | b, [value.isNotNull() for value in new.values()])
+        attributes.append("comment")
+    differing = F.array_compact(F.array(*[F.when(both & _differ(a), F.lit(a)) for a in attributes]))
     rows = with_kinds(
-        matched, {"create_table": created, "drop_table": dropped, "alter_table_attrs": any_new}
+        matched.withColumn("changed", differing),
+        {"create_table": created, "drop_table": dropped, "alter_table_attrs": F.size("changed") > 0},
     )
+    altered = _is("alter_table_attrs")
+    sides = {}
+    for a in attributes:
+        holds = altered & F.array_contains("changed", a)
+        sides[f"old_{a}"] = F.when(holds, F.col(f"src.{a}"))
+        sides[f"new_{a}"] = F.when(holds, F.col(f"tgt.{a}"))
     return change_rows(
         rows,
         object_kind=F.lit("table"),
         namespace=_either("namespace"),
         name=_either("table_name"),
-        **new,
+        changed=F.when(altered, F.col("changed")),
+        **sides,
     )
 
 
-def attach_columns(deltas: DataFrame, source: DataFrame, target: DataFrame) -> DataFrame:
-    """Fill ``table_columns`` of created and dropped tables."""
-    listed = []
-    for kind, columns in (("create_table", target), ("drop_table", source)):
-        # A table has at most 1600 columns by the server's own limit.
-        column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
-        grouped = columns.groupBy(*TABLE).agg(F.sort_array(F.collect_list(column)).alias("_columns"))
-        listed.append(
-            grouped.select(
-                "pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), "_columns"
-            )
-        )
+def attach_payload(
+    deltas: DataFrame,
+    columns: tuple[DataFrame, DataFrame],
+    constraints: tuple[DataFrame, DataFrame] | None = None,
+) -> DataFrame:
+    """Fill ``table_columns`` and ``table_constraints`` of created and dropped tables.
+
+    Each pair is (source, target).  Without constraints tables have none.
+    """
     key = ["pair_id", "namespace", "name", "kind"]
-    return (
-        deltas.join(listed[0].unionByName(listed[1]), key, "left")
-        .withColumn("table_columns", F.coalesce("table_columns", "_columns"))
-        .select("pair_id", *DELTA_FIELDS)
-    )
+
+    def listed(sides: tuple[DataFrame, DataFrame], item: Column, name: str) -> DataFrame:
+        parts = [
+            # A table has at most 1600 columns by the server's own limit, and few constraints.
+            rows.groupBy(*TABLE)
+            .agg(F.sort_array(F.collect_list(item)).alias(name))
+            .select("pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), name)
+            for kind, rows in zip(("drop_table", "create_table"), sides, strict=True)
+        ]
+        return parts[0].unionByName(parts[1])
+
+    column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
+    deltas = deltas.join(listed(columns, column, "_columns"), key, "left")
+    deltas = deltas.withColumn("table_columns", F.coalesce("table_columns", "_columns"))
+    if constraints is not None:
+        constraint = F.struct(*CONSTRAINT.fieldNames()).cast(CONSTRAINT)
+        deltas = deltas.join(listed(constraints, constraint, "_constraints"), key, "left")
+        deltas = deltas.withColumn("table_constraints", F.coalesce("table_constraints", "_constraints"))
+    return deltas.select("pair_id", *DELTA_FIELDS)
 
 
 def compare_indexes(
@@ -384,7 +442,7 @@ def compare_constraints(
     """Added and dropped constraints; a changed definition is a drop and an add.
 
     With ``tables`` (``common_tables``) constraints of created or dropped tables
-    yield no changes of their own.
+    yield no changes of their own: they stand in the table's (``attach_payload``).
     """
 
     def packed(rows: DataFrame) -> DataFrame:
@@ -395,7 +453,7 @@ def compare_constraints(
 
     matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
     if tables is not None:
-        matched = matched.join(tables, TABLE, "left_semi")
+        matched = _in_tables(matched, tables, options)
     created, dropped, both = _missing_sides()
     attributes = [n for n in CONSTRAINT.fieldNames() if n != "name"]
     changed = both & _differ(*[f"constraint.{a}" for a in attributes])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetdrift.functions.names import qualified_name, quote_ident
 from fleetdrift.operators.risk import risk_label, risk_rank
-from fleetdrift.skew import running
+from fleetdrift.skew import positions, running
 
 
 def _text(*parts: Column | str) -> Column:
@@ -152,15 +152,16 @@ def _statements() -> tuple[Column, Column]:
     name = quote_ident(F.col("name"))
     column, old = F.col("column"), F.col("old_column")
     alter_column = _text(alter_table, "ALTER COLUMN", name)
-    create_table = _text(
-        "CREATE TABLE",
-        own,
-        F.concat(
-            F.lit("("),
-            F.array_join(F.transform(F.coalesce("table_columns", F.array()), column_definition), ", "),
-            F.lit(")"),
+    parts = F.concat(
+        F.transform(F.coalesce("table_columns", F.array()), column_definition),
+        F.transform(
+            F.coalesce("table_constraints", F.array()),
+            lambda c: _text("CONSTRAINT", quote_ident(c["name"]), constraint_definition(c)),
         ),
     )
+    create_table = _text(
+        "CREATE TABLE", own, F.concat(F.lit("("), F.array_join(parts, ", "), F.lit(")"))
+    )
     drop_table, drop_column = _text("DROP TABLE", own), _text(alter_table, "DROP COLUMN", name)
     constraint = F.col("constraint")
     deferred_check = constraint["kind"].isin("check", "foreign_key")
@@ -178,7 +179,7 @@ def _statements() -> tuple[Column, Column]:
     drop_extension = _text("DROP EXTENSION", name)
 
     def create_extension(version: str) -> Column:
-        return _text("CREATE EXTENSION", name, "VERSION", _quoted_text(F.col(version)))
+        return _text("CREATE EXTENSION", name, F.concat(F.lit("VERSION "), _quoted_text(F.col(version))))
 
     def set_type(data_type: Column, collation: Column) -> Column:
         return _text(
@@ -206,31 +207,55 @@ def _statements() -> tuple[Column, Column]:
         table = qualified_name(F.col("namespace"), F.col(old_name))
         return _text("ALTER TABLE", table, "RENAME TO", quote_ident(F.col(new_name)))
 
-    comment = F.col("new_comment")
-    attributes = [
-        _if_set(F.col("new_owner"), lambda v: _text("ALTER TABLE", own, "OWNER TO", quote_ident(v))),
-        _if_set(
-            F.col("new_tablespace"), lambda v: _text("ALTER TABLE", own, "SET TABLESPACE", quote_ident(v))
-        ),
-        _if_set(
-            comment,
-            lambda v: _text(
-                "COMMENT ON TABLE", own, "IS", F.when(v == "", F.lit("NULL")).otherwise(_quoted_text(v))
+    def attributes(side: str, other: str) -> list[Column]:
+        """Statements that bring every changed attribute to its value on one side."""
+
+        def when_changed(attribute: str, statement: Column) -> Column:
+            return F.when(F.array_contains("changed", attribute), statement)
+
+        def partition(value: Column) -> Column:
+            return qualified_name(value["parent_namespace"], value["parent_name"])
+
+        owner, tablespace, comment = (F.col(f"{side}_{a}") for a in ("owner", "tablespace", "comment"))
+        parent, last_parent = F.col(f"{side}_partition_of"), F.col(f"{other}_partition_of")
+        alter_own = _text("ALTER TABLE", own)
+        return [
+            when_changed("owner", F.when(owner.isNotNull(), _text(alter_own, "OWNER TO", quote_ident(owner)))),
+            when_changed(
+                "tablespace",
+                _text(alter_own, "SET TABLESPACE", quote_ident(F.coalesce(tablespace, F.lit("pg_default")))),
             ),
-        ),
-    ]
-    none = F.lit(None).cast("string")
+            when_changed(
+                "partition_of",
+                F.when(
+                    last_parent.isNotNull(), _text("ALTER TABLE", partition(last_parent), "DETACH PARTITION", own)
+                ),
+            ),
+            when_changed(
+                "partition_of",
+                F.when(
+                    parent.isNotNull(),
+                    _text("ALTER TABLE", partition(parent), "ATTACH PARTITION", own, parent["partition_bound"]),
+                ),
+            ),
+            when_changed(
+                "comment",
+                _text("COMMENT ON TABLE", own, "IS", F.coalesce(_quoted_text(comment), F.lit("NULL"))),
+            ),
+        ]
+
     by_kind: list[tuple[str, list[Column], list[Column]]] = [
         ("create_table", [create_table], [drop_table]),
         ("drop_table", [drop_table], [create_table]),
         ("rename_table", [rename_table("old_name", "new_name")], [rename_table("new_name", "old_name")]),
-        ("alter_table_attrs", attributes, [none]),
+        # how a table is partitioned cannot be altered and yields no statement
+        ("alter_table_attrs", attributes("new", "old"), attributes("old", "new")),
         ("add_column", [_text(alter_table, "ADD COLUMN", column_definition(column))], [drop_column]),
         ("drop_column", [drop_column], [_text(alter_table, "ADD COLUMN", column_definition(column))]),
         (
             "alter_column_type",
             [set_type(F.col("new_data_type"), F.col("new_collation"))],
-            [set_type(old["data_type"], F.when(F.col("new_collation").isNotNull(), old["collation"]))],
+            [set_type(old["data_type"], old["collation"])],
         ),
         ("set_column_default", [set_default(F.col("new_default"))], [set_default(old["default_expr"])]),
         ("set_column_nullability", [set_nullable(F.col("nullable"))], [set_nullable(old["nullable"])]),
@@ -272,10 +297,6 @@ def _statements() -> tuple[Column, Column]:
     return forward, rollback
 
 
-def _if_set(value: Column, build) -> Column:
-    return F.when(value.isNotNull(), build(value))
-
-
 def render_statements(deltas: DataFrame) -> DataFrame:
     """Add ``forward`` and ``rollback`` statement arrays and ``transactional``.
 
@@ -291,6 +312,17 @@ def render_statements(deltas: DataFrame) -> DataFrame:
     )
 
 
+def statement_lines(rendered: DataFrame, order: list[str]) -> DataFrame:
+    """One row per forward statement with its ``line`` (dense, from 1) in its pair's script.
+
+    ``order`` must tell a pair's changes apart.
+    """
+    exploded = rendered.select(
+        "pair_id", *order, "transactional", "risk", F.posexplode("forward").alias("_part", "statement")
+    )
+    return positions(exploded, ["pair_id"], [*order, "_part"], "line").drop("_part")
+
+
 def transaction_units(statements: DataFrame) -> DataFrame:
     """Runs of statements that can share a transaction.
 
@@ -331,8 +363,14 @@ def lock_estimate(graded: DataFrame, row_counts: DataFrame) -> DataFrame:
     count have a null one.
     """
     kind = F.col("kind")
+    foreign_key = F.coalesce(F.col("constraint.kind") == "foreign_key", F.lit(False))
     lock = (
         F.when(kind.endswith("_index"), F.lit("SHARE UPDATE EXCLUSIVE"))
+        .when((kind == "add_constraint") & foreign_key, F.lit("SHARE ROW EXCLUSIVE"))
+        .when(
+            (kind == "alter_table_attrs") & (F.size(F.array_except("changed", F.array(F.lit("comment")))) == 0),
+            F.lit("SHARE UPDATE EXCLUSIVE"),
+        )
         .when(F.col("object_kind").isin("schema", "extension"), F.lit("NONE"))
         .otherwise(F.lit("ACCESS EXCLUSIVE"))
     )

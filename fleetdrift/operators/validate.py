@@ -261,8 +261,7 @@ def inconsistent_rename(deltas: DataFrame) -> DataFrame:
 
 
 def empty_attribute_change(deltas: DataFrame) -> DataFrame:
-    fields = ["new_owner", "new_tablespace", "new_comment", "new_partition_info", "new_partition_of"]
-    nothing = reduce(lambda a, b: a & b, [F.col(c).isNull() for c in fields])
+    nothing = F.coalesce(F.size("changed"), F.lit(0)) <= 0
     return _delta_report(
         deltas, "empty_attribute_change", (F.col("kind") == "alter_table_attrs") & nothing, F.lit("no-op")
     )

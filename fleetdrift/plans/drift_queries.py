@@ -120,7 +120,7 @@ _CHANGES = [
         f"s.name IS NOT NULL AND t.name IS NOT NULL AND NOT {_REPLACED} AND "
         f"({_DIFFERS.format('data_type')} OR {_DIFFERS.format('collation')})",
         "s",
-        f"t.data_type, CASE WHEN {_DIFFERS.format('collation')} THEN t.\"collation\" END, NULL, NULL",
+        't.data_type, t."collation", NULL, NULL',
     ),
     (
         "alter",
@@ -247,10 +247,9 @@ def _table_payload(kind, side):
 
     @query(sql, name=kind)
     def run(spark, folder):
-        rows = compare.attach_columns(
+        rows = compare.attach_payload(
             all_deltas(spark, folder).where(F.col("kind") == kind),
-            side_columns(spark, folder, "source"),
-            side_columns(spark, folder, "target"),
+            (side_columns(spark, folder, "source"), side_columns(spark, folder, "target")),
         )
         columns = F.transform("table_columns", lambda c: F.concat_ws(" ", c["name"], c["data_type"]))
         return rows.select(
@@ -261,29 +260,32 @@ def _table_payload(kind, side):
 _table_payload("create_table", "target")
 _table_payload("drop_table", "source")
 
-_ATTRS = {
-    "new_owner": "owner", "new_tablespace": "tablespace", "new_strategy": "strategy", "new_parent": "parent",
-}
+_ATTRS = ["tablespace", "strategy", "parent", "owner", "comment"]
 _ATTR_SQL = ", ".join(
-    f"CASE WHEN {_DIFFERS.format(old)} THEN t.{old} END AS {new}" for new, old in _ATTRS.items()
+    f"CASE WHEN {_DIFFERS.format(a)} THEN {side}.{a} END AS {word}_{a}" for a in _ATTRS for side, word in (("s", "old"), ("t", "new"))
 )
+_ATTR_NAMES = {"strategy": "partition_info", "parent": "partition_of"}
+_ATTR_LIST = ", ".join(f"CASE WHEN {_DIFFERS.format(a)} THEN '{_ATTR_NAMES.get(a, a)}' END" for a in _ATTRS)
 
 
 @query(
-    f"SELECT * FROM (SELECT pair_id, namespace, table_name AS name, {_ATTR_SQL}, "
-    f"CASE WHEN {_DIFFERS.format('comment')} THEN coalesce(t.comment, '') END AS new_comment "
-    "FROM {fx_source_table} s JOIN {fx_target_table} t USING (pair_id, namespace, table_name)) a "
-    "WHERE coalesce(new_owner, new_tablespace, new_strategy, new_parent, new_comment) IS NOT NULL"
+    f"SELECT * FROM (SELECT pair_id, namespace, table_name AS name, concat_ws(',', {_ATTR_LIST}) AS changed, {_ATTR_SQL} "
+    "FROM {fx_source_table} s JOIN {fx_target_table} t USING (pair_id, namespace, table_name)) a WHERE changed <> ''"
 )
 def alter_table_attrs(spark, folder):
     changed = compare.compare_tables(
         side_tables(spark, folder, "source"), side_tables(spark, folder, "target")
     ).where(F.col("kind") == "alter_table_attrs")
-    return changed.select(
-        "pair_id", "namespace", "name", "new_owner", "new_tablespace",
-        F.col("new_partition_info.strategy").alias("new_strategy"),
-        F.col("new_partition_of.parent_name").alias("new_parent"), "new_comment",
-    )
+    plain = [F.col(f"{w}_{a}") for a in ("tablespace", "owner", "comment") for w in ("old", "new")]
+    nested = [
+        c
+        for w in ("old", "new")
+        for c in (
+            F.col(f"{w}_partition_info.strategy").alias(f"{w}_strategy"),
+            F.col(f"{w}_partition_of.parent_name").alias(f"{w}_parent"),
+        )
+    ]
+    return changed.select("pair_id", "namespace", "name", F.array_join("changed", ",").alias("changed"), *plain, *nested)
 
 
 _INDEX_DIFF = " OR ".join(_DIFFERS.format(c) for c in ("table_name", "method", "key_name", "is_unique", "predicate"))
@@ -468,13 +470,24 @@ def rename_table(spark, folder):
 
 # --- section: delta sets ---
 
+ORACLE_CTES["index_ops"] = """
+SELECT pair_id, namespace, name, CASE WHEN s.method IS NULL THEN 'create' WHEN t.method IS NULL THEN 'drop' ELSE 'conflict' END AS op
+FROM {fx_source_index} s FULL JOIN {fx_target_index} t USING (pair_id, namespace, name)
+WHERE s.method IS NULL OR t.method IS NULL OR s.table_name <> t.table_name OR s.method <> t.method OR s.key_name <> t.key_name
+  OR s.is_unique <> t.is_unique OR s.predicate IS DISTINCT FROM t.predicate"""
+
 _BARE = "op, kind, pair_id, namespace, table_name AS parent_name, name, object_kind"
 _REF = ["op", "kind", "pair_id", "namespace", "parent_name", "name", "object_kind"]
 
 
-@query(f"SELECT {_BARE} FROM {{changes}}")
+@query(
+    f"SELECT {_BARE} FROM {{changes}} UNION ALL "
+    "SELECT if(op = 'conflict', 'replace', op) AS op, if(op = 'conflict', 'replace', op) || '_index', pair_id, namespace, NULL, name, 'index' "
+    "FROM {index_ops}"
+)
 def combine_deltas(spark, folder):
-    return all_deltas(spark, folder).select(*_REF)
+    combined = deltas.combine_deltas(all_deltas(spark, folder), index_deltas(spark, folder))
+    return combined.select(*_REF)
 
 
 @query(f"SELECT {_BARE} FROM {{changes}} WHERE op = 'alter'")

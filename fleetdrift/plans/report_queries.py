@@ -9,17 +9,12 @@ from fleetdrift.plans.drift_queries import _LABEL, _RANK, all_deltas, graded, in
 from fleetdrift.plans.fixtures import ORACLE_CTES, fixture, table
 from fleetdrift.plans.registry import query
 from fleetdrift.session import cut_lineage
-from fleetdrift.skew import positions
+from fleetdrift.skew import with_places
 
 _CLASSES = (
     "count(*) FILTER (op = 'create') AS n_add, count(*) FILTER (op IN ('alter', 'replace')) AS n_mod, "
     "count(*) FILTER (op = 'drop') AS n_del, count(*) FILTER (op = 'conflict') AS n_conflict"
 )
-ORACLE_CTES["index_ops"] = """
-SELECT pair_id, namespace, name, CASE WHEN s.method IS NULL THEN 'create' WHEN t.method IS NULL THEN 'drop' ELSE 'conflict' END AS op
-FROM {fx_source_index} s FULL JOIN {fx_target_index} t USING (pair_id, namespace, name)
-WHERE s.method IS NULL OR t.method IS NULL OR s.table_name <> t.table_name OR s.method <> t.method OR s.key_name <> t.key_name
-  OR s.is_unique <> t.is_unique OR s.predicate IS DISTINCT FROM t.predicate"""
 ORACLE_CTES["mixed_changes"] = """
 SELECT pair_id, namespace, object_kind, op FROM {changes}
 UNION ALL SELECT pair_id, namespace, 'index', op FROM {index_ops}"""
@@ -126,16 +121,18 @@ _ALTER = f"'ALTER TABLE ' || {_T} || ' "
   END AS forward,
   CASE kind WHEN 'add_column' THEN {_ALTER}DROP COLUMN ' || {_C}
   WHEN 'drop_column' THEN {_ALTER}ADD COLUMN ' || {_DEFINITION}
-  WHEN 'alter_column_type' THEN {_ALTER}ALTER COLUMN ' || {_C} || ' TYPE ' || data_type || CASE WHEN new_collation IS NULL THEN '' ELSE coalesce(' COLLATE "' || "collation" || '"', '') END
+  WHEN 'replace_column' THEN {_ALTER}DROP COLUMN ' || {_C} || '; ' || {_ALTER}ADD COLUMN ' || old_definition
+  WHEN 'alter_column_type' THEN {_ALTER}ALTER COLUMN ' || {_C} || ' TYPE ' || data_type || coalesce(' COLLATE "' || "collation" || '"', '')
   WHEN 'set_column_default' THEN {_ALTER}ALTER COLUMN ' || {_C} || coalesce(' SET DEFAULT ' || default_expr, ' DROP DEFAULT')
   WHEN 'set_column_nullability' THEN {_ALTER}ALTER COLUMN ' || {_C} || CASE WHEN nullable THEN ' DROP NOT NULL' ELSE ' SET NOT NULL' END
   END AS rollback
-FROM {{column_changes}} WHERE kind <> 'replace_column'"""
+FROM {{column_changes}} LEFT JOIN (SELECT pair_id, namespace, table_name, name, {_DEFINITION} AS old_definition FROM {{norm_source}}) old
+  USING (pair_id, namespace, table_name, name)"""
 )
 def render_statement(spark, folder):
     from fleetdrift.plans.drift_queries import column_deltas
 
-    rendered = script.render_statements(column_deltas(spark, folder)).where(F.col("kind") != "replace_column")
+    rendered = script.render_statements(column_deltas(spark, folder))
     return rendered.select(
         "pair_id", "namespace", F.col("parent_name").alias("table_name"), "name", "kind",
         F.array_join("forward", "; ").alias("forward"), F.array_join("rollback", "; ").alias("rollback"),
@@ -150,23 +147,29 @@ _DROP_TEXT = "'DROP INDEX CONCURRENTLY \"' || namespace || '\".\"' || name || '\
 
 
 @query(
-    f"SELECT o.pair_id, o.namespace, o.name, CASE o.op WHEN 'create' THEN t.up WHEN 'drop' THEN s.down ELSE s.down || '; ' || t.up END AS forward, false AS transactional "
-    f"FROM {{index_ops}} o LEFT JOIN (SELECT *, {_INDEX_TEXT} AS up FROM {{fx_target_index}}) t USING (pair_id, namespace, name) "
-    f"LEFT JOIN (SELECT *, {_DROP_TEXT} AS down FROM {{fx_source_index}}) s USING (pair_id, namespace, name)"
+    f"SELECT o.pair_id, o.namespace, o.name, CASE o.op WHEN 'create' THEN t.up WHEN 'drop' THEN s.down ELSE s.down || '; ' || t.up END AS forward, "
+    f"CASE o.op WHEN 'create' THEN t.down WHEN 'drop' THEN s.up ELSE t.down || '; ' || s.up END AS rollback, false AS transactional "
+    f"FROM {{index_ops}} o LEFT JOIN (SELECT *, {_INDEX_TEXT} AS up, {_DROP_TEXT} AS down FROM {{fx_target_index}}) t USING (pair_id, namespace, name) "
+    f"LEFT JOIN (SELECT *, {_INDEX_TEXT} AS up, {_DROP_TEXT} AS down FROM {{fx_source_index}}) s USING (pair_id, namespace, name)"
 )
 def render_index_statement(spark, folder):
     rendered = script.render_statements(index_deltas(spark, folder))
     return rendered.select(
-        "pair_id", "namespace", "name", F.array_join("forward", "; ").alias("forward"), "transactional"
+        "pair_id", "namespace", "name", F.array_join("forward", "; ").alias("forward"),
+        F.array_join("rollback", "; ").alias("rollback"), "transactional"
     )
 
 
 ORACLE_CTES.update(
+    # every change as often as it has statements
     script_lines=f"""
-SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY namespace, name, op, object_kind) AS line, object_kind <> 'index' AS transactional,
-  CASE object_kind WHEN 'index' THEN CASE op WHEN 'create' THEN 0 WHEN 'drop' THEN 3 ELSE 2 END ELSE CASE op WHEN 'create' THEN 0 ELSE 3 END END AS rank
-FROM (SELECT pair_id, namespace, name, op, 'index' AS object_kind FROM {{index_ops}}
-  UNION ALL SELECT pair_id, namespace, table_name, op, 'table' FROM {{table_changes}}) lines""",
+SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY namespace, name, kind, parent, part) AS line, kind NOT LIKE '%index' AS transactional, rank
+FROM (
+  SELECT pair_id, namespace, name, kind, coalesce(table_name, '') AS parent, {_RANK} AS rank,
+    unnest(range(CASE WHEN kind = 'replace_column' THEN 2 ELSE 1 END)) AS part FROM {{graded_changes}}
+  UNION ALL SELECT pair_id, namespace, name, if(op = 'conflict', 'replace', op) || '_index', '',
+    map {{'create': 0, 'drop': 3, 'conflict': 2}}[op], unnest(range(CASE WHEN op = 'conflict' THEN 2 ELSE 1 END)) FROM {{index_ops}}
+) lines""",
     script_units="""
 SELECT *, sum(CASE WHEN transactional THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS barrier
 FROM {script_lines}""",
@@ -179,15 +182,13 @@ FROM {script_lines}""",
     "FROM {script_units} GROUP BY pair_id, barrier, transactional"
 )
 def transaction_units(spark, folder):
-    changes = all_deltas(spark, folder).where(F.col("object_kind") == "table")
-    rows = risk.classify_risk(deltas.combine_deltas(changes, index_deltas(spark, folder)))
-    rows = rows.select(
-        "pair_id", "namespace", "name", "op", "object_kind", "risk",
-        (F.col("object_kind") != "index").alias("transactional"),
+    rendered = script.render_statements(risk.classify_risk(_mixed(spark, folder)))
+    rows = rendered.select(
+        "pair_id", "namespace", "name", "kind", F.coalesce("parent_name", F.lit("")).alias("parent"),
+        "transactional", "risk", "forward",
     )
     # numbered and counted below: computed once
-    rows = cut_lineage(rows)
-    lines = positions(rows, ["pair_id"], ["namespace", "name", "op", "object_kind"], "line")
+    lines = script.statement_lines(cut_lineage(rows), ["namespace", "name", "kind", "parent"])
     return script.transaction_units(lines)
 
 
@@ -240,8 +241,8 @@ def run_history_summary(spark, folder):
 
 
 @query(
-    "SELECT run_id, pair_id, status, changes, CAST(row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS BIGINT) > 0 AS listed FROM {fx_run}"
+    "SELECT run_id, pair_id, status, changes, row_number() OVER (ORDER BY started_at DESC, run_id DESC) AS place FROM {fx_run}"
 )
 def run_history(spark, folder):
     runs = report.run_history(fixture(spark, folder, "fx_run"))
-    return runs.select("run_id", "pair_id", "status", "changes", F.lit(True).alias("listed"))
+    return with_places(runs).select("run_id", "pair_id", "status", "changes", "place")

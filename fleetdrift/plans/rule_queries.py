@@ -336,14 +336,13 @@ _DELTA = "concat_ws('.', namespace, parent_name, name)"
 
 def _deltas(spark, folder):
     rows = spark.sql(_DELTAS, orders=table(spark, folder, "orders"))
-    none = F.lit(None).cast("string")
     column = F.struct(
         *[(F.col("payload_name") if f.name == "name" else F.lit(None)).cast(f.dataType).alias(f.name) for f in COLUMN.fields]
     )
     return (
         rows.withColumn("payload_namespace", F.col("namespace"))
         .withColumn("column", F.when(F.col("kind") == "add_column", column))
-        .withColumns({c: none for c in ("new_tablespace", "new_comment", "new_partition_info", "new_partition_of")})
+        .withColumn("changed", F.when(F.col("new_owner").isNotNull(), F.array(F.lit("owner"))))
     )
 
 

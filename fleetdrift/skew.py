@@ -139,3 +139,22 @@ def positions(
 ) -> DataFrame:
     """Dense 1-based position of each row in its group."""
     return running(df, group, order, {name: ("sum", F.lit(1))}, hot_rows=hot_rows)
+
+
+def with_places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Add each row's place (from 1) in a sorted table: its place in its partition after all partitions before.
+
+    The sorted rows are stored once, so both uses see the same partitions; the
+    joined counts are one row per partition.
+    """
+    own = cut_lineage(
+        ordered.select(
+            "*", F.spark_partition_id().alias("_partition"), F.monotonically_increasing_id().alias("_id")
+        )
+    )
+    counts = own.groupBy("_partition").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_partition", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return own.join(starts, "_partition").select(
+        *ordered.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name)
+    )

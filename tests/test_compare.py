@@ -54,7 +54,7 @@ def plain(side):
 def test_applying_the_changes_gives_the_target(spark, sides):
     source, target = frame(spark, sides[0]), frame(spark, sides[1])
     changes = compare.compare_columns(source, target, derive_tables=True)
-    changes = compare.attach_columns(changes, source, target).collect()
+    changes = compare.attach_payload(changes, (source, target)).collect()
     state = [plain(s) for s in sides[0]]
 
     def value(c):
@@ -80,8 +80,8 @@ def test_applying_the_changes_gives_the_target(spark, sides):
             old = list(db[key])
             if d.kind == "alter_column_type":
                 old[0] = d.new_data_type
-                # a cleared collation cannot be expressed by this change
-                old[3] = d.new_collation if d.new_collation is not None else sides_collation(sides, d, key)
+                old[3] = d.new_collation
+                assert d.old_column.collation == db[key][3]
             elif d.kind == "set_column_default":
                 old[2] = d.new_default
             elif d.kind == "set_column_nullability":
@@ -94,11 +94,6 @@ def test_applying_the_changes_gives_the_target(spark, sides):
     }
 
 
-def sides_collation(sides, d, key):
-    before, after = sides[0][d.pair_id][key][4], sides[1][d.pair_id][key][4]
-    return before if after is not None else None
-
-
 def test_comparing_a_side_with_itself_is_empty(spark, sides):
     source = frame(spark, sides[0])
     assert compare.compare_columns(source, source, derive_tables=True).isEmpty()
@@ -120,7 +115,12 @@ def test_case_insensitive_names_and_options(spark):
         ("set_column_nullability", "s", "T", "X")
     ]
     assert compare.compare_columns(frame(spark, a), frame(spark, b)).isEmpty()
-    excluded = CompareOptions(case_sensitive=False, exclude_tables=["t*", "T*"])
+    both = compare.common_tables(frame(spark, a), frame(spark, b), loose)
+    assert compare.compare_columns(frame(spark, a), frame(spark, b), loose, both).count() == 1
+    twice = frame(spark, [{("s", "T", "X"): (1, "int4", True, None, None, None, None), ("s", "T", "x"): (2, "int4", True, None, None, None, None)}])
+    (hidden,) = compare.colliding_names(twice, ["pair_id", "namespace", "table_name", "name"]).collect()
+    assert (hidden.name, hidden.n_rows, hidden.n_spellings, hidden.kept) == ("x", 2, 2, "s.T.X")
+    excluded = CompareOptions(case_sensitive=False, exclude_tables=["t*"], include_schemas=["S"])
     assert compare.compare_columns(frame(spark, a), frame(spark, b), excluded).isEmpty()
 
 
@@ -132,7 +132,11 @@ def test_table_attributes(spark):
         )
 
     (d,) = compare.compare_tables(tables("a", "x"), tables("b", None)).collect()
-    assert (d.kind, d.op, d.new_owner, d.new_comment) == ("alter_table_attrs", "alter", "b", "")
+    assert (d.kind, d.op, d.old_owner, d.new_owner) == ("alter_table_attrs", "alter", "a", "b")
+    assert (d.changed, d.old_comment, d.new_comment) == (["owner", "comment"], "x", None)
+    (r,) = script.render_statements(compare.compare_tables(tables("a", "x"), tables("b", None))).collect()
+    assert r.forward == ['ALTER TABLE "s"."t" OWNER TO "b"', 'COMMENT ON TABLE "s"."t" IS NULL']
+    assert r.rollback == ['ALTER TABLE "s"."t" OWNER TO "a"', """COMMENT ON TABLE "s"."t" IS 'x'"""]
     silent = CompareOptions(compare_owner=False, compare_comments=False)
     assert compare.compare_tables(tables("a", "x"), tables("b", None), silent).isEmpty()
 

@@ -31,9 +31,11 @@ def test_export_import_round_trip(spark, small):
     texts = snapshots.export_snapshot(nested)
     again = snapshots.import_snapshot(texts)
     assert sorted(map(repr, nested.collect())) == sorted(map(repr, again.collect()))
-    document = json.loads(texts.first().json)
-    assert list(document) == ["name", "schemas", "extensions", "server_version"]
-    assert document["server_version"] is None and "\n  " in texts.first().json
+    text = texts.where("kind = 'table'").first().json
+    document = json.loads(text)
+    assert list(document) == ["table", "indexes", "schema", "extension"]
+    assert document["schema"] is None and document["table"]["columns"] and "\n  " in text
+    assert nested.where("kind = 'table'").groupBy("db_id", "schema_name", "name").count().where("count > 2").isEmpty()
 
 
 def test_find_objects_first_match_or_nothing(spark):
@@ -55,5 +57,6 @@ def test_write_run(spark, tmp_path):
         # the large pair is spread over files, a small one is a single file
         assert len(list((folder / "pair_id=0").glob("*.json"))) > 1
         assert len(list((folder / "pair_id=950").glob("*.json"))) == 1
-    lines = [json.loads(t)["line"] for f in (tmp_path / "run" / "statements" / "pair_id=0").glob("*.json") for t in f.read_text().splitlines()]
-    assert sorted(lines) == list(range(900))
+    files = sorted((tmp_path / "run" / "statements" / "pair_id=0").glob("*.json"))
+    # files in order of name hold the rows in order
+    assert [json.loads(t)["line"] for f in files for t in f.read_text().splitlines()] == list(range(900))

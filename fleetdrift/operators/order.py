@@ -137,8 +137,11 @@ def root_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rollback_order(ordered: DataFrame) -> DataFrame:
-    """The reverse of an order: last applied is undone first."""
-    return ordered.orderBy("pair_id", F.desc("position"))
+    """The reverse of an order with its own ``undo_position``: last applied is undone first."""
+    last = ordered.groupBy("pair_id").agg(F.max("position").alias("_last"))
+    return ordered.join(last, "pair_id").select(
+        *ordered.columns, (F.col("_last") - F.col("position") + 1).alias("undo_position")
+    )
 
 
 def dependency_count(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -35,9 +35,7 @@ def topological_order(spark, folder):
 )
 def rollback_order(spark, folder):
     ordered = order.topological_order(fixture(spark, folder, "fx_node"), fixture(spark, folder, "fx_edge"))
-    last = ordered.groupBy("pair_id").agg(F.max("position").alias("last"))
-    undo = order.rollback_order(ordered.join(last, "pair_id"))
-    return undo.select("pair_id", "node", (F.col("last") - F.col("position") + 1).alias("undo_position"))
+    return order.rollback_order(ordered).select("pair_id", "node", "undo_position")
 
 
 # Nodes that need, directly or not, a node that needs itself.

@@ -140,6 +140,16 @@ def scan_tables(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     )
 
 
+def _spread_unmatched(oid: Column, *spread: str) -> Column:
+    """Join key of an optional reference: no reference (null or 0) becomes a key that matches nothing.
+
+    Real object ids are positive; the negative stand-ins differ from row to row,
+    so rows without a reference never meet in one join partition.
+    """
+    stand_in = -F.pmod(F.xxhash64(*spread), F.lit(1 << 40)) - 1
+    return F.when(oid > 0, oid.cast("long")).otherwise(stand_in)
+
+
 def scan_columns(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     """Live columns of tables with type, default, collation and variants."""
     tables = _user_classes(catalog, strict, "relkind").where(is_table(F.col("relkind")))
@@ -148,13 +158,15 @@ def scan_columns(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     defaults = catalog.defaults.select(
         "db_id", F.col("adrelid").alias("relid"), F.col("adnum").alias("attnum"), "expr"
     )
-    collations = catalog.collations.select("db_id", F.col("oid").alias("attcollation"), "collname")
+    collations = catalog.collations.select(
+        "db_id", F.col("oid").cast("long").alias("_collation_key"), "collname"
+    )
     return (
-        # Both sides grow with the fleet, so neither is ever worth broadcasting.
-        attributes.join(tables.hint("merge"), ["db_id", "relid"])
+        attributes.withColumn("_collation_key", _spread_unmatched(F.col("attcollation"), "relid", "attnum"))
+        .join(tables, ["db_id", "relid"])
         .join(defaults, ["db_id", "relid", "attnum"], "left")
         .join(types, ["db_id", "atttypid"])
-        .join(collations, ["db_id", "attcollation"], "left")
+        .join(collations, ["db_id", "_collation_key"], "left")
         .select(
             "db_id",
             "schema_name",
@@ -212,7 +224,7 @@ def scan_constraints(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     referenced = (
         catalog.classes.select(
             "db_id",
-            F.col("oid").alias("confrelid"),
+            F.col("oid").cast("long").alias("_ref_key"),
             F.col("relname").alias("ref_table"),
             "relnamespace",
         )
@@ -227,8 +239,9 @@ def scan_constraints(catalog: Catalog, *, strict: bool = False) -> DataFrame:
     )
     return (
         catalog.constraints.where(F.col("contype").isin("p", "u", "c", "f", "x"))
+        .withColumn("_ref_key", _spread_unmatched(F.col("confrelid"), "conrelid", "conname"))
         .join(tables, ["db_id", "conrelid"])
-        .join(referenced, ["db_id", "confrelid"], "left")
+        .join(referenced, ["db_id", "_ref_key"], "left")
         .select(
             "db_id",
             "schema_name",

@@ -276,7 +276,10 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
     shared = signs.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     signs = stored(signs.join(shared.select("sign"), "sign", "left_semi").withColumn("component", F.col("node")))
     links, tried = None, None
+    joined = sets.sparkSession.createDataFrame([], "node long, component long")
     for turn in range(ROUNDS + 1):
+        if signs.isEmpty():
+            break
         if turn < ROUNDS:
             # The node with the largest part of repeated shingles is likeliest the copies' original; later rounds vary it.
             rank = F.struct(-F.col("m") / F.col("n"), F.xxhash64("node")) if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)))
@@ -292,6 +295,8 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs)
+        if pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = stored(_verified(pairs, sets))
         links = found if links is None else links.unionByName(found)

@@ -222,3 +222,45 @@ def scan_licenses(docs: DataFrame, keep: list[str]) -> DataFrame:
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
     schema += [f"{n} {t}" for n, t in zip(RESULT, _TYPES, strict=True)]
     return docs.select("text", *keep).mapInArrow(_scan(keep), ", ".join(schema))
+
+
+def _sql_pattern(template: str) -> str:
+    """A template as a regular expression over words that each follow one blank."""
+    out, tokens = [], _tokens(template)
+    for i, t in enumerate(tokens):
+        if t == "[[":
+            out.append("(?:")
+        elif t == "]]":
+            out.append(")?")
+        elif i and tokens[i - 1] == "<<":
+            out.append(f"(?: [^ ]+){{1,{t}}}")
+        elif t != "<<":
+            out.append(f" {t}")
+    return "".join(out) + "(?: |$)"
+
+
+def _sql_places(phrase: str) -> str:
+    same = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+    return f"list_filter(range(1, len(words) + 1), lambda i: {same})"
+
+
+_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LICENSES_SQL = f"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_CAPITALS}', '{_CAPITALS.lower()}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, words, array_to_string(list_prepend('', words), ' ') AS line,
+    {", ".join(f"{_sql_places(p)} AS p{k}" for k, (p, _) in enumerate(PHRASES))} FROM split
+), judged AS (
+  SELECT doc_id, len(words) AS n_words, {" || ".join(f"p{k}" for k in range(len(PHRASES)))} AS places,
+    list_filter([{", ".join(f"if(len(p{k}) > 0, '{label}', NULL)" for k, (_, label) in enumerate(PHRASES))}], lambda x: x IS NOT NULL) AS base,
+    list_filter([{", ".join(f"if(regexp_matches(line, '{_sql_pattern(t)}'), '{label}', NULL)" for label, t in TEMPLATES)}], lambda x: x IS NOT NULL) AS found
+  FROM placed
+)
+SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
+  array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(base || found)), ',') AS labels,
+  CAST(CASE WHEN len(found) > 0 THEN {WHOLE} WHEN len(base) > 0 THEN {PHRASE_ONLY} ELSE {NOTHING} END AS DOUBLE) AS score
+FROM judged
+"""

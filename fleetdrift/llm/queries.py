@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetdrift.llm import decontaminate, hnsw, jaccard, language, licenses, packing, secrets, shards, toxicity, webpages
+from fleetdrift.llm.jaccard import JACCARD_SQL
+from fleetdrift.llm.licenses import LICENSES_SQL
 from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.session import configure
 
@@ -72,12 +74,12 @@ def op6_ftrl_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", language.held_out(found.doc_id).alias("held_out"), "lang_pred", "score")
 
 
-@query()
+@query(LICENSES_SQL)
 def op7_license_templates(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, folder, "documents"), ["doc_id"])
 
 
-@query()
+@query(JACCARD_SQL)
 def op8_combination_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, folder, "documents"), ["doc_id"])
 

@@ -4,7 +4,7 @@ import __spark_entry__ as entry
 import pytest
 from compare import differences, open_oracle
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from fleetdrift.plans.all_queries import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -21,3 +21,8 @@ def test_query_matches_sql(name, spark, small, oracle):
 
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["pair_id", "n_add", "n_mod", "n_del", "n_conflict"]
+
+
+def test_entry_registers_them_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+    assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 
 from fleetdrift.llm import decontaminate, jaccard, packing, secrets, toxicity
 from fleetdrift.llm.queries import table, tokenizer_path
-from fleetdrift.llm.storage import stored
-from fleetdrift.session import configure
+from fleetdrift.llm.storage import prepared, stored
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -26,7 +25,7 @@ def _with_safe_names(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        configure(spark)
+        prepared(spark)
         names = docs.columns
         safe = [c if c in ("doc_id", "text") else f"_{c}_{i}" for i, c in enumerate(names)]
         out = stage(spark, docs.toDF(*safe), sf_dir)
@@ -80,7 +79,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of what is left."""
-    configure(spark)
+    prepared(spark)
     return packing.pack(docs, tokenizer_path())
 
 

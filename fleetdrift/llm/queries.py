@@ -11,7 +11,7 @@ from fleetdrift.llm import decontaminate, hnsw, jaccard, language, licenses, pac
 from fleetdrift.llm.jaccard import JACCARD_SQL
 from fleetdrift.llm.licenses import LICENSES_SQL
 from fleetdrift.llm.secrets import SECRETS_SQL
-from fleetdrift.session import configure
+from fleetdrift.llm.storage import prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,7 +30,7 @@ def tokenizer_path() -> str:
 
 def query(sql: str | None = None):
     def register(function: Query) -> Query:
-        QUERIES[function.__name__] = lambda spark, folder: function(configure(spark), folder)
+        QUERIES[function.__name__] = lambda spark, folder: function(prepared(spark), folder)
         if sql is not None:
             ORACLES[function.__name__] = sql
         return function

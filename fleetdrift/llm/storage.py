@@ -4,9 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from fleetdrift.session import checkpoint_folder
+from fleetdrift.session import checkpoint_folder, configure
+
+#: Texts sent to a Python worker at once: some megabytes for ordinary documents.
+_BATCH_ROWS = "2000"
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings that these operators rely on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", _BATCH_ROWS)
+    return configure(spark)
 
 
 def stored(df: DataFrame) -> DataFrame:

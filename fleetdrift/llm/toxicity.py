@@ -48,20 +48,29 @@ def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        rest = [batch.column(c) for c in ("toxic", "left_out")]
+        rest = [batch.column(c) for c in ("toxic", "left_out", "weight")]
         for first, last in steps(offsets):
             found, own = word_buckets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             rows = pa.array([found[a:b].tobytes() for a, b in zip(own[:-1], own[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([rows, *[c.slice(first, last - first) for c in rest]], ["found", "toxic", "left_out"])
+            yield pa.RecordBatch.from_arrays([rows, *[c.slice(first, last - first) for c in rest]], ["found", "toxic", "left_out", "weight"])
 
 
 def fit_nnpu(
-    rows: list[np.ndarray], positive: np.ndarray, prior: float, epochs: int = 200, decay: float = 1e-2
+    rows: list[np.ndarray],
+    positive: np.ndarray,
+    prior: float,
+    epochs: int = 200,
+    decay: float = 1e-2,
+    stands_for: np.ndarray | None = None,
 ) -> tuple[np.ndarray, float]:
-    """Weights per bucket and bias.  ``rows`` holds each text's buckets; all rows count as unlabelled."""
+    """Weights per bucket and bias.  ``rows`` holds each text's buckets; all rows count as unlabelled.
+
+    ``stands_for`` is the number of rows each one stands for (its inverse sampling rate), 1 by default.
+    """
     weights = np.zeros(BUCKETS, np.float32)
     if not positive.any():
         return weights, -50.0
+    share = np.ones(len(rows)) if stands_for is None else np.asarray(stands_for, float)
     lengths = np.array([len(r) for r in rows])
     flat = np.concatenate(rows)
     often = np.bincount(flat, minlength=BUCKETS) >= _LEAST_ROWS
@@ -71,10 +80,10 @@ def fit_nnpu(
     text = np.repeat(np.arange(len(rows)), lengths)[often[flat]]
     word = place[flat[often[flat]]]
     # Rare words speak louder: a word's value is its log inverse share of the texts.
-    value = np.log(len(rows) / np.bincount(word, minlength=len(kept)))
+    value = np.log(share.sum() / np.bincount(word, share[text], len(kept)))
     w, bias = np.zeros(len(kept)), np.log(prior / (1 - prior))
     step, m, v = 0.05, np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)
-    p, u = positive / positive.sum(), np.full(len(rows), 1 / len(rows))
+    p, u = positive * share / (positive * share).sum(), share / share.sum()
     for t in range(1, epochs + 1):
         z = np.bincount(text, (w * value)[word], len(rows)) + bias
         s = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
@@ -91,9 +100,10 @@ def fit_nnpu(
     return weights, float(bias)
 
 
-def calibrate(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def calibrate(z: np.ndarray, toxic: np.ndarray, stands_for: np.ndarray | None = None) -> tuple[float, float]:
     """Slope and shift of the logits of least log loss (Newton's steps); the slope stays positive."""
     slope, shift = 1.0, 0.0
+    share = np.ones(len(z)) if stands_for is None else np.asarray(stands_for, float)
     if not toxic.any() or toxic.all():
         return slope, shift
     # Targets stay off 0 and 1, so that separable rows have a finite optimum.
@@ -101,8 +111,9 @@ def calibrate(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     target = np.where(toxic, (n + 1) / (n + 2), 1 / (len(z) - n + 2))
     for _ in range(50):
         s = 1 / (1 + np.exp(-np.clip(slope * z + shift, -30, 30)))
-        g = np.array([((s - target) * z).sum(), (s - target).sum()])
-        v = s * (1 - s) + 1e-6
+        off = share * (s - target)
+        g = np.array([(off * z).sum(), off.sum()])
+        v = share * (s * (1 - s) + 1e-6)
         h = np.array([[(v * z * z).sum(), (v * z).sum()], [(v * z).sum(), v.sum()]]) + 1e-6 * np.eye(2)
         move = np.linalg.solve(h, g)
         slope, shift = max(slope - np.clip(move[0], -1, 1), 1e-3), shift - np.clip(move[1], -2, 2)
@@ -111,19 +122,20 @@ def calibrate(z: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 def _trainer(prior: float) -> Callable:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, toxic, left_out = [], [], []
+        rows, toxic, left_out, share = [], [], [], []
         for batch in batches:
             rows += [np.frombuffer(x, np.int32) for x in batch.column("found").to_pylist()]
             toxic += batch.column("toxic").to_pylist()
             left_out += batch.column("left_out").to_pylist()
+            share += batch.column("weight").to_pylist()
         if rows:
-            toxic, left_out = np.array(toxic, bool), np.array(left_out, bool)
+            toxic, left_out, share = np.array(toxic, bool), np.array(left_out, bool), np.array(share, float)
             if not toxic[left_out].any() or not toxic[~left_out].any():
                 left_out[:] = False
             fitted = np.flatnonzero(~left_out)
-            weights, bias = fit_nnpu([rows[i] for i in fitted], toxic[fitted], prior)
+            weights, bias = fit_nnpu([rows[i] for i in fitted], toxic[fitted], prior, stands_for=share[fitted])
             z = np.array([weights[rows[i]].sum() + bias for i in np.flatnonzero(left_out)])
-            slope, shift = calibrate(z, toxic[left_out])
+            slope, shift = calibrate(z, toxic[left_out], share[left_out])
             weights, bias = weights * np.float32(slope), bias * slope + shift
             kept = np.flatnonzero(weights)
             out = io.BytesIO()
@@ -138,7 +150,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> bytes:
 
     The sample is chosen by a hash of the id; the class prior is the share of
     toxic rows among all labelled rows that are not held out.  A quarter of the
-    sample is left out of the fit and calibrates the score.
+    sample is left out of the fit and calibrates the score.  Toxic rows may be
+    sampled at a higher rate than others; every row counts by its inverse rate.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -152,15 +165,16 @@ def train_toxicity(docs: DataFrame, labels: DataFrame) -> bytes:
     grain = F.pmod(F.xxhash64("doc_id"), F.lit(_GRAIN))
     ordinary = int(_GRAIN * min(1.0, UNLABELLED / rows))
     toxic = int(_GRAIN * min(1.0, POSITIVES / positives))
-    # Toxic rows beyond the common share only serve as positives; both shares are alike for small tables.
-    sample = known.where(grain < F.when(F.col("toxic"), F.lit(max(toxic, ordinary))).otherwise(F.lit(ordinary)))
+    # Both shares are alike for small tables.  Each row stands for as many labelled rows as its share leaves out.
+    taken = F.when(F.col("toxic"), F.lit(max(toxic, ordinary, 1))).otherwise(F.lit(max(ordinary, 1)))
+    sample = known.where(grain < taken).withColumn("weight", F.lit(float(_GRAIN)) / taken)
     prior = min(max(positives / rows, 1e-4), 0.5)
     model = (
         docs.select("doc_id", "text")
         # The sample is bounded by the two parameters, whatever the tables' sizes: the texts stay where they are.
         .join(F.broadcast(sample), "doc_id")
-        .select("text", "toxic", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("left_out"))
-        .mapInArrow(_features, "found binary, toxic boolean, left_out boolean")
+        .select("text", "toxic", "weight", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("left_out"))
+        .mapInArrow(_features, "found binary, toxic boolean, left_out boolean, weight double")
         .repartition(1)
         .mapInArrow(_trainer(prior), "model binary")
         .collect()

@@ -72,6 +72,26 @@ def test_corrected_risk_stays_up_when_positives_are_unlabelled_too():
     assert scores[::4].min() > scores[1::4].max()
 
 
+def test_bounded_samples_score_like_the_full_fit(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    toxic = rng.random(9000) < 0.11
+    # Words that toxic texts use more often, none of them certain: the scores are probabilities between 0 and 1.
+    hint = np.where(toxic[:, None], 0.3, 0.08) > rng.random((9000, 8))
+    texts = [" ".join([f"w{j}" for j in rng.integers(0, 60, 6)] + [f"hint{j}" for j in np.flatnonzero(h)]) for h in hint]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(y)) for i, y in enumerate(toxic)], "doc_id long, toxic int")
+
+    def scores():
+        return np.array([s for (s,) in by_id(toxicity.score_toxicity(docs, toxicity.train_toxicity(docs, labels), ["doc_id"]), "score").values()])
+
+    full = scores()
+    monkeypatch.setattr(toxicity, "POSITIVES", 500)
+    monkeypatch.setattr(toxicity, "UNLABELLED", 1500)  # of some 660 and 6,000
+    sampled = scores()
+    assert full.mean() == pytest.approx(toxic.mean(), abs=0.03)
+    assert sampled.mean() == pytest.approx(full.mean(), abs=0.03)
+
+
 # --- language ---
 
 

@@ -80,10 +80,10 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
             "link", F.col("shard").alias("wish"), (F.col("n") / F.col("degree")).alias("pull"),
             F.xxhash64("link", "shard").alias("prefer"),
         )
-        # The strongest few shards of a link stand for it: a link spread over all shards pulls nowhere.
-        strongest = Window.partitionBy("link").orderBy(F.desc("pull"), "prefer")
-        pulls = pulls.withColumn("_r", F.row_number().over(strongest)).where("_r <= 4").drop("_r")
-        votes = links.join(pulls, "link").groupBy("node", "wish").agg(
+        # A link's shards, at most as many as there are, travel to its nodes as one row and are counted there.
+        pulls = pulls.groupBy("link").agg(F.collect_list(F.struct("wish", "pull", "prefer")).alias("pulls"))
+        drawn = links.join(pulls, "link").select("node", "pulls").repartition("node")
+        votes = drawn.select("node", F.inline("pulls")).groupBy("node", "wish").agg(
             F.sum("pull").alias("pull"), F.max("prefer").alias("prefer")
         )
         best = votes.groupBy("node").agg(

@@ -129,6 +129,21 @@ def test_linked_nodes_move_together(spark):
     assert [r.b for r in after.groupBy("shard").agg(F.sum("bytes").alias("b")).collect()] == pytest.approx([1000] * 4, rel=0.3)
 
 
+def test_all_shards_of_a_link_have_votes(spark):
+    """Nodes 0 and 1 change places: their links' fifth strongest shard is the same one each time, the stronger ones differ."""
+    nodes, links = [(0, 10, 0), (1, 10, 1)], []
+    for link in range(6):
+        node, best = (0, 1) if link < 3 else (1, 0)
+        others = [2 + 4 * link + j for j in range(4) for _ in range(3)]
+        links.append((node, link))
+        for shard in [*others, best, best]:
+            links.append((len(nodes), link))
+            nodes.append((len(nodes), 10, shard))
+    state = spark.createDataFrame(nodes, "node long, bytes long, shard int")
+    after = shards.propagate(state, spark.createDataFrame(links, "node long, link long"), 1)
+    assert {r.node: r.shard for r in after.where("node < 2").collect()} == {0: 1, 1: 0}
+
+
 # --- similarity join ---
 
 

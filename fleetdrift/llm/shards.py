@@ -1,10 +1,10 @@
 """Balanced shards by label propagation under capacity quotas.
 
-Equal texts are one node (texts of a node beyond a fraction of a shard form
-several nodes).  Nodes are linked by equal text and by shared lines.  Each round
+Equal texts are one node (a group larger than a shard forms the fewest nodes
+that fit).  Nodes are linked by equal text and by shared lines.  Each round
 joins every node's links with its neighbours' shards, and nodes move to the
-shard most of their neighbours are in.  Between every two shards only as many
-bytes move one way as the other, nodes with most to gain first.  A last pass
+shard most of their neighbours are in.  A shard takes what fits beside what leaves it, nodes
+with most to gain first.  A last pass
 evens out what the start left uneven, moving weakly linked nodes.
 
 Law: ``bytes``.  Sizes are the text's UTF-8 bytes plus 16 and end near equal:
@@ -28,39 +28,51 @@ from fleetdrift.llm.storage import stored
 
 SHARDS = 40
 ROUNDS = 3
-#: A node holds at most this part of a mean shard; larger groups of copies are cut into several nodes.
-NODE_PART = 10
 #: Shorter lines link nothing.
 LINE_CHARS = 40
 _BINS = 32
-_GRAINS = 64
+_GRAINS = 16
+#: Moves may fill a shard beyond the mean by this part of it; the last pass evens that out.
+SLACK = 20
 
 
 def _size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def _quota_moves(wishes: DataFrame) -> DataFrame:
-    """Which bins of (from, to, gain) may move: as many bytes as move back, best gains first.
+def _quota_moves(cells: DataFrame, load: DataFrame, shards: int) -> DataFrame:
+    """For each shard the least rank of the cells that may move in: all that fit when all others move too.
 
     Gains are cut into bins and those into hashed grains, so the table counted
-    here has a bounded number of rows whatever the number of nodes.
+    here has a bounded number of rows whatever the number of nodes.  A shard has
+    one quota for what comes from all others, so a large node changes places
+    with many small ones: all moves are taken, then shards that end above their
+    capacity turn away their lowest ranks until none does.
     """
-    cells = wishes.groupBy("shard", "wish", "bin", "grain").agg(F.sum("bytes").alias("bytes"))
-    flow = cells.groupBy("shard", "wish").agg(F.sum("bytes").alias("flow"))
-    back = flow.select(F.col("shard").alias("wish"), F.col("wish").alias("shard"), F.col("flow").alias("back"))
-    quota = flow.join(back, ["shard", "wish"], "left").select(
-        "shard", "wish", F.least("flow", F.coalesce("back", F.lit(0))).alias("quota")
-    )
-    best_first = (
-        Window.partitionBy("shard", "wish").orderBy(F.desc("bin"), "grain").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        cells.withColumn("so_far", F.sum("bytes").over(best_first))
-        .join(quota, ["shard", "wish"])
-        .where(F.col("so_far") <= F.col("quota"))
-        .select("shard", "wish", "bin", "grain", F.lit(True).alias("moves"))
-    )
+    held, total = np.zeros(shards), 0
+    for r in load.collect():
+        held[r["shard"]] = r["linked"]
+        total += r["bytes"]
+    # Nodes without links hold no room: the last pass moves them first.
+    full = np.maximum(held, total / shards * (1 + 1 / SLACK))
+    table = cells.toPandas()
+    table = table.sort_values(["wish", "rank"], ascending=[True, False])
+    source, sizes, ranks = (table[c].to_numpy() for c in ("shard", "bytes", "rank"))
+    first = np.searchsorted(table["wish"].to_numpy(), np.arange(shards + 1))
+    end = first[1:].copy()  # the cells from first to end of each shard move in
+    now = held.copy()
+    np.add.at(now, table["wish"].to_numpy(), sizes)
+    np.subtract.at(now, source, sizes)
+    while (over := np.flatnonzero((now > full) & (end > first[:-1]))).size:
+        for s in over:
+            turned = np.cumsum(sizes[first[s] : end[s]][::-1])
+            n = min(int(np.searchsorted(turned, now[s] - full[s])) + 1, len(turned))
+            back = slice(end[s] - n, end[s])
+            np.add.at(now, source[back], sizes[back])
+            now[s] -= turned[n - 1]
+            end[s] -= n
+    least = [(int(s), int(ranks[end[s] - 1])) for s in range(shards) if end[s] > first[s]]
+    return cells.sparkSession.createDataFrame(least, "wish int, least long")
 
 
 def _grain(node: str = "node") -> Column:
@@ -68,12 +80,16 @@ def _grain(node: str = "node") -> Column:
 
 
 def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, bytes, shard after some rounds of moves.  ``links`` holds (node, link); nodes of a link are neighbours."""
-    state = nodes
+    """node, bytes, shard after some rounds of moves.  ``links`` holds (node, link); nodes of a link are neighbours.
+
+    A node has as many votes as ``copies`` (1 where the column is missing).
+    """
+    state = nodes if "copies" in nodes.columns else nodes.withColumn("copies", F.lit(1))
+    shards = (nodes.agg(F.max("shard")).first()[0] or 0) + 1
     for _ in range(rounds):
-        placed = links.join(state.select("node", "shard"), "node")
+        placed = links.join(state.select("node", "shard", "copies"), "node")
         # A link's nodes are counted by shard first: a link of a third of all nodes costs one row per shard.
-        inside = placed.groupBy("link", "shard").agg(F.count(F.lit(1)).alias("n"))
+        inside = placed.groupBy("link", "shard").agg(F.sum("copies").alias("n"))
         degree = inside.groupBy("link").agg(F.sum("n").alias("degree"))
         # All nodes of a link prefer the same one of equally strong shards, other links other ones.
         pulls = inside.join(degree, "link").select(
@@ -90,18 +106,22 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
             F.max_by("wish", F.struct("pull", "prefer")).alias("wish"), F.max("pull").alias("best")
         )
         wished = state.join(best, "node", "left").select(
-            "node", "bytes", "shard", F.coalesce("wish", "shard").alias("wish"),
-            F.least(F.floor(F.coalesce("best", F.lit(0.0)) * 8), F.lit(_BINS - 1)).cast("int").alias("bin"),
-            _grain().alias("grain"),
+            "node", "bytes", "copies", "shard", F.coalesce("wish", "shard").alias("wish"), F.col("best").isNotNull().alias("linked"),
+            ((F.least(F.floor(F.coalesce("best", F.lit(0.0)) * 8), F.lit(_BINS - 1)) * _GRAINS + _grain()) * shards
+             + F.col("shard")).cast("long").alias("rank"),
         )
         wished = stored(wished)
-        moves = _quota_moves(wished.where("wish <> shard"))
+        load = wished.groupBy("shard").agg(
+            F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("linked"), F.col("bytes")).otherwise(0)).alias("linked")
+        )
+        cells = wished.where("wish <> shard").groupBy("shard", "wish", "rank").agg(F.sum("bytes").alias("bytes"))
+        least = _quota_moves(cells, load, shards)
         state = stored(
-            wished.join(moves, ["shard", "wish", "bin", "grain"], "left").select(
-                "node", "bytes", F.when(F.col("moves"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
+            wished.join(F.broadcast(least), "wish", "left").select(
+                "node", "bytes", "copies", F.when(F.col("rank") >= F.col("least"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
             )
         )
-    return state
+    return state.drop("copies")
 
 
 def even_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
@@ -111,25 +131,33 @@ def even_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
     capacity are marked, then the marked bytes are laid end to end against the
     free room of the other shards.
     """
+    rest = [c for c in state.columns if c != "shard"]
     for _ in range(2):
         marked = state.join(linked, "node", "left").select(
-            "node", "bytes", "shard", F.coalesce("linked", F.lit(0)).alias("linked"),
-            F.pmod(F.xxhash64("node", F.lit(11)), F.lit(_GRAINS * 64)).cast("int").alias("grain"),
+            *rest, "shard", F.coalesce("linked", F.lit(0)).alias("linked"),
+            F.pmod(F.xxhash64("node", F.lit(11)), F.lit(4096)).cast("int").alias("grain"),
         )
         cells = marked.groupBy("shard", "linked", "grain").agg(F.sum("bytes").alias("bytes")).toPandas()
         if cells.empty:
             return state
         target = cells["bytes"].sum() / shards
-        cells = cells.sort_values(["shard", "linked", "grain"], ascending=[True, False, True]).reset_index(drop=True)
+        # Cells of a large node stay first; only small ones fit into what room is left elsewhere.
+        cells["large"] = cells["bytes"] > target / 100
+        cells["first"] = cells["bytes"].where(cells["large"], 0)
+        cells = cells.sort_values(["shard", "large", "first", "linked", "grain"], ascending=[True, False, False, False, True]).reset_index(drop=True)
         cells["end"] = cells.groupby("shard")["bytes"].cumsum()
         over = cells[cells["end"] > target * (1 + 1e-4)].copy()
         kept = cells[cells["end"] <= target * (1 + 1e-4)].groupby("shard")["bytes"].sum()
         room = np.array([target - kept.get(s, 0) for s in range(shards)])
+        # A large cell is laid where the other large ones leave room; the second pass moves the small ones from there.
+        clear = target - np.bincount(cells["shard"], cells["first"].where(cells["end"] <= target * (1 + 1e-4), 0), shards)
         over = over.sort_values("bytes", ascending=False, kind="stable")
         goes = []
-        for b, s in zip(over["bytes"], over["shard"], strict=True):
-            best = s if room[s] >= b else int(room.argmax())
+        for b, s, large in zip(over["bytes"], over["shard"], over["large"], strict=True):
+            free = clear if large else room
+            best = s if free[s] >= b else int(free.argmax())
             room[best] -= b
+            clear[best] -= b if large else 0
             goes.append(best)
         over["goes"] = goes
         over = over[over["goes"] != over["shard"]]
@@ -138,12 +166,20 @@ def even_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
         table = state.sparkSession.createDataFrame(over[["shard", "linked", "grain", "goes"]].astype("int32"))
         state = stored(
             marked.join(F.broadcast(table), ["shard", "linked", "grain"], "left").select(
-                "node", "bytes", F.coalesce("goes", "shard").cast("int").alias("shard")
+                *rest, F.coalesce("goes", "shard").cast("int").alias("shard")
             )
         )
     return state
 
 
+def cut_share(members: DataFrame) -> float:
+    """Share of pairs of equal ``link`` in different shards; ``members`` holds (link, shard)."""
+    inside = members.groupBy("link", "shard").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    pairs = inside.groupBy("link").agg(F.sum("n").alias("all"), F.sum(F.col("n") * (F.col("n") - 1)).alias("kept"))
+    kept, every = pairs.agg(F.sum("kept"), F.sum(F.col("all") * (F.col("all") - 1))).first()
+    return 1 - kept / every if every else 0.0
+
+
 def balanced_shards(docs: DataFrame, keep: Sequence[str], shards: int = SHARDS) -> DataFrame:
     """Columns ``keep`` of every document with size, text_crc32, shard and a gapless slot in it."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -152,34 +188,40 @@ def balanced_shards(docs: DataFrame, keep: Sequence[str], shards: int = SHARDS)
         F.xxhash64(text).alias("group"), F.xxhash64(*[F.col(c) for c in keep]).alias("_row"),
     )
     total = rows.agg(F.sum("size")).first()[0] or 0
-    most = max(total / shards / NODE_PART, 1.0)
-    sizes = rows.groupBy("group").agg(F.sum("size").alias("bytes"))
-    # A group of copies larger than a node may be is dealt out by a hash of the rows.
-    sizes = sizes.select("group", F.ceil(F.col("bytes") / most).cast("long").alias("cuts"))
+    most = max(total / shards, 1.0)
+    sizes = rows.groupBy("group").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies"))
+    # A group of copies larger than a shard is cut into as few runs of its rows as fit.
+    sizes = sizes.select("group", "copies", F.least(F.ceil(F.col("bytes") / most), "copies").cast("long").alias("cuts"))
     large = stored(sizes.where("cuts > 1"))
-    rows = rows.join(large, "group", "left").select(
-        *keep, "size", "text_crc32", F.when(F.col("cuts").isNotNull(), F.col("group")).alias("cut_from"),
-        F.when(F.col("cuts").isNull(), F.col("group"))
-        .otherwise(F.xxhash64("group", F.pmod(F.col("_row"), F.col("cuts"))))
-        .alias("node"),
+    rows = stored(rows.join(large, "group", "left"))
+    columns = [*keep, "size", "text_crc32", "group"]
+    runs = numbered(rows.where("cuts IS NOT NULL"), ["group"], ["_row"], "place").select(
+        *columns, F.col("group").alias("cut_from"),
+        F.xxhash64("group", F.floor(F.col("place") * F.col("cuts") / F.col("copies"))).alias("node"),
     )
-    rows = stored(rows)
-    start = rows.groupBy("node").agg(F.sum("size").alias("bytes")).withColumn(
+    rows = stored(
+        rows.where("cuts IS NULL")
+        .select(*columns, F.lit(None).cast("long").alias("cut_from"), F.col("group").alias("node"))
+        .unionByName(runs)
+    )
+    start = rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).withColumn(
         "shard", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int")
     )
     state = stored(start)
     lines = F.array_distinct(
         F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x))
     )
-    shared = (
-        docs.select(F.xxhash64(text).alias("node"), F.explode(lines).alias("link"))
-        .join(large.select(F.col("group").alias("node")), "node", "left_anti")
-    )
-    alone = shared.groupBy("link").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
-    pieces = rows.where("cut_from IS NOT NULL").select("node", F.col("cut_from").alias("link"))
-    links = stored(shared.join(alone.select("link"), "link", "left_semi").unionByName(pieces).distinct())
-    state = propagate(state, links)
-    linked = links.select("node").distinct().withColumn("linked", F.lit(1))
+    shared = docs.select(F.xxhash64(text).alias("group"), F.explode(lines).alias("link"))
+    alone = shared.groupBy("link").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
+    shared = shared.join(alone.select("link"), "link", "left_semi").distinct()
+    pieces = stored(rows.where("cut_from IS NOT NULL").select("node", F.col("cut_from").alias("link")).distinct())
+    # All pieces of a cut group keep the group's lines.
+    named = pieces.select("node", F.col("link").alias("group"))
+    whole = shared.join(named, "group", "left").select(F.coalesce("node", "group").alias("node"), "link")
+    links = stored(whole.unionByName(pieces))
+    linked = stored(links.select("node").distinct().withColumn("linked", F.lit(1)))
+    # Large nodes would leave no room in the shards they start in.
+    state = propagate(even_out(state, linked, shards), links)
     state = even_out(state, linked, shards)
     placed = stored(rows.join(state.select("node", "shard"), "node"))
     order = [c for c in (*keep, "text_crc32", "size")]

@@ -144,6 +144,35 @@ def test_all_shards_of_a_link_have_votes(spark):
     assert {r.node: r.shard for r in after.where("node < 2").collect()} == {0: 1, 1: 0}
 
 
+def test_groups_below_a_shard_stay_whole_and_near_their_lines(spark):
+    line = "a line of more than forty characters in copies and near copies "
+    rows = [(i, line * 3 + f"\n{line}") for i in range(100)] + [(1000 + i, f"{line}\nnear copy {i}") for i in range(40)]
+    rng = np.random.default_rng(6)
+    rows += [(2000 + i, rng.bytes(70).hex()) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = shards.balanced_shards(docs, ["doc_id"], 3).collect()
+    groups = Counter(r.shard for r in found if r.doc_id < 100)
+    assert len(groups) == 1  # 27 of some 110 KB, a shard holds 36
+    near = Counter(r.shard for r in found if 1000 <= r.doc_id < 2000)
+    assert near[next(iter(groups))] >= 20  # at random some 13
+    sizes = Counter()
+    for r in found:
+        sizes[r.shard] += r["size"]
+    assert max(sizes.values()) - min(sizes.values()) <= 0.05 * sum(sizes.values()) / 3
+    pairs = spark.createDataFrame([(1, 0), (1, 0), (1, 1), (2, 0)], "link int, shard int")
+    assert shards.cut_share(pairs) == pytest.approx(2 / 3)
+
+
+def test_a_large_node_changes_places_with_small_ones(spark):
+    nodes = [(0, 100, 0)] + [(i, 10, 1) for i in range(1, 11)] + [(i, 1, i % 2) for i in range(20, 60)]
+    links = [(0, 1)] + [(i, 1) for i in range(20, 60) if i % 2 == 1] + [(i, 2) for i in range(1, 11)]
+    links += [(i, 2) for i in range(20, 60) if i % 2 == 0]
+    state = spark.createDataFrame(nodes, "node long, bytes long, shard int")
+    after = shards.propagate(state, spark.createDataFrame(links, "node long, link long"), 1)
+    place = {r.node: r.shard for r in after.collect()}
+    assert place[0] == 1 and all(place[i] == 0 for i in range(1, 11))
+
+
 # --- similarity join ---
 
 

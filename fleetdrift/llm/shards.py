@@ -1,7 +1,8 @@
 """Balanced shards by label propagation under capacity quotas.
 
 Equal texts are one node (a group larger than a shard forms the fewest nodes
-that fit).  Nodes are linked by equal text and by shared lines.  Each round
+that fit).  Nodes are linked by equal text, by shared lines and by shared byte
+windows of a sketch (the windows of least hash).  Each round
 joins every node's links with its neighbours' shards, and nodes move to the
 shard most of their neighbours are in.  A shard takes what fits beside what leaves it, nodes
 with most to gain first.  A last pass
@@ -17,19 +18,23 @@ by a hash of the node.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetdrift.llm.numbering import numbered
 from fleetdrift.llm.storage import stored
+from fleetdrift.llm.textarrays import LOWER, ranges, span_hashes, steps, utf8
 
 SHARDS = 40
-ROUNDS = 3
-#: Shorter lines link nothing.
-LINE_CHARS = 40
+#: Rounds end when one moves less than this share of the bytes, or when so many in a row move not a tenth less than the least before.
+SETTLED, PATIENCE = 0.01, 2
+#: Bytes of a window of texts from so many bytes on, and the windows of a text that link it: those of least hash.
+WINDOWS, SKETCH = {48: 24, 16: 8, 0: 2}, 16
 _BINS = 32
 _GRAINS = 16
 #: Moves may fill a shard beyond the mean by this part of it; the last pass evens that out.
@@ -40,8 +45,39 @@ def _size(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
 
 
-def _quota_moves(cells: DataFrame, load: DataFrame, shards: int) -> DataFrame:
-    """For each shard the least rank of the cells that may move in: all that fit when all others move too.
+def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """group and link of each text's sketch: its windows of least hash, all of them in short texts."""
+    for batch in batches:
+        data, offsets = utf8(batch.column("text"))
+        groups = batch.column("group").to_numpy()
+        for first, last in steps(offsets):
+            part, own = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
+            lengths = np.diff(own)
+            width = np.select([lengths >= least for least in WINDOWS], list(WINDOWS.values()))
+            width = np.minimum(width, lengths)
+            count = np.where(lengths > 0, lengths - width + 1, 0)
+            starts = ranges(own[:-1], count)
+            hashes = span_hashes(part, starts, starts + np.repeat(width, count))
+            ends = np.concatenate([[0], np.cumsum(count)])
+            found = [_least(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            links = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
+            owners = np.repeat(groups[first:last], [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(links)], ["group", "link"])
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    # Equal windows count once: more than the sketch's size are looked at until so many differ.
+    n = 4 * SKETCH
+    while n < len(hashes):
+        found = np.unique(np.partition(hashes, n)[:n])
+        if len(found) >= SKETCH:
+            return found[:SKETCH]
+        n *= 4
+    return np.unique(hashes)[:SKETCH]
+
+
+def _quota_moves(cells: DataFrame, load: DataFrame, shards: int) -> tuple[DataFrame, float]:
+    """For each shard the least rank of the cells that may move in, all that fit when all others move too; and the share of bytes that moves.
 
     Gains are cut into bins and those into hashed grains, so the table counted
     here has a bounded number of rows whatever the number of nodes.  A shard has
@@ -72,21 +108,23 @@ def _quota_moves(cells: DataFrame, load: DataFrame, shards: int) -> DataFrame:
             now[s] -= turned[n - 1]
             end[s] -= n
     least = [(int(s), int(ranks[end[s] - 1])) for s in range(shards) if end[s] > first[s]]
-    return cells.sparkSession.createDataFrame(least, "wish int, least long")
+    moved = sum(int(sizes[a:b].sum()) for a, b in zip(first[:-1], end, strict=True))
+    return cells.sparkSession.createDataFrame(least, "wish int, least long"), moved / max(total, 1)
 
 
 def _grain(node: str = "node") -> Column:
     return F.pmod(F.xxhash64(node, F.lit(7)), F.lit(_GRAINS)).cast("int")
 
 
-def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """node, bytes, shard after some rounds of moves.  ``links`` holds (node, link); nodes of a link are neighbours.
+def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """node, bytes, shard after rounds of moves until they settle, or at most ``rounds``.  ``links`` holds (node, link); nodes of a link are neighbours.
 
     A node has as many votes as ``copies`` (1 where the column is missing).
     """
     state = nodes if "copies" in nodes.columns else nodes.withColumn("copies", F.lit(1))
     shards = (nodes.agg(F.max("shard")).first()[0] or 0) + 1
-    for _ in range(rounds):
+    lowest, idle = 1.0, 0
+    for _ in itertools.count() if rounds is None else range(rounds):
         placed = links.join(state.select("node", "shard", "copies"), "node")
         # A link's nodes are counted by shard first: a link of a third of all nodes costs one row per shard.
         inside = placed.groupBy("link", "shard").agg(F.sum("copies").alias("n"))
@@ -115,12 +153,16 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int = ROUNDS) -> DataF
             F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("linked"), F.col("bytes")).otherwise(0)).alias("linked")
         )
         cells = wished.where("wish <> shard").groupBy("shard", "wish", "rank").agg(F.sum("bytes").alias("bytes"))
-        least = _quota_moves(cells, load, shards)
+        least, moved = _quota_moves(cells, load, shards)
         state = stored(
             wished.join(F.broadcast(least), "wish", "left").select(
                 "node", "bytes", "copies", F.when(F.col("rank") >= F.col("least"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
             )
         )
+        idle = 0 if moved < 0.9 * lowest else idle + 1
+        lowest = min(lowest, moved)
+        if moved < SETTLED or idle >= PATIENCE:
+            break
     return state.drop("copies")
 
 
@@ -209,9 +251,13 @@ def balanced_shards(docs: DataFrame, keep: Sequence[str], shards: int = SHARDS)
     )
     state = stored(start)
     lines = F.array_distinct(
-        F.transform(F.filter(F.split(text, "\n"), lambda x: F.length(x) >= LINE_CHARS), lambda x: F.xxhash64(x))
+        F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
+    )
+    texts = docs.select(F.xxhash64(text).alias("group"), text.alias("text"))
+    shared = stored(
+        docs.select(F.xxhash64(text).alias("group"), F.explode(lines).alias("link"))
+        .unionByName(texts.mapInArrow(_window_links, "group long, link long"))
     )
-    shared = docs.select(F.xxhash64(text).alias("group"), F.explode(lines).alias("link"))
     alone = shared.groupBy("link").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high")
     shared = shared.join(alone.select("link"), "link", "left_semi").distinct()
     pieces = stored(rows.where("cut_from IS NOT NULL").select("node", F.col("cut_from").alias("link")).distinct())

@@ -173,6 +173,25 @@ def test_a_large_node_changes_places_with_small_ones(spark):
     assert place[0] == 1 and all(place[i] == 0 for i in range(1, 11))
 
 
+def test_short_lines_and_near_copies_of_one_line_link(spark):
+    rng = np.random.default_rng(8)
+    rows, family = [], {}
+    for f in range(24):
+        words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(30)]
+        for c in range(10):
+            text = "\n".join(rng.permutation(words)) if f % 2 else " ".join([*words[:15], f"copy{c}", *words[15:]])
+            family[len(rows)] = f
+            rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = shards.balanced_shards(docs, ["doc_id"], 4).collect()
+    places = defaultdict(Counter)
+    for r in found:
+        places[family[r.doc_id]][r.shard] += 1
+    most = [max(c.values()) for _, c in sorted(places.items())]
+    # At random the strongest shard holds about 4 of the 10.
+    assert np.mean(most[::2]) >= 7 and np.mean(most[1::2]) >= 7
+
+
 # --- similarity join ---
 
 

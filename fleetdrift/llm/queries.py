@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetdrift.llm import decontaminate, hnsw, jaccard, language, licenses, packing, secrets, shards, toxicity, webpages
+from fleetdrift.llm import (
+    decontaminate, hnsw, jaccard, language, licenses, packing, secrets, shards, toxicity, warc, webpages,
+)
 from fleetdrift.llm.jaccard import JACCARD_SQL
 from fleetdrift.llm.licenses import LICENSES_SQL
 from fleetdrift.llm.secrets import SECRETS_SQL
-from fleetdrift.llm.storage import prepared
+from fleetdrift.llm.storage import prepared, scratch
+from fleetdrift.llm.warc import WARC_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,3 +96,10 @@ def op9_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op10_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
+
+
+@query(WARC_SQL)
+def op13_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
+    archives = scratch(spark)
+    warc.write_archives(warc.page_records(table(spark, folder, "pages")), archives)
+    return warc.resolved(warc.read_archives(spark, archives, payloads=False))

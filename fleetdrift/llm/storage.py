@@ -18,12 +18,17 @@ def prepared(spark: SparkSession) -> SparkSession:
     return configure(spark)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, below this application's own part of it."""
+    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs its unfinished tasks, not the work before.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetdrift.llm import (
-    decontaminate, hnsw, jaccard, language, licenses, packing, secrets, shards, toxicity, warc, webpages,
+    decontaminate, hnsw, jaccard, language, licenses, negatives, packing, secrets, shards, toxicity, warc, webpages,
 )
 from fleetdrift.llm.jaccard import JACCARD_SQL
 from fleetdrift.llm.licenses import LICENSES_SQL
+from fleetdrift.llm.negatives import NEGATIVES_SQL
 from fleetdrift.llm.secrets import SECRETS_SQL
 from fleetdrift.llm.storage import prepared, scratch
 from fleetdrift.llm.warc import WARC_SQL
@@ -98,6 +99,15 @@ def op10_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+@query(NEGATIVES_SQL)
+def op12_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    # A seventh of the labels is wrong, so that anchors meet near rows of another label.
+    wrong = (F.col("label").cast("long") + 1) % 10
+    label = F.when(F.col("vec_id") % 7 == 0, wrong).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.select("vec_id", label.alias("label"), "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query(WARC_SQL)
 def op13_revisit_resolution(spark: SparkSession, folder: str) -> DataFrame:
     archives = scratch(spark)

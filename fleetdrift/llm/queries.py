@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetdrift.llm import (
-    decontaminate, hnsw, jaccard, language, licenses, negatives, packing, secrets, shards, toxicity, warc, webpages,
+    conversations, decontaminate, hnsw, jaccard, language, licenses, negatives, packing, secrets, shards, toxicity, warc, webpages,
 )
 from fleetdrift.llm.jaccard import JACCARD_SQL
 from fleetdrift.llm.licenses import LICENSES_SQL
@@ -99,6 +99,12 @@ def op10_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+@query()
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return conversations.repair_report(rows, conversations.damaged(rows))
+
+
 @query(NEGATIVES_SQL)
 def op12_angular_negatives(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "embeddings")

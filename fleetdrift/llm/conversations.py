@@ -49,6 +49,7 @@ _TURN = (2, 2, 3, 2)
 _KEPT = ((-1, 1, 2, -1), (-1, -1, 2, -1), (-1, -1, -1, 3), (-1, -1, 2, -1))
 _LEGAL = ("su", "ua", "au")
 _NEVER = 1 << 20
+_NAMES = {2: "user", 3: "assistant"}
 
 
 def damaged(rows: DataFrame) -> DataFrame:
@@ -349,7 +350,7 @@ def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _EDIT = "conv_id {id}, place long, step int, edit string, role string, turn long, old_role string, hash binary, times long"
 
 
-def _edit_rows(rows: dict[str, list], costs: dict, state_of: dict) -> list[list]:
+def _edit_rows(rows: dict[str, list], costs: dict) -> list[list]:
     cuts = _cuts(rows["conv_id"])
     out = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -359,15 +360,15 @@ def _edit_rows(rows: dict[str, list], costs: dict, state_of: dict) -> list[list]
             base = [rows["conv_id"][i], rows["place"][i]]
             for k in range(n):
                 state = _TURN[state]
-                out.append([*base, k, "I", state_of[state], None, None, None, 1])
-            role = {"K": rows["role"][i], "R": state_of[_TURN[state]], "D": None}[letter]
+                out.append([*base, k, "I", _NAMES[state], None, None, None, 1])
+            role = {"K": rows["role"][i], "R": _NAMES[_TURN[state]], "D": None}[letter]
             out.append([*base, n, letter, role, rows["turn"][i], rows["role"][i], rows["hash"][i], 1])
             if rows["times"][i] > 1:
                 out.append([*base, n + 1, "D", None, rows["turn"][i], rows["role"][i], rows["hash"][i], rows["times"][i] - 1])
         if last:
             for k in range(_ending(end)):
                 end = _TURN[end]
-                out.append([rows["conv_id"][b - 1], rows["place"][b - 1], 1 << 20 | k, "I", state_of[end], None, None, None, 1])
+                out.append([rows["conv_id"][b - 1], rows["place"][b - 1], 1 << 20 | k, "I", _NAMES[end], None, None, None, 1])
     return out
 
 
@@ -421,7 +422,6 @@ class Repair:
     def edits(self) -> DataFrame:
         ddl = _EDIT.format(id=self.id_type)
         schema = _arrow(ddl)
-        state_of = {2: "user", 3: "assistant"}
 
         def edit(rows: pa.Table, segments: pa.Table) -> pa.Table:
             held = segments.to_pydict()
@@ -429,7 +429,7 @@ class Repair:
                 c: (codes, np.frombuffer(v, np.int64), entry, last)
                 for c, codes, v, entry, last in zip(*[held[n] for n in ("conv_id", "codes", "vectors", "entry", "last")], strict=True)
             }
-            return _table(_edit_rows(rows.sort_by("place").to_pydict(), costs, state_of) if len(rows) else [], schema)
+            return _table(_edit_rows(rows.sort_by("place").to_pydict(), costs) if len(rows) else [], schema)
 
         rows = self.placed.select("chunk", "conv_id", "place", "turn", "role", "hash", "times")
         segments = self.segments.select(*[F.col(c).alias(c) for c in ("chunk", "conv_id", "codes", "vectors", "entry", "last")])
@@ -485,3 +485,73 @@ def repair_report(originals: DataFrame, rows: DataFrame, **sizes: int) -> DataFr
     joined = all_ids.alias("x").join(reports.alias("y"), _same("conv_id"), "left").select("x.conv_id", *[f"y.{c}" for c in reports.columns[1:]])
     joined = joined.alias("x").join(digests(repair.repaired()).alias("y"), _same("conv_id"), "left").select("x.*", "y.repaired_sha256")
     return joined.fillna(0, ["gaps", *_SUMMED]).fillna({"audit": "", "repaired_sha256": nothing})
+
+
+def _repair_sql() -> str:
+    """The same rows by sequential backward costs, each with its audit and rows.  One step of the recursion takes one row."""
+    table = "range(256)"
+    for _ in range(8):
+        table = f"list_transform({table}, lambda n: CASE WHEN n & 1 = 1 THEN xor(3988292384, n >> 1) ELSE n >> 1 END)"
+
+    def better(at: str, cost: str, letter: str, line: str | None) -> str:
+        rows = f"{at}.r" if line is None else f"{line} || CASE WHEN {at}.r = '' THEN '' ELSE chr(10) || {at}.r END"
+        return f"{{'c': {at}.c + {cost}, 'a': '{letter}' || {at}.a, 'r': {rows}}}"
+
+    def edited(p: int) -> str:
+        found = [better(f"v[{p + 1}]", str(DELETE), "D", None)]
+        for role, q in ((x, to) for x, to in zip(" " + _INITIALS, _KEPT[p], strict=True) if to >= 0):
+            kept = better(f"v[{q + 1}]", f"{TRUNCATED} * open", "K", "role || ':' || text")
+            found.append(f"CASE WHEN NOT gone AND role[1] = '{role}' THEN {kept} END")
+        turned = better(f"v[{_TURN[p] + 1}]", f"{REROLE} + {TRUNCATED} * open", "R", f"'{_NAMES[_TURN[p]]}:' || text")
+        return f"list_min([{', '.join([*found, f'CASE WHEN NOT gone THEN {turned} END'])}])"
+
+    def closed(p: int) -> str:
+        first, second = _TURN[p], _TURN[_TURN[p]]
+        once = better(f"w[{first + 1}]", str(INSERT), "I", f"'{_NAMES[first]}:'")
+        two = f"'{_NAMES[first]}:' || chr(10) || '{_NAMES[second]}:'"
+        return f"list_min([w[{p + 1}], {once}, {better(f'w[{second + 1}]', str(2 * INSERT), 'II', two)}])"
+
+    end = "{'c': %d, 'a': '%s', 'r': %s}"
+    ends = [end % (0, "", "''"), end % (6, "II", "'user:' || chr(10) || 'assistant:'"), end % (3, "I", "'assistant:'"), end % (0, "", "''")]
+    return f"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT {table} AS t), keyed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':'
+    || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: xor(t[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) % 20 AS fault
+  FROM conversations, crc
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text,
+    unnest(CASE WHEN fault = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM keyed WHERE fault <> 0
+), ordered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged
+), faulty AS MATERIALIZED (
+  SELECT conv_id, turn, role, text, i, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+    NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS unended,
+    lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1] NOT IN ('su', 'ua', 'au') AS broken
+  FROM ordered
+), rows AS MATERIALIZED (
+  SELECT conv_id, i, role, text, blank OR seen AS gone, CAST(unended AND NOT blank AND NOT seen AS INTEGER) AS open FROM faulty
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+    count(*) FILTER (seen AND NOT blank) AS duplicate, count(*) FILTER (unended AND NOT blank AND NOT seen) AS truncated,
+    count(*) FILTER (broken) AS illegal, count(*) AS n FROM faulty GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n + 1 AS i, [{', '.join(ends)}] AS v FROM counts
+  UNION ALL
+  SELECT conv_id, i, [{', '.join(closed(p) for p in range(4))}] FROM (
+    SELECT r.conv_id, r.i, [{', '.join(edited(p) for p in range(4))}] AS w
+    FROM walk JOIN rows r ON r.conv_id IS NOT DISTINCT FROM walk.conv_id AND r.i = walk.i - 1
+  )
+), best AS (SELECT conv_id, v[1] AS b FROM walk WHERE i = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+  coalesce(b.a, '') AS audit, sha256(coalesce(b.r, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+REPAIR_SQL = _repair_sql()

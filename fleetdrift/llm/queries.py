@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetdrift.llm import (
     conversations, decontaminate, hnsw, jaccard, language, licenses, negatives, packing, secrets, shards, toxicity, warc, webpages,
 )
+from fleetdrift.llm.conversations import REPAIR_SQL
 from fleetdrift.llm.jaccard import JACCARD_SQL
 from fleetdrift.llm.licenses import LICENSES_SQL
 from fleetdrift.llm.negatives import NEGATIVES_SQL
@@ -99,7 +100,7 @@ def op10_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
-@query()
+@query(REPAIR_SQL)
 def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "conversations")
     return conversations.repair_report(rows, conversations.damaged(rows))

@@ -10,8 +10,9 @@ is at least 0.75.  Documents with equal sets are one node.
    single tokens of the rare class, and pairs of neighbouring tokens over an
    extended prefix for the frequent class.
 3. Nodes of a signature are first compared with one node of it, and what links is
-   joined into components; only pairs of different components are compared after.
-   The exact similarity is computed for every pair compared.
+   joined into components; after that only pairs of different components are
+   compared, within classes of like sizes and where the parities of their tokens
+   allow a link.  The exact similarity is computed for every pair compared.
 
 The extended prefix: if x and y link and share no rare token, a tokens of x's
 frequent prefix are missing from y and b of y's lie between them, at most
@@ -23,12 +24,14 @@ unshared and rare ones).
 Defined cases: null texts and texts without words have an empty set, link with
 nothing and are components of their own; fewer than five words are one shingle;
 documents repeated with one id are rows of their own; null ids never name a
-component; shingles are 48-bit hashes, so a pair of texts of ordinary length is
-misjudged with a probability below 1e-8.
+component; set sizes count 64-bit hashes, common shingles are found by 48 bits of
+them, so a pair of texts of ordinary length is misjudged with a probability below
+1e-8.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -42,7 +45,7 @@ from fleetdrift.llm.textarrays import mix, shingle_sets, steps, utf8
 
 WORDS = 5
 PERCENT = 75
-_RANGE_TOKENS = 500_000
+_RANGE_TOKENS = 1_000_000
 _RUN_BYTES = 4 << 20
 _SKETCH = 1 << 18
 #: A token is frequent from this count of its sketch cell, and from this many times the mean cell, on.
@@ -51,13 +54,13 @@ FREQUENT, FREQUENT_TIMES = 32, 4
 ROUNDS = 3
 
 
-def _sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Number and sorted distinct 48-bit shingles of each text."""
+def _sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Number, set size and sorted distinct 48-bit shingles of each text."""
     data, offsets = utf8(column)
     for first, last in steps(offsets):
         part = shingle_sets(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], WORDS)
         for i, tokens in enumerate(part):
-            yield first + i, np.unique(tokens >> np.uint64(16))
+            yield first + i, len(tokens), np.unique(tokens >> np.uint64(16))
 
 
 def _node(tokens: np.ndarray) -> int:
@@ -71,18 +74,18 @@ def _nodes(fields: list[str]) -> Callable:
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, nodes = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, tokens in _sets(batch.column("text")):
-                n[i], nodes[i] = len(tokens), _node(tokens)
+            for i, size, tokens in _sets(batch.column("text")):
+                n[i], nodes[i] = size, _node(tokens)
             columns = [batch.column(c) for c in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(nodes)], [*fields, "n_shingles", "node"])
 
     return describe
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of the different nodes of a batch and the nodes they belong to."""
-    tokens, nodes, seen = [], [], set()
-    for _, own in _sets(column):
+def _flat(column: pa.Array, seen: set[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a run's nodes that the task has not seen, and the nodes they belong to."""
+    tokens, nodes = [], []
+    for _, _, own in _sets(column):
         node = _node(own)
         if len(own) and node not in seen:
             seen.add(node)
@@ -103,102 +106,124 @@ def _pieces(table: pa.RecordBatch, rows: int) -> Iterator[pa.Array]:
         yield column.slice(first, last - first)
 
 
-def _by_node(tokens: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    order = np.lexsort((tokens, nodes))
-    tokens, nodes = tokens[order], nodes[order]
-    first = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else np.zeros(0, np.int64)
-    blobs = [x.astype(np.int64).tobytes() for x in np.split(tokens, first[1:])] if len(first) else []
-    return pa.RecordBatch.from_arrays([pa.array(nodes[first]), pa.array(blobs, pa.binary())], ["node", "tokens"])
-
-
-def _repeated_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens that several nodes of one run of texts have, by node."""
-    for batch in batches:
-        for column in _pieces(batch, _RUN_BYTES):
-            tokens, nodes = _flat(column)
-            _, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-            several = counts[back] > 1 if len(tokens) else np.zeros(0, bool)
-            yield _by_node(tokens[several], nodes[several])
+_DEALT = "range int, known boolean, tokens binary, index binary, names binary"
+
+
+def _by_range(tokens: np.ndarray, nodes: np.ndarray, to: np.ndarray, ranges: int, known: bool) -> pa.RecordBatch:
+    """One row per range: its tokens, and of each the place of its node among ``names``."""
+    edges = np.searchsorted(to, np.arange(ranges + 1))
+    rows: list[list] = [[], [], [], [], []]
+    for r in np.flatnonzero(np.diff(edges)):
+        a, b = edges[r], edges[r + 1]
+        names, at = np.unique(nodes[a:b], return_inverse=True)
+        low = (tokens[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
+        high = (tokens[a:b] >> np.uint64(32)).astype(np.uint16).tobytes()
+        index = at.astype(np.uint16 if len(names) < 65536 else np.uint32)
+        for x, v in zip(rows, (int(r), known, low + high, index.tobytes(), names.tobytes()), strict=True):
+            x.append(v)
+    kinds = (pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], [c.split()[0] for c in _DEALT.split(", ")]
+    )
 
 
 def _to_ranges(ranges: int) -> Callable:
-    """Tokens by hash range: with their node if it is the only one of the run that has them, else without."""
+    """The tokens of each run of texts.
+
+    A token of one node of the run goes to the range of its hash with that node.
+    A token of several goes there without them: it is known to be repeated, so its
+    nodes go straight on, dealt by their own hash.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for column in _pieces(batch, _RUN_BYTES):
-                tokens, nodes = _flat(column)
-                distinct, first, counts = np.unique(tokens, return_index=True, return_counts=True)
-                single = counts == 1
+                tokens, nodes = _flat(column, seen)
+                distinct, first, back, counts = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
                 to = ((distinct >> np.uint64(16)) * np.uint64(ranges)) >> np.uint64(32)
-                edges = np.searchsorted(to, np.arange(ranges + 1))
-                rows: list[list] = [[], [], [], []]
-                for r in np.flatnonzero(np.diff(edges)):
-                    a, b = edges[r], edges[r + 1]
-                    names, at = np.unique(np.where(single[a:b], nodes[first[a:b]], 0), return_inverse=True)
-                    low = (distinct[a:b] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()
-                    high = (distinct[a:b] >> np.uint64(32)).astype(np.uint16).tobytes()
-                    index = at.astype(np.uint16 if len(names) < 65536 else np.uint32)
-                    for x, v in zip(rows, (int(r), low + high, index.tobytes(), names.tobytes()), strict=True):
-                        x.append(v)
-                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["range", "tokens", "index", "names"]
-                )
+                yield _by_range(distinct, np.where(counts == 1, nodes[first], 0), to, ranges, False)
+                several = counts[back] > 1
+                tokens, nodes = tokens[several], nodes[several]
+                to = ((mix(nodes.view(np.uint64)) >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+                order = np.argsort(to, kind="stable")
+                yield _by_range(tokens[order], nodes[order], to[order], ranges, True)
 
     return deal
 
 
-def _repeated_across(group: pa.Table) -> pa.Table:
-    """Of a range's tokens those of several nodes, by node.  Node 0 stands for several nodes at once."""
-    tokens, nodes = [], []
-    for blob, index, names in zip(*[group.column(c).to_pylist() for c in ("tokens", "index", "names")], strict=True):
+def _repeated(group: pa.Table) -> pa.Table:
+    """A range's (node, token) pairs whose token several nodes have.  Node 0 stands for several nodes at once."""
+    tokens, nodes, passed = [], [], []
+    columns = [group.column(c).to_pylist() for c in ("known", "tokens", "index", "names")]
+    for known, blob, index, names in zip(*columns, strict=True):
         n = len(blob) // 6  # 4 low and 2 high bytes each
         low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint16, n, 4 * n)
         names = np.frombuffer(names, np.int64)
         tokens.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
         nodes.append(names[np.frombuffer(index, np.uint16 if len(names) < 65536 else np.uint32)])
-    tokens, nodes = np.concatenate(tokens), np.concatenate(nodes)
-    order = np.lexsort((nodes, tokens))
-    tokens, nodes = tokens[order], nodes[order]
-    new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))
-    tokens, nodes = tokens[new], nodes[new]
-    _, back, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    several = counts > 1
-    several[back[nodes == 0]] = True
-    kept = several[back] & (nodes != 0)
-    return pa.Table.from_batches([_by_node(tokens[kept], nodes[kept])])
+        passed.append(np.full(n, known))
+    tokens, nodes, passed = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(passed)
+    order = np.lexsort((nodes, tokens, passed))
+    tokens, nodes, passed = tokens[order], nodes[order], passed[order]
+    new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]) | (passed[1:] != passed[:-1]))
+    tokens, nodes, passed = tokens[new], nodes[new], passed[new]
+    first = np.append(True, (tokens[1:] != tokens[:-1]) | (passed[1:] != passed[:-1]))
+    group_of = np.cumsum(first) - 1
+    several = np.bincount(group_of) > 1
+    several[group_of[(nodes == 0) | passed]] = True
+    kept = several[group_of] & (nodes != 0)
+    order = np.argsort(nodes[kept], kind="stable")
+    return pa.table({"node": nodes[kept][order], "value": tokens[kept][order].view(np.int64)})
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each node's repeated tokens, if there are enough of them for any link."""
+    """Each node's repeated tokens, if there are enough of them for any link.
+
+    Rows come sorted by node, its size (``kind`` 0) before its tokens.
+    """
+    names, kinds = ("node", "n", "m", "tokens"), (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+    held, size, parts = None, 0, []
+
+    def done(out: list[list]) -> None:
+        if parts:
+            tokens = np.unique(np.concatenate(parts))
+            if 100 * len(tokens) >= PERCENT * size:
+                for x, v in zip(out, (held, size, len(tokens), tokens), strict=True):
+                    x.append(v)
+
+    def rows(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names)
+
     for batch in batches:
         out: list[list] = [[], [], [], []]
-        for node, n, blobs in zip(*[batch.column(c).to_pylist() for c in ("node", "n", "blobs")], strict=True):
-            tokens = np.unique(np.concatenate([np.frombuffer(b, np.int64) for b in blobs]))
-            if 100 * len(tokens) >= PERCENT * n:
-                for x, v in zip(out, (node, n, len(tokens), tokens), strict=True):
-                    x.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["node", "n", "m", "tokens"])
+        nodes, kind, values = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("node", "kind", "value"))
+        edges = np.flatnonzero(np.append(True, nodes[1:] != nodes[:-1])) if len(nodes) else []
+        for a, b in zip(edges, [*edges[1:], len(nodes)], strict=True):
+            if nodes[a] != held:
+                done(out)
+                held, size, parts = int(nodes[a]), 0, []
+            own = values[a:b]
+            if not kind[a]:
+                size = int(own[kind[a:b] == 0].max())
+                own = own[kind[a:b] == 1]
+            if len(own):
+                parts.append(own)
+        yield rows(out)
+    out = [[], [], [], []]
+    done(out)
+    yield rows(out)
 
 
 def matchable(docs: DataFrame, described: DataFrame) -> DataFrame:
     """node, n (size of its set), m and tokens: nodes whose shingles shared with others could reach the threshold."""
-    sizes = described.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("n"))
+    sizes = described.where("n_shingles > 0").groupBy("node").agg(F.max("n_shingles").alias("value"))
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(int(total // _RANGE_TOKENS), 12)
-    texts = docs.select("text")
-    across = (
-        texts.mapInArrow(_to_ranges(ranges), "range int, tokens binary, index binary, names binary")
-        .groupBy("range")
-        .applyInArrow(_repeated_across, "node long, tokens binary")
-    )
-    here = texts.mapInArrow(_repeated_here, "node long, tokens binary")
-    # Copies of a node meet as equal rows, which are one after the map side already.
-    blobs = across.unionByName(here).distinct().groupBy("node").agg(F.collect_list("tokens").alias("blobs"))
+    pairs = docs.select("text").mapInArrow(_to_ranges(ranges), _DEALT).groupBy("range").applyInArrow(_repeated, "node long, value long")
+    both = sizes.select("node", F.lit(0).alias("kind"), "value").unionByName(pairs.withColumn("kind", F.lit(1)))
     return stored(
-        blobs.join(sizes, "node").mapInArrow(_merge, "node long, n long, m long, tokens array<long>")
+        both.repartition("node").sortWithinPartitions("node", "kind").mapInArrow(_merge, "node long, n long, m long, tokens array<long>")
     )
 
 
@@ -319,9 +344,14 @@ def linked_nodes(sets: DataFrame) -> DataFrame:
         else:
             fields = "".join(f", s{k} long" for k in range(_PARITY_LONGS))
             parities = sets.select("node", "tokens").mapInArrow(_parities, f"node long{fields}")
-            marked = stored(signs.join(parities, "node"))
-            pairs = marked.alias("x").join(marked.alias("y"), "sign").where(
-                (F.col("x.component") < F.col("y.component")) & _near_enough("x", "y")
+            # Linked sets differ in size by a third at most: a signature's nodes are split into classes of
+            # such sizes, and each meets its own class and the next larger one.
+            size_class = F.floor(F.log("n") / math.log(100 / PERCENT)).cast("int")
+            marked = stored(signs.join(parities, "node").withColumn("class", size_class))
+            smaller = marked.withColumn("class", F.explode(F.array("class", F.col("class") + 1)))
+            order = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+            pairs = smaller.alias("x").join(marked.alias("y"), ["sign", "class"]).where(
+                order & (F.col("x.component") != F.col("y.component")) & _near_enough("x", "y")
             )
         pairs = pairs.where(_possible("x", "y")).select(
             F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")

@@ -2,21 +2,32 @@
 
 The order is the one a first-in-first-out walk gives: start with all nodes
 without prerequisites in key order; whenever a node is taken, the nodes it frees
-join the end of the queue in key order.  That order has a closed form.  Let the
-path of a node be the best path among its prerequisites, longest first, then
-greatest, with the node's own key appended; sorting by (length, path) gives the
-walk.  Paths spread level by level over joins, so no pair is ever one task's work.
+join the end of the queue in key order.  That order has a closed form.  A node's
+level is one more than the greatest level among its prerequisites; within a level
+nodes go by the rank of their best prerequisite on the level before, then by
+their own key.  So (level, rank) is all a node has to carry.
+
+Pairs of up to ``LOCAL_ROWS`` nodes and edges share tasks, many pairs in each, and
+their levels are taken one by one on arrays.  Larger pairs spread over all tasks:
+every level is a join of its nodes with the edges not used yet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.session import cut_lineage
-from fleetdrift.skew import positions
+from fleetdrift.skew import BROADCAST_GROUPS, positions
 
 NODE = ["pair_id", "node"]
+#: Nodes and edges of one pair that a single task may hold, and of all pairs that share one.
+LOCAL_ROWS = 200_000
+TASK_ROWS = 200_000
 
 
 def distinct_prerequisites(edges: DataFrame) -> DataFrame:
@@ -38,97 +49,271 @@ def unknown_prerequisites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return no_prereq.unionByName(no_node)
 
 
-def _walk(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(ordered, left)``: nodes with level and path, and nodes never reached.
+# --- pairs that share a task ---
+
+
+def _levels(n: int, dependent: np.ndarray, prereq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Level (0: never reached), place in the walk and open prerequisites of nodes numbered in key order.
+
+    Places grow from level to level, so the greatest place among a node's
+    prerequisites is its best one on the level before.
+    """
+    by_prereq = np.argsort(prereq, kind="stable")
+    dependent, ends = dependent[by_prereq], np.searchsorted(prereq[by_prereq], np.arange(n + 1))
+    missing = np.bincount(dependent, minlength=n)
+    level, place, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+    ready, taken, depth = np.flatnonzero(missing == 0), 0, 0
+    while len(ready):
+        depth += 1
+        ready = ready[np.lexsort((ready, best[ready]))]
+        level[ready], place[ready] = depth, taken + np.arange(len(ready))
+        taken += len(ready)
+        counts = ends[ready + 1] - ends[ready]
+        first = np.cumsum(counts) - counts
+        freed = dependent[np.arange(counts.sum()) + np.repeat(ends[ready] - first, counts)]
+        np.maximum.at(best, freed, np.repeat(place[ready], counts))
+        nodes, times = np.unique(freed, return_counts=True)
+        missing[nodes] -= times
+        ready = nodes[missing[nodes] == 0]
+    return level, place, missing
+
+
+def _on_cycles(n: int, dependent: np.ndarray, prereq: np.ndarray) -> np.ndarray:
+    """Which nodes reach themselves: members of strongly connected components that hold an edge."""
+    out: list[list[int]] = [[] for _ in range(n)]
+    cyclic = np.zeros(n, bool)
+    for a, b in zip(prereq.tolist(), dependent.tolist(), strict=True):
+        out[a].append(b)
+        if a == b:
+            cyclic[a] = True
+    seen, low, open_, stack = [0] * n, [0] * n, [False] * n, []
+    clock = 0
+    for start in range(n):
+        if seen[start]:
+            continue
+        walk: list[tuple[int, Iterator[int]]] = [(start, iter(out[start]))]
+        clock += 1
+        seen[start] = low[start] = clock
+        stack.append(start)
+        open_[start] = True
+        while walk:
+            node, rest = walk[-1]
+            following = next(rest, None)
+            if following is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == seen[node]:
+                    members = [stack.pop()]
+                    while members[-1] != node:
+                        members.append(stack.pop())
+                    for m in members:
+                        open_[m] = False
+                    if len(members) > 1:
+                        cyclic[members] = True
+            elif not seen[following]:
+                clock += 1
+                seen[following] = low[following] = clock
+                stack.append(following)
+                open_[following] = True
+                walk.append((following, iter(out[following])))
+            elif open_[following]:
+                low[node] = min(low[node], seen[following])
+    return cyclic
+
+
+def _walk_together(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """The walk over all pairs that share a task."""
+    nodes = nodes.groupby(NODE, as_index=False, sort=False)["node_key"].min()
+    nodes = nodes.sort_values(["node_key", "node"], ignore_index=True)
+    edges = edges.drop_duplicates()
+    numbers = nodes[NODE].assign(number=np.arange(len(nodes)))
+
+    def number(column: str) -> np.ndarray:
+        found = edges[["pair_id", column]].merge(numbers, "left", left_on=["pair_id", column], right_on=NODE)["number"]
+        return found.fillna(-1).to_numpy(np.int64)
 
-    Rounds equal the depth of the deepest graph.  One join and one aggregation
-    per round; the state is cut off from its lineage each time.
+    dependent, prereq = number("node"), number("prereq")
+    known = (dependent >= 0) & (prereq >= 0)
+    incomplete = edges["pair_id"][~known].unique()
+    dependent, prereq = dependent[known], prereq[known]
+    level, place, missing = _levels(len(nodes), dependent, prereq)
+    stuck = (missing[dependent] > 0) & (missing[prereq] > 0)
+    cyclic = _on_cycles(len(nodes), dependent[stuck], prereq[stuck]) if stuck.any() else np.zeros(len(nodes), bool)
+    rows = nodes.assign(level=level, place=place, missing=missing, in_cycle=cyclic)
+    rows = rows.sort_values("place", ignore_index=True)
+    rows["rank"] = rows.groupby(["pair_id", "level"]).cumcount() + 1
+    left = rows["pair_id"].isin(rows["pair_id"][rows["missing"] > 0].unique())
+    rows["ordered"] = ~left & ~rows["pair_id"].isin(incomplete)
+    rows["position"] = rows.groupby("pair_id").cumcount() + 1
+    return rows[["pair_id", "node", "node_key", "level", "rank", "position", "missing", "in_cycle", "ordered"]]
+
+
+# --- pairs larger than a task ---
+
+
+def _known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    as_prereq = nodes.select("pair_id", F.col("node").alias("prereq"))
+    return edges.join(nodes.select(*NODE), NODE, "left_semi").join(as_prereq, ["pair_id", "prereq"], "left_semi")
+
+
+def _walk_apart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The walk by joins, a round per level: level, rank and missing (0 level: never reached).
+
+    Only the nodes of the last level meet the edges, and used edges are dropped
+    whenever half of them are, so all rounds together read few times the edges.
     """
     nodes = nodes.groupBy(*NODE).agg(F.min("node_key").alias("node_key"))
-    edges = distinct_prerequisites(edges)
-    edges = edges.join(nodes.select(*NODE), NODE, "left_semi").join(
-        nodes.select("pair_id", F.col("node").alias("prereq")), ["pair_id", "prereq"], "left_semi"
-    )
-    edges = cut_lineage(edges)
-
-    def settle(rows: DataFrame) -> tuple[DataFrame, bool]:
-        """Materialize a state; true while some nodes are ready and some wait."""
-        seen = Observation()
-        missing = F.col("missing")
-        rows = cut_lineage(
-            rows.observe(
-                seen,
-                F.count_if(missing == 0).alias("ready"),
-                F.count_if(missing > 0).alias("waiting"),
-            )
-        )
-        return rows, seen.get["ready"] > 0 and seen.get["waiting"] > 0
-
-    key_type = nodes.schema["node_key"].dataType.simpleString()
-    degrees = edges.groupBy(*NODE).agg(F.count(F.lit(1)).alias("degree"))
-    state, more = settle(
-        nodes.join(degrees, NODE, "left").select(
-            *NODE,
-            "node_key",
-            F.coalesce("degree", F.lit(0)).alias("missing"),
-            F.lit(None).cast(f"struct<level:int,path:array<{key_type}>>").alias("best"),
-        )
-    )
-    levels = []
+    edges = cut_lineage(_known_edges(nodes, distinct_prerequisites(edges)))
+    degrees = edges.groupBy(*NODE).agg(F.count(F.lit(1)).alias("missing"))
+    waiting = cut_lineage(nodes.join(degrees, NODE, "left").select(*NODE, "node_key", F.coalesce("missing", F.lit(0)).alias("missing")))
+    ready = waiting.where("missing = 0").select(*NODE, "node_key", F.lit(0).cast("long").alias("best"))
+    waiting = waiting.where("missing > 0")
+    levels, kept, used = [], edges.count(), 0
     while True:
-        ready = state.where(F.col("missing") == 0).select(
-            *NODE,
-            (F.coalesce(F.col("best.level"), F.lit(0)) + 1).alias("level"),
-            F.concat(
-                F.coalesce(F.col("best.path"), F.array().cast(f"array<{key_type}>")),
-                F.array("node_key"),
-            ).alias("path"),
-        )
-        levels.append(ready)
-        if not more:
+        ranked = positions(ready, ["pair_id"], ["best", "node_key", "node"], "rank")
+        level = cut_lineage(ranked.select(*NODE, "node_key", F.lit(len(levels) + 1).alias("level"), "rank"))
+        if level.isEmpty():
             break
-        # One prerequisite may free very many nodes: AQE splits that join
-        # partition, and the counts combine before the shuffle.
-        freed = (
-            edges.join(ready.withColumnRenamed("node", "prereq"), ["pair_id", "prereq"])
-            .groupBy(*NODE)
-            .agg(
-                F.count(F.lit(1)).alias("freed"),
-                F.max(F.struct("level", "path")).alias("offer"),
+        levels.append(level)
+        taken = level.select("pair_id", F.col("node").alias("prereq"), "rank")
+        freed = cut_lineage(
+            edges.join(taken, ["pair_id", "prereq"]).groupBy(*NODE).agg(F.count(F.lit(1)).alias("freed"), F.max("rank").alias("best"))
+        )
+        used += freed.agg(F.sum("freed")).first()[0] or 0
+        state = cut_lineage(
+            waiting.join(freed, NODE, "left").select(
+                *NODE, "node_key", (F.col("missing") - F.coalesce("freed", F.lit(0))).alias("missing"), "best"
             )
         )
-        state, more = settle(
-            state.where(F.col("missing") > 0).join(freed, NODE, "left").select(
-                *NODE,
-                "node_key",
-                (F.col("missing") - F.coalesce("freed", F.lit(0))).alias("missing"),
-                F.greatest("best", "offer").alias("best"),
+        ready = state.where("missing = 0").select(*NODE, "node_key", "best")
+        waiting = state.where("missing > 0").drop("best")
+        if 2 * used > kept:
+            done = waiting.select(*NODE)
+            edges = cut_lineage(edges.join(done, NODE, "left_semi"))
+            kept, used = edges.count(), 0
+    out = waiting.select(*NODE, "node_key", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), "missing")
+    for level in levels:
+        out = out.unionByName(level.withColumn("missing", F.lit(0).cast("long")))
+    return out
+
+
+def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``pair_id, node`` of the nodes that reach themselves, by joins.
+
+    Nodes that nothing left needs are trimmed away first.  Then the greatest
+    number reaching a node is its colour; what reaches the colour's own node
+    within the colour is one strongly connected component.  Components leave, and
+    the rest is coloured again.
+    """
+    found = edges.where(F.col("node") == F.col("prereq")).select(*NODE).distinct()
+    edges = edges.where(F.col("node") != F.col("prereq"))
+    numbered = nodes.select(*NODE).distinct().select(*NODE, F.struct(F.xxhash64(*NODE), "node").alias("colour"))
+    edges, numbered = cut_lineage(distinct_prerequisites(_known_edges(numbered, edges))), cut_lineage(numbered)
+
+    before = -1
+    while (now := edges.count()) != before:
+        # A node on a cycle has a prerequisite and a dependent among the rest.
+        before = now
+        alive = edges.select(*NODE).join(edges.select("pair_id", F.col("prereq").alias("node")), NODE, "left_semi").distinct()
+        edges = cut_lineage(_known_edges(cut_lineage(alive), edges))
+    while now:
+        alive = edges.select(*NODE).distinct()
+        colours = cut_lineage(numbered.join(alive, NODE, "left_semi"))
+        while True:
+            given = edges.join(colours.select("pair_id", F.col("node").alias("prereq"), "colour"), ["pair_id", "prereq"])
+            given = given.groupBy(*NODE).agg(F.max("colour").alias("given"))
+            later = F.coalesce(F.col("given") > F.col("colour"), F.lit(False))
+            spread = cut_lineage(
+                colours.join(given, NODE, "left").select(*NODE, F.when(later, F.col("given")).otherwise(F.col("colour")).alias("colour"), later.alias("later"))
+            )
+            colours = spread.drop("later")
+            if spread.where("later").isEmpty():
+                break
+        marked = cut_lineage(colours.where(F.col("colour.node") == F.col("node")))
+        own = colours.select("pair_id", F.col("node").alias("prereq"), F.col("colour").alias("own"))
+        last = marked
+        while True:
+            reach = (
+                edges.join(last, NODE).join(own, ["pair_id", "prereq"]).where(F.col("own") == F.col("colour"))
+                .select("pair_id", F.col("prereq").alias("node"), "colour").distinct().join(marked.select(*NODE), NODE, "left_anti")
             )
+            last = cut_lineage(reach)
+            if last.isEmpty():
+                break
+            marked = cut_lineage(marked.unionByName(last))
+        sizes = marked.groupBy("pair_id", "colour").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = cut_lineage(found.unionByName(marked.join(sizes, ["pair_id", "colour"], "left_semi").select(*NODE)))
+        rest = cut_lineage(colours.select(*NODE).join(marked.select(*NODE), NODE, "left_anti"))
+        edges = cut_lineage(_known_edges(rest, edges))
+        now = edges.count()
+    return found.distinct()
+
+
+# --- both ---
+
+
+def walk(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Every node with ``level, rank, position, missing, in_cycle`` and whether its pair is ``ordered``.
+
+    A pair is ordered if all its nodes are reached and all its edges are between
+    nodes; level is 0 and ``missing`` counts the open prerequisites elsewhere.
+    """
+    nodes, edges = nodes.select(*NODE, "node_key"), edges.select(*NODE, "prereq")
+    sizes = nodes.select("pair_id").unionByName(edges.select("pair_id")).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
+    total, large = sizes.agg(F.sum("n"), F.count_if(F.col("n") > local_rows)).first()
+    tasks = (total or 0) // TASK_ROWS + 1
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("task", F.pmod(F.xxhash64("pair_id"), F.lit(tasks)))
+
+    if large:
+        hot = cut_lineage(sizes.where(F.col("n") > local_rows).select("pair_id"))
+        hot = F.broadcast(hot) if large <= BROADCAST_GROUPS else hot
+        small_nodes, small_edges = (x.join(hot, "pair_id", "left_anti") for x in (nodes, edges))
+    else:
+        small_nodes, small_edges = nodes, edges
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
+    schema = (
+        f"pair_id {kinds['pair_id']}, node {kinds['node']}, node_key {kinds['node_key']}, level int, rank long, "
+        "position long, missing long, in_cycle boolean, ordered boolean"
+    )
+    together = dealt(small_nodes).groupBy("task").cogroup(dealt(small_edges).groupBy("task")).applyInPandas(
+        lambda n, e: _walk_together(n[[*NODE, "node_key"]], e[[*NODE, "prereq"]]), schema
+    )
+    if not large:
+        return together
+    big_nodes, big_edges = (cut_lineage(x.join(hot, "pair_id", "left_semi")) for x in (nodes, edges))
+    apart = cut_lineage(_walk_apart(big_nodes, big_edges))
+    stuck = apart.where("missing > 0").select(*NODE)
+    members = cycle_members(stuck, _known_edges(stuck, big_edges)).withColumn("in_cycle", F.lit(True))
+    bad = stuck.select("pair_id").unionByName(unknown_prerequisites(big_nodes, big_edges).select("pair_id")).distinct()
+    bad = bad.withColumn("bad", F.lit(True))
+    marked = apart.join(members, NODE, "left").join(bad, "pair_id", "left")
+    placed = positions(marked, ["pair_id"], ["level", "rank"])
+    return together.unionByName(
+        placed.select(
+            *NODE, "node_key", "level", "rank", "position", "missing", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
+            F.col("bad").isNull().alias("ordered"),
         )
-    ordered = levels[0]
-    for level in levels[1:]:
-        ordered = ordered.unionByName(level)
-    return ordered, state.where(F.col("missing") > 0)
+    )
 
 
-def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes with ``level``, ``path`` and 1-based ``position`` within their pair.
+def topological_order(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Nodes with ``level``, their ``rank`` in it and 1-based ``position`` within their pair.
 
     ``nodes``: pair_id, node, node_key; ``edges``: pair_id, node, prereq.  Pairs
     with an unknown prerequisite or a cycle have no order and are left out; see
     ``unknown_prerequisites`` and ``cycle_report`` for them.
     """
-    ordered, left = _walk(nodes, edges)
-    bad = unknown_prerequisites(nodes, edges).select("pair_id").unionByName(left.select("pair_id"))
-    return positions(
-        ordered.join(bad.distinct(), "pair_id", "left_anti"), ["pair_id"], ["level", "path"]
-    )
+    walked = walk(nodes, edges, local_rows=local_rows)
+    return walked.where("ordered").select(*NODE, "node_key", "level", "rank", "position")
 
 
-def cycle_report(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that never become free: members of cycles and all that need them."""
-    _, left = _walk(nodes, edges)
-    return left.select(*NODE, "node_key", F.col("missing").alias("open_prerequisites"))
+def cycle_report(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
+    """Nodes that never become free, those on cycles told apart from those that only need them."""
+    left = walk(nodes, edges, local_rows=local_rows).where("missing > 0")
+    return left.select(*NODE, "node_key", F.col("missing").alias("open_prerequisites"), "in_cycle")
 
 
 def root_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:

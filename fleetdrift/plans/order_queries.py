@@ -22,12 +22,13 @@ ORACLE_CTES["best_paths"] = _PATHS.replace("{edges}", "{fx_edge}")
 
 
 @query(
-    "SELECT pair_id, node, CAST(best.len AS INTEGER) AS level, array_to_string(best.path, '/') AS path, "
+    "SELECT pair_id, node, CAST(best.len AS INTEGER) AS level, "
+    "row_number() OVER (PARTITION BY pair_id, best.len ORDER BY best.path) AS rank, "
     "row_number() OVER (PARTITION BY pair_id ORDER BY best.len, best.path) AS position FROM {best_paths}"
 )
 def topological_order(spark, folder):
     ordered = order.topological_order(fixture(spark, folder, "fx_node"), fixture(spark, folder, "fx_edge"))
-    return ordered.select("pair_id", "node", "level", F.array_join("path", "/").alias("path"), "position")
+    return ordered.drop("node_key")
 
 
 @query(
@@ -53,7 +54,8 @@ SELECT DISTINCT n.pair_id, n.node FROM {needs} n JOIN (SELECT pair_id, node FROM
 
 
 @query(
-    "SELECT s.pair_id, s.node, n.node_key, count(*) AS open_prerequisites FROM {stuck} s "
+    "SELECT s.pair_id, s.node, n.node_key, count(*) AS open_prerequisites, "
+    "EXISTS (SELECT 1 FROM {needs} m WHERE m.pair_id = s.pair_id AND m.node = s.node AND m.prereq = s.node) AS in_cycle FROM {stuck} s "
     "JOIN {fx_node} n ON n.pair_id = s.pair_id AND n.node = s.node "
     "JOIN (SELECT DISTINCT pair_id, node, prereq FROM {fx_edge_cyclic}) e ON e.pair_id = s.pair_id AND e.node = s.node "
     "JOIN {stuck} p ON p.pair_id = e.pair_id AND p.node = e.prereq GROUP BY ALL"

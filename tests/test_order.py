@@ -49,18 +49,42 @@ def frames(spark, all_graphs):
     )
 
 
-@pytest.mark.parametrize("cyclic", [False, True])
-def test_same_order_as_a_queue_walk(spark, cyclic):
+def on_cycles(edges):
+    """Nodes that reach themselves, by following all edges."""
+    reached = set(edges)
+    while more := {(a, d) for a, b in reached for c, d in edges if b == c} - reached:
+        reached |= more
+    return {a for a, b in reached if a == b}
+
+
+# Pairs of more rows than that are walked by joins, the others together.
+@pytest.mark.parametrize(("cyclic", "local_rows"), [(False, 10**6), (True, 10**6), (False, 24), (True, 24)])
+def test_same_order_as_a_queue_walk(spark, cyclic, local_rows):
     all_graphs = list(graphs(150, cyclic))
     nodes, edges = frames(spark, all_graphs)
     found = {}
-    for r in order.topological_order(nodes, edges).orderBy("pair_id", "position").collect():
+    rows = order.topological_order(nodes, edges, local_rows=local_rows).orderBy("pair_id", "position").collect()
+    for r in rows:
         found.setdefault(r.pair_id, []).append(r.node)
     expected = {g: queue_walk(*graph) for g, graph in enumerate(all_graphs)}
     assert found == {g: o for g, o in expected.items() if o}
-    stuck = {r.pair_id for r in order.cycle_report(nodes, edges).collect()}
-    assert stuck == {g for g, o in expected.items() if o is None}
-    assert bool(stuck) == cyclic
+    assert all(a.rank == 1 or (b.level, b.rank) == (a.level, a.rank - 1) for b, a in zip(rows, rows[1:]))
+    report = order.cycle_report(nodes, edges, local_rows=local_rows).collect()
+    assert {r.pair_id for r in report} == {g for g, o in expected.items() if o is None}
+    members = {(g, n) for g, (_, es) in enumerate(all_graphs) for n in on_cycles(es)}
+    assert {(r.pair_id, r.node) for r in report if r.in_cycle} == members and bool(members) == cyclic
+
+
+def test_a_chain_of_5000_nodes(spark):
+    """The state of a node does not grow with its level."""
+    nodes = spark.range(5000).selectExpr("7L AS pair_id", "id AS node", "lpad(string((id * 7919) % 5000), 5, '0') AS node_key")
+    edges = spark.range(1, 5000).selectExpr("7L AS pair_id", "id AS node", "id - 1 AS prereq")
+    rows = order.topological_order(nodes, edges).collect()
+    assert len(rows) == 5000 and all(r.node == r.position - 1 == r.level - 1 and r.rank == 1 for r in rows)
+    closed = edges.unionByName(spark.range(1).selectExpr("7L AS pair_id", "1000L AS node", "3999L AS prereq"))
+    report = order.cycle_report(nodes, closed).collect()
+    assert {r.node for r in report} == set(range(1000, 5000))
+    assert {r.node for r in report if r.in_cycle} == set(range(1000, 4000))
 
 
 def test_tie_is_broken_by_queue_not_by_key(spark):

@@ -239,7 +239,8 @@ def compare_columns(
     Columns have ``pair_id, namespace, table_name, name`` and the model's column
     attributes.  ``tables`` lists tables on both sides (``common_tables``);
     without it a table counts as present where it has a column, and
-    ``derive_tables`` adds the created and dropped tables that follow from that.
+    ``derive_tables`` adds the created and dropped tables that follow from that,
+    with their columns.
 
     A changed identity or generated expression replaces the column, which covers
     its other differences too.  A changed position alone is no change.
@@ -281,6 +282,10 @@ def compare_columns(
             F.min("name").over(table).alias("first_name"),
         )
         in_both = F.col("in_source") & F.col("in_target")
+        if derive_tables:
+            own = F.coalesce(F.col("src.column"), F.col("tgt.column"))
+            whole = F.sort_array(F.collect_list(F.when(~in_both, own)).over(table))
+            matched = matched.withColumn("table_columns", whole)
         first = F.col("name") == F.col("first_name")
         if derive_tables:
             kinds = {
@@ -315,6 +320,7 @@ def compare_columns(
         namespace=_either("namespace"),
         parent_name=F.when(~of_table, table_name),
         name=F.when(of_table, table_name).otherwise(_either("name")),
+        **({"table_columns": F.when(of_table, F.col("table_columns"))} if derive_tables and tables is None else {}),
         column=F.when(_is("add_column", "replace_column"), new).when(_is("drop_column"), old),
         old_column=F.when(_is("replace_column", *altered), old),
         new_data_type=F.when(is_retyped, F.col("tgt.column.data_type")),
@@ -355,7 +361,8 @@ def compare_tables(
     altered = _is("alter_table_attrs")
     sides = {}
     for a in attributes:
-        holds = altered & F.array_contains("changed", a)
+        # A created table has all its new values, a dropped one all its old ones.
+        holds = ~altered | F.array_contains("changed", a)
         sides[f"old_{a}"] = F.when(holds, F.col(f"src.{a}"))
         sides[f"new_{a}"] = F.when(holds, F.col(f"tgt.{a}"))
     return change_rows(
@@ -503,3 +510,34 @@ def compare_extensions(
         new_version=F.col("tgt.version"),
         old_version=F.col("src.version"),
     )
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """One side of many pairs: a table per kind of object, as the ``compare_`` functions take them."""
+
+    schemas: DataFrame
+    extensions: DataFrame
+    tables: DataFrame
+    columns: DataFrame
+    indexes: DataFrame
+    constraints: DataFrame
+
+
+def compare_catalogs(source: Catalog, target: Catalog, options: CompareOptions = DEFAULTS) -> DataFrame:
+    """Changes of all six kinds of objects; created and dropped tables carry columns, constraints and attributes."""
+    common = common_tables(source.tables, target.tables, options)
+    tables = attach_payload(
+        compare_tables(source.tables, target.tables, options),
+        (source.columns, target.columns),
+        (source.constraints, target.constraints),
+    )
+    parts = [
+        compare_schemas(source.schemas, target.schemas, options),
+        compare_extensions(source.extensions, target.extensions, options),
+        tables,
+        compare_columns(source.columns, target.columns, options, common),
+        compare_indexes(source.indexes, target.indexes, options),
+        compare_constraints(source.constraints, target.constraints, options, common),
+    ]
+    return reduce(DataFrame.unionByName, parts)

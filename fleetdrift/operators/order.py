@@ -259,7 +259,8 @@ def walk(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) ->
     A pair is ordered if all its nodes are reached and all its edges are between
     nodes; level is 0 and ``missing`` counts the open prerequisites elsewhere.
     """
-    nodes, edges = nodes.select(*NODE, "node_key"), edges.select(*NODE, "prereq")
+    # Edges are often made from the nodes: their columns get identities of their own.
+    nodes, edges = nodes.select(*NODE, "node_key"), edges.select(*[F.col(c).alias(c) for c in (*NODE, "prereq")])
     sizes = nodes.select("pair_id").unionByName(edges.select("pair_id")).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"))
     total, large = sizes.agg(F.sum("n"), F.count_if(F.col("n") > local_rows)).first()
     tasks = (total or 0) // TASK_ROWS + 1

@@ -2,10 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetdrift.operators.compare import TABLE, change_rows
+from fleetdrift.operators.compare import TABLE, Catalog, change_rows
+from fleetdrift.session import cut_lineage
+
+
+#: Ends the name that a table has while its new name is still taken.
+HELD = "__moving"
+
+
+def composed(renames: DataFrame, source: DataFrame) -> DataFrame:
+    """Annotations followed through names that the source does not have: a to b and b to c are a to c.
+
+    One round per link of the longest chain; annotations that lead back are none.
+    """
+    taken = source.select("pair_id", "namespace", F.col("table_name").alias("new_name")).distinct()
+    moves = cut_lineage(
+        renames.select("pair_id", "namespace", "old_name", "new_name").groupBy("pair_id", "namespace", "old_name")
+        .agg(F.min("new_name").alias("new_name"))
+    )
+    starts = moves
+    seen = moves.select("pair_id", "namespace", "old_name", F.array("old_name").alias("passed"), "new_name")
+    while True:
+        following = starts.select("pair_id", "namespace", F.col("old_name").alias("new_name"), F.col("new_name").alias("_next"))
+        on_new = ["pair_id", "namespace", "new_name"]
+        onward = seen.join(following, on_new, "left").join(taken.withColumn("_taken", F.lit(True)), on_new, "left")
+        moved = F.col("_next").isNotNull() & F.col("_taken").isNull() & ~F.array_contains("passed", F.col("new_name"))
+        stepped = cut_lineage(
+            onward.select(
+                "pair_id", "namespace", "old_name", F.when(moved, F.array_append("passed", "new_name")).otherwise(F.col("passed")).alias("passed"),
+                F.when(moved, F.col("_next")).otherwise(F.col("new_name")).alias("new_name"), moved.alias("moved"),
+            )
+        )
+        seen = stepped.drop("moved")
+        if stepped.where("moved").isEmpty():
+            return seen.drop("passed").where("old_name <> new_name")
 
 
 def rename_tables(
@@ -14,21 +49,38 @@ def rename_tables(
     """``(effective renames, rename_table deltas)`` for tables.
 
     ``renames`` has ``pair_id, namespace, old_name, new_name``.  A rename applies
-    only if the old table exists in the source and the new one only in the target.
+    only if the old table exists in the source, the new one in the target, and
+    the new name is free in the source or given up by another rename that
+    applies.  A name given up that way is reached in two steps, so chains and
+    swaps can run one statement at a time.
     """
-    old = source.select("pair_id", "namespace", F.col("table_name").alias("old_name"))
-    new_in_source = old.withColumnRenamed("old_name", "new_name")
-    new_in_target = target.select("pair_id", "namespace", F.col("table_name").alias("new_name"))
-    on_new = ["pair_id", "namespace", "new_name"]
-    effective = (
-        renames.where(F.col("old_name") != F.col("new_name"))
-        .join(old, ["pair_id", "namespace", "old_name"], "left_semi")
-        .join(new_in_target, on_new, "left_semi")
-        .join(new_in_source, on_new, "left_anti")
-        .dropDuplicates(["pair_id", "namespace", "old_name"])
+    key = ["pair_id", "namespace"]
+    old = source.select(*key, F.col("table_name").alias("old_name")).distinct()
+    taken = old.withColumnRenamed("old_name", "new_name")
+    new_in_target = target.select(*key, F.col("table_name").alias("new_name")).distinct()
+    moves = composed(renames, source).join(old, [*key, "old_name"], "left_semi").join(new_in_target, [*key, "new_name"], "left_semi")
+    # Of two renames to one name the one from the smaller name applies.
+    moves = cut_lineage(moves.groupBy(*key, "new_name").agg(F.min("old_name").alias("old_name")))
+    while True:
+        given_up = moves.select(*key, F.col("old_name").alias("new_name"))
+        blocked = cut_lineage(moves.join(taken, [*key, "new_name"], "left_semi").join(given_up, [*key, "new_name"], "left_anti"))
+        if blocked.isEmpty():
+            break
+        moves = cut_lineage(moves.join(blocked.select(*key, "old_name"), [*key, "old_name"], "left_anti"))
+    effective = moves.select(*key, "old_name", "new_name")
+    waits = given_up.withColumn("_waits", F.lit(True))
+    steps = F.when(
+        F.col("_waits"),
+        F.array(F.struct("old_name", F.col("_held").alias("new_name")), F.struct(F.col("_held").alias("old_name"), "new_name")),
+    ).otherwise(F.array(F.struct("old_name", "new_name")))
+    rows = (
+        effective.join(waits, [*key, "new_name"], "left")
+        .withColumn("_held", F.concat("old_name", F.lit(HELD)))
+        .select(*key, F.explode(steps).alias("_step"))
+        .select(*key, "_step.*", F.lit("rename_table").alias("kind"))
     )
     changes = change_rows(
-        effective.withColumn("kind", F.lit("rename_table")),
+        rows,
         object_kind=F.lit("table"),
         namespace=F.col("namespace"),
         name=F.col("old_name"),
@@ -87,3 +139,88 @@ def apply_column_renames(source: DataFrame, effective: DataFrame) -> DataFrame:
         .withColumn("name", F.coalesce("_new", "name"))
         .select(*source.columns)
     )
+
+
+def _renamed(name: Column, names: Column) -> Column:
+    """``name`` looked up in a map of new names, itself where there is none."""
+    return F.coalesce(F.get(F.map_values(F.map_filter(names, lambda old, _: old == name)), F.lit(0)), name)
+
+
+def _maps(renames: DataFrame, group: list[str], name: str) -> DataFrame:
+    """New names by old ones.  A group is a table's columns, at most 1600 by the server's own limit."""
+    entries = F.map_from_entries(F.collect_list(F.struct("old_name", "new_name")))
+    return renames.groupBy(*group).agg(entries.alias(name))
+
+
+def _with(struct: str, **fields: Column) -> Column:
+    out = F.col(struct)
+    for field, value in fields.items():
+        out = out.withField(field, value)
+    return out
+
+
+def rename_catalog(
+    source: Catalog, tables: DataFrame | None = None, columns: DataFrame | None = None
+) -> Catalog:
+    """The source under its new names, wherever they are used.
+
+    ``tables`` and ``columns`` are effective renames; column renames name their
+    table as the source does.  Table names stand in columns, indexes, constraints,
+    foreign key targets and parents of partitions; column names in keys and
+    included columns of indexes, in constraints and in foreign key targets.
+    Expressions are texts and stay as they are.
+    """
+    found = source
+    if columns is not None:
+        names = _maps(columns, TABLE, "_names")
+        none = F.create_map().cast("map<string,string>")
+
+        def looked_up(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+            on = names.select(*[F.col(a).alias(b) for a, b in zip(TABLE, keys, strict=True)], F.col("_names").alias(column))
+            return rows.join(on, keys, "left").withColumn(column, F.coalesce(column, none))
+
+        def each(array: str, names: str) -> Column:
+            return F.transform(array, lambda c: _renamed(c, F.col(names)))
+
+        def keys_of(array: str) -> Column:
+            return F.transform(array, lambda k: k.withField("column_name", _renamed(k["column_name"], F.col("_own"))))
+
+        indexes = looked_up(found.indexes, TABLE, "_own")
+        constraints = looked_up(looked_up(found.constraints, TABLE, "_own"), ["pair_id", "ref_namespace", "ref_table"], "_ref")
+        found = replace(
+            found,
+            columns=apply_column_renames(found.columns, columns),
+            indexes=indexes.withColumns(
+                {"key_columns": keys_of("key_columns"), "include_columns": each("include_columns", "_own")}
+            ).select(*found.indexes.columns),
+            constraints=constraints.withColumns(
+                {
+                    "columns": each("columns", "_own"),
+                    "ref_columns": each("ref_columns", "_ref"),
+                    "elements": F.transform(
+                        "elements", lambda e: e.withField("column_or_expr", _renamed(e["column_or_expr"], F.col("_own")))
+                    ),
+                }
+            ).select(*found.constraints.columns),
+        )
+    if tables is not None:
+        names = tables.select("pair_id", "namespace", "old_name", F.col("new_name").alias("_new"))
+
+        def target_of(rows: DataFrame, namespace: Column, name: Column, output: str) -> DataFrame:
+            """``output``: the new name of the table that the two columns name."""
+            keyed = rows.withColumns({"_ns": namespace, "_name": name})
+            on = names.select("pair_id", F.col("namespace").alias("_ns"), F.col("old_name").alias("_name"), F.col("_new").alias("_to"))
+            return keyed.join(on, ["pair_id", "_ns", "_name"], "left").withColumn(output, F.coalesce("_to", name)).drop("_ns", "_name", "_to")
+
+        renamed = apply_table_renames(found.tables, tables)
+        partitions = target_of(renamed, F.col("partition_of.parent_namespace"), F.col("partition_of.parent_name"), "_parent")
+        parent = F.when(F.col("partition_of").isNotNull(), _with("partition_of", parent_name=F.col("_parent")))
+        referring = target_of(apply_table_renames(found.constraints, tables), F.col("ref_namespace"), F.col("ref_table"), "ref_table")
+        found = replace(
+            found,
+            tables=partitions.withColumn("partition_of", parent).select(*found.tables.columns),
+            columns=apply_table_renames(found.columns, tables),
+            indexes=apply_table_renames(found.indexes, tables),
+            constraints=referring.select(*found.constraints.columns),
+        )
+    return found

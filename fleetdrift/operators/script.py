@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetdrift.functions.names import qualified_name, quote_ident
 from fleetdrift.operators.risk import risk_label, risk_rank
-from fleetdrift.skew import positions, running
+from fleetdrift.skew import running
 
 
 def _text(*parts: Column | str) -> Column:
@@ -159,9 +159,30 @@ def _statements() -> tuple[Column, Column]:
             lambda c: _text("CONSTRAINT", quote_ident(c["name"]), constraint_definition(c)),
         ),
     )
-    create_table = _text(
-        "CREATE TABLE", own, F.concat(F.lit("("), F.array_join(parts, ", "), F.lit(")"))
-    )
+
+    def create_table(side: str) -> list[Column]:
+        """A table with all its attributes: those of the target, or of the source to bring it back."""
+        info, parent = F.col(f"{side}_partition_info"), F.col(f"{side}_partition_of")
+        owner, comment = F.col(f"{side}_owner"), F.col(f"{side}_comment")
+        words = info["partition_key"]
+        divided = F.when(words.rlike("(?i)^(range|list|hash)"), words).otherwise(_text(F.upper(info["strategy"]), words))
+        return [
+            _text(
+                "CREATE TABLE", own, F.concat(F.lit("("), F.array_join(parts, ", "), F.lit(")")),
+                F.concat(F.lit("PARTITION BY "), F.when(info.isNotNull(), divided)),
+                F.concat(F.lit("TABLESPACE "), quote_ident(F.col(f"{side}_tablespace"))),
+            ),
+            F.when(owner.isNotNull(), _text("ALTER TABLE", own, "OWNER TO", quote_ident(owner))),
+            F.when(
+                parent.isNotNull(),
+                _text(
+                    "ALTER TABLE", qualified_name(parent["parent_namespace"], parent["parent_name"]),
+                    "ATTACH PARTITION", own, parent["partition_bound"],
+                ),
+            ),
+            F.when(comment.isNotNull(), _text("COMMENT ON TABLE", own, "IS", _quoted_text(comment))),
+        ]
+
     drop_table, drop_column = _text("DROP TABLE", own), _text(alter_table, "DROP COLUMN", name)
     constraint = F.col("constraint")
     deferred_check = constraint["kind"].isin("check", "foreign_key")
@@ -245,8 +266,8 @@ def _statements() -> tuple[Column, Column]:
         ]
 
     by_kind: list[tuple[str, list[Column], list[Column]]] = [
-        ("create_table", [create_table], [drop_table]),
-        ("drop_table", [drop_table], [create_table]),
+        ("create_table", create_table("new"), [drop_table]),
+        ("drop_table", [drop_table], create_table("old")),
         ("rename_table", [rename_table("old_name", "new_name")], [rename_table("new_name", "old_name")]),
         # how a table is partitioned cannot be altered and yields no statement
         ("alter_table_attrs", attributes("new", "old"), attributes("old", "new")),
@@ -312,32 +333,30 @@ def render_statements(deltas: DataFrame) -> DataFrame:
     )
 
 
-def statement_lines(rendered: DataFrame, order: list[str]) -> DataFrame:
-    """One row per forward statement with its ``line`` (dense, from 1) in its pair's script.
+def statement_lines(rendered: DataFrame, order: list[str], direction: str = "forward") -> DataFrame:
+    """One row per statement with its ``line`` (dense, from 1) in its pair's script and its ``barrier``.
 
-    ``order`` must tell a pair's changes apart.
+    ``order`` must tell a pair's changes apart.  The barrier counts the lines up to
+    here that cannot run in a transaction.
     """
     exploded = rendered.select(
-        "pair_id", *order, "transactional", "risk", F.posexplode("forward").alias("_part", "statement")
+        "pair_id", *order, "transactional", "risk", F.posexplode(direction).alias("_part", "statement")
     )
-    return positions(exploded, ["pair_id"], [*order, "_part"], "line").drop("_part")
+    outside = F.when(F.col("transactional"), F.lit(0)).otherwise(F.lit(1))
+    return running(
+        exploded, ["pair_id"], [*order, "_part"], {"line": ("sum", F.lit(1)), "barrier": ("sum", outside)}
+    ).drop("_part")
 
 
 def transaction_units(statements: DataFrame) -> DataFrame:
     """Runs of statements that can share a transaction.
 
-    ``statements``: pair_id, line (dense, 1-based), transactional, risk.  Lines
-    that cannot run in a transaction are units of their own; between them all
-    lines form one unit, numbered here by how many such lines came before.
+    ``statements``: pair_id, line, barrier (see ``statement_lines``), transactional,
+    risk.  Lines that cannot run in a transaction are units of their own; between
+    them all lines form one unit, numbered by how many such lines came before.
     """
-    counted = running(
-        statements,
-        ["pair_id"],
-        ["line"],
-        {"barrier": ("sum", F.when(F.col("transactional"), F.lit(0)).otherwise(F.lit(1)))},
-    )
     return (
-        counted.groupBy("pair_id", "barrier", "transactional")
+        statements.groupBy("pair_id", "barrier", "transactional")
         .agg(
             F.min("line").alias("start_line"),
             F.max("line").alias("end_line"),

@@ -7,6 +7,7 @@ from fleetdrift.plans import (  # noqa: F401
     order_queries,
     report_queries,
     row_queries,
+    run_queries,
     rule_queries,
 )
 from fleetdrift.plans.registry import ORACLES, QUERIES

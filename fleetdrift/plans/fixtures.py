@@ -220,6 +220,53 @@ SELECT o_custkey AS pair_id, lower(o_orderpriority) AS namespace, 't' || {text('
     WHEN 1 THEN 'CHECK ((c1 > ' || {text('o_orderkey % 8')} || '))'
     ELSE 'FOREIGN KEY (c1) REFERENCES s.t (id)' || CASE WHEN o_orderkey % 5 = 0 THEN ' ON DELETE CASCADE' ELSE '' END END AS condef
 FROM {{orders}} WHERE o_orderkey % 10 <> 1""",
+    # --- whole catalogs before and after, one pair per customer: table k is the order k ---
+    "mx_base": f"""
+SELECT o.o_custkey AS pair_id, o.o_orderkey AS k, 's' || {text('o.o_orderkey % 3')} AS namespace,
+  o.o_orderkey % 13 <> 0 AS in_s, o.o_orderkey % 17 <> 0 AS in_t, h.hub,
+  o.o_orderkey <> h.hub AND o.o_orderkey % 6 <> 0 AND h.hub % 13 <> 0 AS fk_s,
+  o.o_orderkey <> h.hub AND o.o_orderkey % 8 <> 0 AND h.hub % 17 <> 0 AS fk_t
+FROM {{orders}} o JOIN (SELECT o_custkey, min(o_orderkey) AS hub FROM {{orders}} GROUP BY o_custkey) h
+  ON h.o_custkey = o.o_custkey""",
+    "mx_source_table": f"""
+SELECT pair_id, namespace, 't' || {text('k')} AS table_name, 'u' || {text('k % 5')} AS owner,
+  CASE WHEN k % 3 = 0 THEN 'note' END AS comment FROM {{mx_base}} WHERE in_s""",
+    "mx_target_table": f"""
+SELECT pair_id, namespace, CASE WHEN k % 19 = 0 THEN 'r' ELSE 't' END || {text('k')} AS table_name,
+  'u' || {text('CASE WHEN k % 7 = 0 THEN 9 ELSE k % 5 END')} AS owner,
+  CASE WHEN k % 3 = 0 AND k % 4 <> 0 THEN 'note' END AS comment FROM {{mx_base}} WHERE in_t""",
+    "mx_source_column": f"""
+SELECT pair_id, namespace, 't' || {text('k')} AS table_name, 'c' || {text('n')} AS name, n AS position,
+  CASE n WHEN 1 THEN 'bigint' WHEN 2 THEN 'varchar(100)' ELSE 'int4' END AS data_type, n <> 1 AS nullable,
+  CASE WHEN n = 2 THEN 'd' END AS default_expr
+FROM {{mx_base}} JOIN {{mx_number}} ON in_s AND (n < 3 OR k % 11 <> 0)""",
+    "mx_target_column": f"""
+SELECT pair_id, namespace, CASE WHEN k % 19 = 0 THEN 'r' ELSE 't' END || {text('k')} AS table_name,
+  CASE WHEN n = 2 AND k % 23 = 0 THEN 'c9' ELSE 'c' || {text('n')} END AS name, n AS position,
+  CASE n WHEN 1 THEN 'bigint' WHEN 2 THEN CASE WHEN k % 7 = 0 THEN 'text' ELSE 'varchar(100)' END ELSE 'int4' END AS data_type,
+  n <> 1 AS nullable, CASE WHEN n = 2 AND k % 5 <> 0 THEN 'd' END AS default_expr
+FROM {{mx_base}} JOIN {{mx_number}} ON in_t AND (n < 3 OR k % 9 <> 0)""",
+    "mx_number": "SELECT CAST(r_regionkey AS INTEGER) AS n FROM {region} WHERE r_regionkey BETWEEN 1 AND 3",
+    "mx_source_key": f"""
+SELECT pair_id, namespace, 't' || {text('k')} AS table_name, 'pk' || {text('k')} AS name, 'p' AS contype,
+  'PRIMARY KEY (c1)' AS condef FROM {{mx_base}} WHERE in_s AND k % 10 <> 0
+UNION ALL
+SELECT pair_id, namespace, 't' || {text('k')}, 'fk' || {text('k')}, 'f',
+  'FOREIGN KEY (c1) REFERENCES s' || {text('hub % 3')} || '.t' || {text('hub')} || ' (c1)' FROM {{mx_base}} WHERE in_s AND fk_s""",
+    "mx_target_key": f"""
+SELECT pair_id, namespace, CASE WHEN k % 19 = 0 THEN 'r' ELSE 't' END || {text('k')} AS table_name, 'pk' || {text('k')} AS name,
+  'p' AS contype, 'PRIMARY KEY (c1)' AS condef FROM {{mx_base}} WHERE in_t
+UNION ALL
+SELECT pair_id, namespace, CASE WHEN k % 19 = 0 THEN 'r' ELSE 't' END || {text('k')}, 'fk' || {text('k')}, 'f',
+  'FOREIGN KEY (c1) REFERENCES s' || {text('hub % 3')} || '.' || CASE WHEN hub % 19 = 0 THEN 'r' ELSE 't' END
+  || {text('hub')} || ' (c1)' FROM {{mx_base}} WHERE in_t AND fk_t""",
+    "mx_source_index": f"""
+SELECT pair_id, namespace, 't' || {text('k')} AS table_name, 'ix' || {text('k')} AS name, 'btree' AS method, 'c2' AS key_name
+FROM {{mx_base}} WHERE in_s AND k % 5 <> 0""",
+    "mx_target_index": f"""
+SELECT pair_id, namespace, CASE WHEN k % 19 = 0 THEN 'r' ELSE 't' END || {text('k')} AS table_name, 'ix' || {text('k')} AS name,
+  CASE WHEN k % 14 = 0 THEN 'hash' ELSE 'btree' END AS method, CASE WHEN k % 23 = 0 THEN 'c9' ELSE 'c2' END AS key_name
+FROM {{mx_base}} WHERE in_t AND k % 4 <> 0""",
     # --- dependency graphs, one per customer ---
     "fx_node": """
 SELECT o_custkey AS pair_id, o_orderkey AS node,

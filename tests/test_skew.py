@@ -99,14 +99,12 @@ def test_operators_agree_when_every_group_is_hot(spark, small, monkeypatch):
     order_by = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate"]
     key = F.col("obj") % 3  # three huge diffs
     lines = lines.withColumn("obj", key)
-    statements = positions(
-        lines.select(
-            F.col("obj").alias("pair_id"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
-            (F.col("l_partkey") % 7 != 0).alias("transactional"),
-            F.when(F.col("l_partkey") % 5 == 0, "SAFE").otherwise("DANGEROUS").alias("risk"),
-        ).distinct(),
-        ["pair_id"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "transactional", "risk"], "line",
-    )
+    rendered = lines.select(
+        F.col("obj").alias("pair_id"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+        (F.col("l_partkey") % 7 != 0).alias("transactional"),
+        F.when(F.col("l_partkey") % 5 == 0, "SAFE").otherwise("DANGEROUS").alias("risk"),
+    ).distinct().withColumn("forward", F.array(F.lit("a"), F.lit("b")))
+    script_order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
     ranges = lines.select(
         "obj", F.monotonically_increasing_id().alias("i"), F.col("l_partkey").alias("s"),
         (F.col("l_partkey") + F.col("l_linenumber")).alias("e"),
@@ -116,7 +114,7 @@ def test_operators_agree_when_every_group_is_hot(spark, small, monkeypatch):
     def results():
         return [
             as_set(report.diff_sides(lines.distinct(), ["obj"], order_by)),
-            as_set(script.transaction_units(statements)),
+            as_set(script.transaction_units(script.statement_lines(rendered, script_order))),
             as_set(rowchecks.exclusion_violations(ranges, ["obj"], "s", "e", ["i"])),
             as_set(order.topological_order(fixture(spark, small, "fx_node"), fixture(spark, small, "fx_edge"))),
         ]

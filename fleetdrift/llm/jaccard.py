@@ -45,7 +45,7 @@ from fleetdrift.llm.textarrays import mix, shingle_sets, steps, utf8
 
 WORDS = 5
 PERCENT = 75
-_RANGE_TOKENS = 1_000_000
+_RANGE_TOKENS = 400_000
 _RUN_BYTES = 4 << 20
 _SKETCH = 1 << 18
 #: A token is frequent from this count of its sketch cell, and from this many times the mean cell, on.
@@ -152,29 +152,38 @@ def _to_ranges(ranges: int) -> Callable:
     return deal
 
 
+def _pairs(blob: bytes, index: bytes, names: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(blob) // 6  # 4 low and 2 high bytes each
+    low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint16, n, 4 * n)
+    names = np.frombuffer(names, np.int64)
+    tokens = low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32))
+    return tokens, names[np.frombuffer(index, np.uint16 if len(names) < 65536 else np.uint32)]
+
+
 def _repeated(group: pa.Table) -> pa.Table:
     """A range's (node, token) pairs whose token several nodes have.  Node 0 stands for several nodes at once."""
-    tokens, nodes, passed = [], [], []
-    columns = [group.column(c).to_pylist() for c in ("known", "tokens", "index", "names")]
-    for known, blob, index, names in zip(*columns, strict=True):
-        n = len(blob) // 6  # 4 low and 2 high bytes each
-        low, high = np.frombuffer(blob, np.uint32, n), np.frombuffer(blob, np.uint16, n, 4 * n)
-        names = np.frombuffer(names, np.int64)
-        tokens.append(low.astype(np.uint64) | (high.astype(np.uint64) << np.uint64(32)))
-        nodes.append(names[np.frombuffer(index, np.uint16 if len(names) < 65536 else np.uint32)])
-        passed.append(np.full(n, known))
-    tokens, nodes, passed = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(passed)
-    order = np.lexsort((nodes, tokens, passed))
-    tokens, nodes, passed = tokens[order], nodes[order], passed[order]
-    new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]) | (passed[1:] != passed[:-1]))
-    tokens, nodes, passed = tokens[new], nodes[new], passed[new]
-    first = np.append(True, (tokens[1:] != tokens[:-1]) | (passed[1:] != passed[:-1]))
-    group_of = np.cumsum(first) - 1
-    several = np.bincount(group_of) > 1
-    several[group_of[(nodes == 0) | passed]] = True
-    kept = several[group_of] & (nodes != 0)
-    order = np.argsort(nodes[kept], kind="stable")
-    return pa.table({"node": nodes[kept][order], "value": tokens[kept][order].view(np.int64)})
+    dealt = [_pairs(*[group.column(c)[i].as_py() for c in ("tokens", "index", "names")]) for i in range(len(group))]
+    known = group.column("known").to_pylist()
+    out = [(nodes, tokens) for (tokens, nodes), passed in zip(dealt, known, strict=True) if passed]
+    asked = [x for x, passed in zip(dealt, known, strict=True) if not passed]
+    del dealt
+    if asked:
+        tokens, nodes = (np.concatenate(x) for x in zip(*asked, strict=True))
+        del asked
+        order = np.lexsort((nodes, tokens))
+        tokens, nodes = tokens[order], nodes[order]
+        del order
+        new = np.append(True, (tokens[1:] != tokens[:-1]) | (nodes[1:] != nodes[:-1]))
+        tokens, nodes = tokens[new], nodes[new]
+        group_of = np.cumsum(np.append(True, tokens[1:] != tokens[:-1])) - 1
+        several = np.bincount(group_of) > 1
+        several[group_of[nodes == 0]] = True
+        kept = several[group_of] & (nodes != 0)
+        tokens, nodes = tokens[kept], nodes[kept]
+        order = np.argsort(nodes, kind="stable")
+        out.append((nodes[order], tokens[order]))
+    nodes, tokens = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    return pa.table({"node": nodes, "value": tokens.view(np.int64)})
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

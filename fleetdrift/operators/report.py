@@ -72,7 +72,8 @@ def change_table(graded: DataFrame, dependencies: DataFrame | None = None) -> Da
     ``dependencies``: pair_id, namespace, table_name, dependencies.
     """
     kind = F.col("kind")
-    rows = graded.withColumn(
+    # Schemas and extensions are no tables and have no row.
+    rows = graded.where(~F.col("object_kind").isin("schema", "extension")).withColumn(
         "table_name",
         F.coalesce(
             "parent_name",
@@ -80,7 +81,8 @@ def change_table(graded: DataFrame, dependencies: DataFrame | None = None) -> Da
             F.col("name"),
         ),
     )
-    # Bounded: a table has at most 1600 columns by the server's own limit.
+    # Bounded: a table has at most 1600 columns by the server's own limit, and as
+    # many constraints and indexes at most as its definition lists.
     grouped = rows.groupBy("pair_id", "namespace", "table_name").agg(
         F.max(F.when(kind == "create_table", F.lit("create")).when(kind == "drop_table", F.lit("drop")))
         .alias("_whole"),

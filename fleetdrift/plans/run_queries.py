@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fleetdrift.functions.constraints import constraint_fields, constraint_kind
 from fleetdrift.model import COLUMN, PARTITION_INFO, PARTITION_OF
-from fleetdrift.operators import compare, migration
+from fleetdrift.operators import compare, migration, patch, report, risk, script
 from fleetdrift.operators.compare import Catalog
 from fleetdrift.plans.fixtures import ORACLE_CTES, fixture
+from fleetdrift.plans.drift_queries import _LABEL, _RANK
 from fleetdrift.plans.registry import query
+from fleetdrift.session import checkpoint_folder, cut_lineage
+from fleetdrift.sources import sinks
 
 
 def _null():
@@ -179,7 +184,12 @@ FROM (SELECT n.pair_id, best, object_kind, risk, unnest(list_filter(statements,
 )
 
 
-@query("SELECT pair_id, object_kind, ns AS namespace, parent_name, name, op, kind, risk FROM {mx_changes} WHERE NOT (kind IN ('add_constraint', 'drop_constraint') AND k IN (SELECT k FROM {mx_base} WHERE in_s <> in_t))")
+# Foreign keys of created and dropped tables stand in the table's change until the script is planned.
+ORACLE_CTES["mx_drift"] = """
+SELECT * FROM {mx_changes} WHERE NOT (kind IN ('add_constraint', 'drop_constraint') AND k IN (SELECT k FROM {mx_base} WHERE in_s <> in_t))"""
+
+
+@query("SELECT pair_id, object_kind, ns AS namespace, parent_name, name, op, kind, risk FROM {mx_drift}")
 def drift_all_kinds(spark, folder):
     return whole_drift(spark, folder).select("pair_id", "object_kind", "namespace", "parent_name", "name", "op", "kind", "risk")
 
@@ -188,3 +198,143 @@ def drift_all_kinds(spark, folder):
 def migration_script(spark, folder):
     planned = migration.plan_migration(whole_drift(spark, folder))
     return planned.up.select("pair_id", "line", "statement", "transactional", "risk")
+
+
+ORACLE_CTES["mx_units"] = """
+SELECT *, sum(CASE WHEN transactional THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS barrier,
+  row_number() OVER (ORDER BY pair_id, line) AS line_number FROM {mx_script}"""
+
+
+@query(
+    "SELECT line_number, statement || ';' AS text, pair_id, transactional, min(line_number) OVER u AS first_line, max(line_number) OVER u AS last_line, "
+    "count(*) OVER u AS statements FROM {mx_units} WINDOW u AS (PARTITION BY pair_id, barrier, transactional)"
+)
+def migration_folder(spark, folder):
+    """The written script read back, every line with the unit whose range it is in."""
+    target = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    planned = migration.plan_migration(whole_drift(spark, folder))
+    sinks.write_migration(planned.up, planned.down, target)
+    lines = sinks.read_script(spark, target, "up")
+    units = sinks.read_manifest(spark, target).where("direction = 'up'").drop("direction")
+    each = units.withColumn("line_number", F.explode(F.sequence("first_line", "last_line")))
+    return lines.join(each, "line_number")
+
+
+@query(
+    f"SELECT pair_id, min(line) AS start_line, max(line) AS end_line, transactional, {_LABEL.format(_RANK)} AS max_risk "
+    "FROM {mx_units} GROUP BY pair_id, barrier, transactional"
+)
+def migration_units(spark, folder):
+    return migration.plan_migration(whole_drift(spark, folder)).units.drop("reason")
+
+
+@query(
+    f"SELECT pair_id, {_LABEL.format(_RANK)} AS max_risk, count(*) FILTER (risk IN ('SAFE', 'WARNING', 'DANGEROUS')) AS allowed, "
+    "count(*) FILTER (risk IN ('DESTRUCTIVE', 'BLOCKED')) AS refused FROM {mx_drift} GROUP BY pair_id"
+)
+def run_risk(spark, folder):
+    """Worst risk, and the two sides of the gate, over all kinds of changes."""
+    graded = cut_lineage(whole_drift(spark, folder).select("pair_id", "risk"))
+    allowed, refused = risk.risk_gate(graded)
+    sides = allowed.select("pair_id", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(
+        refused.select("pair_id", F.lit(0).alias("a"), F.lit(1).alias("r"))
+    )
+    counts = sides.groupBy("pair_id").agg(F.sum("a").alias("allowed"), F.sum("r").alias("refused"))
+    return risk.migration_risk(graded).join(counts, "pair_id")
+
+
+_SUMMARY = (
+    "count(*) FILTER (op = 'create') AS n_add, count(*) FILTER (op IN ('alter', 'rename')) AS n_mod, "
+    "count(*) FILTER (op = 'drop') AS n_del, count(*) FILTER (op = 'replace') AS n_conflict"
+)
+
+
+@query(
+    f"SELECT pair_id, CAST(NULL AS VARCHAR) AS namespace, CAST(NULL AS VARCHAR) AS object_kind, {_SUMMARY} FROM {{mx_drift}} GROUP BY pair_id UNION ALL "
+    f"SELECT pair_id, ns, object_kind, {_SUMMARY} FROM {{mx_drift}} GROUP BY pair_id, ns, object_kind UNION ALL "
+    f"SELECT pair_id, ns, NULL, {_SUMMARY} FROM {{mx_drift}} GROUP BY pair_id, ns"
+)
+def run_summary(spark, folder):
+    """The four counts per pair, schema and object group over all kinds of changes (null: all of them)."""
+    found = cut_lineage(whole_drift(spark, folder).select("pair_id", "namespace", "object_kind", "op", "is_conflict"))
+    total = report.change_summary(found)
+    counts = total.unionByName(report.tree_badges(found), allowMissingColumns=True)
+    return counts.select("pair_id", "namespace", "object_kind", *[F.col(n).cast("long").alias(n) for n in report.CLASSES.values()])
+
+
+@query(
+    "SELECT pair_id, ns AS namespace, CASE WHEN object_kind IN ('schema', 'extension') THEN NULL WHEN object_kind = 'index' THEN "
+    "(SELECT b.nm FROM {mx_named} b WHERE b.k = d.k AND b.pair_id = d.pair_id) ELSE coalesce(parent_name, name) END AS table_name, name, kind, "
+    "CASE WHEN object_kind IN ('schema', 'extension') THEN 'NONE' WHEN object_kind = 'index' THEN 'SHARE UPDATE EXCLUSIVE' "
+    "WHEN kind = 'add_constraint' AND name LIKE 'fk%' THEN 'SHARE ROW EXCLUSIVE' "
+    "WHEN kind = 'alter_table_attrs' AND (SELECT b.old_owner = b.new_owner FROM {mx_named} b WHERE b.k = d.k AND b.pair_id = d.pair_id) "
+    "THEN 'SHARE UPDATE EXCLUSIVE' ELSE 'ACCESS EXCLUSIVE' END AS lock_mode, "
+    "CASE risk WHEN 'SAFE' THEN 'ok' WHEN 'WARNING' THEN '' WHEN 'DANGEROUS' THEN 'warn' ELSE 'err' END AS severity FROM {mx_drift} d"
+)
+def run_locks(spark, folder):
+    """Lock mode of every change, of all kinds."""
+    none = spark.createDataFrame([], "pair_id long, namespace string, table_name string, row_count long")
+    return script.lock_estimate(whole_drift(spark, folder), none).drop("row_count")
+
+
+ORACLE_CTES["mx_details"] = """
+SELECT d.pair_id, d.ns AS namespace, kind, risk, CASE WHEN kind = 'rename_table' THEN name WHEN object_kind = 'index' THEN b.nm
+    ELSE coalesce(parent_name, name) END AS table_name,
+  CASE WHEN kind IN ('add_column', 'add_constraint', 'create_index') THEN '+' || name
+    WHEN kind IN ('drop_column', 'drop_constraint', 'drop_index') THEN '-' || name
+    WHEN kind = 'alter_column_type' THEN name || ' type change' WHEN kind = 'set_column_default' THEN name || ' default'
+    WHEN kind = 'rename_table' THEN name || '→r' || d.k WHEN kind = 'rename_column' THEN 'c2→c9' WHEN kind = 'replace_index' THEN name || ' replaced' END AS detail
+FROM {mx_drift} d JOIN {mx_named} b ON b.pair_id = d.pair_id AND b.k = d.k WHERE object_kind NOT IN ('schema', 'extension')"""
+
+
+@query(
+    "SELECT pair_id, namespace, table_name, CASE WHEN bool_or(kind = 'create_table') THEN 'create' WHEN bool_or(kind = 'drop_table') THEN 'drop' "
+    f"ELSE 'alter' END AS op, coalesce(string_agg(detail, ', ' ORDER BY detail), '') AS detail, {_LABEL.format(_RANK)} AS risk, count(*) AS n_changes "
+    "FROM {mx_details} GROUP BY pair_id, namespace, table_name"
+)
+def run_change_table(spark, folder):
+    """One row per changed table over all kinds of changes; schemas and extensions are no tables."""
+    return report.change_table(whole_drift(spark, folder))
+
+
+@query(
+    "SELECT object_kind, (SELECT count(*) FROM {mx_drift} d WHERE d.object_kind = o.object_kind) AS n_changes, CAST(0 AS BIGINT) AS n_left "
+    "FROM (SELECT unnest(['schema', 'extension', 'table', 'column', 'index', 'constraint']) AS object_kind) o"
+)
+def apply_changes(spark, folder):
+    """Changes of every kind, and how many are left once they are applied to the source."""
+    source, target = catalog(spark, folder, "source"), catalog(spark, folder, "target")
+    found = cut_lineage(whole_drift(spark, folder))
+    left = compare.compare_catalogs(patch.apply_changes(source, found), target)
+    kinds = spark.createDataFrame([(k,) for k in ("schema", "extension", "table", "column", "index", "constraint")], "object_kind string")
+    for name, rows in (("n_changes", found), ("n_left", left)):
+        counts = rows.groupBy("object_kind").agg(F.count(F.lit(1)).alias(name))
+        kinds = kinds.join(counts, "object_kind", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return kinds
+
+
+_RULES = [
+    (None, "column", "s0.*", "default"),
+    (None, None, "s1.t1*", None),
+    (None, "table", "s?.t*", "comment"),
+    (None, "index", "*ix?5", None),
+    (7, None, "s2.*", None),
+]
+
+
+@query(
+    "SELECT pair_id, object_kind, ns AS namespace, parent_name, name, kind, "
+    "kind = 'alter_table_attrs' AND (SELECT b.old_owner <> b.new_owner FROM {mx_named} b WHERE b.k = d.k AND b.pair_id = d.pair_id) AS owner_left "
+    "FROM (SELECT *, concat_ws('.', ns, parent_name, name) AS own FROM {mx_drift}) d "
+    "WHERE NOT (object_kind = 'column' AND kind = 'set_column_default' AND own LIKE 's0.%') AND NOT own LIKE 's1.t1%' "
+    "AND NOT (object_kind = 'index' AND own LIKE '%ix_5') AND NOT (pair_id = 7 AND own LIKE 's2.%') "
+    "AND NOT (kind = 'alter_table_attrs' AND own LIKE 's_.t%' AND (SELECT b.old_owner = b.new_owner FROM {mx_named} b WHERE b.k = d.k AND b.pair_id = d.pair_id))"
+)
+def exclusion_rules(spark, folder):
+    """Drift without what overlapping rules leave out, whole objects and attributes."""
+    rules = spark.createDataFrame(_RULES, "pair_id long, object_kind string, glob string, attribute string")
+    left = whole_drift(spark, folder, rules)
+    owner = (F.col("kind") == "alter_table_attrs") & F.array_contains("changed", "owner")
+    return left.select(
+        "pair_id", "object_kind", "namespace", "parent_name", "name", "kind", F.coalesce(owner, F.lit(False)).alias("owner_left")
+    )

@@ -141,20 +141,29 @@ def positions(
     return running(df, group, order, {name: ("sum", F.lit(1))}, hot_rows=hot_rows)
 
 
-def with_places(ordered: DataFrame, name: str = "place") -> DataFrame:
+def with_places(ordered: DataFrame, name: str = "place", amount: str | None = None) -> DataFrame:
     """Add each row's place (from 1) in a sorted table: its place in its partition after all partitions before.
 
-    The sorted rows are stored once, so both uses see the same partitions; the
-    joined counts are one row per partition.
+    With ``amount`` (a positive long column) rows take that many places, and the
+    place is their last one.  The sorted rows are stored once, so both uses see
+    the same partitions; the joined counts are one row per partition.
     """
     own = cut_lineage(
         ordered.select(
             "*", F.spark_partition_id().alias("_partition"), F.monotonically_increasing_id().alias("_id")
         )
     )
-    counts = own.groupBy("_partition").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    counts = own.groupBy("_partition").agg(
+        (F.sum(amount) if amount else F.count(F.lit(1))).alias("_n"), F.min("_id").alias("_first")
+    )
     before = Window.orderBy("_partition").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("_partition", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return own.join(starts, "_partition").select(
-        *ordered.columns, (F.col("_before") + F.col("_id") - F.col("_first") + 1).alias(name)
-    )
+    if amount:
+        # A partition of a sorted table is a task's worth of rows.
+        inside = Window.partitionBy("_partition").orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        own = own.withColumn("_inside", F.sum(amount).over(inside))
+    else:
+        own = own.withColumn("_inside", F.col("_id"))
+    joined = own.join(starts, "_partition")
+    inside = F.col("_inside") if amount else F.col("_inside") - F.col("_first") + 1
+    return joined.select(*ordered.columns, (F.col("_before") + inside).alias(name))

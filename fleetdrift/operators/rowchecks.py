@@ -6,6 +6,8 @@ one row per task.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -127,10 +129,97 @@ def rows_at_risk(graded: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+# Other spellings of types, and the texts that stand for a boolean.
+_SPELLINGS = {
+    "int2": "smallint", "int4": "integer", "int": "integer", "int8": "bigint", "float4": "real", "float8": "double precision",
+    "bool": "boolean", "varchar": "character varying", "char": "character", "bpchar": "character", "decimal": "numeric",
+    "timestamp": "timestamp without time zone", "timestamptz": "timestamp with time zone",
+}
+_TRUTHS = ["t", "tr", "tru", "true", "y", "ye", "yes", "on", "1", "f", "fa", "fal", "fals", "false", "n", "no", "of", "off", "0"]
+_NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_UUID = r"^\{?[0-9a-fA-F]{4}(-?[0-9a-fA-F]{4}){7}\}?$"
+_UNITS = "(microsecond|millisecond|second|sec|minute|min|hour|day|week|month|mon|year|decade|century|centurie|millennium)s?"
+_CLOCK = r"[+-]?[0-9]+:[0-5]?[0-9](:[0-5]?[0-9](\.[0-9]+)?)?"
+_INTERVAL = (
+    rf"(?i)^([+-]?[0-9]+(\.[0-9]+)? *{_UNITS}( +|$))*({_CLOCK})?( *ago)?$"
+    r"|^P([+-]?[0-9]+Y)?([+-]?[0-9]+M)?([+-]?[0-9]+W)?([+-]?[0-9]+D)?(T([+-]?[0-9]+H)?([+-]?[0-9]+M)?([+-]?[0-9]+(\.[0-9]+)?S)?)?$"
+)
+_TIME = r"^([01]?[0-9]|2[0-4]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?( ?(Z|[+-][0-9]{1,2}(:?[0-5][0-9])?))?$"
+_TYPE = re.compile(r'\s*"?([a-z][a-z ]*?)"?\s*(?:\(\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?\))?\s*((?:with|without) time zone)?\s*((?:\[[0-9]*\])*)\s*')
+
+
+@dataclass(frozen=True)
+class TargetType:
+    """A type text taken apart: name, modifiers and number of array dimensions."""
+
+    name: str
+    first: int | None = None
+    second: int | None = None
+    dimensions: int = 0
+
+
+def parse_type(text: str) -> TargetType:
+    found = _TYPE.fullmatch(text.lower())
+    if found is None:
+        raise ValueError(f"no type {text!r}")
+    name = " ".join(x for x in (found[1], found[4]) if x)
+    numbers = [None if n is None else int(n) for n in (found[2], found[3])]
+    return TargetType(_SPELLINGS.get(name, name), *numbers, found[5].count("["))
+
+
+def _without_trailing_blanks(value: Column, length: int) -> Column:
+    """Whether a text fits a length; blanks beyond it are cut off, other characters are not."""
+    return F.length(F.rtrim(value)) <= length
+
+
+def fits(value: Column, target: TargetType) -> Column:
+    """Whether a text can become a value of the type when a column is altered to it."""
+    text = F.trim(value)
+    if target.dimensions:
+        # A text in braces; elements are separated by commas outside of quotes.
+        element = TargetType(target.name, target.first, target.second)
+        body = F.regexp_extract(text, r"(?s)^\{(.*)\}$", 1)
+        if target.dimensions > 1:
+            raise ValueError("no cast test for arrays of arrays")
+        items = F.filter(F.split(body, ',(?=(?:[^"]*"[^"]*")*[^"]*$)'), lambda x: F.upper(F.trim(x)) != "NULL")
+        plain = F.transform(items, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), '^"|"$', ""), r'\\(.)', "$1"))
+        return text.rlike(r"(?s)^\{.*\}$") & ((F.trim(body) == "") | F.forall(plain, lambda x: fits(x, element)))
+    name, first, second = target.name, target.first, target.second
+    if name in ("character varying", "character"):
+        length = first if first is not None else (1 if name == "character" else None)
+        return F.lit(True) if length is None else _without_trailing_blanks(value, length)
+    if name == "numeric":
+        number = text.rlike(_NUMBER)
+        if first is None:
+            return number
+        scale = second or 0
+        if first <= 38:
+            return number & text.try_cast(f"decimal({first},{scale})").isNotNull()
+        whole = F.regexp_extract(text, r"^[+-]?0*([0-9]*)", 1)
+        return number & ~text.rlike("[eE]") & (F.length(whole) <= first - scale)
+    if name == "uuid":
+        return text.rlike(_UUID)
+    if name == "interval":
+        return (text != "") & ~text.rlike("^P?T?$") & text.rlike(_INTERVAL)
+    if name in ("time without time zone", "time with time zone", "time"):
+        return text.rlike(_TIME)
+    if name == "boolean":
+        return F.lower(text).isin(_TRUTHS)
+    if name in ("json", "jsonb"):
+        return F.try_parse_json(value).isNotNull()
+    if name in ("smallint", "integer", "bigint"):
+        return text.rlike("^[+-]?[0-9]+$") & text.try_cast(CAST_TYPES[name]).isNotNull()
+    if name in CAST_TYPES:
+        return text.try_cast(CAST_TYPES[name]).isNotNull() if name != "text" else F.lit(True)
+    raise ValueError(f"no cast test for type {name!r}")
+
+
 def cast_violations(rows: DataFrame, column: str, data_type: str) -> DataFrame:
-    """Distinct values that do not fit the new type, with their row counts."""
-    target = CAST_TYPES.get(data_type)
-    if target is None:
-        raise ValueError(f"no cast test for type {data_type!r}")
-    values = rows.where(F.col(column).isNotNull() & F.col(column).try_cast(target).isNull())
+    """Distinct values that do not fit the new type, with their row counts.
+
+    ``data_type`` is the type's text: lengths, precision and scale, and one array
+    dimension are tested too.
+    """
+    value = F.col(column)
+    values = rows.where(value.isNotNull() & ~F.coalesce(fits(value.cast("string"), parse_type(data_type)), F.lit(False)))
     return _counted(values, [column])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import rowchecks
-from fleetdrift.plans.fixtures import table
+from fleetdrift.plans.fixtures import table, union_all
 from fleetdrift.plans.registry import query
 
 _KEYED = (
@@ -96,3 +96,42 @@ def check_cast(spark, folder):
     third = F.col("o_orderkey") % 3
     value = F.when(third == 0, F.col("o_orderpriority")).when(third == 1, F.col("o_custkey").cast("string"))
     return rowchecks.cast_violations(table(spark, folder, "orders").select(value.alias("v")), "v", "integer")
+
+
+# Values of a text column and what is wrong with each for one new type.
+_TEXTS = """
+SELECT o_orderkey % 11 AS i, CASE o_orderkey % 11 WHEN 0 THEN o_orderpriority WHEN 1 THEN CAST(o_custkey AS STRING) || '  '
+  WHEN 2 THEN chr(123) || CAST(o_custkey AS STRING) || ',NULL,"' || CAST(o_orderkey % 70000 AS STRING) || '"' || chr(125)
+  WHEN 3 THEN '0' || lpad(CAST(o_orderkey AS STRING), 7, '0') || '-0000-4000-8000-00000000000' || CAST(o_orderkey % 3 * 5 AS STRING)
+  WHEN 4 THEN CAST(o_orderkey % 30 AS STRING) || CASE WHEN o_orderkey % 2 = 0 THEN ' days' ELSE ' moons' END
+  WHEN 5 THEN CAST(o_custkey AS STRING) || '.' || lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0')
+  WHEN 6 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'yes' WHEN o_orderkey % 4 = 1 THEN 'maybe' ELSE 'OFF' END
+  WHEN 7 THEN CAST(o_orderkey % 30 AS STRING) || ':' || lpad(CAST(o_orderkey % 60 AS STRING), 2, '0')
+  WHEN 8 THEN '99.9995' WHEN 9 THEN chr(123) || CAST(o_orderkey AS STRING) ELSE '-32769' END AS v
+FROM {orders}"""
+# Type text, and when a value does not fit it.
+_FITS = [
+    ("character varying(4)", "length(rtrim(v)) > 4"),
+    ("character(8)", "length(rtrim(v)) > 8"),
+    ("numeric(5,3)", "NOT regexp_full_match(trim(v), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') OR TRY_CAST(trim(v) AS DECIMAL(5,3)) IS NULL"),
+    ("numeric(3)", "NOT regexp_full_match(trim(v), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') OR TRY_CAST(trim(v) AS DECIMAL(3,0)) IS NULL"),
+    ("uuid", "NOT regexp_full_match(v, '[0-9a-f]+-[0-9a-f]+-[0-9a-f]+-[0-9a-f]+-[0-9a-f]+')  OR length(v) <> 36 OR length(split_part(v, '-', 1)) <> 8 OR NOT regexp_full_match(v, '.*')"),
+    ("interval", "NOT (v LIKE '% days' OR (i IN (7) AND regexp_full_match(v, '[0-9]+:[0-9]+')))"),
+    ("time without time zone", "i <> 7 OR TRY_CAST(split_part(v, ':', 1) AS INTEGER) > 24"),
+    ("boolean", "NOT (v IN ('yes', 'OFF') OR trim(v) IN ('0', '1'))"),
+    ("smallint", "NOT regexp_full_match(trim(v), '-?[0-9]+') OR TRY_CAST(trim(v) AS SMALLINT) IS NULL"),
+    ("smallint[]", "i <> 2 OR TRY_CAST(split_part(v, '\"', 2) AS SMALLINT) IS NULL OR TRY_CAST(split_part(substr(v, 2), ',', 1) AS SMALLINT) IS NULL"),
+    ("character varying(6)[]", "i <> 2"),
+]
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{name}' AS data_type, v, count(*) AS row_count FROM ({_TEXTS}) t WHERE {wrong} GROUP BY v" for name, wrong in _FITS
+    )
+)
+def check_cast_modifiers(spark, folder):
+    """Values that do not fit types with modifiers, arrays and types without a Spark counterpart."""
+    texts = spark.sql(_TEXTS, orders=table(spark, folder, "orders"))
+    parts = [rowchecks.cast_violations(texts, "v", name).select(F.lit(name).alias("data_type"), "v", "row_count") for name, _ in _FITS]
+    return union_all(parts)

@@ -10,11 +10,11 @@ from fleetdrift.functions.constraints import constraint_fields, constraint_kind
 from fleetdrift.model import COLUMN, PARTITION_INFO, PARTITION_OF
 from fleetdrift.operators import compare, migration, patch, report, risk, script
 from fleetdrift.operators.compare import Catalog
-from fleetdrift.plans.fixtures import ORACLE_CTES, fixture
+from fleetdrift.plans.fixtures import CANONICAL, ORACLE_CTES, fixture
 from fleetdrift.plans.drift_queries import _LABEL, _RANK
 from fleetdrift.plans.registry import query
 from fleetdrift.session import checkpoint_folder, cut_lineage
-from fleetdrift.sources import sinks
+from fleetdrift.sources import sinks, snapshots
 
 
 def _null():
@@ -338,3 +338,36 @@ def exclusion_rules(spark, folder):
     return left.select(
         "pair_id", "object_kind", "namespace", "parent_name", "name", "kind", F.coalesce(owner, F.lit(False)).alias("owner_left")
     )
+
+
+_LOOKUP = list(snapshots.LOOKUPS)
+_ASKED = f"""
+SELECT k, pair_id AS db_id, lookup, namespace, parent, CASE lookup WHEN 'schema_by_name' THEN namespace WHEN 'extension_by_name'
+    THEN CASE WHEN k % 3 = 0 THEN 'ext' ELSE 'none' END WHEN 'column_by_name' THEN 'c' || CAST(k % 4 AS STRING)
+    WHEN 'index_by_qname' THEN 'ix' || CAST(k AS STRING) WHEN 'index_by_ref' THEN 'ix' || CAST(k AS STRING) ELSE parent END AS name
+FROM (SELECT k, pair_id, CASE k % 8 {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_LOOKUP))} END AS lookup,
+    CASE WHEN k % 7 = 0 THEN 's' || CAST(k % 4 AS STRING) ELSE namespace END AS namespace, 't' || CAST(k AS STRING) AS parent FROM {{mx_base}}) x"""
+ORACLE_CTES["mx_asked"] = _ASKED
+
+
+@query(
+    "SELECT a.db_id, a.lookup, a.namespace, a.parent, a.name, CASE a.lookup WHEN 'schema_by_name' THEN s.ns IS NOT NULL "
+    "WHEN 'extension_by_name' THEN a.name = 'ext' AND a.db_id % 4 <> 0 WHEN 'column_by_name' THEN c.name IS NOT NULL "
+    "WHEN 'index_by_qname' THEN i.name IS NOT NULL WHEN 'index_by_ref' THEN i.name IS NOT NULL ELSE t.table_name IS NOT NULL END AS found, "
+    "CASE a.lookup WHEN 'schema_by_name' THEN NULL WHEN 'extension_by_name' THEN CASE WHEN a.name = 'ext' AND a.db_id % 4 <> 0 THEN '1.0' END "
+    f"WHEN 'column_by_name' THEN {CANONICAL.format('c.data_type')} WHEN 'index_by_qname' THEN i.method WHEN 'index_by_ref' THEN i.method ELSE t.owner END AS detail "
+    "FROM {mx_asked} a LEFT JOIN (SELECT DISTINCT pair_id, namespace AS ns FROM {mx_source_table}) s ON s.pair_id = a.db_id AND s.ns = a.name "
+    "LEFT JOIN {mx_source_table} t ON t.pair_id = a.db_id AND t.namespace = a.namespace AND t.table_name = a.name "
+    "LEFT JOIN {mx_source_index} i ON i.pair_id = a.db_id AND i.namespace = a.namespace AND i.name = a.name "
+    "LEFT JOIN {mx_source_column} c ON c.pair_id = a.db_id AND c.namespace = a.namespace AND c.table_name = a.parent AND c.name = a.name"
+)
+def object_lookups(spark, folder):
+    """A batch of all eight lookups, hits and misses."""
+    c = catalog(spark, folder, "source")
+
+    def model(rows):
+        return rows.withColumnsRenamed({"pair_id": "db_id", "namespace": "schema_name"})
+
+    snapshot = snapshots.Snapshot(*[model(x) for x in (c.schemas, c.tables, c.columns, c.constraints, c.indexes, c.extensions)])
+    asked = spark.sql(_ASKED, mx_base=fixture(spark, folder, "mx_base")).drop("k")
+    return snapshots.look_up(snapshot, asked)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetdrift.functions.text import map_values
 from fleetdrift.model import COLUMN, CONSTRAINT, EXTENSION, INDEX, SCHEMA, TABLE
 from fleetdrift.skew import positions
 from fleetdrift.sources.mapping import TABLE_KEY, missing_columns
@@ -211,3 +213,55 @@ def find_objects(objects: DataFrame, wanted: DataFrame, key: list[str], order: l
     return wanted.join(first, key, "left").select(
         *wanted.columns, F.col("_found").isNotNull().alias("found"), "_found.*"
     )
+
+
+# The eight lookups and the kind of object each finds.  The kind that
+# a reference names is not looked at.
+LOOKUPS = {
+    "schema_by_name": "schema", "extension_by_name": "extension", "table_by_qname": "table", "table_by_ref": "table",
+    "table_by_name": "table", "index_by_qname": "index", "index_by_ref": "index", "column_by_name": "column",
+}
+
+
+def look_up(snapshot: Snapshot, requests: DataFrame) -> DataFrame:
+    """All lookups of a batch in one join: the first match of each request, or nulls.
+
+    ``requests``: db_id, lookup (see ``LOOKUPS``), namespace, parent (the table of
+    a column), name.  Names that a lookup does not use are ignored.  Adds found
+    and detail: a table's owner, an index's method, an extension's version, a
+    column's type.  Tables and indexes are found in schemas that exist only;
+    first means first in the order of the snapshot.
+    """
+    none = F.lit(None).cast("string")
+    schema = snapshot.schemas.select("db_id", "schema_name").distinct()
+
+    def objects(kind: str, rows: DataFrame, namespace: Column, parent: Column, name: Column, place: Column, detail: Column) -> DataFrame:
+        return rows.select(
+            "db_id", F.lit(kind).alias("kind"), namespace.alias("namespace"), parent.alias("parent"), name.alias("name"),
+            place.cast("string").alias("place"), detail.alias("detail"),
+        )
+
+    own = F.col("schema_name")
+    in_schema = [x.join(schema, ["db_id", "schema_name"], "left_semi") for x in (snapshot.tables, snapshot.indexes, snapshot.columns)]
+    everything = [
+        objects("schema", schema, none, none, own, F.lit(""), none),
+        objects("extension", snapshot.extensions, none, none, F.col("name"), F.col("version"), F.col("version")),
+        objects("table", in_schema[0], own, none, F.col("table_name"), F.lit(""), F.col("owner")),
+        objects("index", in_schema[1], own, none, F.col("name"), F.col("table_name"), F.col("method")),
+        objects("column", in_schema[2], own, F.col("table_name"), F.col("name"), F.lpad(F.col("position").cast("string"), 10, "0"), F.col("data_type")),
+    ]
+    key = ["db_id", "kind", "namespace", "parent", "name"]
+    first = reduce(DataFrame.unionByName, everything).groupBy(*key).agg(F.min(F.struct("place", "detail")).alias("_first"))
+    kind = map_values(F.col("lookup"), LOOKUPS)
+    nested = F.col("_kind").isin("table", "index", "column")
+    # Requests and objects meet on one key, whatever they look for.
+    asked = requests.withColumn("_kind", kind).withColumns(
+        {"_namespace": F.when(nested, F.col("namespace")), "_parent": F.when(F.col("_kind") == "column", F.col("parent"))}
+    )
+    same = (
+        (F.col("r.db_id") == F.col("o.db_id")) & (F.col("r._kind") == F.col("o.kind")) & (F.col("r.name") == F.col("o.name"))
+        & F.col("r._namespace").eqNullSafe(F.col("o.namespace")) & F.col("r._parent").eqNullSafe(F.col("o.parent"))
+    )
+    return asked.alias("r").join(first.alias("o"), same, "left").select(
+        *[f"r.{c}" for c in requests.columns], F.col("o._first").isNotNull().alias("found"), F.col("o._first.detail").alias("detail")
+    )

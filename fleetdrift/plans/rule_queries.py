@@ -86,6 +86,33 @@ def rule_wrong_ref_kind(spark, folder):
     return validate.wrong_ref_kind(spark.sql(_INDEX_REFS, part=table(spark, folder, "part")), "index")
 
 
+def _register_ref_kind(kind: str, source: str, body: str):
+    """Objects of one kind that refer to themselves by another one."""
+    name = f"{kind}_refs"
+    ORACLE_CTES[name] = body
+
+    @query(_sql("wrong_ref_kind", f"{{{name}}}", f"ref_kind <> '{kind}'", _NAME, "ref_kind"), name=f"rule_wrong_ref_kind_{kind}")
+    def run(spark, folder):
+        return validate.wrong_ref_kind(spark.sql(body, **{source: table(spark, folder, source)}), kind)
+
+
+_register_ref_kind(
+    "table", "orders",
+    "SELECT o_custkey AS db_id, lower(o_orderpriority) AS namespace, 't' || CAST(o_orderkey AS STRING) AS name, "
+    "CASE o_orderkey % 9 WHEN 0 THEN 'view' WHEN 1 THEN 'index' ELSE 'table' END AS ref_kind FROM {orders}",
+)
+_register_ref_kind(
+    "schema", "customer",
+    "SELECT c_nationkey AS db_id, 's' || CAST(c_custkey AS STRING) AS namespace, 's' || CAST(c_custkey AS STRING) AS name, "
+    "CASE WHEN c_custkey % 8 = 0 THEN 'table' ELSE 'schema' END AS ref_kind FROM {customer}",
+)
+_register_ref_kind(
+    "extension", "supplier",
+    "SELECT s_nationkey AS db_id, 'public' AS namespace, 'e' || CAST(s_suppkey AS STRING) AS name, "
+    "CASE WHEN s_suppkey % 6 = 0 THEN 'schema' ELSE 'extension' END AS ref_kind FROM {supplier}",
+)
+
+
 # --- columns: lineitems, with their natural duplicates ---
 
 _COLUMNS = """

@@ -371,3 +371,51 @@ def object_lookups(spark, folder):
     snapshot = snapshots.Snapshot(*[model(x) for x in (c.schemas, c.tables, c.columns, c.constraints, c.indexes, c.extensions)])
     asked = spark.sql(_ASKED, mx_base=fixture(spark, folder, "mx_base")).drop("k")
     return snapshots.look_up(snapshot, asked)
+
+
+@query(
+    "SELECT object_kind, (SELECT count(*) FROM {mx_drift} d WHERE false AND d.object_kind = o.object_kind) AS n_deltas "
+    "FROM (SELECT unnest(['schema', 'extension', 'table', 'column', 'index', 'constraint']) AS object_kind) o"
+)
+def idempotence_all_kinds(spark, folder):
+    """Catalogs compared with themselves: no change of any kind."""
+    same = catalog(spark, folder, "source")
+    found = compare.compare_catalogs(same, same).groupBy("object_kind").agg(F.count(F.lit(1)).alias("n_deltas"))
+    kinds = spark.createDataFrame([(k,) for k in ("schema", "extension", "table", "column", "index", "constraint")], "object_kind string")
+    return kinds.join(found, "object_kind", "left").withColumn("n_deltas", F.coalesce("n_deltas", F.lit(0)))
+
+
+# Names of which some differ in case only: every fourth table once more in capitals.
+_SPELLED = """
+SELECT pair_id, namespace, table_name, owner FROM {mx_source_table}
+UNION ALL SELECT pair_id, upper(namespace), upper(table_name), 'other' FROM {mx_source_table} WHERE owner = 'u4'"""
+ORACLE_CTES["mx_spelled"] = _SPELLED
+
+
+def _spelled(spark, folder):
+    return spark.sql(_SPELLED, mx_source_table=fixture(spark, folder, "mx_source_table"))
+
+
+@query(
+    "SELECT pair_id, lower(namespace) AS namespace, lower(table_name) AS table_name, count(*) AS n_rows, "
+    "count(DISTINCT namespace || '.' || table_name) AS n_spellings, min(namespace || '.' || table_name) AS kept "
+    "FROM {mx_spelled} GROUP BY ALL HAVING count(*) > 1"
+)
+def colliding_names(spark, folder):
+    return compare.colliding_names(_spelled(spark, folder), ["pair_id", "namespace", "table_name"])
+
+
+@query(
+    "SELECT coalesce(s.pair_id, t.pair_id) AS pair_id, coalesce(s.table_name, t.table_name) AS name, CASE WHEN t.table_name IS NULL THEN 'drop_table' "
+    "WHEN s.table_name IS NULL THEN 'create_table' ELSE 'alter_table_attrs' END AS kind FROM "
+    "(SELECT pair_id, namespace AS ns, table_name, owner FROM {mx_source_table} WHERE namespace IN ('s0', 's1') AND table_name NOT LIKE 't1%') s FULL JOIN "
+    "(SELECT pair_id, namespace AS ns, table_name, owner FROM {mx_target_table} WHERE namespace IN ('s0', 's1') AND table_name NOT LIKE 't1%') t "
+    "ON s.pair_id = t.pair_id AND s.ns = t.ns AND s.table_name = t.table_name WHERE s.owner IS DISTINCT FROM t.owner"
+)
+def compare_options_tables(spark, folder):
+    """Table names, schemas, list and glob in other letter cases; comments left out."""
+    options = compare.CompareOptions(include_schemas=["S0", "s1"], exclude_tables=["T1*"], compare_comments=False, case_sensitive=False)
+    source, target = (catalog(spark, folder, side).tables for side in ("source", "target"))
+    shouted = source.withColumns({"namespace": F.upper("namespace"), "table_name": F.upper("table_name")})
+    found = compare.compare_tables(shouted, target, options)
+    return found.select("pair_id", F.lower("name").alias("name"), "kind")

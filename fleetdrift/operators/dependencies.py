@@ -22,7 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetdrift.operators.compare import change_rows
+from fleetdrift.model import CONSTRAINT
+from fleetdrift.operators.compare import DELTA_FIELDS
 from fleetdrift.operators.deltas import delta_sort_key
 from fleetdrift.operators.rename import HELD
 
@@ -31,23 +32,32 @@ _SEPARATOR = "\u0001"
 
 
 def split_foreign_keys(deltas: DataFrame) -> DataFrame:
-    """Foreign keys of created and dropped tables as changes of their own."""
+    """Foreign keys of created and dropped tables as changes of their own.
+
+    A table's change becomes itself without them and one change per key, in one
+    pass over the changes.
+    """
     whole = F.col("kind").isin("create_table", "drop_table")
     is_key = lambda c: c["kind"] == "foreign_key"
-    rest = deltas.withColumn(
-        "table_constraints",
-        F.when(whole, F.filter("table_constraints", lambda c: ~is_key(c))).otherwise(F.col("table_constraints")),
-    )
-    keys = deltas.where(whole).select(
-        "pair_id", "namespace", F.col("name").alias("_table"),
-        F.when(F.col("kind") == "create_table", "add_constraint").otherwise("drop_constraint").alias("kind"),
-        F.explode(F.filter("table_constraints", is_key)).alias("_constraint"),
-    )
-    return rest.unionByName(
-        change_rows(
-            keys, object_kind=F.lit("constraint"), namespace=F.col("namespace"), parent_name=F.col("_table"),
-            name=F.col("_constraint.name"), constraint=F.col("_constraint"),
-        )
+    none = F.array().cast(DELTA_FIELDS["table_constraints"])
+    keys = F.when(whole, F.filter(F.coalesce("table_constraints", none), is_key)).otherwise(none)
+    itself = F.array(F.lit(None).cast(CONSTRAINT))
+    rows = deltas.withColumn("_key", F.explode(F.concat(itself, keys)))
+    created, own = F.col("kind") == "create_table", F.col("_key").isNull()
+    of_key = {
+        "op": F.when(created, "create").otherwise("drop"),
+        "kind": F.when(created, "add_constraint").otherwise("drop_constraint"),
+        "object_kind": F.lit("constraint"),
+        "namespace": F.col("namespace"),
+        "parent_name": F.col("name"),
+        "name": F.col("_key.name"),
+        "constraint": F.col("_key"),
+    }
+    rest = F.when(whole, F.filter("table_constraints", lambda c: ~is_key(c))).otherwise(F.col("table_constraints"))
+    of_itself = {n: F.col(n) for n in DELTA_FIELDS} | {"table_constraints": rest}
+    others = [c for c in deltas.columns if c not in DELTA_FIELDS]
+    return rows.select(
+        *others, *[F.when(own, of_itself[n]).otherwise(of_key.get(n, F.lit(None))).alias(n) for n in DELTA_FIELDS]
     )
 
 

@@ -25,9 +25,9 @@ from fleetdrift.session import cut_lineage
 from fleetdrift.skew import BROADCAST_GROUPS, positions
 
 NODE = ["pair_id", "node"]
-#: Nodes and edges of one pair that a single task may hold, and of all pairs that share one.
+#: Nodes and edges of one pair that a single task may hold, and those of all pairs that share one on average.
 LOCAL_ROWS = 200_000
-TASK_ROWS = 200_000
+TASK_ROWS = 20_000
 
 
 def distinct_prerequisites(edges: DataFrame) -> DataFrame:
@@ -124,8 +124,7 @@ def _on_cycles(n: int, dependent: np.ndarray, prereq: np.ndarray) -> np.ndarray:
 
 def _walk_together(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """The walk over all pairs that share a task."""
-    nodes = nodes.groupby(NODE, as_index=False, sort=False)["node_key"].min()
-    nodes = nodes.sort_values(["node_key", "node"], ignore_index=True)
+    nodes = nodes.sort_values(["node_key", "node"]).drop_duplicates(NODE, ignore_index=True)
     edges = edges.drop_duplicates()
     numbers = nodes[NODE].assign(number=np.arange(len(nodes)))
 

@@ -1,6 +1,7 @@
 """Nearest neighbours by inner product: one navigable small-world graph per shard, results merged.
 
-Rows are dealt to shards of about ``SHARD_ROWS`` by a hash of vec_id.  Each
+Rows are dealt to shards of about ``SHARD_ROWS`` of like length (within a factor of
+two), by a hash of vec_id.  Each
 shard's graph is built and stored as rows with flat neighbour arrays.  Queries
 are dealt into blocks; each block searches every shard, and the shards' best are
 merged.  Inner products become distances by one more coordinate that brings all
@@ -28,6 +29,8 @@ SHARD_ROWS = 8192
 BLOCK_QUERIES = 4096
 DEGREE = 16
 EF_BUILD, EF_SEARCH = 96, 160
+#: Candidates kept per dimension, where that is more than EF_SEARCH.
+WIDER = 1.75
 _NONE = np.float32(np.inf)
 
 
@@ -194,20 +197,30 @@ def _matrix(column: pa.ChunkedArray, n: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def _lengths(points: np.ndarray) -> np.ndarray:
+    """Lengths of vectors of any finite components."""
+    most = np.abs(points).max(1, initial=0)
+    return most * np.sqrt(((points / np.where(most > 0, most, 1)[:, None]) ** 2).sum(1))
+
+
 def _lengthened(points: np.ndarray) -> np.ndarray:
-    squares = (points**2).sum(1)
-    rest = np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))
-    return np.hstack([points, rest[:, None]]).astype(np.float32)
+    """Vectors scaled to at most length 1, with one more coordinate that brings them all to 1.
+
+    Scaled in double precision first: the lengths of a shard differ by a factor of
+    two at most, so single precision is enough for the rest.
+    """
+    lengths = _lengths(points)
+    longest = lengths.max(initial=0) or 1.0
+    rest = np.sqrt(np.maximum(1 - (lengths / longest) ** 2, 0))
+    return np.hstack([points / longest, rest[:, None]]).astype(np.float32)
 
 
 def _build(degree: int, ef: int) -> Callable:
     def build(shard: pa.Table) -> pa.Table:
         points = _matrix(shard.column("vector"), len(shard))
         ids = shard.column("vec_id").to_numpy()
-        order = np.lexsort((*points.T[::-1], ids))
+        order = np.argsort(ids)
         points, ids = points[order], ids[order]
-        first = np.append(True, ids[1:] != ids[:-1])
-        points, ids = points[first], ids[first]
         nodes, back = np.unique(points, axis=0, return_inverse=True)
         back = back.ravel()
         members = np.split(ids[np.argsort(back, kind="stable")], np.cumsum(np.bincount(back, minlength=len(nodes)))[:-1])
@@ -216,6 +229,7 @@ def _build(degree: int, ef: int) -> Callable:
         return pa.table(
             {
                 "dim": np.full(len(nodes), nodes.shape[1], np.int32),
+                "band": np.full(len(nodes), shard.column("band")[0].as_py(), np.int32),
                 "shard": np.full(len(nodes), shard.column("shard")[0].as_py(), np.int64),
                 "node": np.arange(len(nodes), dtype=np.int32),
                 "entry": np.full(len(nodes), graph.entry, np.int32),
@@ -245,7 +259,9 @@ def _search(k: int, degree: int, ef: int) -> Callable:
         out: list[list] = [[], [], []]
         for a in range(0, len(asked), 256):
             q = asked[a : a + 256]
-            found = graph.search(np.hstack([q, np.zeros((len(q), 1))]).astype(np.float32), max(ef, k + 1))[:, : k + 1]
+            unit = q / _lengths(q)[:, None]
+            wide = max(ef, k + 1, int(WIDER * q.shape[1]))
+            found = graph.search(np.hstack([unit, np.zeros((len(q), 1))]).astype(np.float32), wide)[:, : k + 1]
             for i, nodes in enumerate(found):
                 nodes = nodes[nodes >= 0]
                 own = int(ids[a + i])
@@ -268,6 +284,13 @@ def usable(vector: Column) -> Column:
     return F.coalesce(good & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _band(vector: Column) -> Column:
+    """Power of two of a vector's length: vectors of one band differ by a factor of two at most."""
+    most = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda total, x: total + (x / most) * (x / most))
+    return F.floor(F.log2(most) + F.log2(squares) / 2 + 0.5).cast("int")
+
+
 def nearest(
     rows: DataFrame, queries: Column, k: int = 20, *, shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES,
     degree: int = DEGREE, ef_build: int = EF_BUILD, ef_search: int = EF_SEARCH,
@@ -276,28 +299,34 @@ def nearest(
 
     ``rows`` has vec_id (long) and embedding.  Work is queries x shards searches.
     """
-    vectors = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"),
-        F.size("embedding").alias("dim"), queries.alias("asked"),
+    usable_rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), queries.alias("asked"),
     )
-    n, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(F.col("asked"), 1))).first()
-    shards, blocks = max(-(-n // shard_rows), 1), max(-(-asked // block_queries), 1)
-    dealt = vectors.select("dim", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), "vec_id", "vector")
+    # Rows of one vec_id are one before they meet in a shard.
+    vectors = stored(
+        usable_rows.groupBy("vec_id").agg(F.min(F.struct("vector", "asked")).alias("r"))
+        .select("vec_id", "r.vector", F.coalesce("r.asked", F.lit(False)).alias("asked"))
+        .withColumns({"dim": F.size("vector"), "band": _band(F.col("vector"))})
+    )
+    sizes = vectors.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    asked = vectors.where("asked").count()
+    blocks = max(-(-asked // block_queries), 1)
+    shard = F.pmod(F.xxhash64("vec_id"), F.col("shards"))
+    dealt = vectors.join(sizes, ["dim", "band"]).select("dim", "band", shard.alias("shard"), "vec_id", "vector")
     graph = stored(
-        dealt.groupBy("dim", "shard").applyInArrow(
+        dealt.groupBy("dim", "band", "shard").applyInArrow(
             _build(degree, ef_build),
-            "dim int, shard long, node int, entry int, vector array<double>, vec_ids array<long>, links array<int>",
+            "dim int, band int, shard long, node int, entry int, vector array<double>, vec_ids array<long>, links array<int>",
         )
     )
     every_block = graph.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    listed = graph.select("dim", "band", "shard").distinct()
     every_shard = (
-        vectors.where("asked").groupBy("vec_id").agg(F.min("vector").alias("vector"))
-        .select(
-            F.size("vector").alias("dim"), "vec_id", "vector", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"),
-            F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"),
-        )
+        vectors.where("asked").select("dim", "vec_id", "vector")
+        .join(listed.select(*[F.col(c).alias(c) for c in listed.columns]), "dim")
+        .withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
     )
-    keys = ["dim", "shard", "block"]
+    keys = ["dim", "band", "shard", "block"]
     found = every_shard.groupBy(*keys).cogroup(every_block.groupBy(*keys)).applyInArrow(
         _search(k, degree, ef_search), "query_id long, vec_id long, score double"
     )

@@ -84,6 +84,33 @@ def test_search_of_odd_vectors(spark):
     assert hnsw.nearest(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize(("dim", "kind"), [(16, "huge"), (16, "uneven"), (16, "one long"), (256, "even")])
+def test_search_of_any_finite_lengths(spark, dim, kind):
+    """Recall holds for lengths whose squares overflow, for lengths of all sizes, and for many dimensions."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(900, dim))
+    if kind == "huge":
+        vectors *= 1e25
+    elif kind == "uneven":
+        vectors *= 10.0 ** rng.integers(-5, 6, 900)[:, None]
+    elif kind == "one long":
+        vectors[7] *= 1e7
+    vectors = vectors.astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    found = defaultdict(set)
+    for r in hnsw.nearest(rows, F.col("vec_id") % 20 == 0).collect():
+        found[r.query_id].add(r.vec_id)
+    best = {q: set(brute_nearest(list(range(900)), vectors, q, 20)) for q in found}
+    assert len(found) == 45 and all(len(x) == 20 for x in found.values())
+    assert sum(len(found[q] & best[q]) for q in found) >= 0.95 * 45 * 20
+
+
+def test_one_vec_id_repeated_very_often(spark):
+    rows = spark.range(4000).selectExpr("IF(id < 3900, 5L, id) AS vec_id", "array(cast(id as float), 1.0f) AS embedding")
+    found = hnsw.nearest(rows, F.col("vec_id") == 5, k=200).collect()
+    assert {r.vec_id for r in found} == set(range(3900, 4000)) and len(found) == 100
+
+
 # --- sharding ---
 
 

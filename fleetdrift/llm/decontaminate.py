@@ -1,14 +1,15 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of ``SEED`` words that a text shares with a benchmark item are found by
-their rolling (Karp-Rabin) hashes and joined on them.  For each text and item
+Runs of ``SEED`` words (all words of an item that has fewer) that a text shares
+with a benchmark item are found by their rolling (Karp-Rabin) hashes and joined
+on them.  For each text and item
 the longest match is marked again and again, never overlapping what is marked,
 until none of ``SEED`` words is left.  Tiles may lie in any order, so reordered
 passages are caught.  A text is contaminated by an item if its tiles cover at
 least ``COVERAGE`` of the item's words.
 
-Defined cases: null and empty texts match nothing; an item of fewer than
-``SEED`` words takes no part; of equally long matches the one that begins first
+Defined cases: null and empty texts and items match nothing; an item of fewer than
+``SEED`` words is found where all its words stand together; of equally long matches the one that begins first
 in the text, then in the item, is marked; equal texts are judged one by one;
 repeated benchmark rows of one item id and text count once; extra columns are
 kept only where asked for.
@@ -16,6 +17,7 @@ kept only where asked for.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +35,12 @@ COVERAGE = 0.6
 MOST_SENT = 4_000_000
 
 
-def _seeds(fields: list[str], known: bytes | None) -> Callable:
-    """Seed hashes with their places, only ``known`` ones if given."""
+def _seeds(fields: list[str], known: bytes | None, sizes: tuple[int, ...] = ()) -> Callable:
+    """Seed hashes with their places.
+
+    Benchmark items (no ``sizes``) have seeds of ``SEED`` words, or of all their
+    words; texts have the ``known`` seeds of the given sizes, all of them if None.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if known is None else np.frombuffer(known, np.int64)
@@ -42,25 +48,34 @@ def _seeds(fields: list[str], known: bytes | None) -> Callable:
             data, offsets = utf8(batch.column("text"))
             for first, last in steps(offsets):
                 hashes, own = words(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first], NOT_ALNUM)
-                runs = windows(hashes, SEED).view(np.int64)
                 text = np.repeat(np.arange(last - first), np.diff(own))
-                inside = text[: len(runs)] == text[SEED - 1 :] if len(runs) else np.zeros(0, bool)
-                if wanted is not None:
-                    if not len(wanted):
-                        continue
-                    at = np.minimum(np.searchsorted(wanted, runs), len(wanted) - 1)
-                    inside &= wanted[at] == runs
-                at = np.flatnonzero(inside)
-                row = pa.array(text[at] + first)
-                kept = [batch.column(c).take(row) for c in fields]
-                made = [pa.array(runs[at]), pa.array(at - own[text[at]]), pa.array(np.diff(own)[text[at]])]
-                yield pa.RecordBatch.from_arrays([*kept, *made], [*fields, "seed", "place", "n_words"])
+                for size in sizes or range(1, SEED + 1):
+                    runs = windows(hashes, size).view(np.int64)
+                    inside = text[: len(runs)] == text[size - 1 :] if len(runs) else np.zeros(0, bool)
+                    if not sizes and size < SEED and len(runs):
+                        inside &= np.diff(own)[text[: len(runs)]] == size
+                    if wanted is not None:
+                        if not len(wanted):
+                            continue
+                        at = np.minimum(np.searchsorted(wanted, runs), len(wanted) - 1)
+                        inside &= wanted[at] == runs
+                    at = np.flatnonzero(inside)
+                    row = pa.array(text[at] + first)
+                    kept = [batch.column(c).take(row) for c in fields]
+                    made = [pa.array(runs[at]), pa.array(at - own[text[at]]), pa.array(np.diff(own)[text[at]])]
+                    yield pa.RecordBatch.from_arrays([*kept, *made], [*fields, "seed", "place", "n_words"])
 
     return find
 
 
 def tile(text_at: np.ndarray, item_at: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (text place, item place, length) from the places of shared seeds."""
+    """Greedy tiles (text place, item place, length) from the places of shared seeds.
+
+    Matches lie in a heap, longest first.  One that is taken out whole is a tile;
+    of one that a tile has met since, the free parts go back.
+    """
+    if not len(text_at):
+        return []
     diagonal = item_at - text_at
     order = np.lexsort((text_at, diagonal))
     text_at, diagonal = text_at[order], diagonal[order]
@@ -68,35 +83,30 @@ def tile(text_at: np.ndarray, item_at: np.ndarray, seed: int) -> list[tuple[int,
     fresh[1:] = (np.diff(diagonal) != 0) | (np.diff(text_at) > 1)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(text_at)) - 1
-    matches = [(int(text_at[a]), int(text_at[a] + diagonal[a]), int(text_at[b] - text_at[a]) + seed) for a, b in zip(first, last, strict=True)]
-    in_text: set[int] = set()
-    in_item: set[int] = set()
+    heap = [(-(int(text_at[b] - text_at[a]) + seed), int(text_at[a]), int(text_at[a] + diagonal[a])) for a, b in zip(first, last, strict=True)]
+    heapq.heapify(heap)
+    text_free = np.ones(int(text_at.max()) + seed + 1, bool)
+    item_free = np.ones(int((text_at + diagonal).max()) + seed + 1, bool)
     tiles = []
-    while matches:
-        longest = min(matches, key=lambda m: (-m[2], m[0], m[1]))
-        tiles.append(longest)
-        t, i, n = longest
-        in_text.update(range(t, t + n))
-        in_item.update(range(i, i + n))
-        left = []
-        for a, b, n in matches:
-            run = 0
-            for k in range(n + 1):
-                if k < n and a + k not in in_text and b + k not in in_item:
-                    run += 1
-                    continue
-                if run >= seed:
-                    left.append((a + k - run, b + k - run, run))
-                run = 0
-        matches = left
+    while heap:
+        length, t, i = heapq.heappop(heap)
+        free = text_free[t : t - length] & item_free[i : i - length]
+        if free.all():
+            tiles.append((t, i, -length))
+            text_free[t : t - length] = item_free[i : i - length] = False
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], free, [False])).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if b - a >= seed:
+                heapq.heappush(heap, (a - b, t + a, i + a))
     return sorted(tiles)
 
 
 def _tiles(columns: list[str]) -> Callable:
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        tiles = tile(group["place"].to_numpy(), group["item_place"].to_numpy(), SEED)
-        covered = sum(n for _, _, n in tiles)
         n = int(group["item_words"].iloc[0])
+        tiles = tile(group["place"].to_numpy(), group["item_place"].to_numpy(), min(SEED, n))
+        covered = sum(n for _, _, n in tiles)
         out = group.iloc[:1][columns].copy()
         out["covered"], out["item_words"], out["coverage"] = covered, n, covered / n
         out["n_tiles"] = len(tiles)
@@ -123,13 +133,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
         )
         .withColumnsRenamed({"place": "item_place", "n_words": "item_words"})
     )
+    sizes = tuple(r[0] for r in items.select(F.least("item_words", F.lit(SEED))).distinct().collect())
     sent = None
     if items.count() <= MOST_SENT:
         seeds = items.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)
         sent = np.sort(seeds).tobytes()
     texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     hits = texts.mapInArrow(
-        _seeds(["doc_id", "text_hash"], sent), f"doc_id {doc_kind}, text_hash long, seed long, place long, n_words long"
+        _seeds(["doc_id", "text_hash"], sent, sizes or (SEED,)), f"doc_id {doc_kind}, text_hash long, seed long, place long, n_words long"
     ).drop("n_words")
     # Equal rows of documents give equal hits; judged once, as their verdict is the same.
     pairs = hits.join(items, "seed").distinct()

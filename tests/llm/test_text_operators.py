@@ -218,6 +218,26 @@ def test_reordered_passages_are_caught_and_clean_texts_left(spark):
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame(
+        [(1, "the answer is forty two of course"), (2, "forty two"), (3, "forty, TWO!"), (4, "forty and two"), (5, "yes"), (6, None)], "doc_id long, text string"
+    )
+    bench = spark.createDataFrame([(10, "Forty two"), (11, "yes"), (12, ""), (13, None), (14, "is forty two of")], "item_id long, text string")
+    rows = decontaminate.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(1, 10), (2, 10), (3, 10), (5, 11), (1, 14)}
+    assert all(r.coverage == 1 and r.n_tiles == 1 for r in rows)
+
+
+def test_tiles_of_repetitive_texts():
+    """Two words in a long text and a long item: every place matches many others."""
+    text, item = (np.random.default_rng(3).integers(0, 2, n).tolist() for n in (2000, 300))
+    places = [(a, b) for a in range(len(text) - 4) for b in range(len(item) - 4) if text[a : a + 5] == item[b : b + 5]]
+    found = decontaminate.tile(np.array([x[0] for x in places]), np.array([x[1] for x in places]), 5)
+    assert all(text[t : t + n] == item[i : i + n] and n >= 5 for t, i, n in found)
+    assert len({t + k for t, _, n in found for k in range(n)}) == sum(n for _, _, n in found)
+    assert decontaminate.tile(np.zeros(0, int), np.zeros(0, int), 5) == []
+
+
 def test_decontamination_equals_brute_force_with_and_without_the_filter(spark, small, monkeypatch):
     docs, bench = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "benchmark"))
     split = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())

@@ -1,17 +1,21 @@
 """Main text of web pages by removal of site templates.
 
 Every element outside the article, and every container within it, is hashed with
-its whole subtree.  Spark counts on how many different pages of a host each hash
-occurs; subtrees on at least ``SHARE`` of them (and ``LEAST_PAGES``) are the
-site's template and are deleted.  Elements whose role is plain by name, class or
-ARIA role (menus, forms, scripts, comments ...) go too, as they may differ from
-page to page.  Paragraphs of the article never count as template: passages may
-be shared by many articles.
+its whole subtree, from the hashes of its children.  Spark counts on how many
+different pages of a host each hash occurs; subtrees on at least ``SHARE`` of them
+or on ``MOST_PAGES``, and on ``LEAST_PAGES`` at least, are the site's template and
+are deleted: what recurs often enough is template however large the host is.
+Elements whose role is plain by name, class or ARIA role (menus, forms, scripts,
+comments ...) go too, as they may differ from page to page; within the article a
+class has to name such a part and nothing else.  Paragraphs of the article never
+count as template: passages may be shared by many articles.
 
 Defined cases: null and empty pages give an empty text; copies of a page count
 once; pages without a host lose nothing by template; without an article or main
-element the whole body is the article; broken mark-up is read as browsers do,
-as far as nesting matters here; text after an unfinished tag is dropped.
+element, or with one that holds a small part of the text only (a teaser), the
+whole body is the article, whose paragraphs, headings and quotations are no
+template unless a container of them is; broken mark-up is read as browsers do, as
+far as nesting matters here; text after an unfinished tag is dropped.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -27,7 +32,9 @@ from pyspark.sql import functions as F
 
 from fleetdrift.llm.storage import stored
 
-SHARE, LEAST_PAGES = 0.2, 3
+SHARE, LEAST_PAGES, MOST_PAGES = 0.2, 3, 50
+#: The body is the article where it holds so many times the text of the article elements.
+TEASER_TIMES = 4
 
 # Element names of the HTML standard by their part in the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,15 +71,34 @@ CLASS_WORDS = frozenset(
     "masthead pager pagination".split()
 )
 
+# Words that may follow such a word within an article and leave its meaning.
+PART_WORDS = frozenset(
+    "area bar block blocks box boxes button buttons container content form inner item items label link links list panel "
+    "section slot thread unit widget wrap wrapper".split()
+)
+
+# Attributes as browsers read them: values in quotes, or up to the next blank.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z", re.S
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?)*+)>"
+    r"|<[!?/][^>]*(?:>|\Z)|<[A-Za-z][^>]*\Z",
+    re.S,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _HIDDEN = re.compile(r"\s(?:hidden|aria-hidden\s*=\s*[\"']?true)(?=[\s>/=\"']|\Z)", re.I)
 
 
-def _plain_role(name: str, attributes: str) -> bool:
+def _names_a_part(value: str) -> bool:
+    """Whether one class or id of the value says nothing but what part of a page this is."""
+    for token in value.split():
+        words = _WORD.findall(token)
+        if words and words[0] in CLASS_WORDS and all(w in CLASS_WORDS or w in PART_WORDS for w in words):
+            return True
+    return False
+
+
+def _plain_role(name: str, attributes: str, within: bool) -> bool:
     """Whether an element is no part of an article by its name or attributes."""
     if name in DROPPED:
         return True
@@ -83,100 +109,122 @@ def _plain_role(name: str, attributes: str) -> bool:
         if key.lower() == "role":
             if value in ROLES:
                 return True
-        elif name not in CONTENT and not CLASS_WORDS.isdisjoint(_WORD.findall(value)):
+        elif name not in CONTENT and (_names_a_part(value) if within else not CLASS_WORDS.isdisjoint(_WORD.findall(value))):
             return True
         elif name in CONTENT and not {"comment", "comments", "related", "ad", "promo"}.isdisjoint(_WORD.findall(value)):
             return True
     return bool(_HIDDEN.search(f" {attributes}"))
 
 
+class _Element:
+    """An open element: its place, whether it is dropped or within the article, and the hash of its subtree so far."""
+
+    __slots__ = ("name", "first", "dropped", "within", "hash", "has_text")
+
+    def __init__(self, name: str, first: int, dropped: bool, within: bool):
+        self.name, self.first, self.dropped, self.within = name, first, dropped, within
+        self.hash = hashlib.blake2b(name.encode("utf-8", "replace"), digest_size=8)
+        self.has_text = False
+
+    def add(self, child: _Element) -> None:
+        self.hash.update(b"\1" + child.hash.digest())
+        self.has_text |= child.has_text
+
+
 class Page:
     """One pass over a page: its blocks of text, and the hashed subtrees that may be template."""
 
     def __init__(self, source: str, template: frozenset[int] = frozenset()):
         self.template = template
-        self.blocks: list[tuple[int, bool, str]] = []  # (event, within the article, text)
-        self.found: dict[int, tuple[int, int]] = {}  # hash -> one place of it
+        self.blocks: list[tuple[int, bool, str]] = []  # (place, within the article, text)
+        self.found: set[int] = set()
+        self.prose: set[int] = set()  # of these, paragraphs and the like outside of article elements
         self.deleted: list[tuple[int, int]] = []
-        self.events: list[str] = []
-        self.stack: list[tuple[str, int, bool, bool]] = []  # name, first event, dropped, within the article
+        self.places = 0
+        self.stack: list[_Element] = [_Element("", 0, False, False)]
+        self.open: Counter[str] = Counter()
+        self.has_article = False
         self.run: list[str] = []
         self._read(source)
 
-    def _state(self) -> tuple[bool, bool]:
-        return (self.stack[-1][2], self.stack[-1][3]) if self.stack else (False, False)
-
     def _break(self) -> None:
         if self.run:
             text = " ".join(html.unescape("".join(self.run)).split())
             self.run.clear()
             if text:
-                dropped, within = self._state()
-                self.events.append(text)
-                if not dropped:
-                    self.blocks.append((len(self.events) - 1, within, text))
+                top = self.stack[-1]
+                top.hash.update(b"\0" + text.encode("utf-8", "replace"))
+                top.has_text = True
+                self.places += 1
+                if not top.dropped:
+                    self.blocks.append((self.places, top.within, text))
 
     def _close(self, depth: int) -> None:
         """Pop the stack down to ``depth`` elements."""
         while len(self.stack) > depth:
-            name = self.stack[-1][0]
+            name = self.stack[-1].name
             if name in BLOCKS:
                 self._break()
-            name, first, _, within = self.stack.pop()
-            inside = within and name not in CONTENT
+            own = self.stack.pop()
+            self.open[name] -= 1
+            self.stack[-1].add(own)
+            inside = own.within and name not in CONTENT
             if name in ("html", "body") or name not in BLOCKS or (inside and name not in CONTAINERS) or name in CONTENT:
                 continue
-            if name == "p" and not inside and any(s[3] for s in self.stack):
+            if not own.has_text:
                 continue
-            subtree = "\0".join(self.events[first:])
-            if subtree.count("\0") == 0:
-                continue  # no text
-            code = int.from_bytes(hashlib.blake2b(subtree.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-            self.found[code] = (first, len(self.events))
+            code = int.from_bytes(own.hash.digest(), "little", signed=True)
+            self.found.add(code)
+            if name not in CONTAINERS and name not in DROPPED:
+                self.prose.add(code)
             if code in self.template:
-                self.deleted.append((first, len(self.events)))
+                self.deleted.append((own.first, self.places))
 
     def _open(self, name: str, attributes: str) -> None:
-        names = [s[0] for s in self.stack]
-        if name in _P_CLOSERS:
-            for depth in range(len(names) - 1, -1, -1):
-                if names[depth] == "p":
+        if name in _P_CLOSERS and self.open["p"]:
+            for depth in range(len(self.stack) - 1, 0, -1):
+                if self.stack[depth].name == "p":
                     self._close(depth)
                     break
-                if names[depth] in _P_SHIELDS:
+                if self.stack[depth].name in _P_SHIELDS:
+                    break
+        if name in _CLOSERS:
+            for depth in range(len(self.stack) - 1, 0, -1):
+                closers, _ = CLOSED_BY.get(self.stack[depth].name, (frozenset(), frozenset()))
+                if name in closers:
+                    self._close(depth)
+                    break
+                if self.stack[depth].name in ("table", "ul", "ol", "dl", "select", "menu"):
                     break
-        for depth in range(len(self.stack) - 1, -1, -1):
-            closers, shields = CLOSED_BY.get(self.stack[depth][0], (frozenset(), frozenset()))
-            if name in closers:
-                self._close(depth)
-                break
-            if self.stack[depth][0] in ("table", "ul", "ol", "dl", "select", "menu") or name not in _CLOSERS:
-                break
         if name in BLOCKS:
             self._break()
         if name in VOID:
             return
-        dropped, within = self._state()
-        role = _plain_role(name, attributes)
+        top = self.stack[-1]
+        role = _plain_role(name, attributes, top.within)
         if role and name not in BLOCKS:
             self._break()  # an inline element that is dropped must not take the block's text along
-        self.stack.append((name, len(self.events), dropped or role, within or name in CONTENT))
-        if name in BLOCKS:
-            self.events.append(f"<{name}")
+        if name in CONTENT:
+            self.has_article = True
+        self.open[name] += 1
+        self.stack.append(_Element(name, self.places, top.dropped or role, top.within or name in CONTENT))
 
     def _end(self, name: str) -> None:
-        for depth in range(len(self.stack) - 1, -1, -1):
-            if self.stack[depth][0] == name:
+        if not self.open[name]:
+            return
+        for depth in range(len(self.stack) - 1, 0, -1):
+            if self.stack[depth].name == name:
                 if name in BLOCKS or depth == len(self.stack) - 1:
-                    if self.stack[depth][2]:
+                    if self.stack[depth].dropped:
                         self._break()
                     self._close(depth)
+                elif self.stack[depth].dropped and not self.stack[depth - 1].dropped:
+                    self._break()
+                    self._close(depth)
                 else:
-                    if self.stack[depth][2] and not (depth and self.stack[depth - 1][2]):
-                        self._break()
-                        self._close(depth)
-                    else:
-                        del self.stack[depth]  # misnested inline element
+                    self.stack[depth - 1].add(self.stack[depth])
+                    self.open[name] -= 1
+                    del self.stack[depth]  # misnested inline element
                 return
 
     def _read(self, source: str) -> None:
@@ -204,14 +252,24 @@ class Page:
                     at = stop.end() if stop else n
                     self._end(name)
         self._break()
-        self._close(0)
+        self._close(1)
+
+    def candidates(self) -> set[int]:
+        """Subtrees that count as template where they recur; a body that is the article has its prose left out."""
+        return self.found if self.has_article else self.found - self.prose
 
     def text(self) -> str:
-        deleted = set()
-        for a, b in self.deleted:
-            deleted.update(range(a, b))
-        kept = [(within, t) for place, within, t in self.blocks if place not in deleted]
-        if any(within for within, _ in kept):
+        cuts, kept = sorted(self.deleted), []
+        at = end = 0
+        for place, within, text in self.blocks:
+            while at < len(cuts) and cuts[at][0] < place:
+                end = max(end, cuts[at][1])
+                at += 1
+            if place > end:
+                kept.append((within, text))
+        inside = sum(len(t) for within, t in kept if within)
+        outside = sum(len(t) for within, t in kept if not within)
+        if inside and outside < TEASER_TIMES * inside:
             kept = [x for x in kept if x[0]]
         return " ".join(t for _, t in kept)
 
@@ -226,7 +284,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source or "")
             own = hashlib.blake2b("\0".join(t for _, _, t in page.blocks).encode("utf-8", "replace"), digest_size=8).digest()
             own = int.from_bytes(own, "little", signed=True)
-            for code in page.found:
+            for code in page.candidates():
                 hosts.append(host)
                 codes.append(code)
                 pages.append(own)
@@ -254,8 +312,10 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
 
 
-def site_templates(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host and template: the hashes on many of its pages, at most 1 / share times the subtrees of a mean page.
+def site_templates(
+    pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, most_pages: int = MOST_PAGES
+) -> DataFrame:
+    """host and template: the hashes on many of its pages.
 
     The rows are counted with partial sums before they are shuffled, so a host
     with a third of all pages costs no task more than others.
@@ -271,7 +331,7 @@ def site_templates(pages: DataFrame, share: float = SHARE, least_pages: int = LE
     counts = seen.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"))
     return stored(
         counts.join(sizes, "host")
-        .where((F.col("n") >= least_pages) & (F.col("n") >= F.col("pages") * share))
+        .where((F.col("n") >= least_pages) & (F.col("n") >= F.least(F.col("pages") * share, F.lit(float(most_pages)))))
         .groupBy("host")
         .agg(F.collect_list("code").alias("template"))
     )

@@ -330,3 +330,42 @@ def test_pages_of_the_small_table(spark, small):
         body = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
         blocks = [html.unescape(re.sub(r"<[^>]+>", "", x)).split() for x in re.split(r"</?(?:p|h\d|br|li|ul)\b[^>]*>", body)]
         assert r.text == " ".join(" ".join(b) for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_templates_decide_without_article_elements(spark):
+    """A rotating box on a twentieth of a large host's pages, without any telling name, goes; shared passages stay."""
+    shared = "A passage that very many pages of this host quote word for word."
+    rows = []
+    for i in range(1200):
+        box = f"<div><ul><li>Box {i % 20}</li><li>of the site</li></ul></div>"
+        quote = f"<p>{shared}</p>" if i % 3 == 0 else ""
+        rows.append((i, "http://big.example/x", f"<body>{box}<div><p>Own text number {i}.</p>{quote}</div></body>"))
+    found = {r.page_id: r.text for r in webpages.extract_texts(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    assert found == {i: f"Own text number {i}." + (f" {shared}" if i % 3 == 0 else "") for i in range(1200)}
+
+
+def test_class_words_within_an_article():
+    article = (
+        "<article><div class='share-price'>A</div><h2 class='section-header'>B</h2><p id='notice-of-appeal'>C</p>"
+        "<section class='social-history'>D</section><div class='ad-slot'>X</div><div class='comments'>Y</div></article>"
+    )
+    assert webpages.Page(article).text() == "A B C D"
+    assert webpages.Page("<p><a href=it's title=\"a>b\">link</a> text</p>").text() == "link text"
+    body = "Long text of the page. " * 20
+    assert webpages.Page(f"<div><p>{body}</p></div><article>teaser</article>").text() == f"{body.strip()} teaser"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    start = time.perf_counter()
+    assert webpages.Page("<div>" * 50000 + "x" + "</div>" * 50000).text() == "x"
+    webpages.Page("<a " * 20000)
+    webpages.Page('<a b="' * 20000)
+    webpages.Page("<i>" * 20000 + "</b>" * 50000)
+    assert time.perf_counter() - start < 5
+
+
+def test_pages_of_nothing(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert webpages.extract_texts(empty, ["page_id", "url"]).count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,23 @@ def prepared(spark: SparkSession) -> SparkSession:
     return configure(spark)
 
 
+_OWNED: set[str] = set()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    # The application may have stopped its context already.
+    with contextlib.suppress(Exception):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder, below this application's own part of it."""
-    return f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    """A new path in the shared folder, below this application's own part of it, which goes when the application ends."""
+    folder = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _OWNED:
+        _OWNED.add(folder)
+        atexit.register(_delete, spark, folder)
+    return f"{folder}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

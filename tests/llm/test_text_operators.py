@@ -147,9 +147,29 @@ def test_license_base_places(spark, small):
     assert licenses.scan_licenses(empty_docs(spark), ["doc_id"]).count() == 0
 
 
+def whole_text(label, *words):
+    """A template's text with its optional regions left out and ``words`` in its replaceable ones."""
+    template = re.sub(r"\[\[[^\]]*\]\]", "", dict(licenses.TEMPLATES)[label])
+    for w in words:
+        template = re.sub(r"<<\d+>>", w, template, count=1)
+    return template.replace(" software", " Software,")
+
+
+BSD = ("the copyright holders and contributors", "the copyright holder or contributors")
+
+
 @pytest.mark.parametrize(
     ("text", "label", "found"),
     [
+        (whole_text("MIT", "authors or copyright holders"), "MIT", True),
+        (whole_text("MIT", "authors or copyright holders").replace("noninfringement", "infringement"), "MIT", False),
+        (whole_text("MIT", "authors or copyright holders").split(" the Software, is provided")[0], "MIT", False),
+        (whole_text("ISC", "the author", "the author"), "ISC", True),
+        (whole_text("BSD-2-Clause", *BSD), "BSD-2-Clause", True),
+        (whole_text("BSD-2-Clause", *BSD), "BSD-3-Clause", False),
+        (whole_text("BSD-3-Clause", "the holder", "its", *BSD), "BSD-3-Clause", True),
+        (whole_text("BSD-3-Clause", "the holder", "its", *BSD), "BSD-2-Clause", False),
+        (whole_text("Zlib", "authors"), "Zlib", True),
         ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", True),
         ("My big work is licensed under the terms of the GNU General Public License version 3 or later", "GPL-3.0", True),
         ("This work is licensed under a GNU General Public License, version 3.", "GPL-3.0", False),

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.functions.constraints import constraint_fields, constraint_kind
 from fleetdrift.model import COLUMN, PARTITION_INFO, PARTITION_OF
-from fleetdrift.operators import compare, migration, patch, report, risk, script
+from fleetdrift.operators import compare, exclude, migration, patch, report, risk, script
 from fleetdrift.operators.compare import Catalog
 from fleetdrift.plans.fixtures import CANONICAL, ORACLE_CTES, fixture
 from fleetdrift.plans.drift_queries import _LABEL, _RANK
@@ -72,12 +73,30 @@ def annotations(spark, folder):
     return tables, columns
 
 
-def whole_drift(spark, folder, rules=None):
-    tables, columns = annotations(spark, folder)
-    return migration.drift(
-        catalog(spark, folder, "source"), catalog(spark, folder, "target"),
-        table_renames=tables, column_renames=columns, rules=rules,
-    )
+_DRIFTS: dict[tuple[str, str], DataFrame] = {}
+
+
+def whole_drift(spark, folder):
+    """The graded changes of both catalogs, stored once per session: many reports read them."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _DRIFTS:
+        tables, columns = annotations(spark, folder)
+        _DRIFTS[key] = cut_lineage(
+            migration.drift(
+                catalog(spark, folder, "source"), catalog(spark, folder, "target"), table_renames=tables, column_renames=columns
+            )
+        )
+    return _DRIFTS[key]
+
+
+_PLANS: dict[tuple[str, str], migration.Migration] = {}
+
+
+def whole_plan(spark, folder) -> migration.Migration:
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _PLANS:
+        _PLANS[key] = migration.plan_migration(whole_drift(spark, folder))
+    return _PLANS[key]
 
 
 # --- the same in SQL: objects of both sides are matched by k, not by name ---
@@ -196,7 +215,7 @@ def drift_all_kinds(spark, folder):
 
 @query("SELECT pair_id, line, statement, transactional, risk FROM {mx_script}")
 def migration_script(spark, folder):
-    planned = migration.plan_migration(whole_drift(spark, folder))
+    planned = whole_plan(spark, folder)
     return planned.up.select("pair_id", "line", "statement", "transactional", "risk")
 
 
@@ -212,7 +231,7 @@ SELECT *, sum(CASE WHEN transactional THEN 0 ELSE 1 END) OVER (PARTITION BY pair
 def migration_folder(spark, folder):
     """The written script read back, every line with the unit whose range it is in."""
     target = f"{checkpoint_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    planned = migration.plan_migration(whole_drift(spark, folder))
+    planned = whole_plan(spark, folder)
     sinks.write_migration(planned.up, planned.down, target)
     lines = sinks.read_script(spark, target, "up")
     units = sinks.read_manifest(spark, target).where("direction = 'up'").drop("direction")
@@ -225,7 +244,7 @@ def migration_folder(spark, folder):
     "FROM {mx_units} GROUP BY pair_id, barrier, transactional"
 )
 def migration_units(spark, folder):
-    return migration.plan_migration(whole_drift(spark, folder)).units.drop("reason")
+    return whole_plan(spark, folder).units.drop("reason")
 
 
 @query(
@@ -234,7 +253,7 @@ def migration_units(spark, folder):
 )
 def run_risk(spark, folder):
     """Worst risk, and the two sides of the gate, over all kinds of changes."""
-    graded = cut_lineage(whole_drift(spark, folder).select("pair_id", "risk"))
+    graded = whole_drift(spark, folder)
     allowed, refused = risk.risk_gate(graded)
     sides = allowed.select("pair_id", F.lit(1).alias("a"), F.lit(0).alias("r")).unionByName(
         refused.select("pair_id", F.lit(0).alias("a"), F.lit(1).alias("r"))
@@ -256,7 +275,7 @@ _SUMMARY = (
 )
 def run_summary(spark, folder):
     """The four counts per pair, schema and object group over all kinds of changes (null: all of them)."""
-    found = cut_lineage(whole_drift(spark, folder).select("pair_id", "namespace", "object_kind", "op", "is_conflict"))
+    found = whole_drift(spark, folder)
     total = report.change_summary(found)
     counts = total.unionByName(report.tree_badges(found), allowMissingColumns=True)
     return counts.select("pair_id", "namespace", "object_kind", *[F.col(n).cast("long").alias(n) for n in report.CLASSES.values()])
@@ -304,7 +323,7 @@ def run_change_table(spark, folder):
 def apply_changes(spark, folder):
     """Changes of every kind, and how many are left once they are applied to the source."""
     source, target = catalog(spark, folder, "source"), catalog(spark, folder, "target")
-    found = cut_lineage(whole_drift(spark, folder))
+    found = whole_drift(spark, folder)
     left = compare.compare_catalogs(patch.apply_changes(source, found), target)
     kinds = spark.createDataFrame([(k,) for k in ("schema", "extension", "table", "column", "index", "constraint")], "object_kind string")
     for name, rows in (("n_changes", found), ("n_left", left)):
@@ -333,7 +352,7 @@ _RULES = [
 def exclusion_rules(spark, folder):
     """Drift without what overlapping rules leave out, whole objects and attributes."""
     rules = spark.createDataFrame(_RULES, "pair_id long, object_kind string, glob string, attribute string")
-    left = whole_drift(spark, folder, rules)
+    left = exclude.exclude_changes(whole_drift(spark, folder), rules)
     owner = (F.col("kind") == "alter_table_attrs") & F.array_contains("changed", "owner")
     return left.select(
         "pair_id", "object_kind", "namespace", "parent_name", "name", "kind", F.coalesce(owner, F.lit(False)).alias("owner_left")

@@ -221,6 +221,67 @@ def match_snapshots(
     return both.groupBy(*key).agg(F.min("src").alias("src"), F.min("tgt").alias("tgt"))
 
 
+#: Cells of object keys that tell where something differs: the list of them is at most this long.
+CELLS = 1 << 20
+
+
+def _digest(rows: DataFrame, ignored: tuple[str, ...], key: list[str]) -> list[Column]:
+    """128 bits of all attributes of an object, nulls told apart, as two longs."""
+    parts: list[Column] = []
+    for f in rows.schema.fields:
+        if f.name in ignored or f.name in key:
+            continue
+        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+        value = F.to_json(f.name, {"ignoreNullFields": "false"}) if nested else F.col(f.name)
+        parts += [value, F.col(f.name).isNull()]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"d{seed}") for seed in (1, 2)]
+
+
+def match_changed(
+    source: DataFrame,
+    target: DataFrame,
+    key: list[str],
+    options: CompareOptions = DEFAULTS,
+    ignored: tuple[str, ...] = (),
+) -> DataFrame:
+    """``match_snapshots`` of the objects that differ, and of few others.
+
+    Keys and digests of all objects meet first.  What differs marks the cell of
+    its key; the marked cells, at most ``CELLS`` numbers, are sent to all tasks,
+    and only objects in them are read with their attributes and shuffled.
+    ``ignored`` attributes make no difference.
+    """
+
+    def folded(rows: DataFrame) -> list[Column]:
+        return [(F.col(c) if options.case_sensitive or c == "pair_id" else F.lower(c)).alias(c) for c in key]
+
+    def slim(rows: DataFrame, side: str) -> DataFrame:
+        digests = _digest(rows, ignored, [] if not options.case_sensitive else key)
+        return rows.select(*folded(rows), *digests).select(*key, *[F.col(d).alias(f"{side}_{d}") for d in ("d1", "d2")])
+
+    both = slim(source, "s").unionByName(slim(target, "t"), allowMissingColumns=True)
+    columns = [f"{side}_{d}" for d in ("d1", "d2") for side in "st"]
+    found = both.groupBy(*key).agg(
+        *[x for c in columns for x in (F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"))]
+    )
+    same = reduce(
+        lambda a, b: a & b,
+        [
+            F.col(f"s_{d}_low").eqNullSafe(F.col(f"t_{d}_low")) & F.col(f"s_{d}_high").eqNullSafe(F.col(f"t_{d}_high"))
+            & (F.col(f"s_{d}_low") == F.col(f"s_{d}_high"))
+            for d in ("d1", "d2")
+        ],
+    )
+    cell = F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int")
+    marked = F.broadcast(found.where(~F.coalesce(same, F.lit(False))).select(cell.alias("_cell")).distinct())
+
+    def in_marked(rows: DataFrame) -> DataFrame:
+        own = F.pmod(F.xxhash64(*folded(rows)), F.lit(CELLS)).cast("int")
+        return rows.join(marked, own == F.col("_cell"), "left_semi")
+
+    return match_snapshots(in_marked(source), in_marked(target), key, options)
+
+
 def normalize_columns(columns: DataFrame) -> DataFrame:
     """Canonical type names, so that two spellings of one type are no change."""
     return columns.withColumn("data_type", normalize_type(F.col("data_type")))
@@ -250,7 +311,12 @@ def compare_columns(
         column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
         return in_scope(rows, options, "table_name").select(*TABLE, "name", column.alias("column"))
 
-    matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
+    if tables is None:
+        matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
+    else:
+        plain = [in_scope(x, options, "table_name").select(*TABLE, *COLUMN.fieldNames()) for x in (source, target)]
+        matched = match_changed(*plain, [*TABLE, "name"], options, ("position",))
+        matched = matched.select(*TABLE, "name", *[_packed(side, COLUMN, "column") for side in ("src", "tgt")])
     created, dropped, both = _missing_sides()
     replacing = ["column.identity"]
     if options.compare_generated:
@@ -330,6 +396,13 @@ def compare_columns(
     )
 
 
+def _packed(side: str, schema: T.StructType, name: str) -> Column:
+    """A side of a match with its attributes in one struct, beside its names."""
+    own = F.struct(*[F.col(f"{side}.{n}").alias(n) for n in schema.fieldNames()]).cast(schema)
+    names = [F.col(f"{side}.{n}").alias(n) for n in ("namespace", "table_name", "name")]
+    return F.when(F.col(side).isNotNull(), F.struct(*names, own.alias(name))).alias(side)
+
+
 def common_tables(
     source: DataFrame, target: DataFrame, options: CompareOptions = DEFAULTS
 ) -> DataFrame:
@@ -344,7 +417,7 @@ def compare_tables(
 
     ``changed`` tells which attributes differ, so a cleared one is no unchanged one.
     """
-    matched = match_snapshots(
+    matched = match_changed(
         in_scope(source, options, "table_name"), in_scope(target, options, "table_name"), TABLE, options
     )
     created, dropped, both = _missing_sides()
@@ -416,13 +489,9 @@ def compare_indexes(
     reported as a conflict.
     """
 
-    def packed(rows: DataFrame) -> DataFrame:
-        index = F.struct(*INDEX.fieldNames()).cast(INDEX)
-        return in_scope(rows, options, "table_name").select(
-            "pair_id", "namespace", "name", index.alias("index")
-        )
-
-    matched = match_snapshots(packed(source), packed(target), ["pair_id", "namespace", "name"], options)
+    plain = [in_scope(x, options, "table_name").select("pair_id", "namespace", *INDEX.fieldNames()) for x in (source, target)]
+    matched = match_changed(*plain, ["pair_id", "namespace", "name"], options, ("comment",))
+    matched = matched.select("pair_id", "namespace", "name", *[_packed(side, INDEX, "index") for side in ("src", "tgt")])
     created, dropped, both = _missing_sides()
     compared = ["table_name", "method", "key_columns", "include_columns", "unique", "predicate"]
     replaced = both & _differ(*[f"index.{c}" for c in compared])
@@ -452,13 +521,9 @@ def compare_constraints(
     yield no changes of their own: they stand in the table's (``attach_payload``).
     """
 
-    def packed(rows: DataFrame) -> DataFrame:
-        constraint = F.struct(*CONSTRAINT.fieldNames()).cast(CONSTRAINT)
-        return in_scope(rows, options, "table_name").select(
-            *TABLE, "name", constraint.alias("constraint")
-        )
-
-    matched = match_snapshots(packed(source), packed(target), [*TABLE, "name"], options)
+    plain = [in_scope(x, options, "table_name").select(*TABLE, *CONSTRAINT.fieldNames()) for x in (source, target)]
+    matched = match_changed(*plain, [*TABLE, "name"], options)
+    matched = matched.select(*TABLE, "name", *[_packed(side, CONSTRAINT, "constraint") for side in ("src", "tgt")])
     if tables is not None:
         matched = _in_tables(matched, tables, options)
     created, dropped, both = _missing_sides()

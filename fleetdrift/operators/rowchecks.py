@@ -145,7 +145,7 @@ _INTERVAL = (
     r"|^P([+-]?[0-9]+Y)?([+-]?[0-9]+M)?([+-]?[0-9]+W)?([+-]?[0-9]+D)?(T([+-]?[0-9]+H)?([+-]?[0-9]+M)?([+-]?[0-9]+(\.[0-9]+)?S)?)?$"
 )
 _TIME = r"^([01]?[0-9]|2[0-4]):[0-5][0-9](:[0-5][0-9](\.[0-9]+)?)?( ?(Z|[+-][0-9]{1,2}(:?[0-5][0-9])?))?$"
-_TYPE = re.compile(r'\s*"?([a-z][a-z ]*?)"?\s*(?:\(\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?\))?\s*((?:with|without) time zone)?\s*((?:\[[0-9]*\])*)\s*')
+_TYPE = re.compile(r'\s*"?([a-z][a-z0-9_ ]*?)"?\s*(?:\(\s*([0-9]+)\s*(?:,\s*([0-9]+)\s*)?\))?\s*((?:with|without) time zone)?\s*((?:\[[0-9]*\])*)\s*')
 
 
 @dataclass(frozen=True)

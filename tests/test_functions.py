@@ -166,3 +166,38 @@ def test_glob_and_quoting(spark):
     assert matches("a?b") == [False, False, True, True, False]
     assert matches("x\\y") == [False, False, False, False, True]
     assert values(spark, ['a"b'], quote_ident) == ['"a""b"']
+
+
+@pytest.mark.parametrize(
+    ("data_type", "good", "bad"),
+    [
+        ("varchar(3)", ["abc", "abc  ", ""], ["abcd"]),
+        ("char(2)", ["ab ", "a"], ["abc"]),
+        ("numeric(4,1)", ["999.94", " 1 ", "-0.04", "1e2"], ["999.95", "1000", "x", "1,5", "NaN!"]),
+        ("decimal(40,2)", ["1" * 38 + ".5"], ["1" * 39]),
+        ("numeric", ["1e400", ".5"], ["", "."]),
+        ("uuid", ["a0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11", "{A0EEBC999C0B4EF8BB6D6BB9BD380A11}"], ["a0eebc99", "g0eebc99-9c0b-4ef8-bb6d-6bb9bd380a11"]),
+        ("interval", ["1 day", "2 hours 3 mins ago", "-1:30", "P1DT2H", "1 year 2 days 03:04:05.6"], ["", "day", "1 dog", "PT"]),
+        ("time without time zone", ["23:59", "00:00:00.5"], ["25:00", "12"]),
+        ("bool", ["yes", "OFF", "1"], ["2", "maybe"]),
+        ("int2", ["-32768", "+5"], ["32768", "1.0", "a"]),
+        ("int4[]", ["{1,NULL, 2}", "{}", '{"3"}'], ["{1,x}", "1,2", "{1"]),
+        ("varchar(2)[]", ['{ab,"a,"}'], ['{abc}']),
+        ("jsonb", ['{"a": [1]}', "1"], ["{a}", ""]),
+        ("timestamp with time zone", ["2024-02-29 10:00:00+02"], ["2023-02-29 10:00:00", "soon"]),
+        ("text", ["", "x"], []),
+    ],
+)
+def test_values_that_fit_a_type(spark, data_type, good, bad):
+    from fleetdrift.operators import rowchecks
+
+    rows = spark.createDataFrame([(v,) for v in [*good, *bad, None]], "v string")
+    assert sorted(r.v for r in rowchecks.cast_violations(rows, "v", data_type).collect()) == sorted(bad)
+
+
+def test_types_without_a_cast_test(spark):
+    from fleetdrift.operators import rowchecks
+
+    for text in ("geometry", "integer[][]", "numeric(3"):
+        with pytest.raises(ValueError):
+            rowchecks.cast_violations(spark.createDataFrame([("1",)], "v string"), "v", text)

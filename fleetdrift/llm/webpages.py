@@ -278,27 +278,25 @@ _CLOSERS = frozenset().union(*(starts for starts, _ in CLOSED_BY.values()))
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page a hash of its text and those of its subtrees that may be template."""
     for batch in batches:
-        hosts, codes, pages = [], [], []
-        for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page = Page(source or "")
+        pages, codes = [], []
+        for i in range(len(batch)):
+            page = Page(batch.column("html")[i].as_py() or "")
             own = hashlib.blake2b("\0".join(t for _, _, t in page.blocks).encode("utf-8", "replace"), digest_size=8).digest()
-            own = int.from_bytes(own, "little", signed=True)
-            for code in page.candidates():
-                hosts.append(host)
-                codes.append(code)
-                pages.append(own)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(codes, pa.int64()), pa.array(pages, pa.int64())], ["host", "code", "page"]
-        )
+            pages.append(int.from_bytes(own, "little", signed=True))
+            codes.append(list(page.candidates()))
+        columns = [batch.column("host"), batch.column("source"), pa.array(pages, pa.int64()), pa.array(codes, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "source", "page", "codes"])
 
 
 def _texts(fields: list[str]) -> Callable:
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for source, template in zip(batch.column("_html").to_pylist(), batch.column("_template").to_pylist(), strict=True):
-                texts.append(Page(source or "", frozenset(template or ())).text())
+            for i in range(len(batch)):
+                template = batch.column("_template")[i].as_py()
+                texts.append(Page(batch.column("_html")[i].as_py() or "", frozenset(template or ())).text())
             columns = [batch.column(c) for c in fields]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             clean = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
@@ -315,36 +313,39 @@ def host_of(url: Column) -> Column:
 def site_templates(
     pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_PAGES, most_pages: int = MOST_PAGES
 ) -> DataFrame:
-    """host and template: the hashes on many of its pages.
+    """host, source (hash of the html) and template: which of its own subtrees are on many pages of the host.
 
     The rows are counted with partial sums before they are shuffled, so a host
-    with a third of all pages costs no task more than others.
+    with a third of all pages costs no task more than others; a page gets its own
+    subtrees back, never all of its host's.
     """
-    seen = (
-        pages.select(host_of(F.col("url")).alias("host"), "html")
+    described = stored(
+        pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("source"), "html")
         .where((F.col("host") != "") & F.col("html").isNotNull())
-        .mapInArrow(_subtrees, "host string, code long, page long")
-        .distinct()
+        .mapInArrow(_subtrees, "host string, source long, page long, codes array<long>")
     )
-    seen = stored(seen)
-    sizes = seen.groupBy("host", "page").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("one").alias("pages"))
+    seen = described.select("host", "page", F.explode("codes").alias("code")).distinct()
+    sizes = described.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     counts = seen.groupBy("host", "code").agg(F.count(F.lit(1)).alias("n"))
-    return stored(
+    repeated = stored(
         counts.join(sizes, "host")
         .where((F.col("n") >= least_pages) & (F.col("n") >= F.least(F.col("pages") * share, F.lit(float(most_pages)))))
-        .groupBy("host")
-        .agg(F.collect_list("code").alias("template"))
+        .select("host", "code")
     )
+    own = described.select("host", "source", F.explode("codes").alias("code")).distinct()
+    return stored(own.join(repeated, ["host", "code"]).groupBy("host", "source").agg(F.collect_list("code").alias("template")))
 
 
 def extract_texts(pages: DataFrame, keep: list[str]) -> DataFrame:
     """Columns ``keep`` of every page with its main text and the text's code points."""
-    templates = site_templates(pages)
+    templates = site_templates(pages).select(
+        F.col("host").alias("_host"), F.col("source").alias("_source"), F.col("template").alias("_template")
+    )
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
-    # Spark sends the templates to all tasks if they are small, and splits hot hosts of the join if not.
+    # Spark sends the templates to all tasks if they are small, and splits hot pages of the join if not.
     return (
-        pages.select(*keep, F.col("html").alias("_html"), host_of(F.col("url")).alias("_host"))
-        .join(templates.select(F.col("host").alias("_host"), F.col("template").alias("_template")), "_host", "left")
+        pages.select(*keep, F.col("html").alias("_html"), host_of(F.col("url")).alias("_host"), F.xxhash64("html").alias("_source"))
+        .join(templates, ["_host", "_source"], "left")
         .select(*keep, "_html", "_template")
         .mapInArrow(_texts(keep), fields + "text string, n_chars long")
     )

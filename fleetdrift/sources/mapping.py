@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.functions.columns import identity_spec, partition_info, partition_of
-from fleetdrift.functions.constraints import constraint_fields, constraint_kind, deferrability
+from fleetdrift.functions.constraints import constraint_fields, constraint_kind, deferrability, fk_parts
 from fleetdrift.functions.datatypes import normalize_type
 from fleetdrift.functions.indexes import index_keys, index_method
 from fleetdrift.functions.text import null_if_empty
@@ -64,10 +64,12 @@ def map_indexes(scan: DataFrame) -> DataFrame:
 
 def map_constraints(scan: DataFrame) -> DataFrame:
     """Model constraints of the five kinds; rows of other kinds have a null kind."""
+    # A foreign key is taken apart once for the four fields that come from its parts.
+    parts = F.when(F.col("constraint_type") == "f", fk_parts(F.col("definition")))
     fields = constraint_fields(
-        F.col("constraint_type"), F.col("definition"), F.col("ref_schema"), F.col("ref_table")
+        F.col("constraint_type"), F.col("definition"), F.col("ref_schema"), F.col("ref_table"), F.col("_parts")
     )
-    return scan.select(
+    return scan.withColumn("_parts", parts).select(
         *TABLE_KEY,
         F.col("constraint_name").alias("name"),
         constraint_kind(F.col("constraint_type")).alias("kind"),

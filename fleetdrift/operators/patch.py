@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetdrift.model import COLUMN, CONSTRAINT, INDEX
 from fleetdrift.operators.compare import TABLE, Catalog
 from fleetdrift.operators.rename import HELD, rename_catalog
+from fleetdrift.session import cut_lineage
 
 _ATTRIBUTES = ["owner", "tablespace", "comment", "partition_info", "partition_of"]
 
@@ -104,6 +105,8 @@ def apply_changes(source: Catalog, deltas: DataFrame) -> Catalog:
     Renames come first, as in a script; the other changes name objects by their
     new names.
     """
+    # Every kind of object reads the changes several times: they are computed once.
+    deltas = cut_lineage(deltas)
     tables, columns = effective_renames(deltas)
     # Column renames name their table as it is called after table renames.
     source = rename_catalog(rename_catalog(source, tables), None, columns)

@@ -342,10 +342,10 @@ def extract_texts(pages: DataFrame, keep: list[str]) -> DataFrame:
         F.col("host").alias("_host"), F.col("source").alias("_source"), F.col("template").alias("_template")
     )
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*keep).schema.fields)
-    # Spark sends the templates to all tasks if they are small, and splits hot pages of the join if not.
+    # The same join at every size; Spark splits the partitions of hot pages.
     return (
         pages.select(*keep, F.col("html").alias("_html"), host_of(F.col("url")).alias("_host"), F.xxhash64("html").alias("_source"))
-        .join(templates, ["_host", "_source"], "left")
+        .join(templates.hint("shuffle_hash"), ["_host", "_source"], "left")
         .select(*keep, "_html", "_template")
         .mapInArrow(_texts(keep), fields + "text string, n_chars long")
     )

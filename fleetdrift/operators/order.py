@@ -7,6 +7,10 @@ level is one more than the greatest level among its prerequisites; within a leve
 nodes go by the rank of their best prerequisite on the level before, then by
 their own key.  So (level, rank) is all a node has to carry.
 
+The path of a node is the best path among its prerequisites, longest first, then
+greatest, with the node's own key appended.  A node also carries ``via``, the rank
+of the prerequisite its path goes through; ``with_paths`` puts the paths together.
+
 Pairs of up to ``LOCAL_ROWS`` nodes and edges share tasks, many pairs in each, and
 their levels are taken one by one on arrays.  Larger pairs spread over all tasks:
 every level is a join of its nodes with the edges not used yet.
@@ -52,30 +56,40 @@ def unknown_prerequisites(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 # --- pairs that share a task ---
 
 
-def _levels(n: int, dependent: np.ndarray, prereq: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Level (0: never reached), place in the walk and open prerequisites of nodes numbered in key order.
+def _levels(
+    n: int, dependent: np.ndarray, prereq: np.ndarray, key: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Level (0: never reached), place in the walk, open prerequisites and prerequisite on the path (-1: none).
 
+    Nodes are numbered in key order; ``key`` is equal for equal keys of one pair.
     Places grow from level to level, so the greatest place among a node's
-    prerequisites is its best one on the level before.
+    prerequisites is its best one on the level before.  So do the numbers of
+    paths, which nodes of equal paths share.
     """
     by_prereq = np.argsort(prereq, kind="stable")
     dependent, ends = dependent[by_prereq], np.searchsorted(prereq[by_prereq], np.arange(n + 1))
     missing = np.bincount(dependent, minlength=n)
     level, place, best = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1)
+    path, best_path, with_path = np.full(n, -1), np.full(n, -1), np.full(n, -1)
     ready, taken, depth = np.flatnonzero(missing == 0), 0, 0
     while len(ready):
         depth += 1
         ready = ready[np.lexsort((ready, best[ready]))]
         level[ready], place[ready] = depth, taken + np.arange(len(ready))
+        by_path = ready[np.lexsort((key[ready], best_path[ready]))]
+        other = (np.diff(best_path[by_path], prepend=-2) != 0) | (np.diff(key[by_path], prepend=-1) != 0)
+        path[by_path] = taken + np.cumsum(other) - 1
+        with_path[path[by_path]] = by_path
         taken += len(ready)
         counts = ends[ready + 1] - ends[ready]
         first = np.cumsum(counts) - counts
         freed = dependent[np.arange(counts.sum()) + np.repeat(ends[ready] - first, counts)]
         np.maximum.at(best, freed, np.repeat(place[ready], counts))
+        np.maximum.at(best_path, freed, np.repeat(path[ready], counts))
         nodes, times = np.unique(freed, return_counts=True)
         missing[nodes] -= times
         ready = nodes[missing[nodes] == 0]
-    return level, place, missing
+    return level, place, missing, np.where((level > 0) & (best_path >= 0), with_path[best_path], -1)
 
 
 def _on_cycles(n: int, dependent: np.ndarray, prereq: np.ndarray) -> np.ndarray:
@@ -136,16 +150,18 @@ def _walk_together(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     known = (dependent >= 0) & (prereq >= 0)
     incomplete = edges["pair_id"][~known].unique()
     dependent, prereq = dependent[known], prereq[known]
-    level, place, missing = _levels(len(nodes), dependent, prereq)
+    pair, key = (nodes[c].factorize(use_na_sentinel=False)[0] for c in ("pair_id", "node_key"))
+    level, place, missing, through = _levels(len(nodes), dependent, prereq, key * len(nodes) + pair)
     stuck = (missing[dependent] > 0) & (missing[prereq] > 0)
     cyclic = _on_cycles(len(nodes), dependent[stuck], prereq[stuck]) if stuck.any() else np.zeros(len(nodes), bool)
-    rows = nodes.assign(level=level, place=place, missing=missing, in_cycle=cyclic)
-    rows = rows.sort_values("place", ignore_index=True)
-    rows["rank"] = rows.groupby(["pair_id", "level"]).cumcount() + 1
+    rows = nodes.assign(level=level, place=place, missing=missing, in_cycle=cyclic, through=through)
+    rows = rows.sort_values("place")
+    rows["rank"] = rows.groupby(["pair_id", "level"], dropna=False).cumcount() + 1
+    rows["via"] = np.where(rows["through"] >= 0, rows["rank"].sort_index().to_numpy()[rows["through"]], 0)
     left = rows["pair_id"].isin(rows["pair_id"][rows["missing"] > 0].unique())
     rows["ordered"] = ~left & ~rows["pair_id"].isin(incomplete)
-    rows["position"] = rows.groupby("pair_id").cumcount() + 1
-    return rows[["pair_id", "node", "node_key", "level", "rank", "position", "missing", "in_cycle", "ordered"]]
+    rows["position"] = rows.groupby("pair_id", dropna=False).cumcount() + 1
+    return rows[["pair_id", "node", "node_key", "level", "rank", "via", "position", "missing", "in_cycle", "ordered"]]
 
 
 # --- pairs larger than a task ---
@@ -156,8 +172,21 @@ def _known_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(nodes.select(*NODE), NODE, "left_semi").join(as_prereq, ["pair_id", "prereq"], "left_semi")
 
 
+def _numbered_paths(ready: DataFrame) -> DataFrame:
+    """The nodes of a level with ``path``, a number that nodes of equal paths share and that grows with the path."""
+    ready = cut_lineage(ready)
+    # Null keys come last, as in the other walk.
+    placed = positions(
+        ready.withColumn("unnamed", F.col("node_key").isNull()), ["pair_id"], ["best_path", "unnamed", "node_key", "node"], "place"
+    )
+    equal = ["pair_id", "best_path", "node_key"]
+    numbers = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in equal]).agg(F.min("place").alias("path"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in equal]
+    return ready.join(numbers, same).select(*ready.columns, "path")
+
+
 def _walk_apart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """The walk by joins, a round per level: level, rank and missing (0 level: never reached).
+    """The walk by joins, a round per level: level, rank, via and missing (0 level: never reached).
 
     Only the nodes of the last level meet the edges, and used edges are dropped
     whenever half of them are, so all rounds together read few times the edges.
@@ -166,34 +195,42 @@ def _walk_apart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     edges = cut_lineage(_known_edges(nodes, distinct_prerequisites(edges)))
     degrees = edges.groupBy(*NODE).agg(F.count(F.lit(1)).alias("missing"))
     waiting = cut_lineage(nodes.join(degrees, NODE, "left").select(*NODE, "node_key", F.coalesce("missing", F.lit(0)).alias("missing")))
-    ready = waiting.where("missing = 0").select(*NODE, "node_key", F.lit(0).cast("long").alias("best"))
+    none = F.lit(0).cast("long")
+    ready = waiting.where("missing = 0").select(*NODE, "node_key", *[none.alias(c) for c in ("best", "best_path", "via")])
     waiting = waiting.where("missing > 0")
+    # With keys of their own, nodes go by their paths, whose numbers are the ranks.
+    repeated = nodes.groupBy("pair_id", "node_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR node_key IS NULL")
+    distinct_keys = repeated.isEmpty()
     levels, kept, used = [], edges.count(), 0
     while True:
         ranked = positions(ready, ["pair_id"], ["best", "node_key", "node"], "rank")
-        level = cut_lineage(ranked.select(*NODE, "node_key", F.lit(len(levels) + 1).alias("level"), "rank"))
+        ranked = ranked.withColumn("path", F.col("rank")) if distinct_keys else _numbered_paths(ranked)
+        level = cut_lineage(ranked.select(*NODE, "node_key", F.lit(len(levels) + 1).alias("level"), "rank", "via", "path"))
         if level.isEmpty():
             break
         levels.append(level)
-        taken = level.select("pair_id", F.col("node").alias("prereq"), "rank")
+        taken = level.select("pair_id", F.col("node").alias("prereq"), "rank", "path")
         freed = cut_lineage(
-            edges.join(taken, ["pair_id", "prereq"]).groupBy(*NODE).agg(F.count(F.lit(1)).alias("freed"), F.max("rank").alias("best"))
+            edges.join(taken, ["pair_id", "prereq"]).groupBy(*NODE).agg(
+                F.count(F.lit(1)).alias("freed"), F.max("rank").alias("best"), F.max(F.struct("path", "rank")).alias("through")
+            )
         )
         used += freed.agg(F.sum("freed")).first()[0] or 0
         state = cut_lineage(
             waiting.join(freed, NODE, "left").select(
-                *NODE, "node_key", (F.col("missing") - F.coalesce("freed", F.lit(0))).alias("missing"), "best"
+                *NODE, "node_key", (F.col("missing") - F.coalesce("freed", F.lit(0))).alias("missing"), "best",
+                F.col("through.path").alias("best_path"), F.col("through.rank").alias("via"),
             )
         )
-        ready = state.where("missing = 0").select(*NODE, "node_key", "best")
-        waiting = state.where("missing > 0").drop("best")
+        ready = state.where("missing = 0").drop("missing")
+        waiting = state.where("missing > 0").drop("best", "best_path", "via")
         if 2 * used > kept:
             done = waiting.select(*NODE)
             edges = cut_lineage(edges.join(done, NODE, "left_semi"))
             kept, used = edges.count(), 0
-    out = waiting.select(*NODE, "node_key", F.lit(0).alias("level"), F.lit(0).cast("long").alias("rank"), "missing")
+    out = waiting.select(*NODE, "node_key", F.lit(0).alias("level"), none.alias("rank"), none.alias("via"), "missing")
     for level in levels:
-        out = out.unionByName(level.withColumn("missing", F.lit(0).cast("long")))
+        out = out.unionByName(level.drop("path").withColumn("missing", none))
     return out
 
 
@@ -253,10 +290,11 @@ def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def walk(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Every node with ``level, rank, position, missing, in_cycle`` and whether its pair is ``ordered``.
+    """Every node with ``level, rank, via, position, missing, in_cycle`` and whether its pair is ``ordered``.
 
     A pair is ordered if all its nodes are reached and all its edges are between
     nodes; level is 0 and ``missing`` counts the open prerequisites elsewhere.
+    ``via`` is 0 on the first level.
     """
     # Edges are often made from the nodes: their columns get identities of their own.
     nodes, edges = nodes.select(*NODE, "node_key"), edges.select(*[F.col(c).alias(c) for c in (*NODE, "prereq")])
@@ -276,7 +314,7 @@ def walk(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) ->
     kinds = {f.name: f.dataType.simpleString() for f in nodes.schema.fields}
     schema = (
         f"pair_id {kinds['pair_id']}, node {kinds['node']}, node_key {kinds['node_key']}, level int, rank long, "
-        "position long, missing long, in_cycle boolean, ordered boolean"
+        "via long, position long, missing long, in_cycle boolean, ordered boolean"
     )
     together = dealt(small_nodes).groupBy("task").cogroup(dealt(small_edges).groupBy("task")).applyInPandas(
         lambda n, e: _walk_together(n[[*NODE, "node_key"]], e[[*NODE, "prereq"]]), schema
@@ -293,21 +331,44 @@ def walk(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) ->
     placed = positions(marked, ["pair_id"], ["level", "rank"])
     return together.unionByName(
         placed.select(
-            *NODE, "node_key", "level", "rank", "position", "missing", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
+            *NODE, "node_key", "level", "rank", "via", "position", "missing", F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
             F.col("bad").isNull().alias("ordered"),
         )
     )
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """Nodes with ``level``, their ``rank`` in it and 1-based ``position`` within their pair.
+    """Nodes with ``level``, their ``rank`` in it, ``via`` and 1-based ``position`` within their pair.
 
-    ``nodes``: pair_id, node, node_key; ``edges``: pair_id, node, prereq.  Pairs
+    ``nodes``: pair_id, node, node_key; ``edges``: pair_id, node, prereq.  ``via``
+    is what ``with_paths`` makes paths from.  Pairs
     with an unknown prerequisite or a cycle have no order and are left out; see
     ``unknown_prerequisites`` and ``cycle_report`` for them.
     """
     walked = walk(nodes, edges, local_rows=local_rows)
-    return walked.where("ordered").select(*NODE, "node_key", "level", "rank", "position")
+    return walked.where("ordered").select(*NODE, "node_key", "level", "rank", "via", "position")
+
+
+def with_paths(ordered: DataFrame) -> DataFrame:
+    """An order with ``path`` instead of ``via``: the keys from a root to the node along its longest, then greatest path.
+
+    Every path takes the path so far of the node it goes on from in front, so paths
+    double each round and rounds are the logarithm of the levels.
+    """
+    paths = cut_lineage(ordered.withColumn("path", F.array("node_key")))
+    deepest, reach = paths.agg(F.max("level")).first()[0] or 0, 1
+    while reach < deepest:
+        # A path that is not whole begins at level - reach + 1.
+        heads = paths.where(F.col("level") <= deepest - reach).select(
+            *[F.col(c).alias(f"_{c}") for c in ("pair_id", "level", "rank", "path", "via")]
+        )
+        goes_on = [
+            F.col("pair_id").eqNullSafe(F.col("_pair_id")), F.col("level") - reach == F.col("_level"), F.col("via") == F.col("_rank")
+        ]
+        grown = paths.where("via > 0").join(heads, goes_on).withColumns({"path": F.concat("_path", "path"), "via": F.col("_via")})
+        paths = cut_lineage(paths.where("via = 0").unionByName(grown.select(*paths.columns)))
+        reach *= 2
+    return paths.drop("via")
 
 
 def cycle_report(nodes: DataFrame, edges: DataFrame, *, local_rows: int = LOCAL_ROWS) -> DataFrame:

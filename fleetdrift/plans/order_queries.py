@@ -22,13 +22,15 @@ ORACLE_CTES["best_paths"] = _PATHS.replace("{edges}", "{fx_edge}")
 
 
 @query(
-    "SELECT pair_id, node, CAST(best.len AS INTEGER) AS level, "
-    "row_number() OVER (PARTITION BY pair_id, best.len ORDER BY best.path) AS rank, "
-    "row_number() OVER (PARTITION BY pair_id ORDER BY best.len, best.path) AS position FROM {best_paths}"
+    "SELECT pair_id, node, CAST(best.len AS INTEGER) AS level, array_to_string(best.path, '/') AS path, "
+    "row_number() OVER (PARTITION BY pair_id ORDER BY best.len, best.path) AS position, "
+    "row_number() OVER (PARTITION BY pair_id, best.len ORDER BY best.path) AS rank FROM {best_paths}"
 )
 def topological_order(spark, folder):
     ordered = order.topological_order(fixture(spark, folder, "fx_node"), fixture(spark, folder, "fx_edge"))
-    return ordered.drop("node_key")
+    # As in the SQL, a path without any key is null.
+    path = F.when(F.size(F.array_compact("path")) > 0, F.array_join("path", "/"))
+    return order.with_paths(ordered).select("pair_id", "node", "level", path.alias("path"), "position", "rank")
 
 
 @query(

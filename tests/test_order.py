@@ -4,8 +4,10 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetdrift.operators import order
+from fleetdrift.plans.all_queries import QUERIES
 
 
 def queue_walk(keys, edges):
@@ -75,6 +77,59 @@ def test_same_order_as_a_queue_walk(spark, cyclic, local_rows):
     assert {(r.pair_id, r.node) for r in report if r.in_cycle} == members and bool(members) == cyclic
 
 
+def best_paths(keys, edges):
+    """The longest, then greatest path to every node by trying all prerequisites; null is the greatest key."""
+    found = {}
+    for n in sorted(keys):  # prerequisites have smaller numbers
+        found[n] = max((found[p] for m, p in edges if m == n), key=lambda p: (len(p), [(k is None, k or "") for k in p]), default=[]) + [keys[n]]
+    return found
+
+
+@pytest.mark.parametrize("local_rows", [10**6, 12])
+@pytest.mark.parametrize("alphabet", ["", "ab", ["a", "b", None]])
+def test_paths_are_the_longest_then_greatest(spark, local_rows, alphabet):
+    """Also where keys repeat in a pair or are null."""
+    rng = random.Random(5)
+    all_graphs = [({n: rng.choice(alphabet) if alphabet else k for n, k in keys.items()}, edges) for keys, edges in graphs(60, False)]
+    nodes, edges = frames(spark, all_graphs)
+    ordered = order.with_paths(order.topological_order(nodes, edges, local_rows=local_rows))
+    assert ordered.columns == ["pair_id", "node", "node_key", "level", "rank", "position", "path"]
+    rows = ordered.collect()
+    expected = {(g, n): p for g, graph in enumerate(all_graphs) for n, p in best_paths(*graph).items()}
+    assert len(rows) == len(expected) and {(r.pair_id, r.node): r.path for r in rows} == expected
+    assert all(len(r.path) == r.level for r in rows)
+
+
+def test_paths_of_a_chain_and_of_no_nodes(spark):
+    nodes = spark.range(300).selectExpr("7L AS pair_id", "id AS node", "string(id) AS node_key")
+    edges = spark.range(1, 300).selectExpr("7L AS pair_id", "id AS node", "id - 1 AS prereq")
+    rows = order.with_paths(order.topological_order(nodes, edges)).collect()
+    assert {r.node: r.path for r in rows} == {n: [str(k) for k in range(n + 1)] for n in range(300)}
+    # Nodes without a pair are kept, whatever their edges.
+    unpaired = [x.withColumn("pair_id", F.lit(None).cast("long")) for x in (nodes.where("node < 9"), edges.where("node < 9"))]
+    assert order.with_paths(order.topological_order(*unpaired)).count() == 9
+    assert order.with_paths(order.topological_order(nodes.where("false"), edges.where("false"))).isEmpty()
+
+
+def test_the_registered_order_lists_paths(spark, tmp_path):
+    """One customer of six orders, one of a null priority, and orders without a customer."""
+    rows = [(1, n, "abcdef"[n]) for n in range(6)] + [(2, 6, None), (None, 7, "y"), (None, 8, "z")]
+    orders = spark.createDataFrame(rows, "o_custkey long, o_orderkey long, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["topological_order"](spark, str(tmp_path))
+
+    def path(nodes):
+        return "/".join(f"{'abcdef'[n]}#{n:010d}" for n in nodes)
+
+    expected = {  # order n needs those of half and a third of its number
+        (1, 0, 1, path([0]), 1, 1), (1, 1, 2, path([0, 1]), 2, 1), (1, 2, 2, path([0, 2]), 3, 2),
+        (1, 3, 3, path([0, 1, 3]), 4, 1), (1, 4, 3, path([0, 1, 4]), 5, 2), (1, 5, 3, path([0, 2, 5]), 6, 3),
+        (2, 6, 1, None, 1, 1), (None, 7, 1, "y#0000000007", 1, 1), (None, 8, 1, "z#0000000008", 2, 2),
+    }
+    assert found.columns == ["pair_id", "node", "level", "path", "position", "rank"]
+    assert {tuple(r) for r in found.collect()} == expected
+
+
 def test_a_chain_of_5000_nodes(spark):
     """The state of a node does not grow with its level."""
     nodes = spark.range(5000).selectExpr("7L AS pair_id", "id AS node", "lpad(string((id * 7919) % 5000), 5, '0') AS node_key")

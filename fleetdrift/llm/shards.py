@@ -35,6 +35,8 @@ SHARDS = 40
 SETTLED, PATIENCE = 0.01, 2
 #: Bytes of a window of texts from so many bytes on, and the windows of a text that link it: those of least hash.
 WINDOWS, SKETCH = {48: 24, 16: 8, 0: 2}, 16
+#: Bytes of text whose windows are hashed at once; each takes some fifty bytes of a worker's memory.
+PIECE = 1 << 17
 _BINS = 32
 _GRAINS = 16
 #: Moves may fill a shard beyond the mean by this part of it; the last pass evens that out.
@@ -50,21 +52,34 @@ def _window_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         groups = batch.column("group").to_numpy()
-        for first, last in steps(offsets):
-            part, own = LOWER[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first]
-            lengths = np.diff(own)
-            width = np.select([lengths >= least for least in WINDOWS], list(WINDOWS.values()))
-            width = np.minimum(width, lengths)
-            count = np.where(lengths > 0, lengths - width + 1, 0)
-            starts = ranges(own[:-1], count)
-            hashes = span_hashes(part, starts, starts + np.repeat(width, count))
-            ends = np.concatenate([[0], np.cumsum(count)])
-            found = [_least(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        lengths = np.diff(offsets)
+        widths = np.minimum(np.select([lengths >= least for least in WINDOWS], list(WINDOWS.values())), lengths)
+        for first, last in steps(offsets, PIECE):
+            part, own = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+            found = _sketches(part, own, widths[first:last]) if last > first + 1 else [_sketch(part, int(widths[first]))]
             links = np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)
             owners = np.repeat(groups[first:last], [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.int64()), pa.array(links)], ["group", "link"])
 
 
+def _sketches(part: np.ndarray, own: np.ndarray, width: np.ndarray) -> list[np.ndarray]:
+    lengths = np.diff(own)
+    count = np.where(lengths > 0, lengths - width + 1, 0)
+    starts = ranges(own[:-1], count)
+    hashes = span_hashes(LOWER[part], starts, starts + np.repeat(width, count))
+    ends = np.concatenate([[0], np.cumsum(count)])
+    return [_least(hashes[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def _sketch(text: np.ndarray, width: int) -> np.ndarray:
+    # A long text goes in pieces that overlap by a window less one byte: memory does not grow with its length.
+    found = np.zeros(0, np.uint64)
+    for at in range(0, len(text) - width + 1, PIECE):
+        piece = text[at : at + PIECE + width - 1]
+        found = _least(np.concatenate([found, *_sketches(piece, np.array([0, len(piece)]), np.array([width]))]))
+    return found
+
+
 def _least(hashes: np.ndarray) -> np.ndarray:
     # Equal windows count once: more than the sketch's size are looked at until so many differ.
     n = 4 * SKETCH
@@ -154,10 +169,9 @@ def propagate(nodes: DataFrame, links: DataFrame, rounds: int | None = None) ->
         )
         cells = wished.where("wish <> shard").groupBy("shard", "wish", "rank").agg(F.sum("bytes").alias("bytes"))
         least, moved = _quota_moves(cells, load, shards)
-        state = stored(
-            wished.join(F.broadcast(least), "wish", "left").select(
-                "node", "bytes", "copies", F.when(F.col("rank") >= F.col("least"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
-            )
+        # Not written: a row per shard decides over the stored wishes, so reading them again costs less than files of their own.
+        state = wished.join(F.broadcast(least), "wish", "left").select(
+            "node", "bytes", "copies", F.when(F.col("rank") >= F.col("least"), F.col("wish")).otherwise(F.col("shard")).alias("shard")
         )
         idle = 0 if moved < 0.9 * lowest else idle + 1
         lowest = min(lowest, moved)
@@ -174,14 +188,16 @@ def even_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
     free room of the other shards.
     """
     rest = [c for c in state.columns if c != "shard"]
-    for _ in range(2):
-        marked = state.join(linked, "node", "left").select(
+    state = stored(
+        state.join(linked, "node", "left").select(
             *rest, "shard", F.coalesce("linked", F.lit(0)).alias("linked"),
             F.pmod(F.xxhash64("node", F.lit(11)), F.lit(4096)).cast("int").alias("grain"),
         )
-        cells = marked.groupBy("shard", "linked", "grain").agg(F.sum("bytes").alias("bytes")).toPandas()
+    )
+    for _ in range(2):
+        cells = state.groupBy("shard", "linked", "grain").agg(F.sum("bytes").alias("bytes")).toPandas()
         if cells.empty:
-            return state
+            break
         target = cells["bytes"].sum() / shards
         # Cells of a large node stay first; only small ones fit into what room is left elsewhere.
         cells["large"] = cells["bytes"] > target / 100
@@ -204,14 +220,12 @@ def even_out(state: DataFrame, linked: DataFrame, shards: int) -> DataFrame:
         over["goes"] = goes
         over = over[over["goes"] != over["shard"]]
         if over.empty:
-            return state
+            break
         table = state.sparkSession.createDataFrame(over[["shard", "linked", "grain", "goes"]].astype("int32"))
-        state = stored(
-            marked.join(F.broadcast(table), ["shard", "linked", "grain"], "left").select(
-                *rest, F.coalesce("goes", "shard").cast("int").alias("shard")
-            )
+        state = state.join(F.broadcast(table), ["shard", "linked", "grain"], "left").select(
+            *rest, F.coalesce("goes", "shard").cast("int").alias("shard"), "linked", "grain"
         )
-    return state
+    return state.select(*rest, "shard")
 
 
 def cut_share(members: DataFrame) -> float:
@@ -246,10 +260,9 @@ def balanced_shards(docs: DataFrame, keep: Sequence[str], shards: int = SHARDS)
         .select(*columns, F.lit(None).cast("long").alias("cut_from"), F.col("group").alias("node"))
         .unionByName(runs)
     )
-    start = rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).withColumn(
+    state = rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("copies")).withColumn(
         "shard", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(shards)).cast("int")
     )
-    state = stored(start)
     lines = F.array_distinct(
         F.transform(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(x))
     )

@@ -1,10 +1,12 @@
 """Operators on whole corpora against brute force: search, sharding, similarity join, packing, pipeline."""
 
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +221,40 @@ def test_short_lines_and_near_copies_of_one_line_link(spark):
     assert np.mean(most[::2]) >= 7 and np.mean(most[1::2]) >= 7
 
 
+def test_sketches_of_long_texts_take_bounded_memory():
+    rng = np.random.default_rng(12)
+    long = [rng.bytes(n).hex().upper() for n in (1_000_000, shards.PIECE // 2 + 12, shards.PIECE // 2, 30_000)]
+    texts = [*long, *(f"text {i} " * 300 for i in range(2000)), "ab" * shards.PIECE, "Short", "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(len(texts)), pa.int64())], ["text", "group"])
+    tracemalloc.start()
+    found = [(g, x) for b in shards._window_links([batch]) for g, x in zip(b["group"].to_pylist(), b["link"].to_pylist(), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    sketches = defaultdict(list)
+    for group, link in found:
+        sketches[group].append(link)
+    for group in (0, 1, 2, 3, 4, 1999, len(texts) - 4, len(texts) - 3):
+        data = np.frombuffer(texts[group].lower().encode(), np.uint8)
+        width = next(w for least, w in shards.WINDOWS.items() if len(data) >= least)
+        starts = np.arange(len(data) - width + 1)
+        hashes = np.unique(shards.span_hashes(data, starts, starts + width))[: shards.SKETCH]
+        assert sketches[group] == hashes.view(np.int64).tolist()
+    assert max(sketches) == len(texts) - 3
+
+
+def test_a_round_writes_one_table(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, 10, i % 4) for i in range(400)], "node long, bytes long, shard int")
+    links = spark.createDataFrame([(i, i // 20) for i in range(400)], "node long, link long")
+    written, stored = [], shards.stored
+    monkeypatch.setattr(shards, "stored", lambda df: written.append(stored(df)) or written[-1])
+    after = shards.propagate(nodes, links, 2)
+    assert len(written) <= 2
+    even = shards.even_out(after, links.select("node").distinct().withColumn("linked", F.lit(1)), 4)
+    assert len(written) <= 3
+    assert even.columns == after.columns and even.count() == 400
+
+
 # --- similarity join ---
 
 

@@ -7,7 +7,7 @@ before, the target the state after.  All change rows share one layout
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +16,9 @@ from pyspark.sql import types as T
 
 from fleetdrift.functions.datatypes import normalize_type
 from fleetdrift.functions.text import map_values
+from fleetdrift.marks import marks, where_marked
 from fleetdrift.model import COLUMN, CONSTRAINT, INDEX, PARTITION_INFO, PARTITION_OF
+from fleetdrift.session import cut_lineage, stored
 from fleetdrift.sources.pairs import matches_any
 
 TABLE = ["pair_id", "namespace", "table_name"]
@@ -175,7 +177,7 @@ def _folded(rows: DataFrame, key: list[str], options: CompareOptions) -> DataFra
 
 
 def _in_tables(matched: DataFrame, tables: DataFrame, options: CompareOptions) -> DataFrame:
-    return matched.join(_folded(tables, TABLE, options).distinct(), TABLE, "left_semi")
+    return matched.join(_folded(tables, TABLE, options), TABLE, "left_semi")
 
 
 def colliding_names(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -221,19 +223,22 @@ def match_snapshots(
     return both.groupBy(*key).agg(F.min("src").alias("src"), F.min("tgt").alias("tgt"))
 
 
-#: Cells of object keys that tell where something differs: the list of them is at most this long.
-CELLS = 1 << 20
-
-
 def _digest(rows: DataFrame, ignored: tuple[str, ...], key: list[str]) -> list[Column]:
     """128 bits of all attributes of an object, nulls told apart, as two longs."""
     parts: list[Column] = []
     for f in rows.schema.fields:
         if f.name in ignored or f.name in key:
             continue
-        nested = isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
-        value = F.to_json(f.name, {"ignoreNullFields": "false"}) if nested else F.col(f.name)
-        parts += [value, F.col(f.name).isNull()]
+        own = F.col(f.name)
+        json = F.to_json(own, {"ignoreNullFields": "false"})
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.AtomicType):
+            # The hash takes element by element and passes nulls over.
+            parts += [own, F.size(own), F.when(F.exists(own, lambda x: x.isNull()), json)]
+        elif isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
+            parts.append(json)
+        else:
+            parts.append(own)
+        parts.append(own.isNull())
     return [F.xxhash64(F.lit(seed), *parts).alias(f"d{seed}") for seed in (1, 2)]
 
 
@@ -246,9 +251,9 @@ def match_changed(
 ) -> DataFrame:
     """``match_snapshots`` of the objects that differ, and of few others.
 
-    Keys and digests of all objects meet first.  What differs marks the cell of
-    its key; the marked cells, at most ``CELLS`` numbers, are sent to all tasks,
-    and only objects in them are read with their attributes and shuffled.
+    Keys and digests of all objects meet first.  What differs marks its key, the
+    marks are sent to all tasks (see ``marks``), and only marked objects are read
+    with their attributes and shuffled.
     ``ignored`` attributes make no difference.
     """
 
@@ -272,14 +277,9 @@ def match_changed(
             for d in ("d1", "d2")
         ],
     )
-    cell = F.pmod(F.xxhash64(*key), F.lit(CELLS)).cast("int")
-    marked = F.broadcast(found.where(~F.coalesce(same, F.lit(False))).select(cell.alias("_cell")).distinct())
-
-    def in_marked(rows: DataFrame) -> DataFrame:
-        own = F.pmod(F.xxhash64(*folded(rows)), F.lit(CELLS)).cast("int")
-        return rows.join(marked, own == F.col("_cell"), "left_semi")
-
-    return match_snapshots(in_marked(source), in_marked(target), key, options)
+    marked = marks(found.where(~F.coalesce(same, F.lit(False))), key)
+    sides = [where_marked(x, key, marked, folded=not options.case_sensitive) for x in (source, target)]
+    return match_snapshots(*sides, key, options)
 
 
 def normalize_columns(columns: DataFrame) -> DataFrame:
@@ -458,15 +458,20 @@ def attach_payload(
     Each pair is (source, target).  Without constraints tables have none.
     """
     key = ["pair_id", "namespace", "name", "kind"]
+    # Most tables are on both sides: lists are made for created and dropped ones only.
+    whole = cut_lineage(deltas.where(_is("drop_table", "create_table")).select(*key).distinct())
 
     def listed(sides: tuple[DataFrame, DataFrame], item: Column, name: str) -> DataFrame:
-        parts = [
-            # A table has at most 1600 columns by the server's own limit, and few constraints.
-            rows.groupBy(*TABLE)
-            .agg(F.sort_array(F.collect_list(item)).alias(name))
-            .select("pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), name)
-            for kind, rows in zip(("drop_table", "create_table"), sides, strict=True)
-        ]
+        parts = []
+        for kind, rows in zip(("drop_table", "create_table"), sides, strict=True):
+            tables = whole.where(F.col("kind") == kind).select("pair_id", "namespace", F.col("name").alias("table_name"))
+            own = where_marked(rows, TABLE, marks(tables, TABLE)).join(tables, TABLE, "left_semi")
+            parts.append(
+                # A table has at most 1600 columns by the server's own limit, and few constraints.
+                own.groupBy(*TABLE)
+                .agg(F.sort_array(F.collect_list(item)).alias(name))
+                .select("pair_id", "namespace", F.col("table_name").alias("name"), F.lit(kind).alias("kind"), name)
+            )
         return parts[0].unionByName(parts[1])
 
     column = F.struct(*COLUMN.fieldNames()).cast(COLUMN)
@@ -589,11 +594,17 @@ class Catalog:
     constraints: DataFrame
 
 
+def stored_catalog(catalog: Catalog) -> Catalog:
+    """The catalog with its tables stored: a comparison reads each of them several times."""
+    return Catalog(**{f.name: stored(getattr(catalog, f.name)) for f in fields(Catalog)})
+
+
 def compare_catalogs(source: Catalog, target: Catalog, options: CompareOptions = DEFAULTS) -> DataFrame:
     """Changes of all six kinds of objects; created and dropped tables carry columns, constraints and attributes."""
-    common = common_tables(source.tables, target.tables, options)
+    # Both are read several times: computed once.
+    common = stored(common_tables(source.tables, target.tables, options))
     tables = attach_payload(
-        compare_tables(source.tables, target.tables, options),
+        stored(compare_tables(source.tables, target.tables, options)),
         (source.columns, target.columns),
         (source.constraints, target.constraints),
     )

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.operators import compare, dependencies, exclude, order, rename, risk, script
 from fleetdrift.operators.compare import DEFAULTS, Catalog, CompareOptions
-from fleetdrift.session import cut_lineage
+from fleetdrift.session import cut_lineage, stored
 
 
 def drift(
@@ -35,13 +35,13 @@ def drift(
         renamed_rows.append(rows)
     if column_renames is not None:
         # Columns are looked up on the target under their table's new name.
-        moved = source if tables is None else rename.rename_catalog(source, tables)
-        annotated = column_renames if tables is None else rename.apply_table_renames(column_renames, tables)
+        moved = source if tables is None else _stored(rename.rename_catalog(source, tables))
+        annotated = cut_lineage(column_renames if tables is None else rename.apply_table_renames(column_renames, tables))
         effective, rows = rename.rename_columns(moved.columns, target.columns, annotated)
         renamed_rows.append(rows)
-        source = rename.rename_catalog(moved, None, cut_lineage(effective))
+        source = _stored(rename.rename_catalog(moved, None, cut_lineage(effective)))
     elif tables is not None:
-        source = rename.rename_catalog(source, tables)
+        source = _stored(rename.rename_catalog(source, tables))
     found = compare.compare_catalogs(source, target, options)
     for rows in renamed_rows:
         found = found.unionByName(rows)
@@ -50,6 +50,12 @@ def drift(
     return risk.classify_risk(found, concurrent_indexes=concurrent_indexes)
 
 
+def _stored(renamed: Catalog) -> Catalog:
+    """A renamed catalog with the joins done that gave it its names: a comparison reads it several times."""
+    kinds = ("tables", "columns", "indexes", "constraints")
+    return replace(renamed, **{k: stored(getattr(renamed, k)) for k in kinds})
+
+
 @dataclass(frozen=True)
 class Migration:
     """``changes`` with their ``position``; statements up and down with ``line``; units; changes that have no order."""

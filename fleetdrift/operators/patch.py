@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetdrift.model import COLUMN, CONSTRAINT, INDEX
-from fleetdrift.operators.compare import TABLE, Catalog
+from fleetdrift.operators.compare import TABLE, Catalog, stored_catalog
 from fleetdrift.operators.rename import HELD, rename_catalog
-from fleetdrift.session import cut_lineage
+from fleetdrift.session import cut_lineage, stored
 
 _ATTRIBUTES = ["owner", "tablespace", "comment", "partition_info", "partition_of"]
 
@@ -106,10 +106,10 @@ def apply_changes(source: Catalog, deltas: DataFrame) -> Catalog:
     new names.
     """
     # Every kind of object reads the changes several times: they are computed once.
-    deltas = cut_lineage(deltas)
-    tables, columns = effective_renames(deltas)
+    deltas = stored(deltas)
+    tables, columns = (cut_lineage(x) for x in effective_renames(deltas))
     # Column renames name their table as it is called after table renames.
-    source = rename_catalog(rename_catalog(source, tables), None, columns)
+    source = stored_catalog(rename_catalog(stored_catalog(rename_catalog(source, tables)), None, columns))
     schema_key, extension_key = ["pair_id", "namespace"], ["pair_id", "name"]
     schemas = _without(source.schemas, schema_key, _of(deltas, "drop_schema")).select(*schema_key)
     changed = _of(deltas, "drop_extension", "alter_extension")

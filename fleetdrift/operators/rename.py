@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetdrift.marks import marks, split_marked, where_marked
 from fleetdrift.operators.compare import TABLE, Catalog, change_rows
 from fleetdrift.session import cut_lineage
 
@@ -20,16 +21,18 @@ def composed(renames: DataFrame, source: DataFrame) -> DataFrame:
 
     One round per link of the longest chain; annotations that lead back are none.
     """
-    taken = source.select("pair_id", "namespace", F.col("table_name").alias("new_name")).distinct()
+    on_new = ["pair_id", "namespace", "new_name"]
     moves = cut_lineage(
         renames.select("pair_id", "namespace", "old_name", "new_name").groupBy("pair_id", "namespace", "old_name")
         .agg(F.min("new_name").alias("new_name"))
     )
+    # Names that no rename leads to are not asked for.
+    names = source.select("pair_id", "namespace", F.col("table_name").alias("new_name"))
+    taken = cut_lineage(where_marked(names, on_new, marks(moves, on_new)).join(moves, on_new, "left_semi").distinct())
     starts = moves
     seen = moves.select("pair_id", "namespace", "old_name", F.array("old_name").alias("passed"), "new_name")
     while True:
         following = starts.select("pair_id", "namespace", F.col("old_name").alias("new_name"), F.col("new_name").alias("_next"))
-        on_new = ["pair_id", "namespace", "new_name"]
         onward = seen.join(following, on_new, "left").join(taken.withColumn("_taken", F.lit(True)), on_new, "left")
         moved = F.col("_next").isNotNull() & F.col("_taken").isNull() & ~F.array_contains("passed", F.col("new_name"))
         stepped = cut_lineage(
@@ -55,10 +58,15 @@ def rename_tables(
     swaps can run one statement at a time.
     """
     key = ["pair_id", "namespace"]
-    old = source.select(*key, F.col("table_name").alias("old_name")).distinct()
-    taken = old.withColumnRenamed("old_name", "new_name")
-    new_in_target = target.select(*key, F.col("table_name").alias("new_name")).distinct()
-    moves = composed(renames, source).join(old, [*key, "old_name"], "left_semi").join(new_in_target, [*key, "new_name"], "left_semi")
+    moves = cut_lineage(composed(renames, source))
+
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        """Tables that a rename names, and few others."""
+        tables = rows.select(*key, F.col("table_name").alias(name))
+        return where_marked(tables, [*key, name], marks(moves, [*key, name]))
+
+    taken = named(source, "new_name")
+    moves = moves.join(named(source, "old_name"), [*key, "old_name"], "left_semi").join(named(target, "new_name"), [*key, "new_name"], "left_semi")
     # Of two renames to one name the one from the smaller name applies.
     moves = cut_lineage(moves.groupBy(*key, "new_name").agg(F.min("old_name").alias("old_name")))
     while True:
@@ -95,11 +103,9 @@ def apply_table_renames(source: DataFrame, effective: DataFrame) -> DataFrame:
     names = effective.select(
         "pair_id", "namespace", F.col("old_name").alias("table_name"), F.col("new_name").alias("_new")
     )
-    return (
-        source.join(names, TABLE, "left")
-        .withColumn("table_name", F.coalesce("_new", "table_name"))
-        .select(*source.columns)
-    )
+    some, others = split_marked(source, (TABLE, marks(names, TABLE)))
+    renamed = some.join(names, TABLE, "left").withColumn("table_name", F.coalesce("_new", "table_name"))
+    return others.unionByName(renamed.select(*source.columns))
 
 
 def rename_columns(
@@ -109,14 +115,17 @@ def rename_columns(
 
     ``renames`` has ``pair_id, namespace, table_name, old_name, new_name``.
     """
-    old = source.select(*TABLE, F.col("name").alias("old_name"))
-    new_in_source = old.withColumnRenamed("old_name", "new_name")
-    new_in_target = target.select(*TABLE, F.col("name").alias("new_name"))
+
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        """Columns that a rename names, and few others."""
+        columns = rows.select(*TABLE, F.col("name").alias(name))
+        return where_marked(columns, [*TABLE, name], marks(renames, [*TABLE, name]))
+
     effective = (
         renames.where(F.col("old_name") != F.col("new_name"))
-        .join(old, [*TABLE, "old_name"], "left_semi")
-        .join(new_in_target, [*TABLE, "new_name"], "left_semi")
-        .join(new_in_source, [*TABLE, "new_name"], "left_anti")
+        .join(named(source, "old_name"), [*TABLE, "old_name"], "left_semi")
+        .join(named(target, "new_name"), [*TABLE, "new_name"], "left_semi")
+        .join(named(source, "new_name"), [*TABLE, "new_name"], "left_anti")
         .dropDuplicates([*TABLE, "old_name"])
     )
     changes = change_rows(
@@ -133,12 +142,11 @@ def rename_columns(
 
 def apply_column_renames(source: DataFrame, effective: DataFrame) -> DataFrame:
     """Source columns under their new names, ready to be compared."""
+    key = [*TABLE, "name"]
     names = effective.select(*TABLE, F.col("old_name").alias("name"), F.col("new_name").alias("_new"))
-    return (
-        source.join(names, [*TABLE, "name"], "left")
-        .withColumn("name", F.coalesce("_new", "name"))
-        .select(*source.columns)
-    )
+    some, others = split_marked(source, (key, marks(names, key)))
+    renamed = some.join(names, key, "left").withColumn("name", F.coalesce("_new", "name"))
+    return others.unionByName(renamed.select(*source.columns))
 
 
 def _renamed(name: Column, names: Column) -> Column:
@@ -168,9 +176,11 @@ def rename_catalog(
     table as the source does.  Table names stand in columns, indexes, constraints,
     foreign key targets and parents of partitions; column names in keys and
     included columns of indexes, in constraints and in foreign key targets.
-    Expressions are texts and stay as they are.
+    Expressions are texts and stay as they are.  Rows that no rename is about are
+    not joined; the source is read twice for that.
     """
     found = source
+    of_target = ["pair_id", "ref_namespace", "ref_table"]
     if columns is not None:
         names = _maps(columns, TABLE, "_names")
         none = F.create_map().cast("map<string,string>")
@@ -185,15 +195,18 @@ def rename_catalog(
         def keys_of(array: str) -> Column:
             return F.transform(array, lambda k: k.withField("column_name", _renamed(k["column_name"], F.col("_own"))))
 
-        indexes = looked_up(found.indexes, TABLE, "_own")
-        constraints = looked_up(looked_up(found.constraints, TABLE, "_own"), ["pair_id", "ref_namespace", "ref_table"], "_ref")
+        marked = marks(names, TABLE)
+        own_indexes, other_indexes = split_marked(found.indexes, (TABLE, marked))
+        own_constraints, other_constraints = split_marked(found.constraints, (TABLE, marked), (of_target, marked))
+        indexes = looked_up(own_indexes, TABLE, "_own")
+        constraints = looked_up(looked_up(own_constraints, TABLE, "_own"), of_target, "_ref")
         found = replace(
             found,
             columns=apply_column_renames(found.columns, columns),
-            indexes=indexes.withColumns(
+            indexes=other_indexes.unionByName(indexes.withColumns(
                 {"key_columns": keys_of("key_columns"), "include_columns": each("include_columns", "_own")}
-            ).select(*found.indexes.columns),
-            constraints=constraints.withColumns(
+            ).select(*found.indexes.columns)),
+            constraints=other_constraints.unionByName(constraints.withColumns(
                 {
                     "columns": each("columns", "_own"),
                     "ref_columns": each("ref_columns", "_ref"),
@@ -201,10 +214,11 @@ def rename_catalog(
                         "elements", lambda e: e.withField("column_or_expr", _renamed(e["column_or_expr"], F.col("_own")))
                     ),
                 }
-            ).select(*found.constraints.columns),
+            ).select(*found.constraints.columns)),
         )
     if tables is not None:
         names = tables.select("pair_id", "namespace", "old_name", F.col("new_name").alias("_new"))
+        marked = marks(names, ["pair_id", "namespace", "old_name"])
 
         def target_of(rows: DataFrame, namespace: Column, name: Column, output: str) -> DataFrame:
             """``output``: the new name of the table that the two columns name."""
@@ -212,15 +226,23 @@ def rename_catalog(
             on = names.select("pair_id", F.col("namespace").alias("_ns"), F.col("old_name").alias("_name"), F.col("_new").alias("_to"))
             return keyed.join(on, ["pair_id", "_ns", "_name"], "left").withColumn(output, F.coalesce("_to", name)).drop("_ns", "_name", "_to")
 
-        renamed = apply_table_renames(found.tables, tables)
-        partitions = target_of(renamed, F.col("partition_of.parent_namespace"), F.col("partition_of.parent_name"), "_parent")
+        def own_name(rows: DataFrame) -> DataFrame:
+            return target_of(rows, F.col("namespace"), F.col("table_name"), "table_name")
+
+        parent_ns, parent_name = F.col("partition_of.parent_namespace"), F.col("partition_of.parent_name")
+        keyed = found.tables.withColumns({"_parent_ns": parent_ns, "_parent_name": parent_name})
+        own_tables, other_tables = split_marked(keyed, (TABLE, marked), (["pair_id", "_parent_ns", "_parent_name"], marked))
+        partitions = target_of(own_name(own_tables), parent_ns, parent_name, "_parent")
         parent = F.when(F.col("partition_of").isNotNull(), _with("partition_of", parent_name=F.col("_parent")))
-        referring = target_of(apply_table_renames(found.constraints, tables), F.col("ref_namespace"), F.col("ref_table"), "ref_table")
+        own_constraints, other_constraints = split_marked(found.constraints, (TABLE, marked), (of_target, marked))
+        referring = target_of(own_name(own_constraints), F.col("ref_namespace"), F.col("ref_table"), "ref_table")
         found = replace(
             found,
-            tables=partitions.withColumn("partition_of", parent).select(*found.tables.columns),
+            tables=other_tables.select(*found.tables.columns).unionByName(
+                partitions.withColumn("partition_of", parent).select(*found.tables.columns)
+            ),
             columns=apply_table_renames(found.columns, tables),
             indexes=apply_table_renames(found.indexes, tables),
-            constraints=referring.select(*found.constraints.columns),
+            constraints=other_constraints.unionByName(referring.select(*found.constraints.columns)),
         )
     return found

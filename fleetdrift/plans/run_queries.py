@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetdrift.functions.constraints import constraint_fields, constraint_kind
+from fleetdrift.functions.constraints import constraint_fields, constraint_kind, fk_parts
 from fleetdrift.model import COLUMN, PARTITION_INFO, PARTITION_OF
 from fleetdrift.operators import compare, exclude, migration, patch, report, risk, script
 from fleetdrift.operators.compare import Catalog
 from fleetdrift.plans.fixtures import CANONICAL, ORACLE_CTES, fixture
 from fleetdrift.plans.drift_queries import _LABEL, _RANK
 from fleetdrift.plans.registry import query
-from fleetdrift.session import checkpoint_folder, cut_lineage
+from fleetdrift.session import checkpoint_folder, stored
 from fleetdrift.sources import sinks, snapshots
 
 
@@ -41,8 +41,10 @@ def catalog(spark, folder, side: str) -> Catalog:
         F.array().cast("array<string>").alias("include_columns"), F.lit(False).alias("unique"),
         _null().alias("predicate"), _null().alias("comment"),
     )
-    fields = constraint_fields(F.col("contype"), F.col("condef"), _null(), _null())
-    constraints = fixture(spark, folder, f"mx_{side}_key").select(
+    # A foreign key is taken apart once for all fields that come from its parts.
+    parts = F.when(F.col("contype") == "f", fk_parts(F.col("condef")))
+    fields = constraint_fields(F.col("contype"), F.col("condef"), _null(), _null(), F.col("_parts"))
+    constraints = fixture(spark, folder, f"mx_{side}_key").withColumn("_parts", parts).select(
         "pair_id", "namespace", "table_name", "name", constraint_kind(F.col("contype")).alias("kind"),
         F.lit("not_deferrable").alias("deferrability"), *[v.alias(n) for n, v in fields.items()],
     )
@@ -73,6 +75,17 @@ def annotations(spark, folder):
     return tables, columns
 
 
+_CATALOGS: dict[tuple[str, str, str], Catalog] = {}
+
+
+def stored_side(spark, folder, side: str) -> Catalog:
+    """The catalogs of one side, stored once per session: runs read them several times."""
+    key = (spark.sparkContext.applicationId, folder, side)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = compare.stored_catalog(catalog(spark, folder, side))
+    return _CATALOGS[key]
+
+
 _DRIFTS: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -81,11 +94,8 @@ def whole_drift(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _DRIFTS:
         tables, columns = annotations(spark, folder)
-        _DRIFTS[key] = cut_lineage(
-            migration.drift(
-                catalog(spark, folder, "source"), catalog(spark, folder, "target"), table_renames=tables, column_renames=columns
-            )
-        )
+        source, target = (stored_side(spark, folder, side) for side in ("source", "target"))
+        _DRIFTS[key] = stored(migration.drift(source, target, table_renames=tables, column_renames=columns))
     return _DRIFTS[key]
 
 
@@ -322,9 +332,9 @@ def run_change_table(spark, folder):
 )
 def apply_changes(spark, folder):
     """Changes of every kind, and how many are left once they are applied to the source."""
-    source, target = catalog(spark, folder, "source"), catalog(spark, folder, "target")
+    source, target = (stored_side(spark, folder, side) for side in ("source", "target"))
     found = whole_drift(spark, folder)
-    left = compare.compare_catalogs(patch.apply_changes(source, found), target)
+    left = compare.compare_catalogs(compare.stored_catalog(patch.apply_changes(source, found)), target)
     kinds = spark.createDataFrame([(k,) for k in ("schema", "extension", "table", "column", "index", "constraint")], "object_kind string")
     for name, rows in (("n_changes", found), ("n_left", left)):
         counts = rows.groupBy("object_kind").agg(F.count(F.lit(1)).alias(name))
